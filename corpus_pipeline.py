@@ -4,27 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partflow.llm.quality import filter_quality
+from partflow.llm import best_fit, mixing, near_dedup, quality, substring_dedup
 from partflow.llm.shared import stored
-from partflow.llm.substring_dedup import filter_substrings
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return filter_quality(docs)
+    return quality.filter_quality(docs)
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_dedup.filter_near_duplicates(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the word sequences that occur earlier in the corpus."""
-    return filter_substrings(docs)
+    return substring_dedup.filter_substrings(docs)
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that the expected words of the domains meet the target weights."""
+    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a token sequence."""
+    return best_fit.pack(docs)
 
 
 STAGES = [
     ("quality_rules", quality_rules),
-    ("substring_dedup", substring_dedup),
+    ("near_duplicates", near_duplicates),
+    ("substrings", substrings),
+    ("mixing_weights", mixing_weights),
+    ("packing", packing),
 ]
 
-#: Near duplicates, fitted mixing rates and packing are iterative; tests/llm compares them with brute force.
+#: Near duplicates, fitted mixing rates and packing are iterative; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -12,8 +12,8 @@ Skew: before each shuffle a task settles what repeats inside its own batch and s
 so a passage held by a third of all documents is at most one row a batch. No group is collected.
 
 Defined results: null and empty texts have no words and lose none; a document shorter than the window
-loses none; rows that share a doc_id are taken in the order of their text, each as a document of its
-own; a null doc_id comes before all others; an empty table gives an empty result. Keys are 64-bit
+loses none; rows that share a doc_id are taken in the order of their texts' hashes, each as a document
+of its own; a null doc_id comes before all others; an empty table gives an empty result. Keys are 64-bit
 hashes of 20 words.
 """
 
@@ -71,7 +71,7 @@ def _split_known(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find_anchors(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """(gram, doc_id, pos, known): known anchors repeat inside a batch; their gram is null and one row speaks for them."""
+    """(gram, doc_id, pos, known): known anchors repeat inside a batch; their gram is a random number and one row speaks for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,13 +85,13 @@ def find_anchors(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
                 pos = pa.array((chosen - rows[row]).astype(np.int32) if len(chosen) else chosen.astype(np.int32))
                 again, first = _split_known(key)
                 repeated = np.isin(key, key[again]) if len(again) else np.zeros(len(key), bool)
-                send = [(first, pa.array(key[first].view(np.int64)), False)]
+                send = [(first, key[first], False)]
                 if len(again):
                     known = np.flatnonzero(repeated)
-                    send.append((known, pa.nulls(len(known), pa.int64()), True))
+                    send.append((known, mix(key[known] + (chosen[known] + 1).astype(np.uint64)), True))
                 for at, gram, flag in send:
                     at = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([gram, ids.take(at), pos.take(at), pa.array(np.full(len(at), flag))], ["gram", "doc_id", "pos", "known"])
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), ids.take(at), pos.take(at), pa.array(np.full(len(at), flag))], ["gram", "doc_id", "pos", "known"])
 
     source = docs.select("doc_id", "text")
     return source.mapInArrow(run, f"gram long, doc_id {source.schema['doc_id'].dataType.simpleString()}, pos int, known boolean")
@@ -130,7 +130,7 @@ def _seed_reaches(window: int, k: int, id_type: str, texts: DataFrame) -> DataFr
                         continue
                     back = pa.array(row[at])
                     if known:
-                        keys, lists = pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.list_(pa.int64()))
+                        keys, lists = pa.array(mix(reach[at] + (first[at] + 1).astype(np.uint64)).view(np.int64)), pa.nulls(len(at), pa.list_(pa.int64()))
                     else:
                         ends = np.concatenate([[0], np.cumsum(size[at])])
                         index = np.repeat(cut[at] - ends[:-1], size[at]) + np.arange(ends[-1])
@@ -142,31 +142,31 @@ def _seed_reaches(window: int, k: int, id_type: str, texts: DataFrame) -> DataFr
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """(documents with their ``copy`` number, runs of repeated windows (doc_id, copy, start, n))."""
+    """(texts by id and ``copy`` number, runs of repeated windows (doc_id, copy, start, n))."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text").withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    # A struct of the id is never null, so that null ids join; texts are shuffled by it once for both joins.
+    texts = docs.select(F.struct("doc_id").alias("id"), "text").withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text"))))
 
-    anchors = find_anchors(docs, window, k).withColumn("part", F.coalesce("gram", F.xxhash64("doc_id", "pos")))
-    near = Window.partitionBy("part").orderBy("gram", "doc_id", "pos")
+    near = Window.partitionBy("gram").orderBy("doc_id", "pos")
     seeds = (
-        anchors.withColumn("before", F.lag("gram").over(near)).withColumn("after", F.lead("gram").over(near))
-        .where(F.col("known") | (F.col("before") == F.col("gram")) | (F.col("after") == F.col("gram")))
-        .groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
+        find_anchors(docs, window, k).withColumn("before", F.lag("pos").over(near)).withColumn("after", F.lead("pos").over(near))
+        .where(F.col("known") | F.col("before").isNotNull() | F.col("after").isNotNull())
+        .groupBy(F.struct("doc_id").alias("id")).agg(F.collect_set("pos").alias("seeds"))
     )
-    found = texts.join(seeds, texts["doc_id"].eqNullSafe(seeds["doc_id"]), "inner").select(texts["doc_id"], "copy", "text", "seeds")
+    found = texts.join(seeds, "id").select("id.doc_id", "copy", "text", "seeds")
     reaches = _seed_reaches(window, k, id_type, found.select("doc_id", "copy", "text", "seeds"))
 
     order = ["doc_id", "copy", "start"]
-    reaches = reaches.withColumn("part", F.coalesce("key", F.xxhash64("doc_id", "start")))
-    reaches = reaches.withColumn("turn", F.when(F.col("key").isNull(), 2).otherwise(F.row_number().over(Window.partitionBy("part", F.col("key").isNull()).orderBy(*order))))
+    # A null list marks a reach that is already known to repeat; its key is a random number.
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(*order))
+    reaches = reaches.withColumn("again", F.col("windows").isNull() | (turn > 1))
     # A repeated reach ends here as one run; the others go on as single windows.
-    single = F.arrays_zip(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1).alias("start"), F.col("windows").alias("key"))
-    whole = F.array(F.struct(F.col("start").alias("start"), F.lit(None).cast("long").alias("key")))
-    parts = reaches.select("doc_id", "copy", F.when(F.col("turn") > 1, F.col("n")).otherwise(1).alias("n"), F.explode(F.when(F.col("turn") > 1, whole).otherwise(single)).alias("w"))
-    parts = parts.select("doc_id", "copy", F.col("w.start").alias("start"), "n", F.col("w.key").alias("key"))
-    parts = parts.withColumn("part", F.coalesce("key", F.xxhash64("doc_id", "start")))
-    turn = F.row_number().over(Window.partitionBy("part", F.col("key").isNull()).orderBy(*order))
-    runs = parts.withColumn("turn", turn).where(F.col("key").isNull() | (F.col("turn") > 1)).select(*order, "n")
+    single = F.transform("windows", lambda w, i: F.struct((F.col("start") + i).alias("start"), w.alias("key")))
+    whole = F.array(F.struct("start", "key"))
+    parts = reaches.select("doc_id", "copy", F.when(F.col("again"), F.col("n")).otherwise(0).alias("n"), F.explode(F.when(F.col("again"), whole).otherwise(single)).alias("w"))
+    parts = parts.select("w.key", "doc_id", "copy", "w.start", "n")
+    turn = F.row_number().over(Window.partitionBy("key", F.col("n") > 0).orderBy(*order))
+    runs = parts.withColumn("turn", turn).where((F.col("n") > 0) | (F.col("turn") > 1)).select(*order, F.greatest("n", F.lit(1)).alias("n"))
     return texts, runs
 
 
@@ -178,12 +178,16 @@ def _covered(n_words: int, starts: np.ndarray, sizes: np.ndarray, window: int) -
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """doc_id, n_words, n_removed, the maximal removed spans (start and end word), kept_text and kept_sha256."""
+    """doc_id, n_words, n_removed, the maximal removed spans (start and end word), kept_text and kept_sha256.
+
+    kept_text is the text as it was where nothing is removed, else the kept words joined by one space;
+    kept_sha256 is of the joined words always.
+    """
     texts, runs = repeated_windows(docs, window, k)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    spans = runs.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    same = texts["doc_id"].eqNullSafe(spans["doc_id"]) & (texts["copy"] == spans["copy"])
-    joined = texts.join(spans, same, "left").select(texts["doc_id"], texts["copy"], "text", F.col("runs.start").alias("s"), F.col("runs.n").alias("n"))
+    spans = runs.groupBy(F.struct("doc_id").alias("id")).agg(F.collect_list(F.struct("copy", "start", "n")).alias("runs"))
+    mine = F.filter("runs", lambda r: r["copy"] == F.col("copy"))
+    joined = texts.join(spans, "id", "left").withColumn("runs", mine).select("id.doc_id", "copy", "text", F.col("runs.start").alias("s"), F.col("runs.n").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +202,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataF
                     keep = np.flatnonzero(~gone) + a
                     kept = b" ".join([data[x:y] for x, y in zip(starts[keep].tolist(), ends[keep].tolist())])
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]))).reshape(-1, 2)
-                    for name, value in (("n_words", total), ("n_removed", int(gone.sum())), ("spans", [{"start": int(x), "end": int(y)} for x, y in edge]), ("kept_text", kept.decode()), ("kept_sha256", hashlib.sha256(kept).hexdigest())):
+                    for name, value in (("n_words", total), ("n_removed", int(gone.sum())), ("spans", [{"start": int(x), "end": int(y)} for x, y in edge]), ("kept_text", kept.decode() if gone.any() else data[offsets[i] : offsets[i + 1]].decode()), ("kept_sha256", hashlib.sha256(kept).hexdigest())):
                         out[name].append(value)
                 kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), "kept_text": pa.string(), "kept_sha256": pa.string()}
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(out[c], kinds[c]) for c in kinds)], ["doc_id", "copy", *kinds])
@@ -209,18 +213,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataF
 def filter_substrings(docs: DataFrame) -> DataFrame:
     """The documents with their kept words as text (n_chars follows); documents of which nothing is left go.
 
-    A document that loses nothing keeps its text as it was, white space included.
+    A document that loses nothing keeps its text as it was, white space included (null becomes empty).
     """
-    columns = docs.columns
-    found = dedup_substrings(docs).where("n_removed > 0").select("doc_id", "copy", "n_removed", "n_words", "kept_text")
-    numbered = docs.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    joined = numbered.join(found, numbered["doc_id"].eqNullSafe(found["doc_id"]) & (numbered["_copy"] == found["copy"]), "left")
-    new = {c: numbered[c] for c in columns}
-    new["text"] = F.coalesce(found["kept_text"], numbered["text"])
+    found = dedup_substrings(docs).select(F.struct("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("n_removed").alias("_gone"), F.col("n_words").alias("_all"), F.col("kept_text").alias("_kept"))
+    turn = F.row_number().over(Window.partitionBy("_id").orderBy("_hash"))
+    rest = docs.withColumn("_id", F.struct("doc_id")).withColumn("_hash", F.xxhash64("text")).drop("text").withColumn("_copy", turn)
+    joined = rest.join(found, ["_id", "_copy"]).where("_gone = 0 OR _gone < _all")
+    new = {c: F.col(c) for c in docs.columns} | {"text": F.col("_kept")}
     if "n_chars" in new:
-        new["n_chars"] = F.when(found["kept_text"].isNotNull(), F.char_length(found["kept_text"])).otherwise(numbered["n_chars"]).cast(docs.schema["n_chars"].dataType)
-    kept = found["n_removed"].isNull() | (found["n_removed"] < found["n_words"])
-    return joined.where(kept).select(*(new[c].alias(c) for c in columns))
+        new["n_chars"] = F.when(F.col("_gone") > 0, F.char_length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(new[c].alias(c) for c in docs.columns))
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:
