@@ -229,7 +229,7 @@ def event_label(c: Column) -> Column:
 
 def relative_age(c: Column, now: Column) -> Column:
     """How long ago: just now, minutes, hours, days under a week, else the day."""
-    minutes = F.floor((F.unix_micros(now) - F.unix_micros(c)) / 60_000_000)
+    minutes = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(c.cast("timestamp"))) / 60_000_000)
     hours = F.floor(minutes / 60)
     days = F.floor(hours / 24)
     return (
@@ -240,7 +240,7 @@ def relative_age(c: Column, now: Column) -> Column:
 
 def expiry_warning(expiry: Column, status: Column, count: Column, now: Column) -> Column:
     """The warning for a domain's expiry, or null."""
-    seconds = (F.unix_micros(expiry) - F.unix_micros(now)) / 1_000_000
+    seconds = (F.unix_micros(expiry.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))) / 1_000_000
     days = F.ceil(seconds / 86400)
     word = F.when(days > 1, " days").otherwise(" day")
     return (

@@ -147,8 +147,9 @@ def patch_appliances(appliances: DataFrame, patches: DataFrame, columns: tuple[s
 
 def create_appliances(appliances: DataFrame, rows: DataFrame) -> DataFrame:
     """New appliances (seq and columns) with ids after the largest, status active."""
-    made = _numbered(rows, "seq", "seq").withColumn("id", F.col("position") + F.coalesce(appliances.agg(F.max("id")).scalar(), F.lit(0)))
-    return appliances.unionByName(made.withColumn("status", F.lit("active")).select(*(c for c in appliances.columns if c in made.columns)), allowMissingColumns=True)
+    last = F.coalesce(appliances.agg(F.max("id")).scalar(), F.lit(0))
+    made = _numbered(rows, "seq", "seq").withColumns({"id": F.col("position") + last, "status": F.lit("active")})
+    return appliances.unionByName(made.select(*(c for c in appliances.columns if c in made.columns)), allowMissingColumns=True)
 
 
 def pull_parts(appliances: DataFrame, parts: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFrame]:
