@@ -1,0 +1,46 @@
+"""Streaming queries: the file source reads the given tables as a stream until nothing is left."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from partflow.plans.changes import _SETTLED
+from partflow.plans.registry import query
+from partflow.sources import domain
+from partflow.sources.domain import with_views
+from partflow.streaming.settlement import VERDICTS, dedupe_stream, read_verdicts, settle_stream
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="partflow-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _stream(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of lineitem as a stream, with their order's date from the static side."""
+    schema = domain.table(spark, path, "lineitem").schema
+    lines = spark.readStream.schema(schema).parquet(f"{path}/lineite[m].parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    orders = domain.table(spark, path, "orders").select("o_orderkey", "o_orderdate")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_orderkey").cast("string").alias("order_id"), F.col("l_linenumber").cast("string").alias("line_id"), F.concat(F.lit("L"), "l_partkey").alias("listing_id"),
+        (F.col("l_quantity") % 3 + 1).cast("int").alias("quantity"), F.col("o_orderdate").alias("created"),
+    )
+
+
+@query(f"{with_views('order_lines')} SELECT DISTINCT order_id, line_id FROM order_lines")
+def str2_dedupe_stream(spark: SparkSession, path: str) -> DataFrame:
+    lines = _stream(spark, path).withColumn("created", F.col("created").cast("timestamp"))
+    out = _scratch(spark, "deduped")
+    rows = dedupe_stream(lines).select("order_id", "line_id")
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", _scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("order_id string, line_id string").parquet(out)
+
+
+@query(_SETTLED.replace("CAST(order_id AS BIGINT) % 50 = 0 AS old", "false AS old") + " SELECT order_id, line_id, listing_id, quantity, status, part_id, quantity_depleted, quarantine_reason FROM settled")
+def str3_settle_stream(spark: SparkSession, path: str) -> DataFrame:
+    out = _scratch(spark, "settled")
+    settle_stream(_stream(spark, path), domain.parts(spark, path), out, _scratch(spark, "stream")).awaitTermination()
+    return read_verdicts(spark, out).select(*(f.split()[0] for f in VERDICTS.split(", ") if not f.startswith("created")))
