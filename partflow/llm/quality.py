@@ -111,7 +111,7 @@ RULES = (
     Rule("few_words", count_words, lambda m: m["n_words"] < 10),
     Rule("repeats", count_repeat_words, lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
     Rule("symbols", count_symbols, lambda m: 10 * m["n_symbols"] > m["n_words"]),
-    Rule("line_repeats", count_lines, lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"]),
+    Rule("line_repeats", count_lines, lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
     Rule("word_length", count_word_chars, lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
 )
 BASE_RULES = ("few_words", "repeats")
