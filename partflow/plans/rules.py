@@ -16,6 +16,18 @@ from partflow.sources.domain import with_views
 NOW = "2024-03-01 00:00:00"
 
 
+def _many(sql: str) -> str:
+    """The SQL with one vendor a customer in place of one a nation."""
+    table = "nation AS (SELECT CAST(c_custkey AS INTEGER) AS n_nationkey, c_name AS n_name FROM customer)"
+    return sql.replace("WITH ", f"WITH {table}, ", 1) if sql.startswith("WITH ") else f"WITH {table} {sql}"
+
+
+def _vendors(spark: SparkSession, path: str, many: bool) -> DataFrame:
+    if many:
+        return domain.table(spark, path, "customer").select(F.col("c_custkey").cast("int").alias("n_nationkey"), F.col("c_name").alias("n_name"))
+    return domain.table(spark, path, "nation").select("n_nationkey", "n_name")
+
+
 def _now():
     return F.lit(NOW).cast("timestamp_ntz")
 
@@ -54,13 +66,13 @@ def _vendor_docs(spark: SparkSession, path: str) -> DataFrame:
     return domain.table(spark, path, "documents").select("doc_id", F.concat("text", tail).alias("text"))
 
 
-def templates(spark: SparkSession, path: str) -> DataFrame:
-    """A template for each nation, by nine domains and keywords; some without a row rule."""
+def templates(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
+    """A template for each nation (or customer), by nine domains and keywords; some without a row rule."""
     key = F.col("n_nationkey")
     rules = F.lit(json.dumps({"vendorName": "V", "lineItems": {"start": "Part Number\tQty[^\n]*\n", "end": "Subtotal", "row": ROW}}))
     empty = F.lit(json.dumps({"vendorName": "V", "lineItems": {"start": "", "end": "", "row": ""}}))
     tried = F.lit("2024-02-20 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=key)
-    return domain.table(spark, path, "nation").select(
+    return _vendors(spark, path, many).select(
         key.cast("long").alias("id"), F.concat(F.lit("v"), key).alias("vendor_key"), F.col("n_name").alias("vendor_name"), F.array(F.concat(F.lit("PARTS"), key % 9, F.lit(".com"))).alias("vendor_domains"),
         F.array(F.concat(F.lit("Vendor"), key % 9), F.lit("abc")).alias("vendor_keywords"), F.when(key % 5 > 0, rules).otherwise(empty).alias("extraction_rules"), (key % 4).alias("success_count"), (key % 7).alias("fail_count"),
         F.when(key % 3 > 0, tried).alias("last_generation_attempt"),
@@ -75,9 +87,9 @@ def j8_j9_detect_vendor(spark: SparkSession, path: str) -> DataFrame:
     return vendors.detect_vendor(_vendor_docs(spark, path), templates(spark, path))
 
 
-@query(f"""WITH {_TEMPLATES} SELECT id, has_row AS usable, fails > 3 AND wins < fails AS unreliable, coalesce(attempt > TIMESTAMP '{NOW}' - INTERVAL 7 DAYS, false) AS in_cooldown, fails + 1 > 3 AND wins < fails + 1 AS may_regenerate FROM templates""")
+@query(_many(f"""WITH {_TEMPLATES} SELECT id, has_row AS usable, fails > 3 AND wins < fails AS unreliable, coalesce(attempt > TIMESTAMP '{NOW}' - INTERVAL 7 DAYS, false) AS in_cooldown, fails + 1 > 3 AND wins < fails + 1 AS may_regenerate FROM templates"""))
 def p14_template_state(spark: SparkSession, path: str) -> DataFrame:
-    return vendors.template_state(templates(spark, path), _now()).select("id", "usable", "unreliable", "in_cooldown", "may_regenerate")
+    return vendors.template_state(templates(spark, path, True), _now()).select("id", "usable", "unreliable", "in_cooldown", "may_regenerate")
 
 
 _OUTCOMES = "outcomes AS (SELECT event_id AS seq, user_id % 25 AS target, event_type <> 'error' AS ok FROM events)"
@@ -87,33 +99,33 @@ def _outcomes(spark: SparkSession, path: str, key: str) -> DataFrame:
     return domain.table(spark, path, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 25).alias(key), (F.col("event_type") != "error").alias("ok"))
 
 
-@query(f"WITH {_OUTCOMES}, {_TEMPLATES} SELECT id, CAST(any_value(wins) + count(*) FILTER (ok) AS INTEGER) AS success_count, CAST(any_value(fails) + count(*) FILTER (NOT ok) AS INTEGER) AS fail_count FROM templates LEFT JOIN outcomes ON target = id GROUP BY id")
+@query(_many(f"WITH {_OUTCOMES}, {_TEMPLATES} SELECT id, CAST(any_value(wins) + count(*) FILTER (ok) AS INTEGER) AS success_count, CAST(any_value(fails) + count(*) FILTER (NOT ok) AS INTEGER) AS fail_count FROM templates LEFT JOIN outcomes ON target = id GROUP BY id"))
 def a6_template_counters(spark: SparkSession, path: str) -> DataFrame:
-    return vendors.template_counters(templates(spark, path), _outcomes(spark, path, "template_id")).select("id", "success_count", "fail_count")
+    return vendors.template_counters(templates(spark, path, True), _outcomes(spark, path, "template_id")).select("id", "success_count", "fail_count")
 
 
 def _presets(spark: SparkSession, path: str) -> DataFrame:
     key = F.col("n_nationkey")
-    return domain.table(spark, path, "nation").select(
+    return _vendors(spark, path, True).select(
         key.cast("long").alias("id"), F.concat(F.lit("v"), key % 10).alias("vendor_key"), F.lit("html").alias("input_type"), F.concat(F.lit("f"), key).alias("page_fingerprint"), F.lit("{}").alias("selectors"), F.col("n_name").alias("sample_snippet"),
         (key % 4).alias("success_count"), (key % 5).alias("fail_count"), F.lit(None).cast("timestamp_ntz").alias("last_used_at"),
     )
 
 
-@query(f"""WITH {_OUTCOMES}, l AS (SELECT target, max(seq) FILTER (ok) AS last, count(*) FILTER (ok) AS s FROM outcomes GROUP BY target),
+@query(_many(f"""WITH {_OUTCOMES}, l AS (SELECT target, max(seq) FILTER (ok) AS last, count(*) FILTER (ok) AS s FROM outcomes GROUP BY target),
 f AS (SELECT o.target, l.last, l.s, count(*) FILTER (NOT ok AND (last IS NULL OR seq > last)) AS f FROM outcomes o JOIN l ON l.target = o.target GROUP BY ALL)
 SELECT n_nationkey AS id, CAST(n_nationkey % 4 + coalesce(s, 0) AS INTEGER) AS success_count, CAST(CASE WHEN last IS NOT NULL THEN 0 ELSE n_nationkey % 5 END + coalesce(f, 0) AS INTEGER) AS fail_count,
-CASE WHEN last IS NOT NULL THEN 0 ELSE n_nationkey % 5 END + coalesce(f, 0) >= 3 AS disabled FROM nation LEFT JOIN f ON target = n_nationkey""")
+CASE WHEN last IS NOT NULL THEN 0 ELSE n_nationkey % 5 END + coalesce(f, 0) >= 3 AS disabled FROM nation LEFT JOIN f ON target = n_nationkey"""))
 def a7_preset_counters(spark: SparkSession, path: str) -> DataFrame:
     return vendors.preset_counters(_presets(spark, path), _outcomes(spark, path, "preset_id")).select(F.col("id").cast("int").alias("id"), "success_count", "fail_count", "disabled")
 
 
-@query("SELECT n_nationkey AS id FROM nation WHERE n_nationkey % 5 < 3")
+@query(_many("SELECT n_nationkey AS id FROM nation WHERE n_nationkey % 5 < 3"))
 def p15_preset_eligible(spark: SparkSession, path: str) -> DataFrame:
     return vendors.preset_eligible(_presets(spark, path)).select(F.col("id").cast("int").alias("id"))
 
 
-@query("""SELECT p.page_id, CASE WHEN n.n_nationkey % 5 < 3 THEN n.n_nationkey END AS preset_id FROM pages p LEFT JOIN nation n ON n.n_nationkey = p.page_id % 40 AND n.n_nationkey % 5 < 3""")
+@query(_many("""SELECT p.page_id, CASE WHEN n.n_nationkey % 5 < 3 THEN n.n_nationkey END AS preset_id FROM pages p LEFT JOIN nation n ON n.n_nationkey = p.page_id % 40 AND n.n_nationkey % 5 < 3"""))
 def j10_match_preset(spark: SparkSession, path: str) -> DataFrame:
     k = F.col("page_id") % 40
     asked = domain.table(spark, path, "pages").select("page_id", F.concat(F.lit("v"), k % 10).alias("vendor_key"), F.lit("html").alias("input_type"), F.concat(F.lit("f"), k).alias("page_fingerprint"))
@@ -135,9 +147,9 @@ def a10_earliest_expiry(spark: SparkSession, path: str) -> DataFrame:
     return vendors.earliest_expiry(rows)
 
 
-@query("SELECT n_nationkey AS id, 'v' || n_nationkey AS vendor_key, n_name AS vendor_name, 1 AS domains, 2 AS keywords, n_nationkey % 4 AS success_count, n_nationkey % 7 AS fail_count FROM nation")
+@query(_many("SELECT n_nationkey AS id, 'v' || n_nationkey AS vendor_key, n_name AS vendor_name, 1 AS domains, 2 AS keywords, n_nationkey % 4 AS success_count, n_nationkey % 7 AS fail_count FROM nation"))
 def a12_template_report(spark: SparkSession, path: str) -> DataFrame:
-    return vendors.template_report(templates(spark, path)).withColumn("id", F.col("id").cast("int"))
+    return vendors.template_report(templates(spark, path, True)).withColumn("id", F.col("id").cast("int"))
 
 
 def _candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -145,21 +157,21 @@ def _candidates(spark: SparkSession, path: str) -> DataFrame:
     return domain.table(spark, path, "supplier").select(key.alias("seq"), F.concat(F.lit("v"), key * 3).alias("vendor_key"), F.col("s_name").alias("vendor_name"), F.array(F.lit("a.com")).alias("vendor_domains"), F.array(F.lit("word")).alias("vendor_keywords"), F.lit("{}").alias("extraction_rules"))
 
 
-@query(f"""SELECT coalesce('v' || n_nationkey, 'v' || s_suppkey * 3) AS vendor_key, coalesce(s_name, n_name) AS vendor_name, CAST(CASE WHEN s_suppkey IS NULL THEN n_nationkey % 4 ELSE 0 END AS INTEGER) AS success_count, CAST(CASE WHEN s_suppkey IS NULL THEN n_nationkey % 7 ELSE 0 END AS INTEGER) AS fail_count
-FROM nation FULL JOIN supplier ON s_suppkey * 3 = n_nationkey""")
+@query(_many(f"""SELECT coalesce('v' || n_nationkey, 'v' || s_suppkey * 3) AS vendor_key, coalesce(s_name, n_name) AS vendor_name, CAST(CASE WHEN s_suppkey IS NULL THEN n_nationkey % 4 ELSE 0 END AS INTEGER) AS success_count, CAST(CASE WHEN s_suppkey IS NULL THEN n_nationkey % 7 ELSE 0 END AS INTEGER) AS fail_count
+FROM nation FULL JOIN supplier ON s_suppkey * 3 = n_nationkey"""))
 def mut7_upsert_templates(spark: SparkSession, path: str) -> DataFrame:
-    return vendors.upsert_templates(templates(spark, path), _candidates(spark, path), _now()).select("vendor_key", "vendor_name", "success_count", "fail_count")
+    return vendors.upsert_templates(templates(spark, path, True), _candidates(spark, path), _now()).select("vendor_key", "vendor_name", "success_count", "fail_count")
 
 
-@query("""WITH x AS (SELECT s_suppkey % 40 AS k, count(*) AS n, min_by(s_name, s_suppkey) AS name FROM supplier GROUP BY s_suppkey % 40)
-SELECT coalesce('v' || n_nationkey, 'v' || k) AS vendor_key, coalesce(n_name, name) AS vendor_name, CAST(coalesce(n_nationkey % 4, 0) AS INTEGER) AS success_count, CAST(coalesce(n_nationkey % 7, 0) + coalesce(n, 0) AS INTEGER) AS fail_count FROM nation FULL JOIN x ON k = n_nationkey""")
+@query(_many("""WITH x AS (SELECT s_suppkey % 40 AS k, count(*) AS n, min_by(s_name, s_suppkey) AS name FROM supplier GROUP BY s_suppkey % 40)
+SELECT coalesce('v' || n_nationkey, 'v' || k) AS vendor_key, coalesce(n_name, name) AS vendor_name, CAST(coalesce(n_nationkey % 4, 0) AS INTEGER) AS success_count, CAST(coalesce(n_nationkey % 7, 0) + coalesce(n, 0) AS INTEGER) AS fail_count FROM nation FULL JOIN x ON k = n_nationkey"""))
 def mut8_failed_attempts(spark: SparkSession, path: str) -> DataFrame:
     tried = domain.table(spark, path, "supplier").select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("v"), F.col("s_suppkey") % 40).alias("vendor_key"), F.col("s_name").alias("vendor_name"))
-    return vendors.record_failed_attempts(templates(spark, path), tried, _now()).select("vendor_key", "vendor_name", "success_count", "fail_count")
+    return vendors.record_failed_attempts(templates(spark, path, True), tried, _now()).select("vendor_key", "vendor_name", "success_count", "fail_count")
 
 
-@query("""SELECT coalesce('v' || n_nationkey % 10, 'v' || s_suppkey % 10) AS vendor_key, coalesce('f' || n_nationkey, 'f' || s_suppkey) AS page_fingerprint, CASE WHEN s_suppkey IS NULL THEN length(n_name) ELSE 2000 END AS snippet,
-CAST(CASE WHEN s_suppkey IS NULL THEN n_nationkey % 4 ELSE 1 END AS INTEGER) AS success_count, CAST(CASE WHEN s_suppkey IS NULL THEN n_nationkey % 5 ELSE 0 END AS INTEGER) AS fail_count FROM nation FULL JOIN supplier ON s_suppkey = n_nationkey""")
+@query(_many("""SELECT coalesce('v' || n_nationkey % 10, 'v' || s_suppkey % 10) AS vendor_key, coalesce('f' || n_nationkey, 'f' || s_suppkey) AS page_fingerprint, CASE WHEN s_suppkey IS NULL THEN length(n_name) ELSE 2000 END AS snippet,
+CAST(CASE WHEN s_suppkey IS NULL THEN n_nationkey % 4 ELSE 1 END AS INTEGER) AS success_count, CAST(CASE WHEN s_suppkey IS NULL THEN n_nationkey % 5 ELSE 0 END AS INTEGER) AS fail_count FROM nation FULL JOIN supplier ON s_suppkey = n_nationkey"""))
 def mut9_upsert_presets(spark: SparkSession, path: str) -> DataFrame:
     key = F.col("s_suppkey")
     learned = domain.table(spark, path, "supplier").select(key.alias("seq"), F.concat(F.lit("v"), key % 10).alias("vendor_key"), F.lit("html").alias("input_type"), F.concat(F.lit("f"), key).alias("page_fingerprint"), F.lit("{}").alias("selectors"), F.repeat(F.lit("s"), 2500).alias("sample_snippet"))
@@ -319,9 +331,9 @@ def src7_supplement_text(spark: SparkSession, path: str) -> DataFrame:
     return tables.supplement_text(docs, docs.select("doc_id", content.alias("content"))).select("doc_id", F.char_length("text").alias("n"))
 
 
-@query(f"""WITH l AS (SELECT n_nationkey AS id, length('{{0}}') AS x FROM nation) SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 > 0 THEN true ELSE false END AS acceptable FROM nation""".replace("{0}", "x"))
+@query(_many("SELECT n_nationkey AS id, n_nationkey % 5 > 0 AS acceptable FROM nation"))
 def s26_check_rules(spark: SparkSession, path: str) -> DataFrame:
-    return extraction.check_rules(extraction.parse_rules(templates(spark, path))).select(F.col("id").cast("int").alias("id"), "acceptable")
+    return extraction.check_rules(extraction.parse_rules(templates(spark, path, True))).select(F.col("id").cast("int").alias("id"), "acceptable")
 
 
 @query(f"""WITH w AS (SELECT event_id AS seq, user_id % 25 AS template_id, row_number() OVER (PARTITION BY user_id % 25 ORDER BY event_id) AS turn FROM events WHERE event_type = 'click')

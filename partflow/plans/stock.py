@@ -188,8 +188,8 @@ def src6_search_results(spark: SparkSession, path: str) -> DataFrame:
     return tables.search_results(domain.search_results(spark, path).select("part_id", "query_no", packed.alias("content")))
 
 
-@query("SELECT r_regionkey, r_name, n_nationkey, n_name FROM region JOIN nation ON n_regionkey = r_regionkey")
+@query("SELECT c_custkey, c_acctbal, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING'")
 def src1_scan(spark: SparkSession, path: str) -> DataFrame:
-    region = spark.read.schema("r_regionkey int, r_name string").parquet(f"{path}/region.parquet")
+    customer = spark.read.schema("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").parquet(f"{path}/customer.parquet")
     nation = spark.read.schema("n_nationkey int, n_name string, n_regionkey int").parquet(f"{path}/nation.parquet")
-    return region.join(nation, F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", "r_name", "n_nationkey", "n_name")
+    return customer.where("c_mktsegment = 'BUILDING'").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "c_acctbal", "n_name")
