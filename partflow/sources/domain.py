@@ -85,8 +85,8 @@ def search_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def invoice_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of invoices: (doc_id, part_number, quantity, cents) with cents the unit price in whole cents."""
-    cents = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("long")
+    """Items of invoices: (doc_id, part_number, quantity, cents), prices in quarters so that sums of doubles are exact in any order."""
+    cents = (F.floor(F.col("l_extendedprice") * 4 / F.col("l_quantity")) * 25).cast("long")
     return table(spark, path, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.upper(F.regexp_replace(raw_number("l_partkey"), "-", "")).alias("part_number"), F.col("l_quantity").cast("long").alias("quantity"), cents.alias("cents"))
 
 
@@ -127,7 +127,7 @@ SQL = {
   'wp' || lpad(CAST(a AS VARCHAR), 8, '0') || CASE (a + b) % 3 WHEN 0 THEN ' replaces ' WHEN 1 THEN ' replaced by ' ELSE ' fits ' END || 'wp' || lpad(CAST(b AS VARCHAR), 8, '0') AS description,
   'https://parts.example.com/' || l_orderkey AS url FROM linked)""",
     "inv": """inv AS (SELECT l_orderkey AS doc_id, 'WP' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS part_number, CAST(l_quantity AS BIGINT) AS quantity,
-  CAST(floor(l_extendedprice * 100 / l_quantity) AS BIGINT) AS cents FROM lineitem)""",
+  CAST(floor(l_extendedprice * 4 / l_quantity) * 25 AS BIGINT) AS cents FROM lineitem)""",
 }
 
 
