@@ -97,55 +97,89 @@ def find_anchors(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
     return source.mapInArrow(run, f"gram long, doc_id {source.schema['doc_id'].dataType.simpleString()}, pos int, known boolean")
 
 
-def _seed_reaches(window: int, k: int, id_type: str, texts: DataFrame) -> DataFrame:
-    """For each seed of each document the windows it anchors: key of the whole reach, first window, their keys."""
+def _in_order(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows by doc_id and copy, null ids first."""
+    return part.take(pc.sort_indices(part, sort_keys=[("doc_id", "ascending"), ("copy", "ascending")], null_placement="at_start"))
+
+
+def _runs(at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First positions and lengths of runs of consecutive positions of a row."""
+    cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])])) if len(at) else np.zeros(0, np.int64)
+    return cut, np.diff(np.append(cut, len(at)))
+
+
+def _seed_reaches(texts: DataFrame, id_type: str, window: int, k: int) -> DataFrame:
+    """(key, doc_id, copy, start, n, known): the windows that each seed anchors; known ones repeat inside a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE) if batch.num_rows else ():
-                part = part.take(pc.sort_indices(part, sort_keys=[("doc_id", "ascending"), ("copy", "ascending")], null_placement="at_start"))
+                part = _in_order(part)
                 h, rows = word_hashes(part.column(2))
                 grams, inside, chosen = _anchors(h, rows, window, k)
                 if not len(inside):
                     continue
                 seeds = part.column(3)
-                flat, sizes = seeds.flatten().to_numpy(zero_copy_only=False), np.asarray(seeds.value_lengths().fill_null(0))
+                at = np.repeat(rows[:-1], np.asarray(seeds.value_lengths().fill_null(0))) + seeds.flatten().to_numpy(zero_copy_only=False)
                 mark = np.zeros(len(h) + 1, bool)
-                at = np.repeat(rows[:-1], sizes) + flat
                 mark[at[at < len(h)]] = True
                 take = mark[chosen]
                 starts, anchor = inside[take], chosen[take]
                 if not len(starts):
                     continue
                 windows = join_hashes(h, window)
-                cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-                size = np.diff(np.append(cut, len(starts)))
+                cut, size = _runs(starts, anchor)
                 first = starts[cut]
                 reach = mix(windows[first] * np.uint64(31) + windows[first + size - 1] + size.astype(np.uint64))
                 row = row_index(rows)[first]
-                again, fresh = _split_known(reach)
-                begin = (first - rows[row]).astype(np.int32)
-                for at, known in ((again, True), (fresh, False)):
-                    if not len(at):
-                        continue
-                    back = pa.array(row[at])
-                    if known:
-                        keys, lists = pa.array(mix(reach[at] + (first[at] + 1).astype(np.uint64)).view(np.int64)), pa.nulls(len(at), pa.list_(pa.int64()))
-                    else:
-                        ends = np.concatenate([[0], np.cumsum(size[at])])
-                        index = np.repeat(cut[at] - ends[:-1], size[at]) + np.arange(ends[-1])
-                        keys = pa.array(reach[at].view(np.int64))
-                        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(windows[starts[index]].view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([keys, part.column(0).take(back), part.column(1).take(back), pa.array(begin[at]), pa.array(size[at].astype(np.int32)), lists], ["key", "doc_id", "copy", "start", "n", "windows"])
-
-    return texts.mapInArrow(run, f"key long, doc_id {id_type}, copy int, start int, n int, windows array<bigint>")
+                again, _ = _split_known(reach)
+                known = np.zeros(len(first), bool)
+                known[again] = True
+                key = np.where(known, mix(reach + (first + 1).astype(np.uint64)), reach)
+                back = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(back), part.column(1).take(back), pa.array((first - rows[row]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(known)], ["key", "doc_id", "copy", "start", "n", "known"])
+
+    return texts.mapInArrow(run, f"key long, doc_id {id_type}, copy int, start int, n int, known boolean")
+
+
+def _single_windows(texts: DataFrame, id_type: str, window: int) -> DataFrame:
+    """(key, doc_id, copy, start, n): runs that are settled (n > 0), and the windows of the others one by one (n = 0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE) if batch.num_rows else ():
+                part = _in_order(part)
+                h, rows = word_hashes(part.column(2))
+                windows = join_hashes(h, window)
+                marks = part.column(3)
+                owner = np.repeat(np.arange(part.num_rows), np.asarray(marks.value_lengths()))
+                copy, start, n, again = (marks.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                own = copy == part.column(1).to_numpy()[owner]
+                owner, at, n, again = owner[own], (rows[owner] + start)[own], n[own].astype(np.int64), again[own].astype(bool)
+                single, width = at[~again], n[~again]
+                ends = np.cumsum(width)
+                each = np.sort(np.repeat(single - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0))
+                repeated, fresh = _split_known(windows[each])
+                row = row_index(rows)
+                cut, size = _runs(each[repeated], row[each[repeated]])
+                at = np.concatenate([at[again], each[repeated][cut], each[fresh]])
+                n = np.concatenate([n[again], size, np.zeros(len(fresh), np.int64)])
+                if not len(at):
+                    continue
+                settled = np.arange(len(at)) < len(at) - len(fresh)
+                key = np.where(settled, mix(windows[at] + (at + 1).astype(np.uint64)), windows[at])
+                back = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(back), part.column(1).take(back), pa.array((at - rows[row[at]]).astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "doc_id", "copy", "start", "n"])
+
+    return texts.mapInArrow(run, f"key long, doc_id {id_type}, copy int, start int, n int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFrame, DataFrame]:
     """(texts by id and ``copy`` number, runs of repeated windows (doc_id, copy, start, n))."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    # A struct of the id is never null, so that null ids join; texts are shuffled by it once for both joins.
+    # A struct of the id is never null, so that null ids join; texts are shuffled by it once for all joins.
     texts = docs.select(F.struct("doc_id").alias("id"), "text").withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text"))))
+    order = ["doc_id", "copy", "start"]
 
     near = Window.partitionBy("gram").orderBy("doc_id", "pos")
     seeds = (
@@ -153,18 +187,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K) -> tuple
         .where(F.col("known") | F.col("before").isNotNull() | F.col("after").isNotNull())
         .groupBy(F.struct("doc_id").alias("id")).agg(F.collect_set("pos").alias("seeds"))
     )
-    found = texts.join(seeds, "id").select("id.doc_id", "copy", "text", "seeds")
-    reaches = _seed_reaches(window, k, id_type, found.select("doc_id", "copy", "text", "seeds"))
-
-    order = ["doc_id", "copy", "start"]
-    # A null list marks a reach that is already known to repeat; its key is a random number.
+    reaches = _seed_reaches(texts.join(seeds, "id").select("id.doc_id", "copy", "text", "seeds"), id_type, window, k)
     turn = F.row_number().over(Window.partitionBy("key").orderBy(*order))
-    reaches = reaches.withColumn("again", F.col("windows").isNull() | (turn > 1))
-    # A repeated reach ends here as one run; the others go on as single windows.
-    single = F.transform("windows", lambda w, i: F.struct((F.col("start") + i).alias("start"), w.alias("key")))
-    whole = F.array(F.struct("start", "key"))
-    parts = reaches.select("doc_id", "copy", F.when(F.col("again"), F.col("n")).otherwise(0).alias("n"), F.explode(F.when(F.col("again"), whole).otherwise(single)).alias("w"))
-    parts = parts.select("w.key", "doc_id", "copy", "w.start", "n")
+    marks = reaches.withColumn("again", F.col("known") | (turn > 1)).groupBy(F.struct("doc_id").alias("id")).agg(F.collect_list(F.struct("copy", "start", "n", "again")).alias("marks"))
+    parts = _single_windows(texts.join(marks, "id").select("id.doc_id", "copy", "text", "marks"), id_type, window)
     turn = F.row_number().over(Window.partitionBy("key", F.col("n") > 0).orderBy(*order))
     runs = parts.withColumn("turn", turn).where((F.col("n") > 0) | (F.col("turn") > 1)).select(*order, F.greatest("n", F.lit(1)).alias("n"))
     return texts, runs
