@@ -11,9 +11,12 @@ band that a result of ``threshold`` leaves open. Tokens being unique, that is a
 subsequence of positions. It equals the Jaccard similarity of the labelled shingles where order agrees.
 
 Equal texts are one node throughout. In a bucket each text is compared with the bucket's smallest node,
-then, in further rounds with other leaders, only texts of different classes meet; in the last round
-every two texts of different classes that share two sketches are compared, on both sides' lengths.
-Links are closed by large-star/small-star rounds. No bucket is collected and nothing is capped.
+then, with another leader, only texts of different classes meet. In the last round every two texts of
+different classes that agree on two sketches or more are compared. They meet once, in the bucket of
+their smallest common sketch. Before, texts leave of which too many tokens occur in no other text of
+this round to reach the threshold with any: they are most of a cloud of loose copies. In a bucket of over ``LARGE`` texts, such as those of one shared passage,
+they meet under the two smallest common sketches, so the bucket's pairs are never listed. Links are
+closed by large-star/small-star rounds. No bucket is collected and nothing is capped.
 
 With J = 0.8 a sketch agrees with probability about 0.8**4, so 24 sketches miss a pair with 3e-6 and
 agree twice with all but 6e-5.
@@ -42,6 +45,8 @@ SKETCHES = 24
 L = 4
 SHORT = 20
 SHORT_L = 2
+LARGE = 64
+SLICE = 3 << 20
 
 _U = np.uint64
 _SEEDS = np.random.default_rng(613).integers(1, 2**63, SKETCHES, dtype=np.uint64) * _U(2) + _U(1)
@@ -108,7 +113,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text") if batch.num_rows else ():
+            for part in slices(batch, "text", SLICE) if batch.num_rows else ():
                 tokens, rows = labelled_shingles(part.column(2))
                 n = np.diff(rows)
                 keys = []
@@ -129,12 +134,30 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, f"node long, doc_id {source.schema['doc_id'].dataType.simpleString()}, n int, keys array<bigint>")
 
 
+def _with_partners(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The nodes (node, n) that can reach the threshold with another: at least that part of their tokens is held by two nodes.
+
+    A similarity of t needs t * |A or B| common tokens, so t * |A| of A's.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE) if batch.num_rows else ():
+                tokens, rows = labelled_shingles(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row_index(rows))), pa.array(tokens.view(np.int64))], ["node", "token"])
+
+    tokens = texts.join(nodes.select("node"), "node").select("node", "text").mapInArrow(run, "node long, token long")
+    alone = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    left = F.col("n") - F.coalesce("alone", F.lit(0))
+    return nodes.join(alone, "node", "left").where(left >= threshold * F.col("n") - 1e-9).select("node")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text_a", 4 << 20) if batch.num_rows else ():
+            for part in slices(batch, "text_a", SLICE) if batch.num_rows else ():
                 a, rows_a = labelled_shingles(part.column(2))
                 # One leader stands beside many texts: tokens of equal neighbours are made once.
                 leaders = part.column(1).to_numpy()
@@ -155,9 +178,9 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = stored(_sketches(docs), "sketches")
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max_by("keys", "n").alias("keys"))
-    buckets = nodes.select("node", "n", F.posexplode("keys").alias("slot", "bucket"))
+    buckets = nodes.select("node", "n", F.explode("keys").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(buckets.join(shared, "bucket").select("bucket", "node", "n"), "buckets")
+    members = stored(buckets.join(shared, "bucket").select("bucket", "node", "n", "size"), "buckets")
     wanted = members.select("node").distinct().join(rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d")), "node").select("node", "d.doc_id")
     source = docs.withColumn("node", F.xxhash64("text"))
     same = (source["node"] == wanted["node"]) & source["doc_id"].eqNullSafe(wanted["doc_id"])
@@ -166,7 +189,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     roots = tried = None
     for turn in range(3):
         # Leader: the smallest node first, later the one that comes first by another hash.
-        named = members if roots is None else members.join(roots, members["node"] == roots["member"], "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+        named = members if roots is None else members.join(roots, members["node"] == roots["member"], "left").select("bucket", "node", "n", "size", F.coalesce("root", "node").alias("root"))
         if turn == 0:
             lead = members.groupBy("bucket").agg(F.min("node").alias("b"))
             pairs = members.join(lead, "bucket").where("node != b").select(F.col("node").alias("a"), "b").distinct()
@@ -175,12 +198,20 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
             pairs = named.join(lead, "bucket").where("root != l.root").select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct()
         else:
             mixed = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("bucket")
-            some = stored(named.join(mixed, "bucket").join(nodes.select("node", "keys"), "node"), "mixed")
-            x = some.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("keys").alias("ka"))
-            y = some.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+            some = stored(named.join(mixed, "bucket").select("bucket", "node", "n", "root"), "mixed")
+            able = _with_partners(some.select("node", "n").distinct(), texts, threshold)
+            some = some.join(able, "node")
+            again = some.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("bucket", "size")
+            some = some.join(again, "bucket").join(nodes.select("node", "keys"), "node")
+            # A large bucket is split by the members' other sketches, each with a larger number.
+            under = F.when(F.col("size") > LARGE, F.filter("keys", lambda k: k > F.col("bucket"))).otherwise(F.array("bucket"))
+            some = stored(some.withColumn("under", F.explode(under)), "mixed")
+            x = some.select("bucket", "under", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("keys").alias("ka"))
+            y = some.select("bucket", "under", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
             close = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
-            twice = F.size(F.array_intersect("ka", "kb")) > 1
-            pairs = x.join(y, "bucket").where(close & twice).select("a", "b").distinct()
+            common = F.array_sort(F.array_intersect("ka", "kb"))
+            once = (F.col("bucket") == F.get(common, F.lit(0))) & (F.size(common) > 1) & ((F.col("under") == F.col("bucket")) | (F.col("under") == F.get(common, F.lit(1))))
+            pairs = x.join(y, ["bucket", "under"]).where(close & once).select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "pairs")
@@ -210,9 +241,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
 
 def filter_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one of each class left, that of the smallest doc_id; texts without a word all stay."""
-    gone = _classes(docs, threshold).where("NOT stays").select("doc_id", "node").distinct()
-    left = docs.withColumn("_node", F.xxhash64("text"))
-    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    turn = F.row_number().over(Window.partitionBy("doc_id", "_node").orderBy(F.lit(1)))
-    left = left.join(gone, left["doc_id"].eqNullSafe(gone["doc_id"]) & (left["_node"] == gone["node"]), "left_anti")
-    return left.withColumn("_turn", turn).where((F.col("_turn") == 1) | ~F.coalesce(worded, F.lit(False))).select(*docs.columns)
+    # A struct of the id is never null, so one shuffle of the texts serves the join and the window.
+    gone = _classes(docs, threshold).where("NOT stays").select(F.struct("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
+    left = docs.withColumns({"_id": F.struct("doc_id"), "_node": F.xxhash64("text")}).join(gone, ["_id", "_node"], "left_anti")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    turn = F.row_number().over(Window.partitionBy("_id", "_node").orderBy(F.lit(1)))
+    return left.withColumn("_turn", turn).where((F.col("_turn") == 1) | ~worded).select(*docs.columns)
