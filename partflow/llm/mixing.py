@@ -166,7 +166,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: list[float] | None
 def mix(docs: DataFrame, labels: DataFrame, weights: list[float] | None = None, total: float | None = None) -> DataFrame:
     """The documents, each as often as its rate says, with their own columns."""
     model = stored(fit_classifier(docs, labels.select("doc_id", label_domain().alias("domain"))), "classifier")
-    steps, _, _ = fit_rates(stored(memberships(docs, model, []), "members"), weights, total)
-    rows = memberships(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model, ["_row"])
-    rows = rows.select("_row", _draw("_row.doc_id", rate(steps)).alias("_copies")).where("_copies > 0")
+    # Written with the documents: posteriors are read as values, not worked out again for each use.
+    members = stored(memberships(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model, ["_row"]), "members")
+    steps, _, _ = fit_rates(members.select("n_words", "p"), weights, total)
+    rows = members.select("_row", _draw("_row.doc_id", rate(steps)).alias("_copies")).where("_copies > 0")
     return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")
