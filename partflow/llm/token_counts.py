@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from partflow.llm.shared import stored
 from partflow.llm.tokens import BYTE_BPE, encoder
 from partflow.llm.words import slices
 
@@ -45,6 +46,7 @@ def length_table(docs: DataFrame, by: tuple[str, ...] = (), text: str = "text",
     this length or less (the smallest length with share >= q is the q-quantile).
     """
     hist = encoded_lengths(docs, by, text, tokenizer).groupBy(*by, "n_tokens").agg(F.count("*").alias("n_docs"))
+    hist = stored(hist, "lengths")  # read twice below; the texts are encoded once
     hist = hist.withColumn("_tokens", F.col("n_docs") * F.col("n_tokens")).withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
     up = Window.partitionBy(*by).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*by)
