@@ -15,9 +15,9 @@ tables raise ``tables`` and give ``turns`` = 2, which makes a bucket of two sign
 Recall measured against brute force at the defaults: README.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or non-finite
-component take no part; fewer candidates than ``k`` give all of them, also those in no probed bucket
-when the table has at most ``k`` + 1 vectors; repeated rows count once; an empty table gives an
-empty result.
+component take no part; a query whose probes give fewer than ``k`` is ranked exactly against all
+entries, in blocks of both sides, so fewer than ``k`` come back only where fewer candidates exist;
+repeated rows count once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -97,6 +97,12 @@ def _probes(unit: np.ndarray, signs: np.ndarray, probes: int) -> tuple[np.ndarra
     return np.take_along_axis(code, best, 1), own
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, id, score): the first ``k`` of each query, ties to the smaller id."""
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
+    return found.dropDuplicates(["query_id", "id", "score"]).withColumn("rank", turn).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, turns: int = 1, block: int = BLOCK, seed: int = 5) -> DataFrame:
     """(query_id, rank, id, score): for each query row its ``k`` nearest of ``vectors`` by Euclidean distance.
 
@@ -119,9 +125,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
     salts = max(1, round(rows / (2 * dim) ** turns / block))
     signs = _signs(1 << max(0, dim - 1).bit_length(), tables, turns, seed)
 
-    # Entries: one a distinct vector, with its k + 1 smallest ids; a salted first step keeps hot vectors spread.
+    # Entries: one a distinct vector, with its k + 1 smallest ids, each once (a copy would take a place among k); a salted first step keeps hot vectors spread.
     salted = Window.partitionBy("v", F.pmod(F.xxhash64("id"), F.lit(256))).orderBy("id")
-    few = base.withColumn("turn", F.row_number().over(salted)).where(F.col("turn") <= k + 1).drop("turn")
+    few = base.distinct().withColumn("turn", F.row_number().over(salted)).where(F.col("turn") <= k + 1).drop("turn")
     few = few.withColumn("turn", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("turn") <= k + 1)
     entries = stored(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("entry", F.xxhash64("v")), "entries")
     asked = clean(queries).where(F.size("v") == dim)
@@ -176,11 +182,15 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
         return pd.concat(out)
 
     found = indexed.groupBy("code", "salt").cogroup(probed.groupBy("code", "salt")).applyInPandas(rank, "query_id long, id long, score double")
-    if rows <= k + 1:  # every candidate is wanted; a block of at most k + 1 rows stands beside each query
-        all_ids = entries.select(F.explode("ids").alias("id"), "v", F.lit(0).alias("code"))
-        small = asked.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.lit(0).alias("code"))
-        gap = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-        found = small.join(all_ids, "code").where("id != query_id").select("query_id", "id", gap.alias("score"))
-    best = found.dropDuplicates(["query_id", "id", "score"])
-    turn = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
-    return best.withColumn("rank", turn).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    found = stored(_best(found, k), "near")
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
+    short = stored(asked.join(full, "id", "left_anti").select(F.col("id").alias("query_id"), F.col("v").alias("q")), "short")
+    lacking = short.count()
+    if lacking:  # every entry is a candidate of these; both sides are cut into blocks
+        entry_blocks, query_blocks = max(1, round(entries.count() / block)), max(1, round(lacking / block))
+        zero = F.lit(0).cast("long")
+        left = entries.select(F.explode(F.sequence(zero, F.lit(query_blocks - 1).cast("long"))).alias("code"), F.pmod("entry", F.lit(entry_blocks)).alias("salt"), "v", "ids")
+        right = short.select(F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("code"), F.explode(F.sequence(zero, F.lit(entry_blocks - 1).cast("long"))).alias("salt"), "query_id", "q")
+        exact = left.groupBy("code", "salt").cogroup(right.groupBy("code", "salt")).applyInPandas(rank, "query_id long, id long, score double")
+        found = found.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(_best(exact, k))
+    return found.select("query_id", "rank", F.col("id").alias(id_col), "score")

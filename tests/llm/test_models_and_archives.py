@@ -114,6 +114,28 @@ def test_few_vectors(spark):
     assert ann.nearest_neighbours(table.where("1 = 0"), table).count() == 0
 
 
+@pytest.mark.parametrize("n", [12, 20])
+def test_short_queries_are_ranked_exactly(spark, n):
+    matrix = np.random.default_rng(n).normal(size=(n, 64))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)] + [(0, matrix[0].tolist())] * 9, "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(table, table.distinct(), block=7).collect()
+    assert len(got) == 10 * n
+    if n == 12:  # the probes alone find about 5 of 11, so every query is short
+        for q in range(n):
+            far = np.sqrt(((matrix - matrix[q]) ** 2).sum(1))
+            assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [i for i in np.argsort(far) if i != q][:10]
+
+
+def test_query_opposite_to_a_cluster(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64)
+    matrix = centre + 0.001 * rng.normal(size=(500, 64))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    query = spark.createDataFrame([(1000, (-centre).tolist())], table.schema)
+    got = ann.nearest_neighbours(table, query, block=100).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == np.argsort(np.sqrt(((matrix + centre) ** 2).sum(1)))[:10].tolist()
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     long = "é<p>text</p>" * 200
