@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from partflow.functions.text import label_fields
+from partflow.functions.text import BAD_BRANDS, BAD_COURIERS, label_fields, repair_tracking, valid_tracking, valid_word
 from partflow.operators import extraction, vendors
+from partflow.sources import tables
 
 
 def route_documents(docs: DataFrame, templates: DataFrame, now: Column, mode: str = "template") -> tuple[DataFrame, DataFrame]:
@@ -13,7 +14,7 @@ def route_documents(docs: DataFrame, templates: DataFrame, now: Column, mode: st
 
     A route is direct, fallback-new, direct-cooldown, fallback-retry, fallback-unreliable, template,
     direct-insane or fallback-empty. Items are those of the template route, with shipping and tax
-    recovered from the text and spread over them. ``outcome`` is what the template's counters get (true,
+    recovered from the text and spread over them; ``extract_documents`` gives those of all routes. ``outcome`` is what the template's counters get (true,
     false or null), ``wants_rule`` whether a new rule may be made.
     """
     if mode == "llm":
@@ -39,6 +40,30 @@ def route_documents(docs: DataFrame, templates: DataFrame, now: Column, mode: st
     return routes, spread
 
 
+def extract_documents(docs: DataFrame, templates: DataFrame, now: Column, responses: DataFrame, mode: str = "template") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(routes, metadata, items) of documents on every route; documents as for ``route_documents``.
+
+    ``responses`` (doc_id, response), one a document, come from ``tables.parse_responses``. They give the items of all
+    routes but template, and metadata and totals of all. Totals that are 0 or absent are read from the text;
+    tracking is repaired, then tracking, courier and brands are sanitised. Documents without a response keep null metadata.
+    """
+    routes = route_documents(docs, templates, now, mode)[0]
+    known = docs.select("doc_id", "text", "template_id").join(routes.select("doc_id", "route"), "doc_id").join(responses.select("doc_id", "response"), "doc_id", "left")
+    by_rule = extraction.extract_items(known.where("route = 'template'").select("doc_id", "text", "template_id"), extraction.parse_rules(templates))
+    items = by_rule.unionByName(tables.response_items(known.where("route != 'template'").select("doc_id", "response")))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    totals = extraction.recover_totals(known.select("doc_id", "text", zero("response.totalTax").alias("tax"), zero("response.totalShipping").alias("shipping")))
+    spread = extraction.allocate_costs(items, totals.select("doc_id", F.col("shipping").alias("total_shipping"), F.col("tax").alias("total_tax")))
+    spread = spread.withColumn("brand", valid_word(F.col("brand"), BAD_BRANDS))
+    numbers = items.groupBy("doc_id").agg(F.collect_set("part_number").alias("_numbers"))
+    r = lambda c: F.col(f"response.{c}")
+    metadata = known.join(numbers, "doc_id", "left").select(
+        "doc_id", r("vendor").alias("vendor"), r("orderNumber").alias("order_number"), r("orderDate").alias("order_date"), r("technicianName").alias("technician_name"),
+        valid_tracking(repair_tracking(r("trackingNumber"), F.col("text")), r("orderNumber"), F.col("_numbers")).alias("tracking_number"), valid_word(r("deliveryCourier"), BAD_COURIERS).alias("delivery_courier"),
+    )
+    return routes, metadata, spread
+
+
 def accept_rules(docs: DataFrame, templates: DataFrame, supplied: DataFrame) -> DataFrame:
     """(id, accepted) of candidate templates: static checks pass and every sample document (doc_id, text, template_id) is reproduced."""
     rules = extraction.parse_rules(templates)

@@ -420,6 +420,24 @@ def pipe1_items(spark: SparkSession, path: str) -> DataFrame:
     return items.select("doc_id", "part_number", "quantity", F.round("ship_cost", 2).alias("ship_cost"))
 
 
+def _invoice_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Supplied responses for all invoices; some lack totals, some have a courier or brand that is none."""
+    key = F.col("doc_id")
+    item = F.struct(F.col("part_number").alias("partNumber"), F.lit("").alias("partName"), F.col("quantity").cast("double").alias("quantity"), (F.col("cents") / 100).alias("unitPrice"), F.when(key % 2 == 0, "kit").otherwise("acme").alias("brand"))
+    lists = domain.invoice_items(spark, path).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    number, courier = F.lpad(key.cast("string"), 12, "4").alias("trackingNumber"), F.when(key % 3 == 0, "paid").otherwise("ups").alias("deliveryCourier")
+    body = F.to_json(F.struct(F.concat(F.lit("N"), key).alias("orderNumber"), number, courier, F.when(key % 4 == 0, (key % 900 + 100) / 100).alias("totalShipping"), "items"))
+    return tables.parse_responses(lists.select("doc_id", body.alias("content")))
+
+
+@query()
+def pipe1_all_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items of the documents of every route with their metadata; ``pipe1_items`` and its SQL hold the template route alone."""
+    docs = domain.invoice_texts(spark, path).withColumn("template_id", F.col("doc_id") % 25).withColumn("confidence", F.lit("domain"))
+    routes, metadata, items = routing.extract_documents(docs, templates(spark, path), _now(), _invoice_responses(spark, path))
+    return items.join(metadata, "doc_id").join(routes.select("doc_id", "route"), "doc_id").select("doc_id", "route", "item_pos", "part_number", "quantity", "unit_price", F.round("ship_cost", 2).alias("ship_cost"), F.round("tax_price", 2).alias("tax_price"), "brand", "order_number", "tracking_number", "delivery_courier")
+
+
 @query(f"{with_views('inv')} SELECT n_nationkey AS id, n_nationkey % 5 > 0 AS accepted FROM nation WHERE n_nationkey IN (SELECT doc_id % 25 FROM inv)")
 def pipe4_rule_acceptance(spark: SparkSession, path: str) -> DataFrame:
     docs = domain.invoice_texts(spark, path).withColumn("template_id", F.col("doc_id") % 25)

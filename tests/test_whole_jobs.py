@@ -2,8 +2,12 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from partflow.functions import text as t
+from partflow.plans import routing, rules
+from partflow.sources import tables
 
 
 def _numbers(text):
@@ -27,3 +31,26 @@ def test_part_numbers_of_all_documents(spark, data, tmp_path):
     got = {r.id: r.numbers for r in rows if r.id < len(texts)}
     assert got == {i: None if x is None else _numbers(x) for i, x in enumerate(texts)}
     assert sum(len(x or []) for x in got.values()) == 15
+
+
+def test_items_of_all_routes(spark, data):
+    made = entry.queries()["pipe1_all_items"](spark, data).cache()
+    lines = spark.read.parquet(f"{data}/lineitem.parquet")
+    assert made.count() == lines.count() > entry.queries()["pipe1_items"](spark, data).count()
+    routes = entry.queries()["pipe1_routes"](spark, data)
+    assert {r.route for r in made.select("route").distinct().collect()} == {r.route for r in routes.select("route").distinct().collect()} > {"template"}
+    assert made.where("ship_cost IS NULL OR tax_price IS NULL OR order_number != concat('N', doc_id) OR brand = 'kit' OR delivery_courier = 'paid'").count() == 0
+
+
+def test_extraction_by_supplied_responses(spark):
+    text = "Tax: 2.00\nShipping: 4.00\nTracking 1234567890\n12\nend"
+    docs = spark.createDataFrame([(1, text, None, None), (2, text, None, None)], "doc_id long, text string, template_id long, confidence string")
+    content = '{"orderNumber":"A","trackingNumber":"1234567890","deliveryCourier":"Paid","items":[{"partNumber":"P1","quantity":2,"unitPrice":5,"brand":"kit"},{"partNumber":"P2","quantity":1,"unitPrice":10,"brand":"lg"}]}'
+    responses = tables.parse_responses(spark.createDataFrame([(1, content)], "doc_id long, content string"))
+    templates = rules.templates(spark, "/root/testdata/sf0.001")
+    for mode in ("template", "llm"):
+        routes, metadata, items = routing.extract_documents(docs, templates, F.lit(rules.NOW).cast("timestamp_ntz"), responses, mode)
+        assert routes.count() == 2
+        assert [tuple(r) for r in items.orderBy("item_pos").select("doc_id", "part_number", "ship_cost", "tax_price", "brand").collect()] == [(1, "P1", 1.0, 0.5, None), (1, "P2", 2.0, 1.0, "lg")]
+        got = {r.doc_id: (r.order_number, r.tracking_number, r.delivery_courier) for r in metadata.collect()}
+        assert got == {1: ("A", "123456789012", None), 2: (None, None, None)}
