@@ -246,6 +246,17 @@ def spot_checks(successes: DataFrame, templates: DataFrame, every: int = 10) ->
     return successes.withColumn("_turn", turn).join(before, "template_id").where((F.col("_before") + F.col("_turn")) % every == 0).drop("_turn", "_before")
 
 
+def spot_check_outcomes(successes: DataFrame, templates: DataFrame, items: DataFrame, supplied: DataFrame, every: int = 10) -> DataFrame:
+    """(template_id, doc_id, ok = false) of spot-checked documents whose items do not reproduce the supplied ones: outcomes for ``template_counters``.
+
+    As in the reference, prices are not compared here: fewer items or a missing part number are a mismatch.
+    """
+    picked = spot_checks(successes, templates, every).select("doc_id", "template_id")
+    ours = items.join(picked, "doc_id", "left_semi")
+    theirs = supplied.join(picked, "doc_id", "left_semi").withColumn("unit_price", F.lit(None).cast("double"))
+    return compare_extractions(ours, theirs).where("NOT agrees").join(picked, "doc_id").select("template_id", "doc_id", F.lit(False).alias("ok"))
+
+
 def stock_requests(items: DataFrame) -> DataFrame:
     """Extracted items as intake requests, by normalised number."""
     return items.where("part_number != ''").select(normalize_part_number(F.col("part_number")).alias("part_number"), F.col("quantity").cast("int").alias("quantity"))

@@ -398,7 +398,10 @@ def pipe5_selector_acceptance(spark: SparkSession, path: str) -> DataFrame:
     marked = found.join(pages.page_fingerprint(found), "page_id").select("page_id", "html", F.xxhash64("page_fingerprint").alias("preset_id"))
     _, items = pages.extract_page_items(marked, presets)
     valid = extraction.validate_extraction(found.select(F.col("page_id").alias("doc_id")), items).where("valid").select("doc_id")
-    return extraction.verify_positional(items.join(valid, "doc_id", "left_semi"), items.where("item_pos < 6"), t.fuzzy_match)
+    names = F.regexp_extract_all(F.regexp_extract("html", r"(?s)<nav.*?</nav>", 0), F.lit("<li><a[^>]*>([^<]*)</a>"), F.lit(1))
+    supplied = found.select(F.col("page_id").alias("doc_id"), F.posexplode(names).alias("item_pos", "name"))  # a third has other names, a third prices that pages lack
+    supplied = supplied.select("doc_id", "item_pos", F.when(F.col("doc_id") % 3 == 0, "#~#").otherwise(F.col("name")).alias("part_name"), F.when(F.col("doc_id") % 3 == 1, 9.5).alias("unit_price"))
+    return extraction.verify_positional(items.join(valid, "doc_id", "left_semi"), supplied.join(valid, "doc_id", "left_semi"), t.fuzzy_match)
 
 
 # --- composites ---
@@ -438,6 +441,20 @@ def pipe1_all_items(spark: SparkSession, path: str) -> DataFrame:
     return items.join(metadata, "doc_id").join(routes.select("doc_id", "route"), "doc_id").select("doc_id", "route", "item_pos", "part_number", "quantity", "unit_price", F.round("ship_cost", 2).alias("ship_cost"), F.round("tax_price", 2).alias("tax_price"), "brand", "order_number", "tracking_number", "delivery_courier")
 
 
+@query()
+def pipe6_spot_check_counters(spark: SparkSession, path: str) -> DataFrame:
+    """Counters of templates after invoices: successes, and failures of the spot checks that ``pipe6_spot_checks`` picks; supplied items of some invoices differ."""
+    docs = domain.invoice_texts(spark, path).withColumn("template_id", F.col("doc_id") % 25).withColumn("confidence", F.lit("domain"))
+    known = templates(spark, path)
+    routes, items = routing.route_documents(docs, known, _now())
+    done = routes.where("outcome").select("doc_id", "template_id", F.col("doc_id").alias("seq"), F.lit(True).alias("ok"))
+    supplied = tables.response_items(_invoice_responses(spark, path))
+    other = F.when((F.col("doc_id") % 7 == 0) & (F.col("item_pos") == 0), "WP0").otherwise(F.col("part_number"))
+    failed = extraction.spot_check_outcomes(done, known, items, supplied.withColumn("part_number", other))
+    outcomes = routes.where("outcome IS NOT NULL").select("template_id", F.col("outcome").alias("ok")).unionByName(failed.select("template_id", "ok"))
+    return vendors.template_counters(known, outcomes).select("id", "success_count", "fail_count")
+
+
 @query(f"{with_views('inv')} SELECT n_nationkey AS id, n_nationkey % 5 > 0 AS accepted FROM nation WHERE n_nationkey IN (SELECT doc_id % 25 FROM inv)")
 def pipe4_rule_acceptance(spark: SparkSession, path: str) -> DataFrame:
     docs = domain.invoice_texts(spark, path).withColumn("template_id", F.col("doc_id") % 25)

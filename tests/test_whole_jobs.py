@@ -54,3 +54,20 @@ def test_extraction_by_supplied_responses(spark):
         assert [tuple(r) for r in items.orderBy("item_pos").select("doc_id", "part_number", "ship_cost", "tax_price", "brand").collect()] == [(1, "P1", 1.0, 0.5, None), (1, "P2", 2.0, 1.0, "lg")]
         got = {r.doc_id: (r.order_number, r.tracking_number, r.delivery_courier) for r in metadata.collect()}
         assert got == {1: ("A", "123456789012", None), 2: (None, None, None)}
+
+
+def test_spot_checks_fail_templates(spark, data):
+    before = {r.id: (r.success_count, r.fail_count) for r in rules.templates(spark, data).collect()}
+    routes = [r for r in entry.queries()["pipe1_routes"](spark, data).collect() if r.route == "template"]
+    want = {i: list(n) for i, n in before.items()}
+    for r in sorted(routes, key=lambda r: r.doc_id):
+        want[r.template_id][0] += 1
+        if want[r.template_id][0] % 10 == 0 and r.doc_id % 7 == 0:
+            want[r.template_id][1] += 1
+    got = {r.id: [r.success_count, r.fail_count] for r in entry.queries()["pipe6_spot_check_counters"](spark, data).collect()}
+    assert got == want and sum(f for _, f in got.values()) > sum(f for _, f in before.values())
+
+
+def test_selectors_are_refused(spark, data):
+    got = {r.doc_id: r.agrees for r in entry.queries()["pipe5_selector_acceptance"](spark, data).collect()}
+    assert {i % 3 for i, agrees in got.items() if agrees} == {2} and not any(agrees for i, agrees in got.items() if i % 3 < 2)
