@@ -93,7 +93,7 @@ def write_packed(docs: DataFrame, path: str, capacity: int = CAPACITY, tokenizer
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder)
         code = encoder(tokenizer)
-        width = "<u2" if max(len(code.opens), end + 1, pad + 1) <= 1 << 16 else "<u4"
+        width = "<u2" if max(code.size, end + 1, pad + 1) <= 1 << 16 else "<u4"
         name, written, out = f"{uuid.uuid4().hex}.bin", 0, None
         parts, size = [], 0
 
@@ -127,10 +127,10 @@ def write_packed(docs: DataFrame, path: str, capacity: int = CAPACITY, tokenizer
         for batch in batches:
             arrow_id = batch.schema.field(0).type
             for part in slices(batch, "text", 4 << 20) if batch.num_rows else ():
-                for doc_id, ids in zip(part.column(0).to_pylist(), code.encode(part.column(1).to_pylist())):
-                    ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end)).astype(width)
-                    parts.append((doc_id, ids))
-                    size += len(ids)
+                ids, ends = code.encode_closed(part.column(1), end)
+                ids = ids.astype(width)
+                parts += [(doc_id, ids[a:b]) for doc_id, a, b in zip(part.column(0).to_pylist(), ends, ends[1:])]
+                size += len(ids)
                 if size >= GROUP:
                     yield flush()
         if parts:

@@ -4,27 +4,52 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores behind it until it is no column's."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``.
 
-    Where that setting is absent (local tests) a temporary folder takes its place for the session.
+    Where that setting is absent a temporary folder takes its place for the session, in local mode only:
+    on a cluster no other machine would see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="partflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a shared table and read it back, so that nothing before it is computed twice."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a shared table and read it back, so that nothing before it is computed twice.
+
+    ``batch_rows`` bounds the rows that one Arrow batch hands to Python while it is written.
+    """
+    spark = df.sparkSession
+    path, before = shared_dir(spark, name), spark.conf.get(_BATCH)
+    if batch_rows:
+        spark.conf.set(_BATCH, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(df: DataFrame) -> None:

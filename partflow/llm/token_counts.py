@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from partflow.llm.shared import stored
+from partflow.llm.shared import fresh, stored
 from partflow.llm.tokens import BYTE_BPE, encoder
 from partflow.llm.words import slices
 
@@ -27,13 +28,14 @@ def encoded_lengths(docs: DataFrame, keep: tuple[str, ...] = (), text: str = "te
     """The ``keep`` columns and n_tokens of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        code = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "_text", 4 << 20) if batch.num_rows else ():
-                sizes = [len(ids) // 4 for ids in encode(part.column(part.num_columns - 1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes, pa.int64())], names=[*keep, "n_tokens"])
+            for part in slices(batch, name, 4 << 20) if batch.num_rows else ():
+                _, rows = code.encode(part.column(part.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(rows), pa.int64())], names=[*keep, "n_tokens"])
 
-    source = docs.select(*keep, F.col(text).alias("_text"))
+    name = fresh("text", keep)
+    source = docs.select(*keep, F.col(text).alias(name))
     fields = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
     return source.mapInArrow(run, fields + "n_tokens long")
 
@@ -45,27 +47,23 @@ def length_table(docs: DataFrame, by: tuple[str, ...] = (), text: str = "text",
     above it; tokens_cut, the total when every document is cut there; share, the part of documents of
     this length or less (the smallest length with share >= q is the q-quantile).
     """
-    hist = encoded_lengths(docs, by, text, tokenizer).groupBy(*by, "n_tokens").agg(F.count("*").alias("n_docs"))
+    group = F.struct(*by, F.lit(0).alias(fresh("all", by))).alias("group")  # a struct is never null, and clashes with no name below
+    hist = encoded_lengths(docs, by, text, tokenizer).select(group, "n_tokens").groupBy("group", "n_tokens").agg(F.count("*").alias("n_docs"))
     hist = stored(hist, "lengths")  # read twice below; the texts are encoded once
-    hist = hist.withColumn("_tokens", F.col("n_docs") * F.col("n_tokens")).withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
-    up = Window.partitionBy(*by).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*by)
-    blocks = hist.groupBy(*by, "_block").agg(F.sum("n_docs").alias("_d"), F.sum("_tokens").alias("_t"))
-    blocks = blocks.select(
-        *(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_block").alias("_at"), F.coalesce(F.sum("_d").over(up), F.lit(0)).alias("_docs_above"),
-        F.coalesce(F.sum("_t").over(up), F.lit(0)).alias("_tokens_above"), F.sum("_d").over(every).alias("_docs"), F.sum("_t").over(every).alias("_all"),
-    )
-    same = F.col("_block") == F.col("_at")
-    for i, c in enumerate(by):
-        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    inside = Window.partitionBy(*by, "_block").orderBy(F.desc("n_tokens"))
-    docs_from = F.sum("n_docs").over(inside) + F.col("_docs_above")
-    tokens_from = F.sum("_tokens").over(inside) + F.col("_tokens_above")
-    out = hist.join(blocks, same).withColumn("docs_from", docs_from).withColumn("tokens_from", tokens_from)
-    over, tokens_over = F.col("docs_from") - F.col("n_docs"), F.col("tokens_from") - F.col("_tokens")
+    hist = hist.withColumn("tokens", F.col("n_docs") * F.col("n_tokens")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    up = Window.partitionBy("group").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("group")
+    blocks = hist.groupBy("group", "block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
+    above = [F.coalesce(F.sum(c).over(up), F.lit(0)).alias(f"{c}_above") for c in ("d", "t")]
+    blocks = blocks.select("group", "block", *above, F.sum("d").over(every).alias("docs"), F.sum("t").over(every).alias("all"))
+    inside = Window.partitionBy("group", "block").orderBy(F.desc("n_tokens"))
+    docs_from = F.sum("n_docs").over(inside) + F.col("d_above")
+    tokens_from = F.sum("tokens").over(inside) + F.col("t_above")
+    out = hist.join(blocks, ["group", "block"]).withColumn("docs_from", docs_from).withColumn("tokens_from", tokens_from)
+    over, tokens_over = F.col("docs_from") - F.col("n_docs"), F.col("tokens_from") - F.col("tokens")
     return out.select(
-        *by, "n_tokens", "n_docs", "docs_from", "tokens_from", over.alias("docs_over"), tokens_over.alias("tokens_over"),
-        (F.col("_all") - tokens_over + F.col("n_tokens") * over).alias("tokens_cut"), ((F.col("_docs") - over) / F.col("_docs")).alias("share"),
+        *(F.col("group")[c].alias(c) for c in by), "n_tokens", "n_docs", "docs_from", "tokens_from", over.alias("docs_over"), tokens_over.alias("tokens_over"),
+        (F.col("all") - tokens_over + F.col("n_tokens") * over).alias("tokens_cut"), ((F.col("docs") - over) / F.col("docs")).alias("share"),
     )
 
 

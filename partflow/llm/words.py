@@ -15,7 +15,7 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 CHUNK_BYTES = 1 << 20
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 3 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C13)
@@ -132,6 +132,12 @@ def join_hashes(h: np.ndarray, length: int) -> np.ndarray:
         step *= 2
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all the ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def row_index(rows: np.ndarray) -> np.ndarray:
     """The row of each word."""
     return np.repeat(np.arange(len(rows) - 1), np.diff(rows))

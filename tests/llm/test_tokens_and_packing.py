@@ -5,13 +5,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from partflow.llm import best_fit, packed_output, token_counts
+from partflow.llm import best_fit, packed_output, token_counts, tokens
 from partflow.llm.shared import shared_dir
-from partflow.llm.tokens import BYTE_BPE
+from partflow.llm.tokens import BYTE_BPE, encoder
 
 
 @pytest.fixture(scope="session")
@@ -20,6 +22,23 @@ def encoded(rows):
     return [(i, tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in rows]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "B", "7", ".", ",", " ", "  ", "\n", "\n\n", "\t", "'s", "é", "<|", "<|endoftext|>", "x.\ny", "it's.", "-", "\r\n", "你", "１", "\u00a0", "\u2028", "“"]), max_size=12).map("".join), max_size=30))
+def test_ids_are_those_of_whole_texts(texts):
+    code = encoder()
+    ids, rows = code.encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(rows, rows[1:])] == [x.ids for x in code.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_store_is_emptied_and_filled_again(monkeypatch):
+    monkeypatch.setattr(tokens, "KEEP", 50)
+    code = tokens.Encoder(BYTE_BPE)
+    for lo in range(0, 400, 40):
+        texts = [" ".join(f"w{i * k}" for k in range(9)) for i in range(lo, lo + 40)]
+        ids, rows = code.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(rows, rows[1:])] == [x.ids for x in code.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_length_table(corpus, encoded):
     table = token_counts.length_table(corpus)
     sizes = [len(ids) for _, ids in encoded]
@@ -80,6 +99,25 @@ def test_best_fit_decreasing(lengths):
     assert sorted(40 - sum(lengths[i] for i in p) for p in packed) == sorted(room)
 
 
+def test_hot_size_is_ranked_in_salted_classes(spark):
+    """One length that most pieces have, in classes of at most 20 rows: the packing is as tight as in one class."""
+    docs = spark.createDataFrame([(i, "a b c" if i % 3 else f"a{'b ' * (i % 11)}") for i in range(300)], "doc_id long, text string").repartition(3)
+    made = [best_fit.pack(docs, capacity=16, class_rows=n).collect() for n in (20, 1 << 16)]
+    for found in made:
+        assert len(found) == 300
+        places = {}
+        for r in found:
+            places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert all(sum(n for _, n in p) <= 16 and sorted(o for o, _ in p) == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] for p in places.values())
+    assert abs(len({r.sequence_id for r in made[0]}) - len({r.sequence_id for r in made[1]})) <= 1
+
+
+def test_length_table_groups_of_any_name(corpus):
+    names = ("group", "block", "all", "tokens")
+    table = token_counts.length_table(corpus.withColumns({c: F.lit(c) for c in names}), names)
+    assert all(r[c] == c for r in table.collect() for c in names) and table.groupBy().sum("n_docs").first()[0] == corpus.count()
+
+
 def test_files_round_trip(spark, corpus, encoded):
     index = packed_output.write_packed(corpus, shared_dir(spark, "packed-test"), capacity=64)
     found = packed_output.read_packed(index, capacity=64).selectExpr("doc_id", "piece", "start", "length", "crc32(ids) AS ids_crc32").collect()
