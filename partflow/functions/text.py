@@ -5,6 +5,8 @@ Word boundaries are ASCII: Java's own are Unicode-aware, so they are spelled out
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 B0, B1 = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -50,6 +52,11 @@ def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, _EDGES, "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it, and wherever the optimiser moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize_part_number(c: Column) -> Column:
     """Upper case, without dashes, dots, white space and number signs."""
     return F.regexp_replace(F.upper(c), r"[-.\s\u00A0#]", "")
@@ -69,9 +76,15 @@ def find_part_numbers(c: Column) -> Column:
         return F.transform(found, lambda x: F.struct(at(x).alias("at"), F.lit(k).alias("k"), x.alias("pn")))
 
     every = F.concat(*(hits(k, shape) for k, shape in enumerate(PART_NUMBER_FORMATS)))
-    names = F.transform(every, lambda e: e["pn"])
-    first = F.filter(every, lambda e, i: F.array_position(names, e["pn"]) == i + 1)
-    return F.transform(F.array_sort(first), lambda e: e["pn"])
+
+    def ordered(found: Column) -> Column:
+        names = F.transform(found, lambda e: e["pn"])
+        first = F.filter(found, lambda e, i: F.array_position(names, e["pn"]) == i + 1)
+        return F.transform(F.array_sort(first), lambda e: e["pn"])
+
+    # One pass tells most texts that no format occurs in them; the formats are then tried one by one.
+    some = c.rlike(f"(?i){B0}(?:{'|'.join(PART_NUMBER_FORMATS)}){B1}")
+    return F.when(some, let(every, ordered)).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
 def mine_mentions(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from partflow.functions.text import literal_fraction, normalize_part_number, round2, trim_all
+from partflow.functions.text import let, literal_fraction, normalize_part_number, round2, trim_all
 from partflow.sources import schemas
 
 GROUPS = ("partNumber", "description", "partName", "quantity", "unitPrice", "brand")
@@ -39,10 +39,15 @@ def text_quality(docs: DataFrame) -> DataFrame:
 def parse_rules(templates: DataFrame) -> DataFrame:
     """Templates with their rules decoded: start, end, row, and the number of each named group (0: absent).
 
-    A group's number is one more than the opening groups before it in the row pattern.
+    A group's number is one more than the opening groups before it in the row pattern. A pattern that does
+    not compile never stops a job: as a row it gives no items (``row_compiles`` says so), as start or end it
+    is found nowhere.
     """
     rules = F.from_json("extraction_rules", schemas.RULES)
-    row = F.coalesce(rules["lineItems"]["row"], F.lit(""))
+    written = lambda c: F.coalesce(rules["lineItems"][c], F.lit(""))
+    compiles = lambda c: F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), c).isNotNull()
+    row = F.when(compiles(written("row")), written("row")).otherwise("")
+    bound = lambda c: F.when(compiles(written(c)), written(c)).otherwise("(?!)")
 
     def number(name: str) -> Column:
         head = F.substring_index(row, f"(?<{name}>", 1)
@@ -51,53 +56,82 @@ def parse_rules(templates: DataFrame) -> DataFrame:
         return F.when(F.contains(row, F.lit(f"(?<{name}>")), before + 1).otherwise(0)
 
     named = {f"g_{g}": number(g) for g in GROUPS}
-    return templates.select("id", F.coalesce(rules["lineItems"]["start"], F.lit("")).alias("start"), F.coalesce(rules["lineItems"]["end"], F.lit("")).alias("end"), row.alias("row"), *(c.alias(n) for n, c in named.items()))
+    return templates.select("id", bound("start").alias("start"), bound("end").alias("end"), row.alias("row"), compiles(written("row")).alias("row_compiles"), *(c.alias(n) for n, c in named.items()))
 
 
-def extract_items(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Items (doc_id, item_pos, part_number, part_name, quantity, unit_price, brand) of documents (doc_id, text, template_id).
+ITEM = "item_pos int, part_number string, part_name string, quantity double, unit_price double, brand string"
+ITEMS = f"array<struct<{', '.join(':'.join(x.split()) for x in ITEM.split(', '))}>>"
+
+
+def item_arrays(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """The documents (doc_id, text, template_id and any others) with their ``items``, an array of ``ITEM`` in text order.
 
     The region after ``start`` up to ``end`` is read; the whole text where ``start`` is absent, or where a
-    region of under 100 characters gives nothing. ``rules`` come from ``parse_rules``, one row a template.
+    region of under 100 characters gives nothing. ``rules`` come from ``parse_rules``, one row a template;
+    documents without a rule have no items. Nothing is exploded, so what follows needs no join.
     """
-    joined = docs.join(rules, docs["template_id"] == rules["id"]).drop("id").where("row != ''")
-    i = lambda c: F.concat(F.lit("(?i)"), F.col(c))
+    known = rules.select(F.col("id").alias("_rule"), "start", "end", "row", *(f"g_{g}" for g in GROUPS))
+    joined = docs.join(known, docs["template_id"] == known["_rule"], "left")
+    text, row, i = F.col("text"), F.col("row"), lambda c: F.concat(F.lit("(?i)"), F.col(c))
     at = F.when(F.col("start") != "", F.regexp_instr("text", i("start"))).otherwise(1)
     width = F.when(F.col("start") != "", F.char_length(F.regexp_substr("text", i("start")))).otherwise(0)
-    after = F.when(at > 0, F.substring(F.col("text"), at + width, F.char_length("text")))
-    joined = joined.withColumn("_after", after)
-    end = F.when(F.col("end") != "", F.regexp_instr("_after", i("end"))).otherwise(1)
-    region = F.when(end > 0, F.substring(F.col("_after"), F.lit(1), end - 1)).otherwise(F.col("_after"))
-    joined = joined.withColumn("_region", region)
-
-    def hits(c: str) -> Column:
-        return F.regexp_extract_all(c, F.col("row"), F.lit(0))
-
-    reread = F.col("_region").isNull() | ((F.size(hits("_region")) == 0) & (F.char_length("_region") < 100))
-    joined = joined.withColumn("_source", F.when(reread, F.col("text")).otherwise(F.col("_region")))
-
-    def group(name: str) -> Column:
-        n = F.col(f"g_{name}")
-        return F.when(n > 0, F.regexp_extract_all("_source", F.col("row"), n)).otherwise(F.transform(hits("_source"), lambda x: F.lit(None).cast("string")))
-
-    zipped = F.arrays_zip(hits("_source").alias("hit"), *(group(g).alias(g) for g in GROUPS))
-    kept = F.filter(zipped, lambda x: ~x["hit"].rlike("(?i)payment"))
-    items = joined.select("doc_id", F.posexplode(kept).alias("item_pos", "x"))
-    name = F.when(F.col("x.description").isNotNull(), F.col("x.description")).otherwise(F.coalesce("x.partName", F.lit("")))
-    digits = F.regexp_extract("x.quantity", r"^\s*([+-]?\d+)", 1).try_cast("double")
-    price = F.regexp_extract("x.unitPrice", r"^\s*([+-]?(?:\d+\.?\d*|\.\d+))", 1).try_cast("double")
-    return items.select(
-        "doc_id", "item_pos", trim_all(F.coalesce("x.partNumber", F.lit(""))).alias("part_number"), trim_all(name).alias("part_name"),
-        F.coalesce(F.nullif(digits, F.lit(0.0)), F.lit(1.0)).alias("quantity"), F.when(F.coalesce(F.col("x.unitPrice"), F.lit("")) != "", price).alias("unit_price"), trim_all(F.col("x.brand")).alias("brand"),
-    )
+    after = let(at, lambda n: F.when(n > 0, F.substring(text, n + width, F.char_length(text))))
+    end = lambda rest: F.when(F.col("end") != "", F.regexp_instr(rest, i("end"))).otherwise(1)
+    region = let(after, lambda rest: let(end(rest), lambda n: F.when(n > 0, F.substring(rest, F.lit(1), n - 1)).otherwise(rest)))
+    hits = lambda c: F.regexp_extract_all(c, row, F.lit(0))
+    source = let(region, lambda r: F.when(r.isNull() | ((F.char_length(r) < 100) & (F.size(hits(r)) == 0)), text).otherwise(r))
 
+    def zipped(c: Column) -> Column:
+        n = {g: F.col(f"g_{g}") for g in GROUPS}
+        found = {g: F.when(n[g] > 0, F.regexp_extract_all(c, row, n[g])) for g in GROUPS}
+        return let(F.struct(hits(c).alias("hit"), *(v.alias(g) for g, v in found.items())), lambda f: F.transform(f["hit"], lambda x, k: F.struct(x.alias("hit"), *(F.get(f[g], k).alias(g) for g in GROUPS))))
 
-def allocate_costs(items: DataFrame, totals: DataFrame) -> DataFrame:
-    """Items with ship_cost and tax_price for each unit: totals (doc_id, total_shipping, total_tax) spread by line value.
+    kept = F.filter(let(source, zipped), lambda x: ~x["hit"].rlike("(?i)payment"))
+
+    def item(x: Column, pos: Column) -> Column:
+        name = F.when(x["description"].isNotNull(), x["description"]).otherwise(F.coalesce(x["partName"], F.lit("")))
+        digits = F.regexp_extract(x["quantity"], r"^\s*([+-]?\d+)", 1).try_cast("double")
+        price = F.regexp_extract(x["unitPrice"], r"^\s*([+-]?(?:\d+\.?\d*|\.\d+))", 1).try_cast("double")
+        return F.struct(
+            pos.alias("item_pos"), trim_all(F.coalesce(x["partNumber"], F.lit(""))).alias("part_number"), trim_all(name).alias("part_name"),
+            F.coalesce(F.nullif(digits, F.lit(0.0)), F.lit(1.0)).alias("quantity"), F.when(F.coalesce(x["unitPrice"], F.lit("")) != "", price).alias("unit_price"), trim_all(x["brand"]).alias("brand"),
+        )
+
+    found = F.when(row != "", F.transform(kept, item))
+    return joined.select(*docs.columns, F.coalesce(found, F.array()).cast(ITEMS).alias("items"))
+
+
+def exploded(docs: DataFrame, *keep: str) -> DataFrame:
+    """One row an item of the documents' ``items``."""
+    # The outer form: the plain one would have the optimiser test the items before they are made, and so make them twice.
+    return docs.select(*(keep or ("doc_id",)), F.inline_outer("items")).where("item_pos IS NOT NULL")
+
+
+def extract_items(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Items (doc_id and ``ITEM``) of documents (doc_id, text, template_id), one row each."""
+    return exploded(item_arrays(docs, rules))
+
+
+def allocated(items: Column, shipping: Column, tax: Column) -> Column:
+    """An array of items with ship_cost and tax_price for each unit: the totals spread by line value.
 
     Where a document's lines are worth nothing all items get the same. Cents that rounding leaves over
     are not given out again.
     """
+    line = lambda x: F.coalesce(x["unit_price"], F.lit(0.0)) * x["quantity"]
+    total = F.aggregate(items, F.lit(0.0), lambda s, x: s + line(x))
+
+    def spread(x: Column, sum_: Column) -> Column:
+        part = F.when(sum_ > 0, line(x) / sum_).otherwise(F.lit(1.0) / F.size(items))
+        units = F.when(x["quantity"] != 0, x["quantity"]).otherwise(1.0)
+        share = lambda c: round2(round2(F.coalesce(c, F.lit(0.0)) * part) / units)
+        return x.withField("unit_price", round2(x["unit_price"])).withField("ship_cost", share(shipping)).withField("tax_price", share(tax))
+
+    return let(total, lambda sum_: F.transform(items, lambda x: spread(x, sum_)))
+
+
+def allocate_costs(items: DataFrame, totals: DataFrame) -> DataFrame:
+    """As ``allocated`` for items that are rows: totals (doc_id, total_shipping, total_tax) spread over them."""
     line = F.coalesce("unit_price", F.lit(0.0)) * F.col("quantity")
     sums = items.groupBy("doc_id").agg(F.sum(line).alias("_sub"), F.count("*").alias("_n")).join(totals, "doc_id", "left")
     joined = items.join(sums, "doc_id")
@@ -107,15 +141,24 @@ def allocate_costs(items: DataFrame, totals: DataFrame) -> DataFrame:
     return joined.withColumns({"unit_price": round2(F.col("unit_price")), "ship_cost": share("total_shipping"), "tax_price": share("total_tax")}).drop("_sub", "_n", "total_shipping", "total_tax")
 
 
-def sanity_score(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, score, pass): 100 less the penalties of a document's items, at least 0; 50 passes; no items score 0."""
-    pn, price, qty = F.col("part_number"), F.col("unit_price"), F.col("quantity")
+def _penalty(pn: Column, price: Column, qty: Column) -> Column:
     none = F.lit(0)
-    penalty = (
+    return (
         F.when(pn.isNull() | (F.char_length(trim_all(pn)) < 2), 25).when(~pn.rlike("(?i)[A-Z0-9]"), 20).when(pn.rlike(r"^\d{1,2}$"), 25).otherwise(none)
         + F.when(price < 0, 20).otherwise(none) + F.when(price > 50000, 10).otherwise(none)
         + F.when(qty <= 0, 20).when(qty != F.floor(qty), 10).otherwise(none) + F.when((price > 0) & (price == qty), 15).otherwise(none)
     )
+
+
+def item_score(items: Column) -> Column:
+    """The score of an array of items: 100 less their penalties, at least 0; no items score 0."""
+    lost = F.aggregate(items, F.lit(0), lambda s, x: s + _penalty(x["part_number"], x["unit_price"], x["quantity"]))
+    return F.when(F.size(items) == 0, 0).otherwise(F.greatest(F.lit(0), 100 - lost))
+
+
+def sanity_score(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, score, pass): 100 less the penalties of a document's items, at least 0; 50 passes; no items score 0."""
+    penalty = _penalty(F.col("part_number"), F.col("unit_price"), F.col("quantity"))
     scores = items.groupBy("doc_id").agg(F.greatest(F.lit(0), 100 - F.sum(penalty)).cast("int").alias("_score"))
     score = F.coalesce("_score", F.lit(0))
     return docs.select("doc_id").join(scores, "doc_id", "left").select("doc_id", score.alias("score"), (score >= 50).alias("pass"))
@@ -160,7 +203,7 @@ def compare_extractions(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def check_rules(rules: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """(id, literal_fraction, missing_groups, holds_literal, nested_quantifier, acceptable) of parsed rules.
+    """(id, literal_fraction, missing_groups, holds_literal, nested_quantifier, row_compiles, acceptable) of parsed rules.
 
     ``items`` (template_id and item columns of the sample the rule was made from) adds the check that no
     value of the sample stands in a pattern. Nested quantifiers are refused since Java's matcher backtracks.
@@ -168,7 +211,7 @@ def check_rules(rules: DataFrame, items: DataFrame | None = None) -> DataFrame:
     row = F.col("row")
     lost = F.filter(F.array(*(F.when(~F.contains(row, F.lit(f"(?<{g}>")), F.lit(g)) for g in REQUIRED_GROUPS)), lambda x: x.isNotNull())
     nested = row.rlike(r"\((?:[^()\\]|\\.)*[+*](?:[^()\\]|\\.)*\)[+*{]")
-    out = rules.select("id", literal_fraction(row).alias("literal_fraction"), lost.alias("missing_groups"), nested.alias("nested_quantifier"), "row", "start")
+    out = rules.select("id", literal_fraction(row).alias("literal_fraction"), lost.alias("missing_groups"), nested.alias("nested_quantifier"), "row_compiles", "row", "start")
     if items is not None:
         text = F.explode(F.array("part_number", F.when(F.char_length("part_name") > 3, F.col("part_name")), F.col("unit_price").cast("string"))).alias("_value")
         values = items.select(F.col("template_id").alias("id"), text).where("length(_value) > 2")
@@ -177,8 +220,8 @@ def check_rules(rules: DataFrame, items: DataFrame | None = None) -> DataFrame:
     else:
         out = out.withColumn("holds_literal", F.lit(False))
     held = F.coalesce("holds_literal", F.lit(False))
-    good = (F.size("missing_groups") == 0) & (F.col("literal_fraction") <= 0.5) & ~held & ~F.col("nested_quantifier")
-    return out.select("id", "literal_fraction", "missing_groups", held.alias("holds_literal"), "nested_quantifier", good.alias("acceptable"))
+    good = (F.size("missing_groups") == 0) & (F.col("literal_fraction") <= 0.5) & ~held & ~F.col("nested_quantifier") & F.col("row_compiles")
+    return out.select("id", "literal_fraction", "missing_groups", held.alias("holds_literal"), "nested_quantifier", "row_compiles", good.alias("acceptable"))
 
 
 _AMOUNT = r"\d[\d,]*\.\d{2}"
@@ -188,8 +231,8 @@ def _number(c: Column) -> Column:
     return F.regexp_replace(c, "[$,]", "").try_cast("double")
 
 
-def recover_totals(docs: DataFrame) -> DataFrame:
-    """(doc_id, tax, shipping) for documents (doc_id, text, tax, shipping; 0 is unknown), read from the text where one is missing.
+def recover_totals(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns, tax and shipping for documents (doc_id, text, tax, shipping; 0 is unknown), read from the text where one is missing.
 
     First by their labels; then from subtotal, total and stand-alone amounts: the first pair of amounts, in
     the order they first appear, that fills the gap gives both, else the gap gives the one that is missing.
@@ -199,7 +242,7 @@ def recover_totals(docs: DataFrame) -> DataFrame:
     tax_at = labelled(rf"(?i){b0}tax(?:\s+amount)?\s*[:=]?\s*\$?([\d,]+\.?\d*)")
     ship_at = labelled(rf"(?i){b0}ship(?:ping)?(?:\s*(?:&|and)\s*handling)?\s*(?:charge)?\s*[:=]?\s*\$?([\d,]+\.?\d*)")
     known = (F.col("tax") > 0) & (F.col("shipping") > 0)
-    rows = docs.select("doc_id", "text", known.alias("_known"), F.when(~known & (F.col("tax") == 0) & (tax_at > 0), tax_at).otherwise(F.col("tax")).alias("tax"), F.when(~known & (F.col("shipping") == 0) & (ship_at > 0), ship_at).otherwise(F.col("shipping")).alias("shipping"))
+    rows = docs.select(*(c for c in keep if c != "text"), "text", known.alias("_known"), F.when(~known & (F.col("tax") == 0) & (tax_at > 0), tax_at).otherwise(F.col("tax")).alias("tax"), F.when(~known & (F.col("shipping") == 0) & (ship_at > 0), ship_at).otherwise(F.col("shipping")).alias("shipping"))
     lines = F.transform(F.split("text", "\n"), trim_all)
     rows = rows.withColumn("_lines", F.when((F.col("tax") > 0) & (F.col("shipping") > 0), F.array().cast("array<string>")).otherwise(lines))
     amounts = lambda x: F.transform(F.regexp_extract_all(x, F.lit(_AMOUNT), F.lit(0)), _number)
@@ -223,7 +266,7 @@ def recover_totals(docs: DataFrame) -> DataFrame:
     g = F.col("_gap")
     tax = F.when(F.col("_pair").isNotNull(), F.col("_pair.lo")).when(g.isNotNull() & (F.col("tax") == 0) & (F.col("shipping") > 0), round2(g - F.col("shipping"))).otherwise(F.col("tax"))
     ship = F.when(F.col("_pair").isNotNull(), F.col("_pair.hi")).when(g.isNotNull() & (F.col("shipping") == 0) & (F.col("tax") > 0), round2(g - F.col("tax"))).otherwise(F.col("shipping"))
-    return rows.select("doc_id", tax.alias("tax"), ship.alias("shipping"))
+    return rows.select(*keep, tax.alias("tax"), ship.alias("shipping"))
 
 
 def verify_positional(a: DataFrame, b: DataFrame, fuzzy) -> DataFrame:

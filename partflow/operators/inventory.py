@@ -5,9 +5,13 @@ Requests carry ``seq``, their order of arrival; every "last wins" and "first win
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from partflow.functions.text import clean_raw_number, normalize_part_number
+from partflow.operators.numbering import numbered
 
 
 def _last(value: str, present: Column | None = None) -> Column:
@@ -28,7 +32,7 @@ def add_parts(parts: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     joined = parts.join(rolled, parts["part_number"] == rolled["number"], "full_outer")
     fresh = joined.where("id IS NULL").select("number", "first_seq")
-    ids = _numbered(fresh, "first_seq", "number").withColumn("new_id", F.col("position") + F.coalesce(parts.agg(F.max("id")).scalar(), F.lit(0))).select(F.col("number").alias("n"), "new_id")
+    ids = numbered(fresh, "first_seq", "number").withColumn("new_id", F.col("position") + F.coalesce(parts.agg(F.max("id")).scalar(), F.lit(0))).select(F.col("number").alias("n"), "new_id")
     state = joined.join(ids, joined["number"] == ids["n"], "left").select(
         F.coalesce("id", "new_id").alias("id"), F.coalesce("part_number", "number").alias("part_number"), F.coalesce("part_number_raw", "raw").alias("part_number_raw"),
         F.coalesce("new_brand", "brand").alias("brand"), F.coalesce("new_description", "description").alias("description"),
@@ -39,40 +43,39 @@ def add_parts(parts: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFrame]:
     return state, events
 
 
-def _numbered(df: DataFrame, order: str, tie: str, width: int = 1 << 16) -> DataFrame:
-    """Positions 1, 2, ... by ``order``, in two steps: inside blocks of the ordering key, and over the blocks' counts."""
-    blocks = df.withColumn("_block", F.floor(F.col(order) / width))
-    counts = blocks.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_block", before.alias("_before"))  # one row for each 65,536 sequence numbers
-    turn = F.row_number().over(Window.partitionBy("_block").orderBy(order, tie))
-    return blocks.withColumn("_turn", turn).join(offsets, "_block").withColumn("position", F.col("_turn") + F.col("_before")).drop("_block", "_turn", "_before")
-
-
 def deplete_parts(parts: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Withdrawals (seq, part_id, quantity, reason, note), in order for each part.
 
     A request for more than is available is rejected and takes nothing, so a later smaller one may still
     pass. Returns (parts, events, rejects).
     """
-    stock = parts.select("id", "quantity", "listed_quantity")
-    lists = requests.groupBy("part_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("quantity").alias("take"), "reason", "note"))).alias("asked"))
-    joined = lists.join(stock, lists["part_id"] == stock["id"], "left")
-    start = F.struct(F.col("quantity").cast("int").alias("left"), F.array().cast("array<struct<ok:boolean,free:int>>").alias("verdicts"))
-
-    def step(s: Column, r: Column) -> Column:
-        free = s["left"] - F.col("listed_quantity")
-        ok = F.coalesce(r["take"] <= free, F.lit(False))
-        return F.struct(F.when(ok, s["left"] - r["take"]).otherwise(s["left"]).cast("int").alias("left"), F.concat(s["verdicts"], F.array(F.struct(ok.alias("ok"), free.cast("int").alias("free")))).alias("verdicts"))
-
-    folded = joined.withColumn("out", F.aggregate("asked", start, step))
-    each = folded.select("part_id", F.col("id").isNotNull().alias("known"), "listed_quantity", F.explode(F.arrays_zip("asked", F.col("out.verdicts").alias("verdicts"))).alias("x"))
-    rows = each.select("part_id", "known", "listed_quantity", "x.asked.*", F.col("x.verdicts.ok").alias("ok"), F.col("x.verdicts.free").alias("free"))
+    stock = parts.select(F.col("id").alias("_id"), F.col("quantity").cast("int").alias("_stock"), F.col("listed_quantity").cast("int").alias("_listed"))
+    asked = requests.select("seq", "part_id", F.col("quantity").cast("int").alias("take"), "reason", "note").join(stock, F.col("part_id") == F.col("_id"), "left")
+    # One part's requests stand together in order, so a task carries one running stock, whatever their number.
+    dealt = asked.repartition("part_id").sortWithinPartitions("part_id", "seq", "take", "reason", "note")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, left = object(), None
+        for batch in batches:
+            ok, free, after = [], [], []
+            for key, take, stock, listed in zip(*(batch.column(c).to_pylist() for c in ("part_id", "take", "_stock", "_listed"))):
+                if key != part:
+                    part, left = key, stock
+                room = None if left is None or listed is None else left - listed
+                good = room is not None and take is not None and take <= room
+                left = left - take if good else left
+                ok.append(good)
+                free.append(room)
+                after.append(left)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_()), pa.array(free, pa.int32()), pa.array(after, pa.int32())], [*batch.schema.names, "ok", "free", "after"])
+
+    fields = T.StructType([*dealt.schema.fields, T.StructField("ok", T.BooleanType()), T.StructField("free", T.IntegerType()), T.StructField("after", T.IntegerType())])
+    rows = dealt.mapInArrow(fold, fields)
     events = rows.where("ok").select("seq", "part_id", F.col("reason").alias("event_type"), (-F.col("take")).alias("quantity_change"), "note")
-    text = F.when(~F.col("known"), "Part not found").otherwise(F.concat(F.lit("Cannot deplete "), "take", F.lit(" — only "), "free", F.lit(" available ("), "listed_quantity", F.lit(" listed on eBay)")))
+    text = F.when(F.col("_id").isNull(), "Part not found").otherwise(F.concat(F.lit("Cannot deplete "), "take", F.lit(" — only "), "free", F.lit(" available ("), "_listed", F.lit(" listed on eBay)")))
     rejects = rows.where("NOT ok").select("seq", "part_id", F.col("take").alias("quantity"), text.alias("message"))
-    after = folded.where("id IS NOT NULL").select(F.col("id").alias("_id"), F.col("out.left").alias("_left"))
-    state = parts.join(after, parts["id"] == after["_id"], "left").withColumn("quantity", F.coalesce("_left", "quantity")).drop("_id", "_left")
+    left = rows.where("ok").groupBy(F.col("part_id").alias("_id")).agg(F.min("after").alias("_left"))
+    state = parts.join(left, parts["id"] == left["_id"], "left").withColumn("quantity", F.coalesce("_left", "quantity")).drop("_id", "_left")
     return state, events, rejects
 
 
@@ -148,7 +151,7 @@ def patch_appliances(appliances: DataFrame, patches: DataFrame, columns: tuple[s
 def create_appliances(appliances: DataFrame, rows: DataFrame) -> DataFrame:
     """New appliances (seq and columns) with ids after the largest, status active."""
     last = F.coalesce(appliances.agg(F.max("id")).scalar(), F.lit(0))
-    made = _numbered(rows, "seq", "seq").withColumns({"id": F.col("position") + last, "status": F.lit("active")})
+    made = numbered(rows, "seq", "seq").withColumns({"id": F.col("position") + last, "status": F.lit("active")})
     return appliances.unionByName(made.select(*(c for c in appliances.columns if c in made.columns)), allowMissingColumns=True)
 
 

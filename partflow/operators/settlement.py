@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 OVERLAP_MINUTES = 5
 
 
+def _window_start(watermark: DataFrame) -> Column:
+    """Five minutes before the watermark (one row, last_polled_at); without one the query fails."""
+    polled = watermark.select("last_polled_at").scalar()
+    missing = F.raise_error(F.lit("Poll watermark is not initialised")).cast(watermark.schema["last_polled_at"].dataType)
+    return F.coalesce(polled, missing) - F.expr(f"INTERVAL {OVERLAP_MINUTES} MINUTES")
+
+
 def poll_window(lines: DataFrame, watermark: DataFrame, now: Column) -> DataFrame:
     """Lines created from five minutes before the watermark (one row, last_polled_at) until ``now``."""
-    start = watermark.select("last_polled_at").scalar() - F.expr(f"INTERVAL {OVERLAP_MINUTES} MINUTES")
-    return lines.where((F.col("created") >= start) & (F.col("created") <= now))
+    return lines.where((F.col("created") >= _window_start(watermark)) & (F.col("created") <= now))
 
 
 def late_lines(lines: DataFrame, watermark: DataFrame) -> DataFrame:
     """Lines older than the window: they are never fetched."""
-    return lines.where(F.col("created") < watermark.select("last_polled_at").scalar() - F.expr(f"INTERVAL {OVERLAP_MINUTES} MINUTES"))
+    return lines.where(F.col("created") < _window_start(watermark))
 
 
 def unprocessed(lines: DataFrame, processed: DataFrame) -> DataFrame:
@@ -32,8 +42,8 @@ def settle(parts: DataFrame, lines: DataFrame, processed: DataFrame) -> DataFram
     Lines come in the order of ``ORDER``. A line seen before (or earlier in this batch) is skipped; one
     without a listing, or that would take more than is listed or in stock, is quarantined and takes
     nothing. When the listed stock reaches 0 the listing ends, so later lines of it find none. Lines of a
-    listing that no part has are settled one by one; those of a real listing are folded in one row, which
-    is bounded by what one listing sells in a batch.
+    listing that no part has are settled one by one; those of a real listing stand together in order, and a
+    task carries one running stock through them, whatever their number.
     """
     turn = F.row_number().over(Window.partitionBy("order_id", "line_id").orderBy(*ORDER))
     old = processed.select("order_id", "line_id").distinct().withColumn("_old", F.lit(True))
@@ -47,20 +57,9 @@ def settle(parts: DataFrame, lines: DataFrame, processed: DataFrame) -> DataFram
     lost_text = F.concat(F.lit("No matching listing for eBay item "), F.coalesce("listing_id", F.lit("null")))
     lost = found.where("_part IS NULL").select(*columns, F.lit("quarantined").alias("status"), *nothing, lost_text.alias("quarantine_reason"))
 
-    lists = found.where("_part IS NOT NULL").groupBy("listing_id", "_part", "_stock", "_listed").agg(F.array_sort(F.collect_list(F.struct("created", "order_id", "line_id", "quantity"))).alias("asked"))
-    start = F.struct(F.col("_stock").cast("int").alias("stock"), F.col("_listed").cast("int").alias("listed"), F.lit(True).alias("open"), F.array().cast("array<struct<status:string,reason:string>>").alias("verdicts"))
-
-    def step(s: Column, r: Column) -> Column:
-        n = r["quantity"]
-        ok = s["open"] & (s["stock"] >= n) & (s["listed"] >= n)
-        broken = F.concat(F.lit("Invariant violation: quantity="), s["stock"].cast("string"), F.lit(", listedQuantity="), s["listed"].cast("string"), F.lit(", sold="), n.cast("string"))
-        reason = F.when(ok, None).when(s["open"], broken).otherwise(F.concat(F.lit("No matching listing for eBay item "), F.col("listing_id")))
-        left = F.when(ok, s["listed"] - n).otherwise(s["listed"])
-        verdict = F.struct(F.when(ok, "processed").otherwise("quarantined").alias("status"), reason.alias("reason"))
-        return F.struct(F.when(ok, s["stock"] - n).otherwise(s["stock"]).cast("int").alias("stock"), left.cast("int").alias("listed"), (s["open"] & ~(ok & (left == 0))).alias("open"), F.concat(s["verdicts"], F.array(verdict)).alias("verdicts"))
-
-    folded = lists.withColumn("out", F.aggregate("asked", start, step))
-    rows = folded.select("listing_id", "_part", F.explode(F.arrays_zip("asked", F.col("out.verdicts").alias("verdicts"))).alias("x")).select("listing_id", "_part", "x.asked.*", "x.verdicts.*")
+    live = found.where("_part IS NOT NULL").select(*columns, "_part", F.col("_stock").cast("int").alias("_stock"), F.col("_listed").cast("int").alias("_listed"))
+    dealt = live.repartition("listing_id").sortWithinPartitions("listing_id", *ORDER)
+    rows = dealt.mapInArrow(_fold, T.StructType([*dealt.schema.fields, T.StructField("status", T.StringType()), T.StructField("reason", T.StringType())]))
     gone = F.col("reason").startswith("No matching")
     done = rows.select(
         *columns, "status", F.when(F.coalesce(gone, F.lit(False)), None).otherwise(F.col("_part")).alias("part_id"),
@@ -69,6 +68,25 @@ def settle(parts: DataFrame, lines: DataFrame, processed: DataFrame) -> DataFram
     return skipped.unionByName(lost).unionByName(done)
 
 
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Status and reason of lines that come sorted by listing and order."""
+    listing, stock, listed, is_open = object(), 0, 0, True
+    for batch in batches:
+        statuses, reasons = [], []
+        for key, n, first_stock, first_listed in zip(*(batch.column(c).to_pylist() for c in ("listing_id", "quantity", "_stock", "_listed"))):
+            if key != listing:
+                listing, stock, listed, is_open = key, first_stock, first_listed, True
+            if is_open and n is not None and stock >= n and listed >= n:
+                stock, listed = stock - n, listed - n
+                is_open = listed != 0
+                statuses.append("processed")
+                reasons.append(None)
+            else:
+                statuses.append("quarantined")
+                reasons.append(f"Invariant violation: quantity={stock}, listedQuantity={listed}, sold={n}" if is_open else f"No matching listing for eBay item {key}")
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(statuses, pa.string()), pa.array(reasons, pa.string())], [*batch.schema.names, "status", "reason"])
+
+
 def settled_parts(parts: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Parts after the verdicts: stock and listed stock reduced, ended listings cleared."""
     sold = verdicts.where("status = 'processed'").groupBy("part_id").agg(F.sum("quantity_depleted").cast("int").alias("_sold"))
@@ -92,3 +110,25 @@ def processed_after(processed: DataFrame, verdicts: DataFrame) -> DataFrame:
 def settlement_summary(verdicts: DataFrame) -> DataFrame:
     """One row: how many lines were processed, quarantined and skipped."""
     return verdicts.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("processed", "quarantined", "skipped")))
+
+
+class Poll(NamedTuple):
+    """What one poll leaves: verdicts, the tables after them, a summary row and the new watermark."""
+
+    verdicts: DataFrame
+    parts: DataFrame
+    events: DataFrame
+    processed: DataFrame
+    summary: DataFrame
+    watermark: DataFrame
+
+
+def poll_orders(parts: DataFrame, lines: DataFrame, processed: DataFrame, watermark: DataFrame, now: Column) -> Poll:
+    """Settle the lines of the poll window. Nothing is written: ``streaming.settlement.run_poll`` stores the outcome."""
+    return after_poll(parts, processed, settle(parts, poll_window(lines, watermark, now), processed), now)
+
+
+def after_poll(parts: DataFrame, processed: DataFrame, verdicts: DataFrame, now: Column) -> Poll:
+    """The outcome of a poll from its verdicts."""
+    mark = parts.sparkSession.range(1).select(now.alias("last_polled_at"))
+    return Poll(verdicts, settled_parts(parts, verdicts), settlement_events(verdicts), processed_after(processed, verdicts), settlement_summary(verdicts), mark)

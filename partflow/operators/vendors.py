@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partflow.functions.text import normalize_domain
+from partflow.operators.numbering import numbered
 
 COOLDOWN_DAYS = 7
 FAIL_THRESHOLD = 3
@@ -31,18 +32,21 @@ def match_domain(hosts: DataFrame, domains: DataFrame) -> DataFrame:
 def detect_vendor(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """(doc_id, template_id, confidence): by a domain in the text, else by a whole-word keyword of four or more characters.
 
-    Of several templates the smallest id wins. Domains join by equality. Keywords are matched against
-    the text of documents without a domain only; the template table is small and bounded by the number of
-    vendors, and a document meets one row a template, not one a keyword.
+    Of several templates the smallest id wins. Both joins are equi-joins: domains by themselves, keywords by
+    their first word (a document's words are taken once); what joins is then matched as a whole.
     """
     tokens = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(DOMAIN_TOKEN), F.lit(1)), F.lower))
     seen = docs.select("doc_id", F.explode(tokens).alias("domain"))
     known = templates.select(F.col("id").alias("template_id"), F.explode(F.transform("vendor_domains", F.lower)).alias("domain"))
     by_domain = seen.join(known, "domain").groupBy("doc_id").agg(F.min("template_id").alias("template_id")).withColumn("confidence", F.lit("domain"))
     rest = docs.join(by_domain.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text")
-    escaped = F.transform(F.filter("vendor_keywords", lambda k: F.length(k) >= 4), lambda k: F.regexp_replace(F.lower(k), r"([.*+?^${}()|\[\]\\])", r"\\$1"))
-    words = templates.select(F.col("id").alias("template_id"), F.concat(F.lit(f"(?i){BOUNDARY}(?:"), F.array_join(escaped, "|"), F.lit(f"){BOUNDARY}")).alias("pattern"), F.size(escaped).alias("n")).where("n > 0")
-    by_word = rest.join(words, F.expr("text RLIKE pattern")).groupBy("doc_id").agg(F.min("template_id").alias("template_id")).withColumn("confidence", F.lit("keyword"))
+    first = lambda c: F.regexp_extract(c, "[a-z0-9_]+", 0)  # noqa: E731  empty for a keyword without a word, which every document is held against
+    keys = templates.select(F.col("id").alias("template_id"), F.explode(F.transform(F.filter("vendor_keywords", lambda k: F.length(k) >= 4), F.lower)).alias("keyword"))
+    pattern = F.concat(F.lit(f"(?i){BOUNDARY}"), F.regexp_replace("keyword", r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(BOUNDARY))
+    keys = keys.select("template_id", first(F.col("keyword")).alias("word"), pattern.alias("pattern"))
+    words = F.array_union(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)), F.array(F.lit("")))
+    met = rest.select("doc_id", F.explode(words).alias("word")).join(keys, "word").select("doc_id", "template_id", "pattern").distinct()
+    by_word = met.join(rest, "doc_id").where(F.expr("text RLIKE pattern")).groupBy("doc_id").agg(F.min("template_id").alias("template_id")).withColumn("confidence", F.lit("keyword"))
     return by_domain.unionByName(by_word)
 
 
@@ -98,6 +102,17 @@ def template_report(templates: DataFrame) -> DataFrame:
     return templates.select("id", "vendor_key", "vendor_name", F.size("vendor_domains").alias("domains"), F.size("vendor_keywords").alias("keywords"), "success_count", "fail_count").orderBy("vendor_name", "id")
 
 
+def _with_ids(joined: DataFrame, target: DataFrame, order: str, tie: str, keys: list[str]) -> DataFrame:
+    """``joined`` with ``_id`` for rows without an id: numbers after the largest of ``target``, by ``order``."""
+    fresh = numbered(joined.where("id IS NULL").select(*keys, F.col(order).alias("_order")), "_order", tie)
+    last = F.coalesce(target.agg(F.max("id")).scalar(), F.lit(0))
+    ids = fresh.select(*(F.col(k).alias(f"{k}_") for k in keys), (F.col("position") + last).cast("long").alias("_id"))
+    same = F.col("id").isNull()
+    for k in keys:
+        same &= F.col(k) == F.col(f"{k}_")
+    return joined.join(ids, same, "left")
+
+
 def _merged(target: DataFrame, rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
     """The target with ``values`` of the last row a key (by seq), ids of new keys in order after the largest."""
     last = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("seq")))).where("_turn = 1")
@@ -106,11 +121,15 @@ def _merged(target: DataFrame, rows: DataFrame, keys: list[str], values: dict[st
     for k in keys:
         same &= F.col(k) == F.col(f"_{k}")
     joined = target.join(new, same, "full_outer")
+    if "id" in target.columns:
+        joined = _with_ids(joined, target, "seq", f"_{keys[0]}", [f"_{k}" for k in keys])
     hit = F.coalesce("_new", F.lit(False))
     columns = []
     for c in target.columns:
         if c in keys:
             columns.append(F.coalesce(c, f"_{c}").alias(c))
+        elif c == "id":
+            columns.append(F.coalesce("id", "_id").alias("id"))
         elif c in values:
             columns.append(F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c))
         else:
@@ -119,23 +138,27 @@ def _merged(target: DataFrame, rows: DataFrame, keys: list[str], values: dict[st
 
 
 def upsert_templates(templates: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
-    """Accepted rules (seq, vendor_key, vendor_name, vendor_domains, vendor_keywords, extraction_rules) by key: counters start at 0.
-
-    New rows have a null id until the table is written.
-    """
+    """Accepted rules (seq, vendor_key, vendor_name, vendor_domains, vendor_keywords, extraction_rules) by key: counters start at 0."""
     values = {c: F.col(c) for c in ("vendor_name", "vendor_domains", "vendor_keywords", "extraction_rules")}
     return _merged(templates, rows, ["vendor_key"], values | {"success_count": F.lit(0), "fail_count": F.lit(0), "last_generation_attempt": now})
 
 
 def record_failed_attempts(templates: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
-    """Failed attempts (seq, vendor_key, vendor_name): a stub with one failure each, or more failures and a new attempt time."""
-    tried = rows.groupBy(F.col("vendor_key").alias("_key")).agg(F.count("*").cast("int").alias("_n"), F.min_by("vendor_name", "seq").alias("_name"))
-    joined = templates.join(tried, templates["vendor_key"] == tried["_key"], "full_outer")
-    hit = F.col("_key").isNotNull()
-    stub = F.to_json(F.struct(F.struct(F.lit("").alias("start"), F.lit("").alias("end"), F.lit("").alias("row")).alias("lineItems")))
+    """Failed attempts (seq, vendor_key, vendor_name, vendor_domains, vendor_keywords): a stub with one failure each, or more failures and a new attempt time.
+
+    A stub has the name and signals of the key's first attempt, an empty rule, and an id after the largest.
+    """
+    first = lambda c: F.min_by(c, "seq").alias(f"_{c}")
+    tried = rows.groupBy(F.col("vendor_key").alias("_key")).agg(F.count("*").cast("int").alias("_n"), F.min("seq").alias("_seq"), first("vendor_name"), first("vendor_domains"), first("vendor_keywords"))
+    joined = _with_ids(templates.join(tried, templates["vendor_key"] == tried["_key"], "full_outer"), templates, "_seq", "_key", ["_key"])
+    hit, none = F.col("_key").isNotNull(), F.array().cast("array<string>")
+    signals = F.struct(F.col("_vendor_domains").alias("domains"), F.col("_vendor_keywords").alias("keywords"))
+    empty = F.struct(F.lit("").alias("start"), F.lit("").alias("end"), F.lit("").alias("row"))
+    stub = F.to_json(F.struct(F.col("_vendor_name").alias("vendorName"), signals.alias("vendorSignals"), none.alias("fields"), empty.alias("lineItems"), none.alias("totals")))
+    old = F.col("id").isNotNull()
     changed = {
-        "vendor_key": F.coalesce("vendor_key", "_key"), "vendor_name": F.coalesce("vendor_name", "_name"), "extraction_rules": F.coalesce("extraction_rules", stub),
-        "success_count": F.coalesce("success_count", F.lit(0)), "fail_count": F.coalesce("fail_count", F.lit(0)) + F.coalesce("_n", F.lit(0)),
+        "id": F.coalesce("id", "_id"), "vendor_key": F.coalesce("vendor_key", "_key"), **{c: F.when(old, F.col(c)).otherwise(F.col(f"_{c}")) for c in ("vendor_name", "vendor_domains", "vendor_keywords")},
+        "extraction_rules": F.when(old, F.col("extraction_rules")).otherwise(stub), "success_count": F.coalesce("success_count", F.lit(0)), "fail_count": F.coalesce("fail_count", F.lit(0)) + F.coalesce("_n", F.lit(0)),
         "last_generation_attempt": F.when(hit, now).otherwise(F.col("last_generation_attempt")),
     }
     return joined.select(*(changed.get(c, F.col(c)).alias(c) for c in templates.columns))

@@ -258,3 +258,29 @@ def src2_order_lines(spark: SparkSession, path: str) -> DataFrame:
     orders = domain.table(spark, path, "orders").join(lists, F.col("o_orderkey") == F.col("l_orderkey"))
     nested = orders.select(F.col("o_orderkey").cast("string").alias("orderId"), F.col("o_orderdate").alias("creationDate"), "lineItems")
     return tables.order_lines(nested).select("order_id", "line_id", "listing_id", "quantity")
+
+
+_POLLED = _SETTLED.replace("marked AS (", f"{_MARK}, marked AS (", 1).replace("AS old FROM order_lines)", "AS old FROM order_lines, mark WHERE created >= polled - INTERVAL 5 MINUTES AND created <= polled + INTERVAL 300 DAYS)")
+
+
+def _poll(spark: SparkSession, path: str) -> settlement.Poll:
+    mark = _watermark(spark, path)
+    now = mark.select(F.col("last_polled_at") + F.expr("INTERVAL 300 DAYS")).scalar()
+    return settlement.poll_orders(domain.parts(spark, path), _sold(spark, path), _seen(spark, path), mark, now)
+
+
+@query(f"{_POLLED} SELECT order_id, line_id, listing_id, quantity, status, part_id, quantity_depleted, quarantine_reason FROM settled")
+def pipe3_poll(spark: SparkSession, path: str) -> DataFrame:
+    return _poll(spark, path).verdicts.drop("created")
+
+
+@query(f"{_POLLED} SELECT count(*) FILTER (status = 'processed') AS processed, count(*) FILTER (status = 'quarantined') AS quarantined, count(*) FILTER (status = 'skipped') AS skipped, (SELECT polled + INTERVAL 300 DAYS FROM mark) AS last_polled_at FROM settled")
+def pipe3_poll_summary(spark: SparkSession, path: str) -> DataFrame:
+    poll = _poll(spark, path)
+    return poll.summary.withColumn("last_polled_at", poll.watermark.scalar())
+
+
+@query(f"""{_POLLED}, sold AS (SELECT part_id, sum(quantity_depleted) AS n FROM settled WHERE status = 'processed' GROUP BY part_id)
+SELECT id, CAST(quantity - coalesce(n, 0) AS INTEGER) AS quantity, CAST(listed_quantity - coalesce(n, 0) AS INTEGER) AS listed_quantity, CASE WHEN n IS NULL OR listed_quantity <> n THEN ebay_listing_id END AS ebay_listing_id FROM parts LEFT JOIN sold ON part_id = id""")
+def pipe3_parts_after(spark: SparkSession, path: str) -> DataFrame:
+    return _poll(spark, path).parts.select("id", "quantity", "listed_quantity", "ebay_listing_id")

@@ -4,40 +4,73 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from partflow.functions.text import BAD_BRANDS, BAD_COURIERS, label_fields, repair_tracking, valid_tracking, valid_word
+from partflow.functions.text import BAD_BRANDS, BAD_COURIERS, label_fields, let, repair_tracking, valid_tracking, valid_word
 from partflow.operators import extraction, vendors
 from partflow.sources import tables
 
 
-def route_documents(docs: DataFrame, templates: DataFrame, now: Column, mode: str = "template") -> tuple[DataFrame, DataFrame]:
-    """(routes, items) of documents (doc_id, text, template_id, confidence; null: no vendor matched).
+def _routed(docs: DataFrame, templates: DataFrame, now: Column, mode: str) -> DataFrame:
+    """The documents with items of their template, route, outcome and wants_rule, all on the document's row.
 
-    A route is direct, fallback-new, direct-cooldown, fallback-retry, fallback-unreliable, template,
-    direct-insane or fallback-empty. Items are those of the template route, with shipping and tax
-    recovered from the text and spread over them; ``extract_documents`` gives those of all routes. ``outcome`` is what the template's counters get (true,
-    false or null), ``wants_rule`` whether a new rule may be made.
+    One join with the (bounded) rule table; rules are applied once.
     """
     if mode == "llm":
-        return docs.select("doc_id", "template_id", F.lit("direct").alias("route"), F.lit(None).cast("boolean").alias("outcome"), F.lit(False).alias("wants_rule")), extraction.extract_items(docs.limit(0), extraction.parse_rules(templates))
-    state = vendors.template_state(templates, now).select(F.col("id").alias("template_id"), "usable", "unreliable", "in_cooldown", "may_regenerate")
-    known = docs.join(state, "template_id", "left")
-    ready = known.where("usable AND NOT unreliable").select("doc_id", "text", "template_id")
-    items = extraction.extract_items(ready, extraction.parse_rules(templates))
-    scores = extraction.sanity_score(ready, items).join(items.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", "pass", "n")
-    marked = known.join(scores, "doc_id", "left")
+        blank = {"route": F.lit("direct"), "outcome": F.lit(None).cast("boolean"), "wants_rule": F.lit(False), "items": F.array().cast(extraction.ITEMS)}
+        return docs.withColumns(blank)
+    state = vendors.template_state(templates, now).select(F.col("id").alias("_state"), "usable", "unreliable", "in_cooldown", "may_regenerate")
+    rules = extraction.parse_rules(templates).join(state.where("usable AND NOT unreliable"), F.col("id") == F.col("_state"), "left_semi")
+    scored = let(F.col("items"), lambda x: F.struct(x.alias("items"), extraction.item_score(x).alias("score")))
+    known = extraction.item_arrays(docs, rules).withColumn("_scored", scored).join(state, F.col("template_id") == F.col("_state"), "left")
     route = (
         F.when(F.col("usable").isNull(), "fallback-new").when(~F.col("usable") & F.col("in_cooldown"), "direct-cooldown").when(~F.col("usable"), "fallback-retry")
-        .when(F.col("unreliable"), "fallback-unreliable").when(F.col("n").isNull(), "fallback-empty").when(F.col("pass"), "template").otherwise("direct-insane")
+        .when(F.col("unreliable"), "fallback-unreliable").when(F.size("_scored.items") == 0, "fallback-empty").when(F.col("_scored.score") >= 50, "template").otherwise("direct-insane")
     )
-    marked = marked.withColumn("route", route)
+    marked = known.withColumn("route", route)
     domain_miss = (F.col("route") == "fallback-empty") & (F.col("confidence") == "domain")
     outcome = F.when(F.col("route") == "template", True).when((F.col("route") == "direct-insane") | domain_miss, False)
     wants = F.col("route").isin("fallback-new", "fallback-retry", "fallback-unreliable") | (domain_miss & F.col("may_regenerate"))
-    routes = marked.select("doc_id", "template_id", "route", outcome.alias("outcome"), F.coalesce(wants, F.lit(False)).alias("wants_rule"))
-    good = marked.where("route = 'template'").select("doc_id", "text")
-    totals = extraction.recover_totals(good.select("doc_id", "text", F.lit(0.0).alias("tax"), F.lit(0.0).alias("shipping")))
-    spread = extraction.allocate_costs(items.join(good.select("doc_id"), "doc_id", "left_semi"), totals.select("doc_id", F.col("shipping").alias("total_shipping"), F.col("tax").alias("total_tax")))
-    return routes, spread
+    return marked.select(*docs.columns, "route", outcome.alias("outcome"), F.coalesce(wants, F.lit(False)).alias("wants_rule"), F.col("_scored.items").alias("items"))
+
+
+def _with_costs(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The ``keep`` columns and items with shipping and tax (0 or null: unknown) spread over them; totals are recovered from the text."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    found = extraction.recover_totals(docs.select(*keep, *(c for c in ("text",) if c not in keep), "items", zero("tax"), zero("shipping")), (*keep, "items"))
+    return found.withColumn("items", extraction.allocated(F.col("items"), F.col("shipping"), F.col("tax")))
+
+
+def route_documents(docs: DataFrame, templates: DataFrame, now: Column, mode: str = "template") -> tuple[DataFrame, DataFrame]:
+    """(routes, items) of documents (doc_id, text, template_id, confidence; null: no vendor matched).
+
+    A route is direct, fallback-new, direct-cooldown, fallback-retry, fallback-unreliable, template,
+    direct-insane or fallback-empty. Items are those of the template route, with shipping and tax
+    recovered from the text and spread over them; ``extract_documents`` gives those of all routes. ``outcome`` is what the template's counters get (true,
+    false or null), ``wants_rule`` whether a new rule may be made.
+    """
+    routed = _routed(docs, templates, now, mode)
+    good = routed.where("route = 'template'").withColumns({"tax": F.lit(0.0), "shipping": F.lit(0.0)})
+    return routed.select("doc_id", "template_id", "route", "outcome", "wants_rule"), extraction.exploded(_with_costs(good, ("doc_id",)))
+
+
+def _extracted(docs: DataFrame, templates: DataFrame, now: Column, responses: DataFrame, mode: str, keep: tuple[str, ...]) -> DataFrame:
+    """One row a document: ``keep``, route, outcome, wants_rule, metadata and items with their costs."""
+    r = lambda c: F.col(f"response.{c}")
+    supplied = F.transform(
+        F.coalesce(r("items"), F.array()),
+        lambda i, pos: F.struct(pos.alias("item_pos"), F.coalesce(i["partNumber"], F.lit("")).alias("part_number"), F.coalesce(i["partName"], F.lit("")).alias("part_name"), F.coalesce(i["quantity"], F.lit(1.0)).alias("quantity"), i["unitPrice"].alias("unit_price"), i["brand"].alias("brand")),
+    ).cast(extraction.ITEMS)
+    known = _routed(docs, templates, now, mode).join(responses.select("doc_id", "response"), "doc_id", "left")
+    known = known.withColumns({"items": F.when(F.col("route") == "template", F.col("items")).otherwise(supplied), "tax": r("totalTax"), "shipping": r("totalShipping")})
+    spread = _with_costs(known, (*keep, "text", "route", "outcome", "wants_rule", "response"))
+    numbers = F.array_distinct(F.transform("items", lambda x: x["part_number"]))
+    return spread.select(
+        *keep, "route", "outcome", "wants_rule", r("vendor").alias("vendor"), r("orderNumber").alias("order_number"), r("orderDate").alias("order_date"), r("technicianName").alias("technician_name"),
+        valid_tracking(repair_tracking(r("trackingNumber"), F.col("text")), r("orderNumber"), numbers).alias("tracking_number"), valid_word(r("deliveryCourier"), BAD_COURIERS).alias("delivery_courier"),
+        F.transform("items", lambda x: x.withField("brand", valid_word(x["brand"], BAD_BRANDS))).alias("items"),
+    )
+
+
+METADATA = ("vendor", "order_number", "order_date", "technician_name", "tracking_number", "delivery_courier")
 
 
 def extract_documents(docs: DataFrame, templates: DataFrame, now: Column, responses: DataFrame, mode: str = "template") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -47,21 +80,25 @@ def extract_documents(docs: DataFrame, templates: DataFrame, now: Column, respon
     routes but template, and metadata and totals of all. Totals that are 0 or absent are read from the text;
     tracking is repaired, then tracking, courier and brands are sanitised. Documents without a response keep null metadata.
     """
-    routes = route_documents(docs, templates, now, mode)[0]
-    known = docs.select("doc_id", "text", "template_id").join(routes.select("doc_id", "route"), "doc_id").join(responses.select("doc_id", "response"), "doc_id", "left")
-    by_rule = extraction.extract_items(known.where("route = 'template'").select("doc_id", "text", "template_id"), extraction.parse_rules(templates))
-    items = by_rule.unionByName(tables.response_items(known.where("route != 'template'").select("doc_id", "response")))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    totals = extraction.recover_totals(known.select("doc_id", "text", zero("response.totalTax").alias("tax"), zero("response.totalShipping").alias("shipping")))
-    spread = extraction.allocate_costs(items, totals.select("doc_id", F.col("shipping").alias("total_shipping"), F.col("tax").alias("total_tax")))
-    spread = spread.withColumn("brand", valid_word(F.col("brand"), BAD_BRANDS))
-    numbers = items.groupBy("doc_id").agg(F.collect_set("part_number").alias("_numbers"))
-    r = lambda c: F.col(f"response.{c}")
-    metadata = known.join(numbers, "doc_id", "left").select(
-        "doc_id", r("vendor").alias("vendor"), r("orderNumber").alias("order_number"), r("orderDate").alias("order_date"), r("technicianName").alias("technician_name"),
-        valid_tracking(repair_tracking(r("trackingNumber"), F.col("text")), r("orderNumber"), F.col("_numbers")).alias("tracking_number"), valid_word(r("deliveryCourier"), BAD_COURIERS).alias("delivery_courier"),
-    )
-    return routes, metadata, spread
+    done = _extracted(docs, templates, now, responses, mode, ("doc_id", "template_id"))
+    return done.select("doc_id", "template_id", "route", "outcome", "wants_rule"), done.select("doc_id", *METADATA), extraction.exploded(done)
+
+
+def parse_documents(docs: DataFrame, templates: DataFrame, now: Column, responses: DataFrame, ocr: DataFrame, mode: str = "template") -> DataFrame:
+    """Documents (doc_id, text) end to end, one row each, with their items as an array.
+
+    Form feeds are cleaned and short texts rejected (rejected_reason; no route); texts of poor quality are
+    supplemented by ``ocr`` (doc_id, content); the vendor is detected; then as ``extract_documents``. What
+    the counters of templates get stands in outcome, with template_id.
+    """
+    clean = tables.documents(docs.select("doc_id", "text"))
+    good = clean.where("rejected_reason IS NULL").drop("rejected_reason")
+    judged = good.join(extraction.text_quality(good), "doc_id")
+    full = tables.supplement_text(judged, ocr)
+    matched = full.join(vendors.detect_vendor(full, templates), "doc_id", "left")
+    done = _extracted(matched, templates, now, responses, mode, ("doc_id", "template_id", "confidence", "quality_issue"))
+    rejected = clean.where("rejected_reason IS NOT NULL").select("doc_id", "rejected_reason")
+    return done.withColumn("rejected_reason", F.lit(None).cast("string")).unionByName(rejected, allowMissingColumns=True)
 
 
 def accept_rules(docs: DataFrame, templates: DataFrame, supplied: DataFrame) -> DataFrame:

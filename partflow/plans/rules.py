@@ -157,25 +157,40 @@ def _candidates(spark: SparkSession, path: str) -> DataFrame:
     return domain.table(spark, path, "supplier").select(key.alias("seq"), F.concat(F.lit("v"), key * 3).alias("vendor_key"), F.col("s_name").alias("vendor_name"), F.array(F.lit("a.com")).alias("vendor_domains"), F.array(F.lit("word")).alias("vendor_keywords"), F.lit("{}").alias("extraction_rules"))
 
 
-@query(_many(f"""SELECT coalesce('v' || n_nationkey, 'v' || s_suppkey * 3) AS vendor_key, coalesce(s_name, n_name) AS vendor_name, CAST(CASE WHEN s_suppkey IS NULL THEN n_nationkey % 4 ELSE 0 END AS INTEGER) AS success_count, CAST(CASE WHEN s_suppkey IS NULL THEN n_nationkey % 7 ELSE 0 END AS INTEGER) AS fail_count
-FROM nation FULL JOIN supplier ON s_suppkey * 3 = n_nationkey"""))
+_RULES = json.dumps({"vendorName": "V", "lineItems": {"start": "Part Number\tQty[^\n]*\n", "end": "Subtotal", "row": ROW}}).replace("'", "''")
+_NO_RULES = json.dumps({"vendorName": "V", "lineItems": {"start": "", "end": "", "row": ""}})
+_OLD = f"""old AS (SELECT n_nationkey AS k, CAST(n_nationkey AS BIGINT) AS id, 'v' || n_nationkey AS vendor_key, n_name AS vendor_name, ['PARTS' || n_nationkey % 9 || '.com'] AS vendor_domains, ['Vendor' || n_nationkey % 9, 'abc'] AS vendor_keywords, CASE WHEN n_nationkey % 5 > 0 THEN '{_RULES}' ELSE '{_NO_RULES}' END AS extraction_rules,
+CAST(n_nationkey % 4 AS INTEGER) AS success_count, CAST(n_nationkey % 7 AS INTEGER) AS fail_count, CASE WHEN n_nationkey % 3 > 0 THEN TIMESTAMP '2024-02-20 00:00:00' + to_days(n_nationkey) END AS last_generation_attempt FROM nation)"""
+_TEMPLATE_COLUMNS = ("id", "vendor_key", "vendor_name", "vendor_domains", "vendor_keywords", "extraction_rules", "success_count", "fail_count", "last_generation_attempt")
+
+
+@query(_many(f"""WITH {_OLD}, new AS (SELECT s_suppkey * 3 AS k, s_suppkey, s_name FROM supplier), ids AS (SELECT k, (SELECT max(id) FROM old) + row_number() OVER (ORDER BY s_suppkey) AS id FROM new WHERE k NOT IN (SELECT k FROM old))
+SELECT coalesce(old.id, ids.id) AS id, coalesce(vendor_key, 'v' || new.k) AS vendor_key, coalesce(s_name, vendor_name) AS vendor_name, CASE WHEN new.k IS NULL THEN vendor_domains ELSE ['a.com'] END AS vendor_domains, CASE WHEN new.k IS NULL THEN vendor_keywords ELSE ['word'] END AS vendor_keywords,
+CASE WHEN new.k IS NULL THEN extraction_rules ELSE '{{}}' END AS extraction_rules, CASE WHEN new.k IS NULL THEN success_count ELSE 0 END AS success_count, CASE WHEN new.k IS NULL THEN fail_count ELSE 0 END AS fail_count, CASE WHEN new.k IS NULL THEN last_generation_attempt ELSE TIMESTAMP '{NOW}' END AS last_generation_attempt
+FROM old FULL JOIN new ON new.k = old.k LEFT JOIN ids ON ids.k = new.k"""))
 def mut7_upsert_templates(spark: SparkSession, path: str) -> DataFrame:
-    return vendors.upsert_templates(templates(spark, path, True), _candidates(spark, path), _now()).select("vendor_key", "vendor_name", "success_count", "fail_count")
+    return vendors.upsert_templates(templates(spark, path, True), _candidates(spark, path), _now()).select(*_TEMPLATE_COLUMNS)
 
 
-@query(_many("""WITH x AS (SELECT s_suppkey % 40 AS k, count(*) AS n, min_by(s_name, s_suppkey) AS name FROM supplier GROUP BY s_suppkey % 40)
-SELECT coalesce('v' || n_nationkey, 'v' || k) AS vendor_key, coalesce(n_name, name) AS vendor_name, CAST(coalesce(n_nationkey % 4, 0) AS INTEGER) AS success_count, CAST(coalesce(n_nationkey % 7, 0) + coalesce(n, 0) AS INTEGER) AS fail_count FROM nation FULL JOIN x ON k = n_nationkey"""))
+@query(_many(f"""WITH {_OLD}, tried AS (SELECT s_suppkey * 2 % 400 AS k, count(*) AS n, min(s_suppkey) AS seq, min_by(s_name, s_suppkey) AS name FROM supplier GROUP BY s_suppkey * 2 % 400), ids AS (SELECT k, (SELECT max(id) FROM old) + row_number() OVER (ORDER BY seq) AS id FROM tried WHERE k NOT IN (SELECT k FROM old))
+SELECT coalesce(old.id, ids.id) AS id, coalesce(vendor_key, 'v' || tried.k) AS vendor_key, coalesce(vendor_name, name) AS vendor_name, coalesce(vendor_domains, ['d' || seq || '.com']) AS vendor_domains, coalesce(vendor_keywords, ['key' || seq, 'any']) AS vendor_keywords,
+coalesce(extraction_rules, '{{"vendorName":"' || name || '","vendorSignals":{{"domains":["d' || seq || '.com"],"keywords":["key' || seq || '","any"]}},"fields":[],"lineItems":{{"start":"","end":"","row":""}},"totals":[]}}') AS extraction_rules,
+coalesce(success_count, 0) AS success_count, CAST(coalesce(fail_count, 0) + coalesce(n, 0) AS INTEGER) AS fail_count, CASE WHEN tried.k IS NULL THEN last_generation_attempt ELSE TIMESTAMP '{NOW}' END AS last_generation_attempt
+FROM old FULL JOIN tried ON tried.k = old.k LEFT JOIN ids ON ids.k = tried.k"""))
 def mut8_failed_attempts(spark: SparkSession, path: str) -> DataFrame:
-    tried = domain.table(spark, path, "supplier").select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("v"), F.col("s_suppkey") % 40).alias("vendor_key"), F.col("s_name").alias("vendor_name"))
-    return vendors.record_failed_attempts(templates(spark, path, True), tried, _now()).select("vendor_key", "vendor_name", "success_count", "fail_count")
+    key = F.col("s_suppkey")
+    tried = domain.table(spark, path, "supplier").select(key.alias("seq"), F.concat(F.lit("v"), key * 2 % 400).alias("vendor_key"), F.col("s_name").alias("vendor_name"), F.array(F.concat(F.lit("d"), key, F.lit(".com"))).alias("vendor_domains"), F.array(F.concat(F.lit("key"), key), F.lit("any")).alias("vendor_keywords"))
+    return vendors.record_failed_attempts(templates(spark, path, True), tried, _now()).select(*_TEMPLATE_COLUMNS)
 
 
-@query(_many("""SELECT coalesce('v' || n_nationkey % 10, 'v' || s_suppkey % 10) AS vendor_key, coalesce('f' || n_nationkey, 'f' || s_suppkey) AS page_fingerprint, CASE WHEN s_suppkey IS NULL THEN length(n_name) ELSE 2000 END AS snippet,
-CAST(CASE WHEN s_suppkey IS NULL THEN n_nationkey % 4 ELSE 1 END AS INTEGER) AS success_count, CAST(CASE WHEN s_suppkey IS NULL THEN n_nationkey % 5 ELSE 0 END AS INTEGER) AS fail_count FROM nation FULL JOIN supplier ON s_suppkey = n_nationkey"""))
+@query(_many(f"""WITH ids AS (SELECT s_suppkey, (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY s_suppkey) AS id FROM supplier WHERE s_suppkey * 2 NOT IN (SELECT n_nationkey FROM nation))
+SELECT CAST(coalesce(n_nationkey, id) AS BIGINT) AS id, coalesce('v' || n_nationkey % 10, 'v' || s.s_suppkey * 2 % 10) AS vendor_key, 'html' AS input_type, coalesce('f' || n_nationkey, 'f' || s.s_suppkey * 2) AS page_fingerprint, CASE WHEN s.s_suppkey IS NULL THEN '{{}}' ELSE '{{"a":1}}' END AS selectors, CASE WHEN s.s_suppkey IS NULL THEN n_name ELSE repeat('s', 2000) END AS sample_snippet,
+CAST(CASE WHEN s.s_suppkey IS NULL THEN n_nationkey % 4 ELSE 1 END AS INTEGER) AS success_count, CAST(CASE WHEN s.s_suppkey IS NULL THEN n_nationkey % 5 ELSE 0 END AS INTEGER) AS fail_count, CASE WHEN s.s_suppkey IS NOT NULL THEN TIMESTAMP '{NOW}' END AS last_used_at
+FROM nation FULL JOIN supplier s ON s_suppkey * 2 = n_nationkey LEFT JOIN ids ON ids.s_suppkey = s.s_suppkey"""))
 def mut9_upsert_presets(spark: SparkSession, path: str) -> DataFrame:
     key = F.col("s_suppkey")
-    learned = domain.table(spark, path, "supplier").select(key.alias("seq"), F.concat(F.lit("v"), key % 10).alias("vendor_key"), F.lit("html").alias("input_type"), F.concat(F.lit("f"), key).alias("page_fingerprint"), F.lit("{}").alias("selectors"), F.repeat(F.lit("s"), 2500).alias("sample_snippet"))
-    return vendors.upsert_presets(_presets(spark, path), learned, _now()).select("vendor_key", "page_fingerprint", F.length("sample_snippet").alias("snippet"), "success_count", "fail_count")
+    learned = domain.table(spark, path, "supplier").select(key.alias("seq"), F.concat(F.lit("v"), key * 2 % 10).alias("vendor_key"), F.lit("html").alias("input_type"), F.concat(F.lit("f"), key * 2).alias("page_fingerprint"), F.lit('{"a":1}').alias("selectors"), F.repeat(F.lit("s"), 2500).alias("sample_snippet"))
+    return vendors.upsert_presets(_presets(spark, path), learned, _now())
 
 
 @query("""WITH o AS (SELECT event_id, user_id % 60 AS k, event_type FROM events), l AS (SELECT k, max_by(CASE event_type WHEN 'click' THEN 'active' WHEN 'view' THEN 'needs_reauth' ELSE 'error' END, event_id) AS status FROM o WHERE event_type <> 'signup' GROUP BY k)
@@ -188,15 +203,23 @@ def mut10_domain_status(spark: SparkSession, path: str) -> DataFrame:
     return vendors.domain_status(domains, seen).select("id", "status")
 
 
-@query("""SELECT CASE WHEN s_suppkey IS NULL THEN 'd' || c_custkey ELSE 'd' || s_suppkey END || '.com' AS domain, CASE WHEN c_custkey IS NULL THEN s_name ELSE c_name END AS vendor_name,
-CASE WHEN s_suppkey % 4 = 0 AND s_suppkey % 2 = 0 THEN 'unconfigured' WHEN c_custkey IS NOT NULL THEN 'active' ELSE 'error' END AS status
-FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON c_custkey = s_suppkey WHERE s_suppkey IS NULL OR NOT (s_suppkey % 4 = 2)""")
+@query("""WITH new AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0), ids AS (SELECT c_custkey, (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY c_custkey) AS id FROM new WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier))
+SELECT coalesce(s_suppkey, id) AS id, CASE WHEN s_suppkey IS NULL THEN 'd' || new.c_custkey ELSE 'd' || s_suppkey END || '.com' AS domain, CASE WHEN new.c_custkey IS NULL THEN s_name ELSE c_name END AS vendor_name, s_suppkey % 4 = 0 AS is_preset,
+CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN new.c_custkey IS NOT NULL THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(new.c_custkey AS INTEGER)) END AS auth_cookie_expiry, CASE WHEN s_suppkey % 4 = 0 THEN 'unconfigured' WHEN new.c_custkey IS NOT NULL THEN 'active' ELSE 'error' END AS status
+FROM supplier FULL JOIN new ON c_custkey = s_suppkey LEFT JOIN ids ON ids.c_custkey = new.c_custkey WHERE s_suppkey IS NULL OR NOT (s_suppkey % 4 = 2)""")
 def mut11_domains(spark: SparkSession, path: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    domains = domain.table(spark, path, "supplier").select(key.alias("id"), F.col("s_name").alias("vendor_name"), F.concat(F.lit("d"), key, F.lit(".com")).alias("domain"), F.lit(None).cast("timestamp").alias("auth_cookie_expiry"), (key % 4 == 0).alias("is_preset"), F.lit("error").alias("status"))
-    loaded = domain.table(spark, path, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("seq"), F.concat(F.lit("www.D"), "c_custkey", F.lit(".com")).alias("domain"), F.col("c_name").alias("vendor_name"), F.lit(None).cast("timestamp").alias("auth_cookie_expiry"))
+    key, none = F.col("s_suppkey"), F.lit(None).cast("timestamp_ntz")
+    domains = domain.table(spark, path, "supplier").select(key.alias("id"), F.col("s_name").alias("vendor_name"), F.concat(F.lit("d"), key, F.lit(".com")).alias("domain"), none.alias("auth_cookie_expiry"), (key % 4 == 0).alias("is_preset"), F.lit("error").alias("status"))
+    expiry = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("c_custkey").cast("int"))
+    loaded = domain.table(spark, path, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("seq"), F.concat(F.lit("www.D"), "c_custkey", F.lit(".com")).alias("domain"), F.col("c_name").alias("vendor_name"), expiry.alias("auth_cookie_expiry"))
     merged = vendors.upsert_domains(domains, loaded)
-    return vendors.delete_domains(merged, domains.where("id % 2 = 0").select("id")).select("domain", "vendor_name", "status")
+    return vendors.delete_domains(merged, domains.where("id % 2 = 0").select("id")).select("id", "domain", "vendor_name", "is_preset", "auth_cookie_expiry", "status")
+
+
+@query(_many("SELECT CAST(n_nationkey AS BIGINT) AS id, 'v' || n_nationkey AS vendor_key FROM nation WHERE n_nationkey NOT IN (SELECT s_suppkey * 2 FROM supplier)"))
+def mut11_delete_templates(spark: SparkSession, path: str) -> DataFrame:
+    gone = domain.table(spark, path, "supplier").select((F.col("s_suppkey") * 2).alias("id"))
+    return vendors.delete_templates(templates(spark, path, True), gone).select("id", "vendor_key")
 
 
 # --- invoices ---
@@ -441,6 +464,19 @@ def pipe1_all_items(spark: SparkSession, path: str) -> DataFrame:
     return items.join(metadata, "doc_id").join(routes.select("doc_id", "route"), "doc_id").select("doc_id", "route", "item_pos", "part_number", "quantity", "unit_price", F.round("ship_cost", 2).alias("ship_cost"), F.round("tax_price", 2).alias("tax_price"), "brand", "order_number", "tracking_number", "delivery_courier")
 
 
+@query()
+def pipe1_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Invoices and documents from raw text to items: cleaning, quality verdict, OCR supplement, vendor detection, routes, metadata, repair and costs."""
+    key = F.col("doc_id")
+    invoices = domain.invoice_texts(spark, path).select("doc_id", F.concat(F.lit("\f"), "text", F.lit(" sold by Vendor"), key % 9, F.lit("\f")).alias("text"))
+    prose = domain.table(spark, path, "documents").select((-1 - key).alias("doc_id"), "text")
+    docs = invoices.unionByName(prose)
+    content = F.to_json(F.struct(F.concat(F.lit("scanned page of document "), key, F.lit(" see https://www.parts"), key % 9, F.lit(".com")).alias("md_results")))
+    done = routing.parse_documents(docs, templates(spark, path), _now(), _invoice_responses(spark, path), docs.select("doc_id", content.alias("content")))
+    sums = lambda c: F.round(F.aggregate("items", F.lit(0.0), lambda s, x: s + x[c] * x["quantity"]), 2).alias(c)
+    return done.select("doc_id", "template_id", "confidence", "quality_issue", "rejected_reason", "route", "outcome", "wants_rule", *routing.METADATA, F.size("items").alias("n_items"), sums("unit_price"), sums("ship_cost"), sums("tax_price"))
+
+
 @query()
 def pipe6_spot_check_counters(spark: SparkSession, path: str) -> DataFrame:
     """Counters of templates after invoices: successes, and failures of the spot checks that ``pipe6_spot_checks`` picks; supplied items of some invoices differ."""
@@ -455,10 +491,14 @@ def pipe6_spot_check_counters(spark: SparkSession, path: str) -> DataFrame:
     return vendors.template_counters(known, outcomes).select("id", "success_count", "fail_count")
 
 
-@query(f"{with_views('inv')} SELECT n_nationkey AS id, n_nationkey % 5 > 0 AS accepted FROM nation WHERE n_nationkey IN (SELECT doc_id % 25 FROM inv)")
+@query(f"{with_views('inv')} SELECT n_nationkey AS id, n_nationkey % 5 > 0 AND n_nationkey <> 7 AS accepted FROM nation WHERE n_nationkey IN (SELECT doc_id % 25 FROM inv)")
 def pipe4_rule_acceptance(spark: SparkSession, path: str) -> DataFrame:
+    """Supplied items have prices; those of template 7 differ, so its rule is not accepted."""
     docs = domain.invoice_texts(spark, path).withColumn("template_id", F.col("doc_id") % 25)
-    supplied = domain.invoice_items(spark, path).select("doc_id", F.col("part_number").alias("part_number"), F.lit(0).alias("item_pos"), F.lit("").alias("part_name"), F.lit(None).cast("double").alias("unit_price"))
+    items = domain.invoice_items(spark, path)
+    first = items.groupBy("doc_id", "part_number").agg(F.when(F.count("*") == 1, F.max("cents")).alias("cents"))  # a number that stands twice is supplied without a price
+    price = F.col("cents") / 100 + F.when(F.col("doc_id") % 25 == 7, 0.5).otherwise(0.0)
+    supplied = first.select("doc_id", "part_number", F.lit(0).alias("item_pos"), F.lit("").alias("part_name"), price.alias("unit_price"))
     return routing.accept_rules(docs, templates(spark, path), supplied).select(F.col("id").cast("int").alias("id"), "accepted")
 
 

@@ -48,12 +48,18 @@ def s2_clean_raw_number(spark: SparkSession, path: str) -> DataFrame:
     return domain.parts(spark, path).select("id", t.clean_raw_number(F.concat(F.lit(" ##"), "part_number_raw", F.lit("  "))).alias("cleaned"))
 
 
-@query(f"""WITH {_LABELS} SELECT id, ['WP' || lpad(CAST(id AS VARCHAR), 8, '0'), 'DD81-' || lpad(CAST(id AS VARCHAR), 8, '1') || 'A', lpad(CAST(id AS VARCHAR), 8, '1') || 'A', 'AP' || lpad(CAST(id AS VARCHAR), 8, '2')] AS numbers
-FROM labels_of UNION ALL SELECT doc_id, CAST([] AS VARCHAR[]) FROM documents WHERE NOT regexp_matches(text, '(?i)(WP[A-Z]?|W|AP|PS|EAP|AH|D[CD]|W[RBHE]|DE)\\d|\\d{{6}}[A-Z]')""")
+def _numbers_sql() -> str:
+    """The formats as SQL: finds of each, the first format of a number, the place of its first mention as a word of its own."""
+    shape = lambda k, x: f"SELECT src, id, text, {k} AS k, upper(unnest(regexp_extract_all(text, '(?i)\\b({x})\\b', 1))) AS pn FROM every"
+    finds = " UNION ALL ".join(shape(k, x) for k, x in enumerate(t.PART_NUMBER_FORMATS))
+    return f"""every AS (SELECT 0 AS src, id, text FROM labels_of UNION ALL SELECT 1, doc_id, text FROM documents), finds AS ({finds}),
+    firsts AS (SELECT src, id, pn, min(k) AS k, any_value(text) AS text FROM finds GROUP BY src, id, pn), placed AS (SELECT src, id, pn, k, length(regexp_extract(text, '(?is)^(.*?)\\b' || pn || '\\b', 1)) AS spot FROM firsts),
+    numbers AS (SELECT src, id, list(pn ORDER BY spot, k, pn) AS numbers FROM placed GROUP BY src, id)"""
+
+
+@query(f"WITH {_LABELS}, {_numbers_sql()} SELECT e.id, CASE WHEN text IS NOT NULL THEN coalesce(numbers, CAST([] AS VARCHAR[])) END AS numbers FROM every e LEFT JOIN numbers n ON n.src = e.src AND n.id = e.id")
 def s3_find_part_numbers(spark: SparkSession, path: str) -> DataFrame:
-    labels = _labels(spark, path)
-    docs = _docs(spark, path).where(~F.col("text").rlike(r"(?i)(WP[A-Z]?|W|AP|PS|EAP|AH|D[CD]|W[RBHE]|DE)\d|\d{6}[A-Z]"))
-    return labels.union(docs).select("id", t.find_part_numbers(F.col("text")).alias("numbers"))
+    return _labels(spark, path).union(_docs(spark, path)).select("id", t.find_part_numbers(F.col("text")).alias("numbers"))
 
 
 @query()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from partflow.functions.text import clean_markup, trim_all
@@ -81,17 +79,28 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
-def write_table(df: DataFrame, path: str) -> str:
-    """Write a changed table as a new version below ``path`` and point ``CURRENT`` at it; returns the version."""
-    version = uuid.uuid4().hex
-    df.write.parquet(f"{path}/{version}")
-    df.sparkSession.range(1).select(F.lit(version).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/CURRENT")
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The finished versions of a table: those whose writer has left its mark."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    marks = jvm.org.apache.hadoop.fs.Path(f"{path}/v-*/_SUCCESS")
+    found = marks.getFileSystem(conf).globStatus(marks)
+    return sorted(int(f.getPath().getParent().getName().removeprefix("v-")) for f in found or [])
+
+
+def write_table(df: DataFrame, path: str) -> int:
+    """Write a changed table as the next version below ``path``; returns its number.
+
+    A version counts once all of it is there, so readers see the old or the new table, never a part. Two
+    writers of one version do not mix: the second fails.
+    """
+    version = max(_versions(df.sparkSession, path), default=0) + 1
+    df.write.mode("errorifexists").parquet(f"{path}/v-{version:010d}")
     return version
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The version of a table that ``CURRENT`` names."""
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}")
+    """The last finished version of a table."""
+    return spark.read.parquet(f"{path}/v-{max(_versions(spark, path)):010d}")
 
 
 def insert_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

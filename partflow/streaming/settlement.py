@@ -1,16 +1,18 @@
 """Settlement as a stream: replays are dropped within the watermark, verdicts are kept by batch.
 
 State is never updated in place. A batch's verdicts are one folder, written over when the batch is run
-again; the stock before a batch is the base stock less what earlier batches have sold. A batch that is
-repeated after a failure therefore gives the same rows, and a line seen in an earlier batch is skipped.
+again, and so is the stock after it: a batch starts from the stock of the one before, so its work does not
+grow with what went before, but for the anti-join that finds lines seen earlier. A batch that is
+repeated after a failure gives the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from partflow.operators.settlement import settle, settled_parts
+from partflow.operators.settlement import Poll, after_poll, poll_window, settle, settled_parts
+from partflow.sources.tables import append_events, read_table, write_table
 
 VERDICTS = "order_id string, line_id string, listing_id string, quantity int, created timestamp_ntz, status string, part_id long, quantity_depleted int, quarantine_reason string"
 
@@ -30,16 +32,37 @@ def settle_stream(lines: DataFrame, parts: DataFrame, path: str, checkpoint: str
     """Settle a stream of order lines against base stock; verdicts go below ``path``, one folder a batch."""
     spark = lines.sparkSession
     spark.createDataFrame([], VERDICTS).write.mode("append").parquet(f"{path}/batch=-1")
+    stock = path.rstrip("/") + "-stock"
+    parts.write.mode("overwrite").parquet(f"{stock}/batch=-1")
 
     def run(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        before = earlier_verdicts(session, path, number)
-        verdicts = settle(settled_parts(parts, before), batch, before.where("status != 'skipped'"))
+        before = session.read.schema(parts.schema).parquet(f"{stock}/batch={number - 1}")
+        verdicts = settle(before, batch, earlier_verdicts(session, path, number).where("status != 'skipped'"))
         verdicts.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        done = session.read.schema(VERDICTS).parquet(f"{path}/batch={number}")
+        settled_parts(before, done).write.mode("overwrite").parquet(f"{stock}/batch={number}")
 
     return lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_poll(spark: SparkSession, folder: str, lines: DataFrame, now: Column) -> Poll:
+    """One poll over the tables parts, processed and watermark below ``folder`` (``write_table``) and its event ledger.
+
+    Verdicts are written first and everything else follows from them; the watermark moves last. A poll
+    that fails before leaves it where it was, so its window is polled again: its lines are then found
+    among the processed ones, or, where those were not written yet, settled anew from the old stock.
+    """
+    parts, processed, mark = (read_table(spark, f"{folder}/{name}") for name in ("parts", "processed", "watermark"))
+    number = write_table(settle(parts, poll_window(lines, mark, now), processed), f"{folder}/verdicts")
+    poll = after_poll(parts, processed, spark.read.parquet(f"{folder}/verdicts/v-{number:010d}"), now)
+    write_table(poll.parts, f"{folder}/parts")
+    write_table(poll.processed, f"{folder}/processed")
+    append_events(poll.events, f"{folder}/events")
+    write_table(poll.watermark, f"{folder}/watermark")
+    return poll
+
+
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
     """All verdicts so far."""
     return spark.read.schema(VERDICTS + ", batch long").option("basePath", path).parquet(path).drop("batch")
