@@ -85,14 +85,18 @@ w AS (SELECT doc_id, text, {_WORDS} AS ws FROM d),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM (
       SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS win FROM w, unnest(range(1, len(ws) - 3)) AS t(i))),
 r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + j AS p FROM g, range(5) AS t(j) WHERE n > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup,
+      count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*[-*•]')) AS n_bullets, count(*) FILTER (regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS n_ellipses FROM (
       SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
       CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
-      CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+      CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_bullets, 0) AS n_bullets, coalesce(n_ellipses, 0) AS n_ellipses,
+      length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits, len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words,
+      coalesce(list_max(map_values(list_histogram(ws))), 0) AS n_top_word
       FROM w LEFT JOIN r ON w.doc_id = r.doc_id LEFT JOIN l ON w.doc_id = l.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
-       OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+       OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_digits > word_chars OR 10 * n_letter_words < 7 * n_words
+       OR 10 * n_top_word > 4 * n_words OR (n_lines >= 5 AND (10 * n_bullets > 9 * n_lines OR 10 * n_ellipses > 3 * n_lines))) AS kept
 FROM m""",
 }
