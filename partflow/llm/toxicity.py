@@ -3,15 +3,22 @@
 A text is the set of its lower-case terms, hashed to ``BUCKETS``: runs of letters and digits, and their
 beginnings of ``STEMS`` bytes, since in inflected languages a stem tells more than its forms. The model
 adds a weight for each term and, for each pair of terms, the inner product of their factors, so a pair
-such as an insult beside a group mention can count for more than its parts. It is fitted by AdaGrad on
-at most ``max_rows`` labelled rows, chosen by hash (the bound of the training sample), and is a fixed
-number of bytes; scoring is one pass over whole texts. Terms whose share differs between the classes by
-less than ``CLEAR`` standard errors are left out before the fit: a long text holds thousands of them and
-their small random weights would add up. Both parts of a telling pair differ clearly by themselves.
+such as an insult beside a group mention can count for more than its parts, and can tell where neither
+part does.
+
+A long text holds thousands of terms, whose small random weights and factors would add up. No term is
+screened by itself; instead weights are fitted by FTRL with an L1 penalty that grows with the root of the
+rows, and factors in two passes: first every term gets some, then only those terms keep factors whose
+norm stands out among all by ``STAND_OUT`` (robust) standard deviations, or reaches 1. A term that no other makes telling keeps a small norm.
+
+It is fitted on at most ``max_rows`` labelled rows, chosen by hash, and ``MAX_TERMS`` terms of them (the
+bounds of the training sample, which one task holds), and is a fixed number of bytes; scoring is one pass
+over whole texts.
 
 Defined results: null and empty texts get the score of a text without terms; repeated rows are scored
 one by one; labels without a value, or of unknown documents, are left out; without any usable label
-every score is 0; a null doc_id is never held out; an empty table gives an empty result.
+every score is 0; a null doc_id is never held out; an empty table gives an empty result; columns of any
+name are kept by ``score_toxicity``.
 """
 
 from __future__ import annotations
@@ -23,14 +30,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from partflow.llm.shared import fresh
 from partflow.llm.words import mix, slices, span_hashes, text_bytes, word_bounds
 
 BUCKETS = 1 << 18
 FACTORS = 4
 MAX_ROWS = 20_000
 STEMS = (4, 5, 6, 7, 8)
-CLEAR = 4.0
 LEAST = 5
+MAX_TERMS = 40_000_000
+STAND_OUT = 15.0
 _TERM_END = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
@@ -68,43 +77,67 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.margin(row, term, n), -50, 50)))
 
 
-def fit(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 20, batch: int = 64, rate: float = 0.3, decay: float = 1e-3, least: int = LEAST, clear: float = CLEAR, seed: int = 11) -> FactorizationMachine:
-    """AdaGrad on the logistic loss; terms in fewer than ``least`` rows, or that do not tell the classes apart, are left out."""
-    rng = np.random.default_rng(seed)
-    flat = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-    df = np.bincount(flat, minlength=BUCKETS)
-    toxic = np.bincount(flat, np.repeat(labels, [len(t) for t in terms]), BUCKETS)
-    n, n1 = max(1, len(labels)), labels.sum()
-    share = n1 / n
-    error = np.sqrt(df / n * (1 - df / n) * (1 / max(n1, 1) + 1 / max(n - n1, 1)))
-    telling = (df >= least) & (np.abs(toxic / max(n1, 1) - (df - toxic) / max(n - n1, 1)) >= clear * np.maximum(error, 1e-12))
-    terms = [t[telling[t]] for t in terms]
-    w, v, b = np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-    used = np.flatnonzero(telling)
-    v[used] = rng.normal(0, 0.02, (len(used), FACTORS))
-    gw, gv, gb = np.full(BUCKETS, 1e-2), np.full((BUCKETS, FACTORS), 1e-2), 1e-2
+def _passes(terms: list[np.ndarray], labels: np.ndarray, size: int, paired: np.ndarray, epochs: int, l1: float, rng: np.random.Generator, batch: int = 32, rate: float = 0.05, decay: float = 0.1) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights (FTRL-proximal), factors of the ``paired`` terms (AdaGrad) and bias, on the logistic loss."""
+    z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
+    v, gv = rng.normal(0, 0.02, (size, FACTORS)) * paired[:, None], np.full((size, FACTORS), 1e-2)
+    share = labels.mean() if len(labels) else 0.0
+    b, gb = float(np.log((share + 1e-3) / (1 - share + 1e-3))), 1.0
     for _ in range(epochs):
         order = rng.permutation(len(terms))
         for lo in range(0, len(order), batch):
             at = order[lo : lo + batch]
-            row = np.repeat(np.arange(len(at)), [len(terms[i]) for i in at])
+            rows = len(at)
             term = np.concatenate([terms[i] for i in at])
-            x = v[term]
-            sums = np.stack([np.bincount(row, c, len(at)) for c in x.T], 1)
-            squares = np.stack([np.bincount(row, c * c, len(at)) for c in x.T], 1)
-            y = b + np.bincount(row, w[term], len(at)) + 0.5 * (sums**2 - squares).sum(1)
+            row = np.repeat(np.arange(rows), [len(terms[i]) for i in at])
+            pair = np.flatnonzero(paired[term])
+            pair_row, pair_term = row[pair], term[pair]
+            x = v[pair_term]
+            sums = np.stack([np.bincount(pair_row, c, rows) for c in x.T], 1)
+            squares = np.stack([np.bincount(pair_row, c * c, rows) for c in x.T], 1)
+            y = b + np.bincount(row, w[term], rows) + 0.5 * (sums**2 - squares).sum(1)
             g = 1 / (1 + np.exp(-np.clip(y, -50, 50))) - labels[at]
             own, where = np.unique(term, return_inverse=True)
-            dw = np.bincount(where, g[row], len(own)) / len(at) + decay * w[own] * np.bincount(where, minlength=len(own)) / len(at)
-            slope = g[row][:, None] * (sums[row] - x)
-            dv = np.stack([np.bincount(where, c, len(own)) for c in slope.T], 1) / len(at) + decay * v[own]
-            gw[own] += dw**2
+            dw = np.bincount(where, g[row], len(own))
+            root = np.sqrt(n[own] + dw**2)
+            z[own] += dw - (root - np.sqrt(n[own])) * w[own]
+            n[own] += dw**2
+            w[own] = np.where(np.abs(z[own]) > l1, -(z[own] - np.sign(z[own]) * l1) / (2 + root), 0)
+            own, where = np.unique(pair_term, return_inverse=True)
+            slope = g[pair_row][:, None] * (sums[pair_row] - x)
+            dv = np.stack([np.bincount(where, c, len(own)) for c in slope.T], 1) + decay * v[own]
             gv[own] += dv**2
-            gb += g.mean() ** 2
-            w[own] -= rate * dw / np.sqrt(gw[own])
             v[own] -= rate * dv / np.sqrt(gv[own])
-            b -= rate * g.mean() / np.sqrt(gb)
-    return FactorizationMachine(b, w, v)
+            gb += g.sum() ** 2
+            b -= 0.1 * g.sum() / np.sqrt(gb)
+    return w, v, b
+
+
+def fit(terms: list[np.ndarray], labels: np.ndarray, passes: int = 50_000, least: int = LEAST, stand_out: float = STAND_OUT, seed: int = 11) -> FactorizationMachine:
+    """The machine for term sets and labels (0 or 1); terms in fewer than ``least`` rows are left out.
+
+    About ``passes`` rows are looked at in the second pass (4 to 20 rounds), half as many in the first.
+    """
+    rng = np.random.default_rng(seed)
+    df = np.zeros(BUCKETS, np.int64)
+    for t in terms:
+        df[t] += 1
+    used = np.flatnonzero(df >= least)
+    place = np.full(BUCKETS, -1)
+    place[used] = np.arange(len(used))
+    terms = [x[x >= 0] for x in (place[t] for t in terms)]
+    weights, factors = np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS))
+    if not len(used):
+        share = labels.mean() if len(labels) else 0.0
+        return FactorizationMachine(float(np.log((share + 1e-3) / (1 - share + 1e-3))), weights, factors)
+    epochs, l1 = int(np.clip(passes // max(1, len(terms)), 4, 20)), 0.156 * np.sqrt(len(terms))
+    _, v, _ = _passes(terms, labels, len(used), np.ones(len(used), bool), (epochs + 1) // 2, l1, rng)
+    norm = np.linalg.norm(v, axis=1)
+    middle = np.median(norm)
+    paired = norm > min(1.0, middle + stand_out * 1.4826 * np.median(np.abs(norm - middle)))  # 1 is a strong factor among any
+    w, v, b = _passes(terms, labels, len(used), paired, epochs, l1, rng)
+    weights[used], factors[used] = w, v
+    return FactorizationMachine(b, weights, factors)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -114,29 +147,31 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> FactorizationMachine:
     """Fit on at most ``max_rows`` labelled rows that are not held out."""
-    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("double").alias("y"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    wanted = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text")  # at most max_rows ids
+    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("double").alias("y")).distinct()
+    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
+    wanted = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", F.xxhash64("doc_id", "text").alias("h"), "text")  # at most max_rows ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text") if batch.num_rows else ():
-                row, term = term_sets(part.column(1))
+                row, term = term_sets(part.column(2))
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(term.astype(np.int32)))], ["y", "terms"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(term.astype(np.int32)))], ["y", "h", "terms"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y, terms = [], []
+        y, terms, held = [], [], 0
         for batch in batches:
-            y += batch.column(0).to_pylist()
-            terms += [np.asarray(x.values, np.int64) for x in batch.column(1)]
-        order = sorted(range(len(y)), key=lambda i: (len(terms[i]), terms[i][:8].tolist(), y[i]))  # the same however rows arrive
-        model = fit([terms[i] for i in order], np.array([y[i] for i in order]))
+            for value, found in zip(batch.column(0).to_pylist(), batch.column(2)):
+                if held <= MAX_TERMS:
+                    y.append(value)
+                    terms.append(np.array(found.values, np.int32))
+                    held += len(terms[-1])
+        model = fit(terms, np.array(y, float))
         known = np.flatnonzero(model.known)
         yield pa.RecordBatch.from_pydict({"b": [model.bias], "k": [known.astype("<i4").tobytes()], "w": [model.weights[known].astype("<f4").tobytes()], "v": [model.factors[known].astype("<f4").tobytes()]})
 
     # The sample is bounded, so one task may fit it; what comes back is at most BUCKETS weights.
-    got = wanted.mapInArrow(sets, "y double, terms array<int>").repartition(1).mapInArrow(learn, "b double, k binary, w binary, v binary").first()
+    got = wanted.mapInArrow(sets, "y double, h long, terms array<int>").repartition(1).sortWithinPartitions("h", "y").mapInArrow(learn, "b double, k binary, w binary, v binary").first()
     weights, factors = np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32)
     if got is None:
         return FactorizationMachine(-50.0, weights, factors)
@@ -149,15 +184,17 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, keep: tuple[str
     """The ``keep`` columns and the score of every text."""
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.factors))  # fixed size
 
+    name = fresh("text", [*keep, result])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = FactorizationMachine(*shared.value)
         for batch in batches:
-            for part in slices(batch, "_text") if batch.num_rows else ():
+            for part in slices(batch, name) if batch.num_rows else ():
                 row, term = term_sets(part.column(part.num_columns - 1))
                 score = machine.score(row, term, part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score, pa.float64())], names=[*keep, result])
 
-    source = docs.select(*keep, F.col(text).alias("_text"))
+    source = docs.select(*keep, F.col(text).alias(name))
     fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
     return source.mapInArrow(run, f"{fields}, {result} double")
 
