@@ -1,6 +1,7 @@
 """WARC archives: a writer with revisit records and a reader that splits gzip files by byte ranges.
 
-Writer: pages are grouped by payload digest with a partial maximum and joined back; each task writes
+Writer: digests are grouped with a partial maximum. A page's role is found on its keys alone, so of a payload
+that a third of all pages has only ids meet; payloads are then dealt by page, and only those of responses. Each task writes
 records, one gzip member each, to a file of its own name, and only files of finished tasks are in the
 returned table, so a lost task leaves nothing that is read.
 
@@ -10,7 +11,9 @@ start in its range and reads the last of them to its end. Damaged members are sk
 
 Defined results: a null html is an empty payload; payloads under ``least`` bytes are always responses;
 rows that repeat the largest page_id of a payload are responses; a null page_id revisits like any other
-and is a response where no page_id is known; an empty table gives no files and no records.
+and is a response where no page_id is known; ids of any characters come back as they were; a revisit whose
+response is not in the archive ends the round trip with an error; an empty table gives no files and no records.
+A member is decoded in memory: a task needs room for its largest record.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import uuid
 import zlib
 from base64 import b32encode
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -33,15 +37,19 @@ FILE_BYTES = 1 << 30
 RECORDS = "page_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload binary, path string, offset long"
 
 
-def _record(page_id: str, uri: str, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
-    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def _urn(page_id: str | None) -> str:
+    return "<urn:nil>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
+
+
+def _record(page_id: str | None, uri: str, size: int, payload: bytes | None, digest: str, refers_to: str | None, date: str) -> bytes:
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = head if refers_to is not None else head + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{b32encode(bytes.fromhex(digest)).decode()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     packer = zlib.compressobj(5, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
@@ -50,10 +58,16 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, date: str = "197
     """Write ``pages`` (page_id, url, html) below ``path``; returns (path, bytes, records) of each file."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
+    first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    roles = rows.join(first, "digest", "left").select(F.col("page_id").cast("string"), "url", "payload", "digest", F.when(revisit, F.col("keeper")).cast("string").alias("refers_to"))
+    roles = rows.select("page_id", "url", "size", "digest").join(first, "digest", "left").withColumn("refers_to", F.when(revisit, F.col("keeper")))
+    key = F.struct("page_id", "digest").alias("key")  # a struct is never null
+    again = roles.where("refers_to IS NOT NULL")
+    kept = rows.withColumn("key", key).join(again.select(key).distinct(), "key", "left_anti").select("page_id", "url", "size", "payload", "digest", F.lit(None).cast(again.schema["refers_to"].dataType).alias("refers_to"))
+    again = again.select("page_id", "url", "size", F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
+    text = lambda c: F.col(c).cast("string")
+    roles = kept.union(again).select(text("page_id"), "url", "size", "payload", "digest", text("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(path)
@@ -66,11 +80,11 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, date: str = "197
             return pa.RecordBatch.from_pydict({"path": [f"{path}/{name}"], "bytes": [size], "records": [count]})
 
         for batch in batches:
-            for page_id, uri, data, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, uri, length, data, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, size, count = store.open_output_stream(f"{folder}/{name}", compression=None), 0, 0
-                member = _record("null" if page_id is None else page_id, (uri or "").replace("\r", "").replace("\n", ""), data, digest, refers_to, date)
+                member = _record(page_id, (uri or "").replace("\r", "").replace("\n", ""), length, data, digest, refers_to, date)
                 out.write(member)
                 size, count = size + len(member), count + 1
                 if size >= FILE_BYTES:
@@ -137,8 +151,8 @@ def read_warc(files: DataFrame, split: int = SPLIT) -> DataFrame:
     spread = ranges.repartition(max(1, min(100_000, int(files.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1))), "path", "start")
 
     def page(value: str | None) -> str | None:
-        inner = (value or "").strip("<>").removeprefix("urn:page:")
-        return None if inner in ("", "null") else inner
+        inner = (value or "").strip("<>")
+        return unquote(inner.removeprefix("urn:page:")) if inner.startswith("urn:page:") else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("path", pa.string()), ("offset", pa.int64())])
@@ -169,10 +183,13 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     files = write_warc(pages, shared_dir(pages.sparkSession, "warc"))
     records = read_warc(files).select(
         F.col("page_id").cast(kind).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
-        "record_type", F.col("refers_to").cast(kind).alias("refers_to"),
+        "record_type", F.col("refers_to").cast(kind).alias("refers_to"), F.col("payload_digest").alias("stated"),
     )
     records = stored(records, "warc-records")
     whole = records.where("record_type = 'response'")
-    sources = whole.where(F.col("payload_bytes") >= LEAST).dropDuplicates(["page_id"]).select(F.col("page_id").alias("source"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
-    again = records.where("record_type = 'revisit'").join(sources, F.col("refers_to") == F.col("source")).select("page_id", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to")
-    return whole.unionByName(again)
+    sources = whole.where(F.col("payload_bytes") >= LEAST).select(F.col("page_id").alias("source"), F.col("stated").alias("of"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d")).distinct()
+    same = (F.col("refers_to") == F.col("source")) & (F.col("stated") == F.col("of"))
+    again = records.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(sources, same, "left")
+    found = F.coalesce(F.col("n"), F.raise_error(F.concat(F.lit("no response for page "), F.col("refers_to").cast("string"))).cast("long"))
+    again = again.select("page_id", found.alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to")
+    return whole.drop("stated").unionByName(again)
