@@ -6,9 +6,10 @@ remainder first. Full pieces are sequences of their own, pieces over half the ca
 A round ranges over open gaps and waiting pieces together, by size downwards, gaps first at a tie. Going
 down, a gap adds one to a level and a piece takes one away; a piece belongs to the gap that last reached
 the level it starts from: the smallest gap that holds it and that no piece before it took. Levels come
-from ranks: each row has a rank inside its (size, kind, salt) class, and the class counts, at most
-2 * capacity * ``SALTS`` rows, give every class its offset. Rows then meet by level, at most
-2 * capacity in one, so a size that a third of all pieces has is no hot group. Gaps are updated and the
+from ranks: each row has a rank inside its (size, kind, salt) class, and the class counts give every class
+its offset. A class has a salt for each ``CLASS_ROWS`` rows of its own, so a size that a third of all pieces
+has is ranked by as many tasks as its rows need, and the counts are at most 2 * capacity and one more for each
+``CLASS_ROWS`` rows. Rows then meet by level, at most 2 * capacity in one. Gaps are updated and the
 round repeats. Where the waiting pieces need more room than the gaps have, or none fits, the largest
 open new sequences.
 
@@ -32,24 +33,25 @@ from partflow.llm.tokens import BYTE_BPE, encoder
 from partflow.llm.words import slices
 
 CAPACITY = 2048
-SALTS = 8
+CLASS_ROWS = 1 << 16
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) for every piece of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        code = encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20) if batch.num_rows else ():
+                ids, ends = code.encode_closed(part.column(1), 0)
+                data = memoryview(ids.astype("<u4").tobytes())
                 rows, found = [], []
-                for i, ids in enumerate(encode(part.column(1).to_pylist())):
-                    ids += b"\0\0\0\0"
-                    n = len(ids) // 4
+                for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                    n = hi - lo
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                         rows.append(i)
-                        found.append((k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                        found.append((k, a, b - a, zlib.crc32(data[4 * (lo + a) : 4 * (lo + b)])))
                 piece, start, length, crc = zip(*found)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -89,14 +91,20 @@ def _sweep(counts: pd.DataFrame, capacity: int) -> tuple[pd.DataFrame | None, in
     if not found and not opens.any():
         opens = opening(math.ceil(need / capacity))
     step = np.where(waiting, -(n - opens), n)
-    counts["base"], counts["opens"] = np.cumsum(step) - step, opens
+    counts = counts.assign(base=np.cumsum(step) - step, opens=opens)
     return counts[["size", "kind", "salt", "base", "opens"]], found
 
 
-def _round(spark: SparkSession, state: DataFrame, capacity: int) -> DataFrame | None:
+def _round(spark: SparkSession, state: DataFrame, capacity: int, class_rows: int) -> DataFrame | None:
     """One round over gaps (kind 0) and waiting pieces (kind 1); null when nothing waits."""
-    state = state.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    counts = state.groupBy("size", "kind", "salt").agg(F.count("*").alias("n")).toPandas()  # at most 2 * capacity * SALTS rows
+    counts = state.groupBy("size", "kind").agg(F.count("*").alias("n")).toPandas()  # at most 2 * capacity rows
+    if (counts["n"] > class_rows).any():
+        salts = counts.assign(salts=-(-counts["n"] // class_rows)).query("salts > 1")[["size", "kind", "salts"]]
+        state = state.join(F.broadcast(spark.createDataFrame(salts)), ["size", "kind"], "left")
+        state = state.withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        counts = state.groupBy("size", "kind", "salt").agg(F.count("*").alias("n")).toPandas()
+    else:
+        state, counts = state.withColumn("salt", F.lit(0)), counts.assign(salt=0)
     offsets, _ = _sweep(counts, capacity)
     if offsets is None:
         return None
@@ -117,7 +125,7 @@ def _round(spark: SparkSession, state: DataFrame, capacity: int) -> DataFrame |
     )
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE, text: str = "text", id_col: str = "doc_id", class_rows: int = CLASS_ROWS) -> DataFrame:
     """Every piece with its sequence_id and offset; the pieces of a sequence lie without gaps from 0."""
     spark = documents.sparkSession
     cut = stored(pieces(documents, capacity, tokenizer, text, id_col).withColumn("id", F.monotonically_increasing_id()), "pieces")
@@ -128,7 +136,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_B
     none = F.lit(None).cast(cut.select(doc).schema["doc"].dataType).alias("doc")
     gaps = cut.where(alone & (size < capacity)).select("id", none, F.lit(0).alias("kind"), (capacity - size).alias("size"), size.alias("used"))
     state = gaps.union(cut.where(~alone).select("id", doc, F.lit(1).alias("kind"), size.alias("size"), F.lit(0).alias("used")))
-    while (after := _round(spark, state, capacity)) is not None:
+    while (after := _round(spark, state, capacity, class_rows)) is not None:
         after = stored(after, "round")
         placed.append(after.where("kind > 1").select("doc", "seq", "offset"))
         opened = after.where("kind = 2").select("id", none, F.lit(0).alias("kind"), (capacity - F.col("size")).alias("size"), F.col("size").alias("used"))
