@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from partflow.llm.shared import fresh
 from partflow.llm.words import join_hashes, mix, row_index, slices, text_bytes, span_hashes, word_bounds, word_hashes
 
 WINDOW = 20
@@ -209,6 +210,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataF
     kept_text is the text as it was where nothing is removed, else the kept words joined by one space;
     kept_sha256 is of the joined words always.
     """
+    docs = docs.select("doc_id", "text")
     texts, runs = repeated_windows(docs, window, k)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     spans = runs.groupBy(F.struct("doc_id").alias("id")).agg(F.collect_list(F.struct("copy", "start", "n")).alias("runs"))
@@ -241,13 +243,15 @@ def filter_substrings(docs: DataFrame) -> DataFrame:
 
     A document that loses nothing keeps its text as it was, white space included (null becomes empty).
     """
-    found = dedup_substrings(docs).select(F.struct("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("n_removed").alias("_gone"), F.col("n_words").alias("_all"), F.col("kept_text").alias("_kept"))
-    turn = F.row_number().over(Window.partitionBy("_id").orderBy("_hash"))
-    rest = docs.withColumn("_id", F.struct("doc_id")).withColumn("_hash", F.xxhash64("text")).drop("text").withColumn("_copy", turn)
-    joined = rest.join(found, ["_id", "_copy"]).where("_gone = 0 OR _gone < _all")
-    new = {c: F.col(c) for c in docs.columns} | {"text": F.col("_kept")}
+    row, found, id_, copy, order = (fresh(c, docs.columns) for c in ("row", "found", "id", "copy", "order"))
+    result = dedup_substrings(docs).select(F.struct("doc_id").alias(id_), F.col("copy").alias(copy), F.struct("n_removed", "n_words", "kept_text").alias(found))
+    rest = docs.select(F.struct("doc_id").alias(id_), F.xxhash64("text").alias(order), F.struct(*(c for c in docs.columns if c != "text")).alias(row))
+    rest = rest.withColumn(copy, F.row_number().over(Window.partitionBy(id_).orderBy(order)))
+    gone, text = F.col(found)["n_removed"], F.col(found)["kept_text"]
+    joined = rest.join(result, [id_, copy]).where((gone == 0) | (gone < F.col(found)["n_words"]))
+    new = {c: F.col(row)[c] for c in docs.columns if c != "text"} | {"text": text}
     if "n_chars" in new:
-        new["n_chars"] = F.when(F.col("_gone") > 0, F.char_length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(gone > 0, F.char_length(text)).otherwise(new["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return joined.select(*(new[c].alias(c) for c in docs.columns))
 
 
