@@ -2,7 +2,8 @@
 
 1. A classifier is fitted on labelled rows (at most ``MAX_ROWS``, chosen by hash): naive Bayes over
    hashed lower-case words, of which only those with a clear difference between classes count.
-2. Every document gets posteriors p over the domains and its number of words n.
+2. Every document gets posteriors p over the domains and its number of tokens n: the pieces that a byte-pair
+   tokenizer's pre-tokenizer cuts it into, counted by one pattern, so that no Python runs.
 3. Rates r >= 0 are fitted so that the expected domain totals sum(r * n * p) meet the targets: projected
    gradient on the least squares, from r = 1, the step scaled by the Gram matrix of the documents that
    still have a positive rate. A step is r := max(0, r - p . g) with one vector g for all documents, so
@@ -13,7 +14,7 @@
 The default targets follow the domains' own totals to the power ``ALPHA``, scaled so that no domain gets
 less than it has: smaller domains are repeated, nothing is thrown away for its domain's sake.
 
-Defined results: null and empty texts have 0 words, the prior as posterior, and add nothing to totals;
+Defined results: null and empty texts have 0 tokens, the prior as posterior, and add nothing to totals;
 labels that are null or of unknown documents are left out; without labels all documents are of the first
 domain; a target for an empty domain is ignored; repeated rows are separate documents; an empty table
 gives an empty result.
@@ -33,6 +34,8 @@ BUCKETS = 1 << 15
 MAX_ROWS = 6000
 DOMAINS = ("clean", "low", "toxic")
 ALPHA = 0.8
+#: The cuts of a byte-pair tokenizer before its merges: runs of letters, digits, other signs (each with a space before) and white space.
+TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ROUNDS = 25
 
 
@@ -45,6 +48,11 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def _tokens(text: Column) -> Column:
+    """How many tokens a byte-pair tokenizer's pre-tokenizer cuts a text into."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN)).cast("long")
+
+
 def _terms(words: Column) -> Column:
     return F.transform(F.array_distinct(words), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
@@ -76,10 +84,10 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROW
 
 
 def memberships(docs: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns, n_words (long) and p (posterior of each domain)."""
+    """The ``keep`` columns, n_tokens (long) and p (posterior of each domain)."""
     k = len(DOMAINS)
     words = _words(F.col("text"))
-    rows = docs.select(*keep, F.size(words).cast("long").alias("n_words"), _terms(words).alias("_terms"))
+    rows = docs.select(*keep, _tokens(F.col("text")).alias("n_tokens"), _terms(words).alias("_terms"))
 
     prior = model.select("prior").scalar()
 
@@ -88,12 +96,12 @@ def memberships(docs: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame
 
     rows = rows.withColumns({f"_odds{i}": model.select(f"odds{i}").scalar() for i in range(1, k)})
     sums = [F.lit(0.0), *(summed(i) for i in range(1, k))]
-    rows = rows.select(*keep, "n_words", *(x.alias(f"_s{i}") for i, x in enumerate(sums)))
+    rows = rows.select(*keep, "n_tokens", *(x.alias(f"_s{i}") for i, x in enumerate(sums)))
     logits = [F.col(f"_s{i}") + F.get(prior, F.lit(i)) for i in range(k)]
     top = F.greatest(*logits)
     parts = [F.exp(x - top) for x in logits]
     total = reduce(lambda a, b: a + b, parts)
-    return rows.select(*keep, "n_words", F.array(*(x / total for x in parts)).alias("p"))
+    return rows.select(*keep, "n_tokens", F.array(*(x / total for x in parts)).alias("p"))
 
 
 def rate(steps: list[list[float]]) -> Column:
@@ -109,18 +117,18 @@ def rate(steps: list[list[float]]) -> Column:
 
 
 def fit_rates(members: DataFrame, weights: list[float] | None = None, total: float | None = None, rounds: int = ROUNDS, tolerance: float = 1e-6) -> tuple[list[list[float]], list[float], list[float]]:
-    """(steps, targets, fitted totals) for rows of n_words and p.
+    """(steps, targets, fitted totals) for rows of n_tokens and p.
 
-    ``weights`` are the target shares of the domains; ``total`` the wanted number of words (default: the
+    ``weights`` are the target shares of the domains; ``total`` the wanted number of tokens (default: the
     least that cuts no domain).
     """
     k = len(DOMAINS)
 
     def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         p, r = [F.get("p", F.lit(i)) for i in range(k)], F.col("r")
-        rows = members.select("n_words", "p", rate(steps).alias("r"))
-        sums = [F.sum(r * F.col("n_words") * p[i]) for i in range(k)]
-        gram = [F.sum(F.when(r > 0, F.col("n_words") * p[i] * p[j])) for i in range(k) for j in range(k)]
+        rows = members.select("n_tokens", "p", rate(steps).alias("r"))
+        sums = [F.sum(r * F.col("n_tokens") * p[i]) for i in range(k)]
+        gram = [F.sum(F.when(r > 0, F.col("n_tokens") * p[i] * p[j])) for i in range(k) for j in range(k)]
         got = [float(x or 0) for x in rows.agg(*(c.alias(f"c{i}") for i, c in enumerate(sums + gram))).first()]
         return np.array(got[:k]), np.array(got[k:]).reshape(k, k)
 
@@ -148,26 +156,29 @@ def fit_rates(members: DataFrame, weights: list[float] | None = None, total: flo
     return steps, wanted.tolist(), have.tolist()
 
 
-def _draw(id_col: str, r: Column) -> Column:
-    """How often a document occurs: the rate, rounded up or down by a hash of its id."""
-    return F.floor(r + F.pmod(F.xxhash64(F.col(id_col), F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)).cast("long")
+def _draw(key: Column, r: Column) -> Column:
+    """How often a document occurs: the rate, rounded up or down by a hash of its id and text."""
+    return F.floor(r + F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)).cast("long")
+
+
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text").alias("key")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: list[float] | None = None, total: float | None = None) -> DataFrame:
-    """doc_id, n_words, p_<domain>, rate and copies of every document."""
+    """doc_id, n_tokens, p_<domain>, rate and copies of every document."""
     model = stored(fit_classifier(docs, labels.select("doc_id", label_domain().alias("domain"))), "classifier")
-    members = stored(memberships(docs, model, ["doc_id"]), "members")
+    members = stored(memberships(docs.select("doc_id", "text", _key()), model, ["doc_id", "key"]), "members")
     steps, _, _ = fit_rates(members, weights, total)
     named = [F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
-    rows = members.select("doc_id", "n_words", *named, rate(steps).alias("rate"))
-    return rows.withColumn("copies", _draw("doc_id", F.col("rate")))
+    return members.select("doc_id", "n_tokens", *named, rate(steps).alias("rate"), _draw(F.col("key"), rate(steps)).alias("copies"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: list[float] | None = None, total: float | None = None) -> DataFrame:
     """The documents, each as often as its rate says, with their own columns."""
     model = stored(fit_classifier(docs, labels.select("doc_id", label_domain().alias("domain"))), "classifier")
     # Written with the documents: posteriors are read as values, not worked out again for each use.
-    members = stored(memberships(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model, ["_row"]), "members")
-    steps, _, _ = fit_rates(members.select("n_words", "p"), weights, total)
-    rows = members.select("_row", _draw("_row.doc_id", rate(steps)).alias("_copies")).where("_copies > 0")
-    return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")
+    members = stored(memberships(docs.select(F.struct(*docs.columns).alias("row"), "text", _key()), model, ["row", "key"]), "members")
+    steps, _, _ = fit_rates(members.select("n_tokens", "p"), weights, total)
+    rows = members.select("row", _draw(F.col("key"), rate(steps)).alias("copies")).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

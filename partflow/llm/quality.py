@@ -184,7 +184,7 @@ RULES = (
     Rule("word_length", count_word_chars, lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
     Rule("line_repeats", count_lines, lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
     Rule("digits", count_digits, lambda m: 2 * m["n_digits"] > m["word_chars"]),
-    Rule("letter_words", count_letter_words, lambda m: 10 * m["n_letter_words"] < 7 * m["n_words"]),
+    Rule("letter_words", count_letter_words, lambda m: 2 * m["n_letter_words"] < m["n_words"]),
     Rule("top_word", count_top_word, lambda m: 10 * m["n_top_word"] > 4 * m["n_words"]),
     Rule("bullets", count_bullets, lambda m: (m["n_lines"] >= 5) & (10 * m["n_bullets"] > 9 * m["n_lines"])),
     Rule("ellipses", count_ellipses, lambda m: (m["n_lines"] >= 5) & (10 * m["n_ellipses"] > 3 * m["n_lines"])),

@@ -96,7 +96,7 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_
       FROM w LEFT JOIN r ON w.doc_id = r.doc_id LEFT JOIN l ON w.doc_id = l.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
-       OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_digits > word_chars OR 10 * n_letter_words < 7 * n_words
+       OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_digits > word_chars OR 2 * n_letter_words < n_words
        OR 10 * n_top_word > 4 * n_words OR (n_lines >= 5 AND (10 * n_bullets > 9 * n_lines OR 10 * n_ellipses > 3 * n_lines))) AS kept
 FROM m""",
 }

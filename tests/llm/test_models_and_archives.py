@@ -29,6 +29,46 @@ def test_pairs_beyond_sums():
     assert (score[truth == 1] >= 0.7).mean() > 0.95 and (score[truth == 0] >= 0.7).mean() < 0.02
 
 
+def xor_auc(rng, noise):
+    """Held-out area under the curve for labels that are exactly one of two terms."""
+    terms, labels = [], []
+    for _ in range(4000):
+        a, b = rng.random(2) < 0.5
+        t = {int(x) for x in rng.integers(100, 500, noise)} | ({1} if a else set()) | ({2} if b else set())
+        terms.append(np.array(sorted(t), np.int32))
+        labels.append(float(a != b))
+    labels = np.array(labels)
+    model = toxicity.fit(terms[:3000], labels[:3000])
+    row = np.repeat(np.arange(1000), [len(t) for t in terms[3000:]])
+    score, truth = model.score(row, np.concatenate(terms[3000:]), 1000), labels[3000:]
+    return (score[truth == 1][:, None] > score[truth == 0]).mean() + 0.5 * (score[truth == 1][:, None] == score[truth == 0]).mean()
+
+
+@pytest.mark.parametrize("noise", [0, 20])
+def test_pair_whose_parts_tell_nothing(noise):
+    assert xor_auc(np.random.default_rng(4), noise) > 0.95
+
+
+def test_margin_is_that_of_all_pairs():
+    """The linear-time form against the sum over all pairs."""
+    rng = np.random.default_rng(6)
+    weights, factors = np.zeros(toxicity.BUCKETS), np.zeros((toxicity.BUCKETS, toxicity.FACTORS))
+    weights[:50], factors[:50] = rng.normal(size=50), rng.normal(size=(50, toxicity.FACTORS))
+    model = toxicity.FactorizationMachine(0.3, weights, factors)
+    sets = [np.sort(rng.choice(60, rng.integers(0, 12), replace=False)) for _ in range(30)]
+    got = model.margin(np.repeat(np.arange(30), [len(s) for s in sets]), np.concatenate(sets), 30)
+    want = [0.3 + weights[s].sum() + sum(factors[a] @ factors[b] for i, a in enumerate(s) for b in s[:i]) for s in sets]
+    assert got == pytest.approx(np.array(want))
+
+
+def test_scores_keep_columns_of_any_name(labelled):
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    long = docs.limit(3).withColumns({"text_": F.lit("x"), "_text": F.lit("y"), "text": F.concat("text", F.repeat(F.lit(" more"), 200_000))})
+    out = toxicity.score_toxicity(long, model, keep=("doc_id", "text_", "_text", "text"))
+    assert out.columns == ["doc_id", "text_", "_text", "text", "score"] and all(r.text_ == "x" and 0 <= r.score <= 1 for r in out.collect())
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(3)
@@ -62,26 +102,50 @@ def test_mixing_meets_targets(labelled):
     docs, labels = labelled
     rows = mixing.mixing_rates(docs, labels, weights=[0.5, 0.0, 0.5]).collect()
     assert len(rows) == docs.count() and all(r.rate >= 0 for r in rows)
-    totals = np.array([sum(r.rate * r.n_words * r[f"p_{d}"] for r in rows) for d in mixing.DOMAINS])
+    totals = np.array([sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in rows) for d in mixing.DOMAINS])
     assert totals[0] == pytest.approx(totals[2], rel=0.05)
     assert all(abs(r.p_clean + r.p_low + r.p_toxic - 1) < 1e-9 for r in rows)
 
 
 def test_rates_are_projected_least_squares(spark):
-    """With few documents the fit is compared with a plain projected gradient."""
+    """The fit against plain projected gradient over one rate a document, by the error it reaches."""
     rng = np.random.default_rng(2)
-    n, p = rng.integers(1, 50, 40), rng.dirichlet([0.3, 0.3, 0.3], 40)
-    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_words long, p array<double>")
-    weights = [0.7, 0.2, 0.1]
-    steps, wanted, have = mixing.fit_rates(members, weights, total=float(n.sum()))
-    assert have == pytest.approx(wanted, rel=1e-3)
-    rates = [r[0] for r in members.select(mixing.rate(steps)).collect()]
-    assert min(rates) >= 0
+    for scale, weights in ((1.0, [0.7, 0.2, 0.1]), (0.3, [0.98, 0.01, 0.01])):
+        n, p = rng.integers(1, 50, 40), rng.dirichlet([0.3, 0.3, 0.3], 40)
+        members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>")
+        steps, wanted, have = mixing.fit_rates(members, weights, total=float(n.sum()) * scale)
+        rates = np.array([r[0] for r in members.select(mixing.rate(steps)).collect()])
+        part = p * n[:, None]
+        assert rates.min() >= 0 and part.T @ rates == pytest.approx(np.array(have))
+        plain, step = np.ones(40), 1 / np.linalg.norm(part, 2) ** 2
+        for _ in range(20_000):
+            plain = np.maximum(0, plain - step * part @ (part.T @ plain - wanted))
+        error = lambda r: np.linalg.norm(part.T @ r - wanted) / np.linalg.norm(wanted)
+        assert error(rates) <= error(plain) + 1e-3
+
+
+def test_mixing_of_odd_rows(spark, labelled):
+    """Null posteriors add nothing; rows that share an id draw by their texts."""
+    members = spark.createDataFrame([(3, [0.5, 0.5, 0.0]), (None, [1.0, 0.0, 0.0]), (2, None)], "n_tokens long, p array<double>")
+    steps, wanted, have = mixing.fit_rates(members, [0.5, 0.5, 0.0])
+    assert have == pytest.approx(wanted)
+    docs, labels = labelled
+    same = docs.withColumn("doc_id", F.lit(7).cast("long"))
+    assert mixing.mixing_rates(same, labels, weights=[0.2, 0.4, 0.4], total=5000.0).select("copies").distinct().count() > 1
+
+
+def test_tokens_are_the_pieces_of_the_pre_tokenizer(spark):
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    texts = ["it's a  test, of 12 pieces.\n\nYes\t!", "", "  x", "été 3½ ...", "a\r\nb "]
+    got = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(mixing._tokens(F.col("text")).alias("n")).collect()]
+    cut = ByteLevel(add_prefix_space=False, use_regex=True)
+    assert got == [len(cut.pre_tokenize_str(t)) for t in texts]
 
 
 def test_mix_repeats_documents(labelled):
     docs, labels = labelled
-    extra = docs.withColumn("p", F.lit("clash")).withColumn("n_words", F.lit(1))
+    extra = docs.withColumn("p", F.lit("clash")).withColumn("n_tokens", F.lit(1))
     out = mixing.mix(extra, labels)
     assert out.columns == extra.columns and out.count() >= 0.9 * docs.count()
     assert mixing.mix(extra.where("1 = 0"), labels).count() == 0
@@ -162,14 +226,14 @@ def test_every_record_has_one_owner(spark, pages, split):
 
 
 def test_damage_and_nested_archives(spark, tmp_path):
-    inner = warc._record("9", "http://in", b"inside", hashlib.sha1(b"inside").hexdigest(), None, "d")
+    inner = warc._record("9", "http://in", 6, b"inside", hashlib.sha1(b"inside").hexdigest(), None, "d")
     stored = zlib.compressobj(0, zlib.DEFLATED, 31)
-    first = warc._record("1", "http://a", b"one", hashlib.sha1(b"one").hexdigest(), None, "d")
-    plain = zlib.decompress(warc._record("2", "http://b", inner, hashlib.sha1(inner).hexdigest(), None, "d"), 31)
+    first = warc._record("1", "http://a", 3, b"one", hashlib.sha1(b"one").hexdigest(), None, "d")
+    plain = zlib.decompress(warc._record("2", "http://b", len(inner), inner, hashlib.sha1(inner).hexdigest(), None, "d"), 31)
     nested = stored.compress(plain) + stored.flush()
-    broken = bytearray(warc._record("3", "http://c", b"three" * 99, hashlib.sha1(b"x").hexdigest(), None, "d"))
+    broken = bytearray(warc._record("3", "http://c", 495, b"three" * 99, hashlib.sha1(b"x").hexdigest(), None, "d"))
     broken[30:40] = b"\0" * 10
-    last = warc._record("4", "http://d", b"four", hashlib.sha1(b"four").hexdigest(), None, "d")
+    last = warc._record("4", "http://d", 4, b"four", hashlib.sha1(b"four").hexdigest(), None, "d")
     data = first + nested + bytes(broken) + last
     (tmp_path / "a.warc.gz").write_bytes(data)
     files = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(data))], "path string, bytes long")
@@ -180,3 +244,15 @@ def test_damage_and_nested_archives(spark, tmp_path):
 
 def test_no_pages(pages):
     assert warc.warc_round_trip(pages.where("1 = 0")).count() == 0
+
+
+def test_text_ids_and_missing_responses(spark):
+    page = "<p>hot page</p>" * 100
+    names = ["null", "", "a b", "x>\r\ny", "é", "zz"]
+    pages = spark.createDataFrame([(n, "http://h", page) for n in names] + [(None, None, "small")], "page_id string, url string, html string").repartition(3)
+    rows = {r.page_id: r for r in warc.warc_round_trip(pages).collect()}
+    keeper = max(names)
+    assert set(rows) == {*names, None} and all(r.payload_digest == hashlib.sha1((page if i is not None else "small").encode()).hexdigest() for i, r in rows.items())
+    assert all((r.record_type, r.refers_to) == (("response", None) if i in (keeper, None) else ("revisit", keeper)) for i, r in rows.items())
+    files = warc.write_warc(pages, shared_dir(spark, "warc-test"))
+    assert warc.read_warc(files).where("record_type = 'revisit' AND length(payload) > 0").count() == 0
