@@ -13,7 +13,7 @@ def numbered(df: DataFrame, order: str, tie: str, blocks: int = BLOCKS) -> DataF
     Rows are cut into ``blocks`` ranges at approximate quantiles of ``order`` and numbered inside each; a
     window without a partition sees one count a block only.
     """
-    at = [(i + 1) / blocks for i in range(blocks - 1)]
+    at = [(i + 1) / blocks for i in range(blocks - 1)] or [1.0]
     bounds = df.agg(F.percentile_approx(order, at, 10 * blocks)).scalar()
     ranged = df.withColumn("_bounds", bounds).withColumn("_block", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
     counts = ranged.groupBy("_block").agg(F.count("*").alias("_n"))

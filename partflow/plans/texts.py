@@ -116,15 +116,15 @@ def s10_clean_markup(spark: SparkSession, path: str) -> DataFrame:
     return domain.table(spark, path, "pages").select("page_id", F.md5(t.clean_markup(F.col("html"))).alias("cleaned"))
 
 
-_REDACTED = (
+REDACTED = (
     r"""regexp_replace(regexp_replace(text, '[\w.-]+@[\w.-]+\.\w{2,}', '[EMAIL]', 'g'), '\b(\d{3})-(\d{7})-(\d{7})\b', '\1-' || chr(1) || '\2' || chr(1) || '-\3', 'g')"""
 )
-_REDACTED = rf"replace(regexp_replace({_REDACTED}, '\b\d{{3}}[-.]?\d{{3}}[-.]?\d{{4}}\b', '[PHONE]', 'g'), chr(1), '')"
-_REDACTED = rf"regexp_replace(regexp_replace({_REDACTED}, '(?i)\b\d+\s+[A-Z][a-z]+\s+({t.STREET_WORDS})\b[^,]*', '[ADDRESS]', 'g'), '(?i)ending in \d{{4}}', 'ending in [XXXX]', 'g')"
-_REDACTED = rf"substr(regexp_replace(regexp_replace({_REDACTED}, '[\s\x{{00A0}}]+', ' ', 'g'), '^[\s\x{{00A0}}\x{{FEFF}}]+|[\s\x{{00A0}}\x{{FEFF}}]+$', '', 'g'), 1, 8000)"
+REDACTED = rf"replace(regexp_replace({REDACTED}, '\b\d{{3}}[-.]?\d{{3}}[-.]?\d{{4}}\b', '[PHONE]', 'g'), chr(1), '')"
+REDACTED = rf"regexp_replace(regexp_replace({REDACTED}, '(?i)\b\d+\s+[A-Z][a-z]+\s+({t.STREET_WORDS})\b[^,]*', '[ADDRESS]', 'g'), '(?i)ending in \d{{4}}', 'ending in [XXXX]', 'g')"
+REDACTED = rf"substr(regexp_replace(regexp_replace({REDACTED}, '[\s\x{{00A0}}]+', ' ', 'g'), '^[\s\x{{00A0}}\x{{FEFF}}]+|[\s\x{{00A0}}\x{{FEFF}}]+$', '', 'g'), 1, 8000)"
 
 
-@query(f"SELECT doc_id, md5({_REDACTED}) AS redacted FROM documents")
+@query(f"SELECT doc_id, md5({REDACTED}) AS redacted FROM documents")
 def s11_redact_text(spark: SparkSession, path: str) -> DataFrame:
     return _docs(spark, path).select("doc_id", F.md5(t.redact_text(F.col("text"))).alias("redacted"))
 

@@ -1,11 +1,13 @@
 """Queries that read all their rows, against brute force in Python."""
 
+import json
 import re
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from partflow.functions import text as t
+from partflow.operators import extraction
 from partflow.plans import routing, rules
 from partflow.sources import tables
 
@@ -71,3 +73,30 @@ def test_spot_checks_fail_templates(spark, data):
 def test_selectors_are_refused(spark, data):
     got = {r.doc_id: r.agrees for r in entry.queries()["pipe5_selector_acceptance"](spark, data).collect()}
     assert {i % 3 for i, agrees in got.items() if agrees} == {2} and not any(agrees for i, agrees in got.items() if i % 3 < 2)
+
+
+def test_rules_that_do_not_compile_stop_nothing(spark):
+    rule = lambda start, end, row: json.dumps({"lineItems": {"start": start, "end": end, "row": row}})
+    row = r"(?<partNumber>P\d+) (?<quantity>\d+) (?<unitPrice>[\d.]+)"
+    made = spark.createDataFrame([(1, rule("", "", "(P")), (2, rule("[", "", row)), (3, rule("", "*", row)), (4, rule("Items", "End", row)), (5, None)], "id long, extraction_rules string")
+    text = "P9 1 9.5\nItems\nP1 2 3.50\nP2 1 4 payment\nP3 0 1\nEnd P4 1 1"
+    docs = spark.createDataFrame([(i, text, i) for i in range(1, 7)], "doc_id long, text string, template_id long")
+    got = {}
+    for r in extraction.extract_items(docs, extraction.parse_rules(made)).orderBy("doc_id", "item_pos").collect():
+        got.setdefault(r.doc_id, []).append((r.item_pos, r.part_number, r.quantity, r.unit_price))
+    whole = [(0, "P9", 1.0, 9.5), (1, "P1", 2.0, 3.5), (2, "P2", 1.0, 4.0), (3, "P3", 1.0, 1.0), (4, "P4", 1.0, 1.0)]
+    assert got == {2: whole, 3: whole, 4: [(0, "P1", 2.0, 3.5), (1, "P2", 1.0, 4.0), (2, "P3", 1.0, 1.0)]}
+    assert {r.id: r.row_compiles for r in extraction.check_rules(extraction.parse_rules(made)).collect()}[1] is False
+
+
+def test_whole_documents(spark, data):
+    made = entry.queries()["pipe1_documents"](spark, data).cache()
+    n = spark.read.parquet(f"{data}/documents.parquet").count() + spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert made.count() == n == made.select("doc_id").distinct().count()
+    short = made.where("rejected_reason IS NOT NULL")
+    assert short.where("route IS NOT NULL OR n_items > 0").count() == 0
+    # Invoices carry the keyword of vendor doc_id % 9, their OCR text its domain; the first template of that vendor is the one of that number.
+    assert made.where("doc_id >= 0 AND (template_id != doc_id % 9 OR confidence != IF(quality_issue IS NULL, 'keyword', 'domain'))").count() == 0
+    assert made.where("route = 'template' AND (outcome != true OR n_items = 0 OR ship_cost <= 0 OR order_number != concat('N', doc_id))").count() == 0
+    assert {"template", "fallback-new"} <= {r.route for r in made.select("route").distinct().collect()}
+    assert made.where("doc_id < 0 AND quality_issue IS NOT NULL AND confidence != 'domain'").count() == 0  # their OCR text names a domain
