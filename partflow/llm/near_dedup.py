@@ -1,29 +1,33 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-Tokens are five-word shingles labelled with their occurrence number, so each is unique in its text. One
-sketch keeps the ``L`` smallest tokens under one hash and hashes them *in text order*: two texts agree
-on a sketch only if they share those tokens and hold them in the same order. Of ``SKETCHES`` sketches,
-texts that agree on one meet in its bucket. Short texts (under ``SHORT`` tokens) also get sketches of
-two tokens, since a single changed word moves most of theirs.
-
-Similarity of two texts is M / (|A| + |B| - M), M being the longest alignment of their tokens inside the
-band that a result of ``threshold`` leaves open. Tokens being unique, that is a longest increasing
-subsequence of positions. It equals the Jaccard similarity of the labelled shingles where order agrees.
-
-Equal texts are one node throughout. In a bucket each text is compared with the bucket's smallest node,
-then, with another leader, only texts of different classes meet. In the last round every two texts of
-different classes that agree on two sketches or more are compared. They meet once, in the bucket of
-their smallest common sketch. Before, texts leave of which too many tokens occur in no other text of
-this round to reach the threshold with any: they are most of a cloud of loose copies. In a bucket of over ``LARGE`` texts, such as those of one shared passage,
-they meet under the two smallest common sketches, so the bucket's pairs are never listed. Links are
-closed by large-star/small-star rounds. No bucket is collected and nothing is capped.
-
-With J = 0.8 a sketch agrees with probability about 0.8**4, so 24 sketches miss a pair with 3e-6 and
-agree twice with all but 6e-5.
+Two texts are near duplicates if their edit similarity is ``threshold`` or more: 1 - d / max(|A|, |B|), d
+being the edit distance over words. Their sketches are taken of five-word shingles labelled with their
+occurrence number, so each is unique in its text. A sketch keeps the ``L`` smallest shingles under one
+hash and hashes them *in text order*. Of ``SKETCHES`` sketches, texts that agree on one meet in its bucket.
+Texts of under 100 words also get sketches of two three-word grams, those of under 40 of one two-word
+gram, since a single changed word moves most of their shingles.
+
+Candidates. Equal texts are one node. In a bucket each text is compared with a leader, which then leaves
+the bucket; a bucket goes on while it holds two texts of different classes, for ``ROUNDS`` leaders. The
+texts that are left in such buckets are joined exactly, by a prefix filter: texts of the threshold have
+0.8 * n words in common, so one among the 0.2 * n + 1 rarest words of each. Words of common passages and
+lines are the least rare, so they join hardly anything. Links are closed by large-star/small-star rounds. No
+bucket is collected and nothing is capped.
+
+Verification. A pair is settled by the lengths, by the number of common words (a lower bound of the
+distance), by an alignment along the words that are unique in both (an upper bound), and only then by
+dynamic programming in a band of width 2d + 1. A leader's words are sent once for each ``GROUP`` of its
+candidates, not once a pair.
+
+A pair whose shingles have Jaccard similarity J meets with probability 1 - (1 - J ** 4) ** 64: 0.98 at 0.5,
+0.81 at 0.4; members of a class are found through any of its links. Fewer shingles a sketch would find
+more of the rest, but a passage that many texts share would then put most of them in common buckets. Recall
+over pairs, by itself and through classes: README.
 
 Defined results: null texts and texts without a word are classes of their own, one a document; a text
-of under five words has one token, its whole word sequence; repeated rows and rows with a null doc_id
-take the class of their text; an empty table gives an empty result.
+of under five words has one shingle, its whole word sequence; repeated rows and rows with a null doc_id
+take the class of their text; columns of any name pass through the filter; an empty table gives an empty
+result. Words are compared by 32-bit hashes inside a pair.
 """
 
 from __future__ import annotations
@@ -36,214 +40,356 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from partflow.llm.components import connected_components
-from partflow.llm.shared import drop_stored, stored
+from partflow.llm.shared import drop_stored, fresh, stored
 from partflow.llm.words import join_hashes, mix, row_index, run_rank, slices, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
-SKETCHES = 24
+SKETCHES = 64
 L = 4
-SHORT = 20
-SHORT_L = 2
-LARGE = 64
+#: Words a gram, grams a sketch, sketches, and under how many words a text has them.
+KINDS = ((SHINGLE, L, SKETCHES, 1 << 62), (3, 2, 16, 100), (2, 1, 16, 40))
+ROUNDS = 3
+LISTED = 1 << 16
+GROUP = 256
+CELLS = 1 << 15
 SLICE = 3 << 20
+BATCH_ROWS = 2000
 
 _U = np.uint64
+_LABEL = _U(0xA24BAED4963EE407)
 _SEEDS = np.random.default_rng(613).integers(1, 2**63, SKETCHES, dtype=np.uint64) * _U(2) + _U(1)
 
 
-def labelled_shingles(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrence-labelled shingle hashes in text order, and for each row the index of its first (one entry more)."""
-    h, rows = word_hashes(column)
+def labelled_grams(h: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrence-labelled hashes of the runs of ``size`` words in text order, and for each row the index of its first.
+
+    ``h`` holds word hashes, ``rows`` where each text begins (one entry more). A shorter text is one gram.
+    """
     n = np.diff(rows)
-    grams = join_hashes(h, shingle)
+    grams = join_hashes(h, size)
     row = row_index(rows)
-    inside = np.flatnonzero(row[: len(grams)] == row[shingle - 1 :]) if len(grams) else np.zeros(0, np.int64)
-    few = np.flatnonzero((n > 0) & (n < shingle))
+    inside = np.flatnonzero(row[: len(grams)] == row[size - 1 :]) if len(grams) else np.zeros(0, np.int64)
+    few = np.flatnonzero((n > 0) & (n < size))
     whole = np.zeros(len(few), np.uint64)
-    for i, r in enumerate(few):
-        for x in h[rows[r] : rows[r + 1]]:
-            whole[i] = mix(whole[i : i + 1] * _U(31) + x)[0]
+    for i in range(size - 1):
+        more = few[n[few] > i]
+        whole[n[few] > i] = mix(whole[n[few] > i] * _U(31) + h[rows[more] + i])
     at = np.concatenate([row[inside], few])
     order = np.argsort(at, kind="stable")
     tokens, at = np.concatenate([grams[inside], whole])[order], at[order]
-    tokens = mix(tokens + run_rank(tokens, at).astype(np.uint64) * _U(0xA24BAED4963EE407))
-    return tokens, np.searchsorted(at, np.arange(len(rows)))
-
-
-def sketch(tokens: np.ndarray, size: int, salt: int) -> np.ndarray:
-    """The Order MinHash of one text: for each seed the ``size`` smallest tokens, hashed in text order."""
-    size = min(size, len(tokens))
-    ranks = tokens[None, :] * _SEEDS[:, None]
-    if size < len(tokens):
-        at = np.sort(np.argpartition(ranks, size - 1, axis=1)[:, :size], axis=1)
-    else:
-        at = np.broadcast_to(np.arange(size), (len(_SEEDS), size))
-    out = _SEEDS + _U(salt)
-    for j in range(size):
-        out = mix(out * _U(0x9FB21C651E98DF25) + tokens[at[:, j]])
+    return mix(tokens + run_rank(tokens, at).astype(np.uint64) * _LABEL), np.searchsorted(at, np.arange(len(rows)))
+
+
+def sketches(tokens: np.ndarray, rows: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
+    """One row a text, one column a seed: its ``size`` smallest tokens (all, if fewer), hashed in text order. No text is empty."""
+    n, out = np.diff(rows), np.zeros((len(rows) - 1, len(seeds)), np.uint64)
+    if not len(n):
+        return out
+    row = row_index(rows)
+    for k, seed in enumerate(seeds):
+        rank, places = tokens * seed, []
+        for _ in range(size):
+            place = np.flatnonzero(rank == np.minimum.reduceat(rank, rows[:-1])[row])
+            if len(place) != len(n):  # a text has run out of tokens: all of it has the largest rank now
+                place = place[np.searchsorted(row[place], np.arange(len(n)))]
+            places.append(place)
+            rank[place] = ~_U(0)
+        key = np.full(len(n), mix(seeds[k : k + 1] + _U(size))[0], np.uint64)
+        for place in np.sort(np.stack(places), axis=0):
+            key = mix(key * _U(0x9FB21C651E98DF25) + tokens[place])
+        out[:, k] = key
+    return out
+
+
+def _aligned_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """An upper bound of the edit distance: along the words unique in both, position by position where the gap is as long on both sides."""
+    own_a, at_a, count_a = np.unique(a, return_index=True, return_counts=True)
+    own_b, at_b, count_b = np.unique(b, return_index=True, return_counts=True)
+    _, x, y = np.intersect1d(own_a[count_a == 1], own_b[count_b == 1], assume_unique=True, return_indices=True)
+    i, j = at_a[count_a == 1][x], at_b[count_b == 1][y]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    if (np.diff(j) < 0).any():  # longest increasing run of places
+        tails, last, before = [], [], np.full(len(j), -1)
+        for k, v in enumerate(j.tolist()):
+            p = bisect_left(tails, v)
+            tails[p : p + 1], last[p : p + 1] = [v], [k]
+            before[k] = last[p - 1] if p else -1
+        chain = [last[-1]]
+        while before[chain[-1]] >= 0:
+            chain.append(before[chain[-1]])
+        i, j = i[chain[::-1]], j[chain[::-1]]
+    i, j = np.concatenate([[-1], i, [len(a)]]), np.concatenate([[-1], j, [len(b)]])
+    gap_a, gap_b = np.diff(i) - 1, np.diff(j) - 1
+    even = gap_a == gap_b
+    starts, sizes = i[:-1][even] + 1, gap_a[even]
+    ends = np.cumsum(sizes)
+    each = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    shift = np.repeat((j - i)[:-1][even], sizes)
+    return int(np.maximum(gap_a, gap_b)[~even].sum() + (a[each] != b[each + shift]).sum())
+
+
+def _banded_distances(texts: list[np.ndarray], b: np.ndarray, most: list[int]) -> np.ndarray:
+    """The edit distance of each text to ``b``, or more than its ``most`` if it is larger: all at once, in one band of diagonals."""
+    wide = max(most)
+    width, far = 2 * wide + 1, 2 * wide + 2
+    kind = np.int16 if far < 1 << 14 else np.int32
+    lane, limit = np.arange(width, dtype=kind), np.array(most)
+    sizes = np.array([len(a) for a in texts])
+    words = np.zeros((len(texts), sizes.max()), np.int64)
+    for k, a in enumerate(texts):
+        words[k, : len(a)] = a.astype(np.int64) + 1
+    padded = np.concatenate([np.full(wide + 1, -1), b.astype(np.int64) + 1, np.full(width + words.shape[1], -1)])
+    row = np.tile(np.where(lane >= wide, lane - wide, far).astype(kind), (len(texts), 1))  # row 0: column = lane - wide
+    end = len(b) - sizes + wide
+    out = np.full(len(texts), far, np.int64)
+    out[sizes == 0] = len(b)
+    for i in range(1, words.shape[1] + 1):
+        diagonal = row + (padded[i : i + width] != words[:, i - 1, None])
+        row[:, :-1] = row[:, 1:]
+        row[:, -1] = far
+        row += 1
+        np.minimum(row, diagonal, out=row)
+        if i <= wide:
+            row[:, wide - i] = i
+            row[:, : wide - i] = far
+        row -= lane
+        np.minimum.accumulate(row, axis=1, out=row)
+        row += lane
+        np.minimum(row, far, out=row)
+        done = np.flatnonzero((sizes == i) & (end >= 0) & (end < width))
+        out[done] = row[done, end[done]]
+        if i % 16 == 0 and (row.min(axis=1) > limit)[sizes > i].all():
+            break
     return out
 
 
-def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
-    """Similarity of two token sequences by banded alignment; 0 where the band rules ``threshold`` out."""
-    total = len(a) + len(b)
-    need = threshold * total / (1 + threshold)
-    if not len(a) or not len(b) or min(len(a), len(b)) < need - 1e-9:
-        return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    # Every token left out on either side shifts the diagonal by one at most.
-    near = np.abs(i - j) <= total - 2 * need + 1e-9
-    i, j = i[near], j[near]
-    if len(i) < need - 1e-9:
-        return 0.0
-    j = j[np.argsort(i)]
-    m = len(j)
-    if not (np.diff(j) > 0).all():
-        tails: list[int] = []
-        for x in j.tolist():
-            k = bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        m = len(tails)
-    return m / (total - m)
-
-
-def _sketches(docs: DataFrame) -> DataFrame:
-    """(node, doc_id, n, keys): node is the hash of the text, n its number of tokens, keys one hash a sketch."""
+def _most(a: np.ndarray, b: np.ndarray, threshold: float) -> int:
+    return int((1 - threshold) * max(len(a), len(b)) + 1e-9)
+
+
+def _settled(a: np.ndarray, b: np.ndarray, threshold: float) -> bool | None:
+    """Whether the edit similarity is ``threshold`` or more, where bounds of the distance tell; else null."""
+    most = _most(a, b, threshold)
+    if abs(len(a) - len(b)) > most:
+        return False
+    k = min(len(a), len(b))
+    apart = np.flatnonzero(a[:k] != b[:k])
+    if len(apart) <= most and len(a) == len(b):
+        return True
+    head = int(apart[0]) if len(apart) else k
+    apart = np.flatnonzero(a[len(a) - k :][::-1] != b[len(b) - k :][::-1])
+    tail = min(int(apart[0]) if len(apart) else k, k - head)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    big = max(len(a), len(b))
+    if big <= most:
+        return True
+    own_a, count_a = np.unique(a, return_counts=True)
+    own_b, count_b = np.unique(b, return_counts=True)
+    _, x, y = np.intersect1d(own_a, own_b, assume_unique=True, return_indices=True)
+    if big - np.minimum(count_a[x], count_b[y]).sum() > most:
+        return False
+    return True if _aligned_distance(a, b) <= most else None
+
+
+def similar(texts: list[np.ndarray], b: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Whether the edit similarity of each word sequence to ``b`` is ``threshold`` or more."""
+    found = [_settled(a, b, threshold) for a in texts]
+    open_ = sorted((i for i, x in enumerate(found) if x is None), key=lambda i: len(texts[i]))
+    while open_:  # as many at once as keep the band in a cache
+        most = [_most(texts[i], b, threshold) for i in open_]
+        many = max(1, int(np.searchsorted(np.arange(1, len(open_) + 1) * (2 * np.array(most) + 1), CELLS)))
+        part, most = open_[:many], most[:many]
+        for i, far, limit in zip(part, _banded_distances([texts[i] for i in part], b, most), most):
+            found[i] = far <= limit
+        open_ = open_[many:]
+    return np.array(found, bool)
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    """(node, n, keys, words) of each distinct text with a word: the hash of the text, its number of words, sketches, 32-bit word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE) if batch.num_rows else ():
-                tokens, rows = labelled_shingles(part.column(2))
+                h, rows = word_hashes(part.column(1))
+                live = np.flatnonzero(np.diff(rows))
+                if not len(live):
+                    continue
+                rows = np.append(rows[live], rows[-1])
                 n = np.diff(rows)
-                keys = []
-                for lo, hi in zip(rows[:-1], rows[1:]):
-                    own = tokens[lo:hi]
-                    if hi == lo:
-                        keys.append(np.zeros(0, np.uint64))
-                    elif len(own) >= SHORT:
-                        keys.append(sketch(own, L, 1))
-                    else:
-                        keys.append(np.concatenate([sketch(own, L, 1), sketch(own, SHORT_L, 2)]))
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int32)), lists], ["node", "doc_id", "n", "keys"])
-
-    source = docs.select(F.xxhash64("text").alias("node"), "doc_id", "text")
-    return source.mapInArrow(run, f"node long, doc_id {source.schema['doc_id'].dataType.simpleString()}, n int, keys array<bigint>")
-
-
-def _with_partners(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The nodes (node, n) that can reach the threshold with another: at least that part of their tokens is held by two nodes.
-
-    A similarity of t needs t * |A or B| common tokens, so t * |A| of A's.
-    """
+                of, keys = [], []
+                for gram, size, count, below in KINDS:
+                    mine = np.flatnonzero(n < below)
+                    starts = np.concatenate([[0], np.cumsum(n[mine])])
+                    keys.append(sketches(*labelled_grams(h[np.repeat(n < below, n)], starts, gram), _SEEDS[:count], size).ravel())
+                    of.append(np.repeat(mine, count))
+                of = np.concatenate(of)
+                flat = np.concatenate(keys)[np.argsort(of, kind="stable")]
+                at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(n)))])
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
+                data = (h >> _U(32)).astype("<u4").tobytes()
+                words = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((rows * 4).astype(np.int32).tobytes()), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(live)), pa.array(n.astype(np.int32)), lists, words], ["node", "n", "keys", "words"])
+
+    rows = docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(run, "node long, n int, keys array<bigint>, words binary")
+    return rows.groupBy("node").agg(F.max("n").alias("n"), F.first(F.struct("keys", "words")).alias("s")).select("node", "n", "s.keys", "s.words")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", SLICE) if batch.num_rows else ():
-                tokens, rows = labelled_shingles(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row_index(rows))), pa.array(tokens.view(np.int64))], ["node", "token"])
 
-    tokens = texts.join(nodes.select("node"), "node").select("node", "text").mapInArrow(run, "node long, token long")
-    alone = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    left = F.col("n") - F.coalesce("alone", F.lit(0))
-    return nodes.join(alone, "node", "left").where(left >= threshold * F.col("n") - 1e-9).select("node")
+def _words(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u4") if x.is_valid else np.zeros(0, np.uint32) for x in column]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts reach the threshold."""
+def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts reach the threshold.
+
+    Rows are sorted by b; its own words come once before those of each group of its candidates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader = None
         for batch in batches:
-            for part in slices(batch, "text_a", SLICE) if batch.num_rows else ():
-                a, rows_a = labelled_shingles(part.column(2))
-                # One leader stands beside many texts: tokens of equal neighbours are made once.
-                leaders = part.column(1).to_numpy()
-                fresh = np.flatnonzero(np.concatenate([[True], leaders[1:] != leaders[:-1]]))
-                which = np.cumsum(np.concatenate([[0], (leaders[1:] != leaders[:-1]).astype(np.int64)]))
-                b, rows_b = labelled_shingles(part.column(3).take(pa.array(fresh)))
-                keep = [i for i in range(part.num_rows) if aligned(a[rows_a[i] : rows_a[i + 1]], b[rows_b[which[i]] : rows_b[which[i] + 1]], threshold) >= threshold - 1e-12]
-                keep = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep)], ["a", "b"])
-
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
-
+            b = batch.column(1).to_numpy()
+            words, is_leader = _words(batch.column(2)), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], is_leader[1:] | (b[1:] != b[:-1])])) if len(b) else []
+            keep = np.zeros(len(b), bool)
+            for lo, hi in zip(cuts, [*cuts[1:], len(b)]):
+                if is_leader[lo]:
+                    leader = words[lo].copy()
+                    lo += 1
+                if lo < hi:
+                    keep[lo:hi] = similar(words[lo:hi], leader, threshold)
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
+
+    groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    words = nodes.select("node", "words")
+    mine = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("group"))
+    mine = mine.join(words.withColumnRenamed("node", "a"), "a").select("a", "b", "group", "words")
+    lead = groups.join(words.withColumnRenamed("node", "b"), "b").select(F.lit(None).cast("long").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "words")
+    dealt = mine.unionByName(lead).repartition("b", "group").sortWithinPartitions("b", "group", F.col("a").asc_nulls_first())
+    return dealt.select("a", "b", "words").mapInArrow(run, "a long, b long")
+
+
+def _labelled_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    words = _words(column)
+    rows = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+    return labelled_grams(mix(np.concatenate([np.zeros(0, np.uint32), *words]).astype(np.uint64) + _U(1)), rows, 1)
+
+
+def _rare_pairs(left: DataFrame, nodes: DataFrame, threshold: float, listed: int = LISTED) -> DataFrame:
+    """The pairs of nodes (node, n, root) of different roots that share one of their rarest words.
+
+    Words are labelled with their occurrence number. Texts of the threshold have threshold * n of them in
+    common, so one among the n - threshold * n + 1 that come first in any order. The order is by how many
+    texts hold a word, as far as the ``listed`` most frequent of the words that two roots hold go (a table
+    of fixed size), others before them. Where all of those are listed, other words join nothing, and a
+    text with fewer than threshold * n listed words has no partner.
+    """
+    texts = stored(left.join(nodes.select("node", "words"), "node").select("node", "n", "root", "words"), "left")
 
-def _classes(docs: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, node, class_id, class_size and whether the text is the one of its class that stays."""
-    docs = docs.select("doc_id", "text")
-    rows = stored(_sketches(docs), "sketches")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max_by("keys", "n").alias("keys"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, ends = _labelled_words(batch.column(0))
+            roots = batch.column(1).to_numpy()[row_index(ends)]
+            order = np.lexsort((roots, tokens))
+            own, at, n = np.unique(tokens[order], return_index=True, return_counts=True)
+            low, high = roots[order][at], roots[order][at + n - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n), pa.array(low), pa.array(high)], ["word", "texts", "low", "high"])
+
+    counts = texts.select("words", "root").mapInArrow(count, "word long, texts long, low long, high long")
+    counts = counts.groupBy("word").agg(F.sum("texts").alias("texts"), F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("word", "texts")
+    known = np.array(counts.orderBy(F.desc("texts"), "word").limit(listed).collect(), np.int64).reshape(-1, 2)  # at most ``listed`` rows
+    known = known[np.argsort(known[:, 0].view(np.uint64))]
+    shared = left.sparkSession.sparkContext.broadcast((known[:, 0].view(np.uint64).copy(), known[:, 1].copy()))
+    whole = len(known) < listed  # every word that two roots hold is listed: others join nothing
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, held = shared.value
+        for batch in batches:
+            tokens, ends = _labelled_words(batch.column(3))
+            n, row = np.diff(ends), row_index(ends)
+            at = np.minimum(np.searchsorted(common, tokens), max(0, len(common) - 1))
+            texts_with = np.where(common[at] == tokens, held[at], 0) if len(common) else np.zeros(len(tokens), np.int64)
+            order = np.lexsort((tokens, texts_with, row))
+            need = np.ceil(threshold * n - 1e-9).astype(np.int64)
+            take = np.arange(len(tokens)) - ends[row] < (n - need + 1)[row]
+            if whole:
+                able = np.bincount(row[texts_with > 0], minlength=len(n)) >= need
+                take &= (texts_with[order] > 0) & able[row]
+            take = order[take]
+            back = pa.array(row[take])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[take].view(np.int64)), *(batch.column(c).take(back) for c in range(3))], ["word", "node", "n", "root"])
+
+    rare = stored(texts.mapInArrow(first, "word long, node long, n int, root long"), "rare", BATCH_ROWS)
+    x = rare.select("word", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    y = rare.select("word", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    near = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
+    return x.join(y, "word").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+
+
+def _links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(member, root) of every node that has a near duplicate; the root is the smallest node of the class."""
     buckets = nodes.select("node", "n", F.explode("keys").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(buckets.join(shared, "bucket").select("bucket", "node", "n", "size"), "buckets")
-    wanted = members.select("node").distinct().join(rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d")), "node").select("node", "d.doc_id")
-    source = docs.withColumn("node", F.xxhash64("text"))
-    same = (source["node"] == wanted["node"]) & source["doc_id"].eqNullSafe(wanted["doc_id"])
-    texts = stored(source.join(wanted, same, "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
-
+    shared = buckets.groupBy("bucket").agg(F.count("*").cast("int").alias("size")).where("size > 1")
+    members = stored(buckets.join(shared, "bucket").select("bucket", "size", "node", "n"), "buckets")
     roots = tried = None
-    for turn in range(3):
-        # Leader: the smallest node first, later the one that comes first by another hash.
-        named = members if roots is None else members.join(roots, members["node"] == roots["member"], "left").select("bucket", "node", "n", "size", F.coalesce("root", "node").alias("root"))
-        if turn == 0:
-            lead = members.groupBy("bucket").agg(F.min("node").alias("b"))
-            pairs = members.join(lead, "bucket").where("node != b").select(F.col("node").alias("a"), "b").distinct()
-        elif turn == 1:
-            lead = named.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("l"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
-            pairs = named.join(lead, "bucket").where("root != l.root").select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct()
+    for turn in range(ROUNDS + 1):
+        if roots is None:
+            named = members.withColumn("root", F.col("node"))
+        else:
+            named = members.join(roots, members["node"] == roots["member"], "left").select("bucket", "size", "node", "n", F.coalesce("root", "node").alias("root"))
+        lead = named.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("l"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+        rest = named.join(lead.where("r1 != r2").select("bucket", "l"), "bucket")
+        if turn < ROUNDS:
+            rest = stored(rest.where("node != l.node"), "buckets")
+            near = F.least("n", "l.n") >= threshold * F.greatest("n", "l.n") - 1e-9
+            pairs = rest.where((F.col("root") != F.col("l.root")) & near).select(F.col("node").alias("a"), F.col("l.node").alias("b"))
+            members = rest.where(F.col("size") > turn + 2).select("bucket", "size", "node", "n")  # two at least are left
         else:
-            mixed = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("bucket")
-            some = stored(named.join(mixed, "bucket").select("bucket", "node", "n", "root"), "mixed")
-            able = _with_partners(some.select("node", "n").distinct(), texts, threshold)
-            some = some.join(able, "node")
-            again = some.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("bucket", "size")
-            some = some.join(again, "bucket").join(nodes.select("node", "keys"), "node")
-            # A large bucket is split by the members' other sketches, each with a larger number.
-            under = F.when(F.col("size") > LARGE, F.filter("keys", lambda k: k > F.col("bucket"))).otherwise(F.array("bucket"))
-            some = stored(some.withColumn("under", F.explode(under)), "mixed")
-            x = some.select("bucket", "under", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("keys").alias("ka"))
-            y = some.select("bucket", "under", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
-            close = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
-            common = F.array_sort(F.array_intersect("ka", "kb"))
-            once = (F.col("bucket") == F.get(common, F.lit(0))) & (F.size(common) > 1) & ((F.col("under") == F.col("bucket")) | (F.col("under") == F.get(common, F.lit(1))))
-            pairs = x.join(y, ["bucket", "under"]).where(close & once).select("a", "b")
+            pairs = _rare_pairs(stored(rest.select("node", "n", "root").distinct(), "left"), nodes, threshold)
+        pairs = pairs.distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "pairs")
-        found = stored(_verified(pairs, texts, threshold), "links")
-        tried = pairs if tried is None else tried.union(pairs)
+            pairs = pairs.join(tried, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti")
+        pairs = stored(pairs, "pairs")
+        again = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        tried = again if tried is None else tried.union(again)
+        found = stored(_verified(pairs, nodes, threshold), "links", BATCH_ROWS)
         if roots is not None:
             if found.isEmpty():
                 continue
             found = found.union(roots.select(F.col("member").alias("a"), F.col("root").alias("b")))
         roots = stored(connected_components(found).select(F.col("node").alias("member"), "root"), "roots")
-    drop_stored(texts)
+    return roots
+
 
-    known = rows.join(roots, rows["node"] == roots["member"], "left").select("doc_id", "node", "n", F.coalesce("root", "node").alias("root"))
-    named = known.where("n > 0").select("doc_id", "node", "root")
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, node, class_id, class_size and whether the text is the one of its class that stays."""
+    nodes = stored(_nodes(docs), "nodes")
+    roots = _links(nodes, threshold)
+    drop_stored(nodes)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    known = docs.select("doc_id", F.xxhash64("text").alias("node"), worded.alias("worded"))
+    named = known.where("worded").join(roots, F.col("node") == F.col("member"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("node").alias("node")))
     classes = named.groupBy("root").agg(first.alias("first"), F.count("*").alias("class_size"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
     grouped = named.join(classes, "root").select("doc_id", "node", F.col("first.doc_id").alias("class_id"), "class_size", stays.alias("stays"))
-    alone = known.where("n = 0").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("stays"))
+    alone = known.where("NOT worded").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("stays"))
     return grouped.union(alone)
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: doc_id, class_id (smallest doc_id of its class) and class_size (documents)."""
-    return _classes(docs, threshold).select("doc_id", "class_id", "class_size")
+    return _classes(docs.select("doc_id", "text"), threshold).select("doc_id", "class_id", "class_size")
 
 
 def filter_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one of each class left, that of the smallest doc_id; texts without a word all stay."""
-    # A struct of the id is never null, so one shuffle of the texts serves the join and the window.
-    gone = _classes(docs, threshold).where("NOT stays").select(F.struct("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    left = docs.withColumns({"_id": F.struct("doc_id"), "_node": F.xxhash64("text")}).join(gone, ["_id", "_node"], "left_anti")
+    key, turn = (fresh(c, docs.columns) for c in ("key", "turn"))
+    # A struct is never null, so one shuffle of the texts serves the join and the window.
+    gone = _classes(docs.select("doc_id", "text"), threshold).where("NOT stays").select(F.struct("doc_id", "node").alias(key)).distinct()
+    left = docs.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("node"))).join(gone, key, "left_anti")
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    turn = F.row_number().over(Window.partitionBy("_id", "_node").orderBy(F.lit(1)))
-    return left.withColumn("_turn", turn).where((F.col("_turn") == 1) | ~worded).select(*docs.columns)
+    left = left.withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
+    return left.where((F.col(turn) == 1) | ~worded).select(*docs.columns)
