@@ -489,7 +489,7 @@ def pipe1_documents(spark: SparkSession, path: str) -> DataFrame:
     invoices = domain.invoice_texts(spark, path).select("doc_id", F.concat(F.lit("\f"), "text", F.lit(" sold by Vendor"), key % 9, F.lit("\f")).alias("text"))
     prose = domain.table(spark, path, "documents").select((-1 - key).alias("doc_id"), "text")
     docs = invoices.unionByName(prose)
-    content = F.to_json(F.struct(F.concat(F.lit("scanned page of document "), key, F.lit(" see https://www.parts"), key % 9, F.lit(".com")).alias("md_results")))
+    content = F.to_json(F.struct(F.concat(F.lit("scanned page of document "), key, F.lit(" see https://www.parts"), F.abs(key) % 9, F.lit(".com")).alias("md_results")))
     done = routing.parse_documents(docs, templates(spark, path), _now(), _invoice_responses(spark, path), docs.select("doc_id", content.alias("content")))
     sums = lambda c: F.round(F.aggregate("items", F.lit(0.0), lambda s, x: s + x[c] * x["quantity"]), 2).alias(c)
     return done.select("doc_id", "template_id", "confidence", "quality_issue", "rejected_reason", "route", "outcome", "wants_rule", *routing.METADATA, F.size("items").alias("n_items"), sums("unit_price"), sums("ship_cost"), sums("tax_price"))
