@@ -277,7 +277,7 @@ def _labelled_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return labelled_grams(mix(np.concatenate([np.zeros(0, np.uint32), *words]).astype(np.uint64) + _U(1)), rows, 1)
 
 
-def _rare_pairs(left: DataFrame, nodes: DataFrame, threshold: float, listed: int = LISTED) -> DataFrame:
+def _rare_pairs(left: DataFrame, nodes: DataFrame, threshold: float, listed: int = LISTED, made: list[DataFrame] | None = None) -> DataFrame:
     """The pairs of nodes (node, n, root) of different roots that share one of their rarest words.
 
     Words are labelled with their occurrence number. Texts of the threshold have threshold * n of them in
@@ -286,6 +286,7 @@ def _rare_pairs(left: DataFrame, nodes: DataFrame, threshold: float, listed: int
     of fixed size), others before them. Where all of those are listed, other words join nothing, and a
     text with fewer than threshold * n listed words has no partner.
     """
+    made = made if made is not None else []  # tables that the caller may drop
     texts = stored(left.join(nodes.select("node", "words"), "node").select("node", "n", "root", "words"), "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,6 +323,7 @@ def _rare_pairs(left: DataFrame, nodes: DataFrame, threshold: float, listed: int
             yield pa.RecordBatch.from_arrays([pa.array(tokens[take].view(np.int64)), *(batch.column(c).take(back) for c in range(3))], ["word", "node", "n", "root"])
 
     rare = stored(texts.mapInArrow(first, "word long, node long, n int, root long"), "rare", BATCH_ROWS)
+    made += [texts, rare]
     x = rare.select("word", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
     y = rare.select("word", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
     near = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
@@ -333,7 +335,7 @@ def _links(nodes: DataFrame, threshold: float) -> DataFrame:
     buckets = nodes.select("node", "n", F.explode("keys").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").cast("int").alias("size")).where("size > 1")
     members = stored(buckets.join(shared, "bucket").select("bucket", "size", "node", "n"), "buckets")
-    roots = tried = None
+    roots, tried, made = None, None, [members]  # all of them are dropped but the roots
     for turn in range(ROUNDS + 1):
         if roots is None:
             named = members.withColumn("root", F.col("node"))
@@ -343,11 +345,14 @@ def _links(nodes: DataFrame, threshold: float) -> DataFrame:
         rest = named.join(lead.where("r1 != r2").select("bucket", "l"), "bucket")
         if turn < ROUNDS:
             rest = stored(rest.where("node != l.node"), "buckets")
+            made.append(rest)
             near = F.least("n", "l.n") >= threshold * F.greatest("n", "l.n") - 1e-9
             pairs = rest.where((F.col("root") != F.col("l.root")) & near).select(F.col("node").alias("a"), F.col("l.node").alias("b"))
             members = rest.where(F.col("size") > turn + 2).select("bucket", "size", "node", "n")  # two at least are left
         else:
-            pairs = _rare_pairs(stored(rest.select("node", "n", "root").distinct(), "left"), nodes, threshold)
+            left = stored(rest.select("node", "n", "root").distinct(), "left")
+            made.append(left)
+            pairs = _rare_pairs(left, nodes, threshold, made=made)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti")
@@ -355,11 +360,14 @@ def _links(nodes: DataFrame, threshold: float) -> DataFrame:
         again = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         tried = again if tried is None else tried.union(again)
         found = stored(_verified(pairs, nodes, threshold), "links", BATCH_ROWS)
+        made += [pairs, found]
         if roots is not None:
             if found.isEmpty():
                 continue
+            made.append(roots)
             found = found.union(roots.select(F.col("member").alias("a"), F.col("root").alias("b")))
         roots = stored(connected_components(found).select(F.col("node").alias("member"), "root"), "roots")
+    drop_stored(*made)
     return roots
 
 

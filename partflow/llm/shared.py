@@ -49,12 +49,14 @@ def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame
     finally:
         if batch_rows:
             spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_path = path
+    return table
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files behind a table made by ``stored`` once nothing reads it any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by ``stored`` once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
