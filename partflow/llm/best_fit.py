@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from partflow.llm.shared import stored
+from partflow.llm.shared import release, stored
 from partflow.llm.tokens import BYTE_BPE, encoder
 from partflow.llm.words import slices
 
@@ -138,6 +138,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_B
     state = gaps.union(cut.where(~alone).select("id", doc, F.lit(1).alias("kind"), size.alias("size"), F.lit(0).alias("used")))
     while (after := _round(spark, state, capacity, class_rows)) is not None:
         after = stored(after, "round")
+        if len(placed) % 8 == 0:
+            release(spark)
         placed.append(after.where("kind > 1").select("doc", "seq", "offset"))
         opened = after.where("kind = 2").select("id", none, F.lit(0).alias("kind"), (capacity - F.col("size")).alias("size"), F.col("size").alias("used"))
         state = after.where("kind < 2 AND size > 0").select("id", "doc", "kind", "size", "used").union(opened.where("size > 0"))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from partflow.llm.components import connected_components
-from partflow.llm.shared import drop_stored, fresh, stored
+from partflow.llm.shared import drop_stored, fresh, release, stored
 from partflow.llm.words import join_hashes, mix, row_index, run_rank, slices, word_hashes
 
 SHINGLE = 5
@@ -361,21 +361,32 @@ def _links(nodes: DataFrame, threshold: float) -> DataFrame:
         tried = again if tried is None else tried.union(again)
         found = stored(_verified(pairs, nodes, threshold), "links", BATCH_ROWS)
         made += [pairs, found]
-        if roots is not None:
-            if found.isEmpty():
-                continue
+        if roots is None:
+            roots = stored(connected_components(found).select(F.col("node").alias("member"), "root"), "roots")
+        elif not found.isEmpty():
             made.append(roots)
-            found = found.union(roots.select(F.col("member").alias("a"), F.col("root").alias("b")))
-        roots = stored(connected_components(found).select(F.col("node").alias("member"), "root"), "roots")
+            roots = stored(_joined_roots(roots, found), "roots")
     drop_stored(*made)
     return roots
 
 
+def _joined_roots(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """(member, root) after more links (a, b): only the links between roots are closed, members follow theirs."""
+    links = found
+    for c in ("a", "b"):
+        links = links.join(roots.select(F.col("member").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(c, F.coalesce(f"root_{c}", c)).drop(f"root_{c}")
+    tops = stored(connected_components(links).select("node", F.col("root").alias("top")), "tops")
+    moved = roots.join(tops, roots["root"] == tops["node"], "left").select("member", F.coalesce("top", "root").alias("root"))
+    lone = tops.select(F.col("node").alias("member"), F.col("top").alias("root")).join(roots.select("member"), "member", "left_anti")
+    return moved.union(lone)
+
+
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     """doc_id, node, class_id, class_size and whether the text is the one of its class that stays."""
     nodes = stored(_nodes(docs), "nodes")
     roots = _links(nodes, threshold)
     drop_stored(nodes)
+    release(docs.sparkSession)
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     known = docs.select("doc_id", F.xxhash64("text").alias("node"), worded.alias("worded"))
     named = known.where("worded").join(roots, F.col("node") == F.col("member"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
