@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partflow.llm import ann, best_fit, mixing, near_dedup, packed_output, quality, substring_dedup, token_counts, toxicity, warc
+from partflow.llm import ann, best_fit, filter_audit, mixing, near_dedup, packed_output, quality, rank_bpe, substring_dedup, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(_table(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bpe.bpe_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_toxicity, op3_substring_dedup, op4_warc, op5_token_counts, op6_mixing, op7_packed_output, op8_quality_rules, op9_nearest, op10_best_fit_packing)
+    for f in (op1_near_dedup, op2_toxicity, op3_substring_dedup, op4_warc, op5_token_counts, op6_mixing, op7_packed_output, op8_quality_rules, op9_nearest, op10_best_fit_packing, op12_bpe, op13_filter_audit)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -99,4 +107,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_digits > word_chars OR 2 * n_letter_words < n_words
        OR 10 * n_top_word > 4 * n_words OR (n_lines >= 5 AND (10 * n_bullets > 9 * n_lines OR 10 * n_ellipses > 3 * n_lines))) AS kept
 FROM m""",
+    "op13_filter_audit": rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS} AS ws, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+      || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END
+      || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+      FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS x, filter_order[1:step - 1] AS earlier FROM o, unnest(range(1, 6)) AS t(step)),
+r AS (SELECT part, filter_order, step, x, sum(n) FILTER (translate(fails, earlier || x, '') = fails) AS kept,
+      sum(n) FILTER (contains(fails, x) AND translate(fails, earlier, '') = fails) AS removed, sum(n) FILTER (contains(fails, x) AND translate(fails, earlier, '') <> fails) AS redundant,
+      sum(n) FILTER (fails = x) AS unique_fails, sum(good) FILTER (contains(fails, x) AND translate(fails, earlier, '') = fails) AS good_lost,
+      sum(toxic) FILTER (contains(fails, x) AND translate(fails, earlier, '') = fails) AS toxic_lost FROM c, s GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley
+FROM r""",
 }
