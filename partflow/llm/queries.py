@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partflow.llm import ann, best_fit, filter_audit, mixing, near_dedup, packed_output, quality, rank_bpe, substring_dedup, token_counts, toxicity, warc
+from partflow.llm import alignment, ann, best_fit, filter_audit, mixing, near_dedup, packed_output, quality, rank_bpe, substring_dedup, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_bpe.bpe_digest(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_toxicity, op3_substring_dedup, op4_warc, op5_token_counts, op6_mixing, op7_packed_output, op8_quality_rules, op9_nearest, op10_best_fit_packing, op12_bpe, op13_filter_audit)
+    for f in (op1_near_dedup, op2_toxicity, op3_substring_dedup, op4_warc, op5_token_counts, op6_mixing, op7_packed_output, op8_quality_rules, op9_nearest, op10_best_fit_packing, op11_alignment, op12_bpe, op13_filter_audit)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
