@@ -68,22 +68,29 @@ def settle(parts: DataFrame, lines: DataFrame, processed: DataFrame) -> DataFram
     return skipped.unionByName(lost).unionByName(done)
 
 
+Running = tuple[int, int, bool]
+
+
+def judge(listing: str | None, n: int | None, running: Running) -> tuple[str, str | None, Running]:
+    """Status and reason of one line, and what it leaves of (stock, listed stock, whether the listing is open)."""
+    stock, listed, is_open = running
+    if is_open and n is not None and stock >= n and listed >= n:
+        return "processed", None, (stock - n, listed - n, listed != n)
+    reason = f"Invariant violation: quantity={stock}, listedQuantity={listed}, sold={n}" if is_open else f"No matching listing for eBay item {'null' if listing is None else listing}"
+    return "quarantined", reason, running
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Status and reason of lines that come sorted by listing and order."""
-    listing, stock, listed, is_open = object(), 0, 0, True
+    listing, running = object(), (0, 0, True)
     for batch in batches:
         statuses, reasons = [], []
-        for key, n, first_stock, first_listed in zip(*(batch.column(c).to_pylist() for c in ("listing_id", "quantity", "_stock", "_listed"))):
+        for key, n, stock, listed in zip(*(batch.column(c).to_pylist() for c in ("listing_id", "quantity", "_stock", "_listed"))):
             if key != listing:
-                listing, stock, listed, is_open = key, first_stock, first_listed, True
-            if is_open and n is not None and stock >= n and listed >= n:
-                stock, listed = stock - n, listed - n
-                is_open = listed != 0
-                statuses.append("processed")
-                reasons.append(None)
-            else:
-                statuses.append("quarantined")
-                reasons.append(f"Invariant violation: quantity={stock}, listedQuantity={listed}, sold={n}" if is_open else f"No matching listing for eBay item {key}")
+                listing, running = key, (stock, listed, True)
+            status, reason, running = judge(key, n, running)
+            statuses.append(status)
+            reasons.append(reason)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(statuses, pa.string()), pa.array(reasons, pa.string())], [*batch.schema.names, "status", "reason"])
 
 
@@ -101,9 +108,14 @@ def settlement_events(verdicts: DataFrame) -> DataFrame:
     return verdicts.where("status = 'processed'").select("part_id", F.lit("ebay_sold").alias("event_type"), (-F.col("quantity_depleted")).alias("quantity_change"), F.concat(F.lit("eBay order #"), "order_id").alias("note"))
 
 
+def newly_processed(verdicts: DataFrame) -> DataFrame:
+    """The lines that the verdicts add to the processed ones."""
+    return verdicts.where("status != 'skipped'").select("order_id", "line_id", "part_id", "quantity_depleted", "quarantine_reason")
+
+
 def processed_after(processed: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The processed lines with the new ones."""
-    new = verdicts.where("status != 'skipped'").select("order_id", "line_id", "part_id", "quantity_depleted", "quarantine_reason")
+    new = newly_processed(verdicts)
     return processed.select(*new.columns).unionByName(new)
 
 

@@ -7,11 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partflow.plans.changes import _SETTLED
+from partflow.plans.changes import _POLLED, _SETTLED, _seen, _sold, _watermark
 from partflow.plans.registry import query
 from partflow.sources import domain
+from partflow.sources.commits import Store
 from partflow.sources.domain import with_views
-from partflow.streaming.settlement import VERDICTS, dedupe_stream, read_verdicts, settle_stream
+from partflow.streaming.settlement import VERDICTS, dedupe_stream, open_store, read_verdicts, run_poll, settle_stream
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -49,3 +50,24 @@ def str3_settle_stream(spark: SparkSession, path: str) -> DataFrame:
     out = _scratch(spark, "settled")
     settle_stream(_stream(spark, path), domain.parts(spark, path), out, _scratch(spark, "stream")).awaitTermination()
     return read_verdicts(spark, out).select(*(f.split()[0] for f in VERDICTS.split(", ") if not f.startswith("created")))
+
+
+def _polled(spark: SparkSession, path: str) -> Store:
+    """The store after a poll and its repeat, which changes nothing."""
+    mark, folder = _watermark(spark, path), _scratch(spark, "poll")
+    now = mark.select(F.col("last_polled_at") + F.expr("INTERVAL 300 DAYS")).scalar()
+    open_store(domain.parts(spark, path), mark, folder, _seen(spark, path))
+    for _ in range(2):
+        run_poll(spark, folder, _sold(spark, path), now)
+    return Store(spark, folder)
+
+
+@query(f"{_POLLED} SELECT part_id, 'ebay_sold' AS event_type, -quantity_depleted AS quantity_change, 'eBay order #' || order_id AS note FROM settled WHERE status = 'processed'")
+def snk1_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return _polled(spark, path).read("events")
+
+
+@query(f"""{_POLLED}, sold AS (SELECT part_id, sum(quantity_depleted) AS n FROM settled WHERE status = 'processed' GROUP BY part_id)
+SELECT id, CAST(quantity - coalesce(n, 0) AS INTEGER) AS quantity, CAST(listed_quantity - coalesce(n, 0) AS INTEGER) AS listed_quantity, CASE WHEN n IS NULL OR listed_quantity <> n THEN ebay_listing_id END AS ebay_listing_id FROM parts LEFT JOIN sold ON part_id = id""")
+def snk2_stored_parts(spark: SparkSession, path: str) -> DataFrame:
+    return _polled(spark, path).read("parts").select("id", "quantity", "listed_quantity", "ebay_listing_id")

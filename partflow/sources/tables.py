@@ -74,35 +74,6 @@ def supplement_text(docs: DataFrame, ocr_responses: DataFrame, quality: str = "q
     return joined.withColumn("text", F.when(more, F.concat("text", F.lit("\n\n--- OCR-enhanced text ---\n"), "_ocr")).otherwise(F.col("text"))).drop("_ocr")
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Add rows to the event ledger."""
-    events.write.mode("append").parquet(path)
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The finished versions of a table: those whose writer has left its mark."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    marks = jvm.org.apache.hadoop.fs.Path(f"{path}/v-*/_SUCCESS")
-    found = marks.getFileSystem(conf).globStatus(marks)
-    return sorted(int(f.getPath().getParent().getName().removeprefix("v-")) for f in found or [])
-
-
-def write_table(df: DataFrame, path: str) -> int:
-    """Write a changed table as the next version below ``path``; returns its number.
-
-    A version counts once all of it is there, so readers see the old or the new table, never a part. Two
-    writers of one version do not mix: the second fails.
-    """
-    version = max(_versions(df.sparkSession, path), default=0) + 1
-    df.write.mode("errorifexists").parquet(f"{path}/v-{version:010d}")
-    return version
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The last finished version of a table."""
-    return spark.read.parquet(f"{path}/v-{max(_versions(spark, path)):010d}")
-
-
 def insert_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """The target with those rows whose keys it does not hold; of rows with equal keys the least is taken."""
     order = [c for c in target.columns if c not in keys]

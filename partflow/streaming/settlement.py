@@ -1,18 +1,23 @@
-"""Settlement as a stream: replays are dropped within the watermark, verdicts are kept by batch.
+"""Settlement as a stream, with what has been seen and what is in stock as keyed state; and the stored poll.
 
-State is never updated in place. A batch's verdicts are one folder, written over when the batch is run
-again, and so is the stock after it: a batch starts from the stock of the one before, so its work does not
-grow with what went before, but for the anti-join that finds lines seen earlier. A batch that is
-repeated after a failure gives the same rows.
+Two stateful operators follow each other: one by order knows its lines that came before, until ``keep_days`` after its
+last new one, and marks repeats; one by listing holds the running stock, which it starts from the parts given. A batch reads and writes
+the state of its own keys only, so its work does not grow with history. Verdicts go to a file sink, which takes each
+batch once; a query that is started again goes on from its checkpoint.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import Any
 
-from partflow.operators.settlement import Poll, after_poll, poll_window, settle, settled_parts
-from partflow.sources.tables import append_events, read_table, write_table
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from partflow.operators.settlement import ORDER, Poll, judge, newly_processed, poll_window, settle, settled_parts, settlement_events, settlement_summary
+from partflow.sources.commits import BUCKETS, Commit, Store
 
 VERDICTS = "order_id string, line_id string, listing_id string, quantity int, created timestamp_ntz, status string, part_id long, quantity_depleted int, quarantine_reason string"
 
@@ -22,47 +27,141 @@ def dedupe_stream(lines: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return lines.withWatermark("created", delay).dropDuplicatesWithinWatermark(["order_id", "line_id"])
 
 
-def earlier_verdicts(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """The verdicts of batches before one."""
-    rows = spark.read.schema(VERDICTS + ", batch long").option("basePath", path).parquet(path)
-    return rows.where(rows["batch"] < before).drop("batch")
-
-
-def settle_stream(lines: DataFrame, parts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Settle a stream of order lines against base stock; verdicts go below ``path``, one folder a batch."""
-    spark = lines.sparkSession
-    spark.createDataFrame([], VERDICTS).write.mode("append").parquet(f"{path}/batch=-1")
-    stock = path.rstrip("/") + "-stock"
-    parts.write.mode("overwrite").parquet(f"{stock}/batch=-1")
-
-    def run(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        before = session.read.schema(parts.schema).parquet(f"{stock}/batch={number - 1}")
-        verdicts = settle(before, batch, earlier_verdicts(session, path, number).where("status != 'skipped'"))
-        verdicts.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        done = session.read.schema(VERDICTS).parquet(f"{path}/batch={number}")
-        settled_parts(before, done).write.mode("overwrite").parquet(f"{stock}/batch={number}")
-
-    return lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+class _Seen(StatefulProcessor):
+    """Marks every row of an (order, line) but the first one ever, in the order of arrival; an order's lines are one state."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "lines array<string>", self.keep_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(list(ORDER), kind="stable")
+        known = list(self.seen.get()[0]) if self.seen.exists() else []
+        lines, before, skip = set(known), len(known), []
+        for line in frame["line_id"]:
+            skip.append(line in lines)
+            if line not in lines:
+                lines.add(line)
+                known.append(line)
+        if len(known) > before:
+            self.seen.update((known,))
+        frame["skip"] = skip
+        yield frame
+
+    def close(self) -> None:
+        pass
+
+
+class _Stock(StatefulProcessor):
+    """Verdicts on the rows of one listing, with its part and running stock as state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stock = handle.getValueState("stock", "part_id long, stock int, listed int, is_open boolean")
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        part = initialState.iloc[0]
+        self.stock.update((int(part["part_id"]), int(part["stock"]), int(part["listed"]), True))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(list(ORDER), kind="stable")
+        state = self.stock.get() if self.stock.exists() else None
+        part, running = (state[0], tuple(state[1:])) if state else (None, (0, 0, False))
+        out = []
+        for listing, n, skip in zip(frame["listing_id"], frame["quantity"], frame["skip"]):
+            if skip:
+                out.append(("skipped", None, 0, None))
+                continue
+            status, reason, running = judge(None if pd.isna(listing) else listing, None if pd.isna(n) else int(n), running)
+            found = part if status == "processed" or reason.startswith("Invariant") else None
+            out.append((status, found, int(n) if status == "processed" else 0, reason))
+        if state:
+            self.stock.update((part, *running))
+        made = pd.DataFrame(out, columns=["status", "part_id", "quantity_depleted", "quarantine_reason"], index=frame.index)
+        made["part_id"] = made["part_id"].astype("Int64")
+        yield pd.concat([frame[["order_id", "line_id", "listing_id", "quantity", "created"]], made], axis=1)
+
+    def close(self) -> None:
+        pass
+
+
+def settle_stream(lines: DataFrame, parts: DataFrame, path: str, checkpoint: str, keep_days: int = 400) -> StreamingQuery:
+    """Settle a stream of order lines against the stock of ``parts``, which a new checkpoint starts from; verdicts go below ``path``.
+
+    The rows are those of ``settle`` with batches in the place of polls.
+    """
+    columns = [c.split()[0] + " " + c.split()[1] for c in VERDICTS.split(", ")[:5]]
+    names = [c.split()[0] for c in columns]
+    given = lines.select(*(F.col(n).cast(c.split()[1]).alias(n) for n, c in zip(names, columns)))
+    keyed = given.withColumn("key", F.coalesce(F.concat(F.lit("="), "order_id"), F.lit("")))
+    marked = keyed.groupBy("key").transformWithStateInPandas(_Seen(keep_days * 86_400_000), ", ".join([*columns, "key string", "skip boolean"]), "Append", "ProcessingTime")
+    by_listing = marked.withColumn("key", F.coalesce(F.concat(F.lit("="), "listing_id"), F.lit("")))
+    listed = parts.where("ebay_listing_id IS NOT NULL").select(
+        F.concat(F.lit("="), "ebay_listing_id").alias("key"), F.col("id").alias("part_id"), F.col("quantity").cast("int").alias("stock"), F.col("listed_quantity").cast("int").alias("listed")
+    )
+    verdicts = by_listing.groupBy("key").transformWithStateInPandas(_Stock(), VERDICTS, "Append", "ProcessingTime", initialState=listed.groupBy("key"))
+    with _state_settings(lines.sparkSession):
+        return verdicts.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: State in RocksDB, of which checkpoints hold the changes; no batches without data, which state that expires would ask for without end.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextmanager
+def _state_settings(spark: SparkSession) -> Iterator[None]:
+    """A query takes its settings from the session when it starts; the session gets its own back."""
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def open_store(parts: DataFrame, watermark: DataFrame, folder: str, processed: DataFrame | None = None, buckets: int = BUCKETS) -> Store:
+    """A new store for polls: parts by id, the lines processed before, an empty ledger and the watermark, in one commit."""
+    spark, commit = parts.sparkSession, Commit(parts.sparkSession, folder)
+    if commit.before.number:
+        raise ValueError(f"{folder} holds a store")
+    empty = spark.createDataFrame([], VERDICTS)
+    commit.create("parts", parts, "id", buckets)
+    commit.append("processed", newly_processed(empty) if processed is None else processed.select(*newly_processed(empty).columns))
+    commit.append("events", settlement_events(empty))
+    commit.replace("verdicts", empty)
+    commit.replace("watermark", watermark)
+    return commit.publish()
 
 
 def run_poll(spark: SparkSession, folder: str, lines: DataFrame, now: Column) -> Poll:
-    """One poll over the tables parts, processed and watermark below ``folder`` (``write_table``) and its event ledger.
+    """One poll over the store below ``folder``: verdicts, stock, processed lines, ledger and watermark change in one commit.
 
-    Verdicts are written first and everything else follows from them; the watermark moves last. A poll
-    that fails before leaves it where it was, so its window is polled again: its lines are then found
-    among the processed ones, or, where those were not written yet, settled anew from the old stock.
+    Verdicts are written first, so that everything else follows from the same rows; of the stock only the buckets
+    with sold parts are read and written, and processed lines and ledger rows are added. Nothing of it counts before the
+    commit. A poll that fails anywhere before leaves the old state, watermark included, and its repeat settles the same
+    window from the old stock; one that fails after it has taken place, and its lines are skipped by the next.
     """
-    parts, processed, mark = (read_table(spark, f"{folder}/{name}") for name in ("parts", "processed", "watermark"))
-    number = write_table(settle(parts, poll_window(lines, mark, now), processed), f"{folder}/verdicts")
-    poll = after_poll(parts, processed, spark.read.parquet(f"{folder}/verdicts/v-{number:010d}"), now)
-    write_table(poll.parts, f"{folder}/parts")
-    write_table(poll.processed, f"{folder}/processed")
-    append_events(poll.events, f"{folder}/events")
-    write_table(poll.watermark, f"{folder}/watermark")
-    return poll
+    commit = Commit(spark, folder)
+    parts, processed, mark = (commit.before.read(name) for name in ("parts", "processed", "watermark"))
+    verdicts = commit.replace("verdicts", settle(parts, poll_window(lines, mark, now), processed))
+    after = commit.change("parts", verdicts.where("status = 'processed'").select("part_id"), lambda rows: settled_parts(rows, verdicts))
+    commit.append("processed", newly_processed(verdicts))
+    commit.append("events", settlement_events(verdicts))
+    polled = commit.replace("watermark", spark.range(1).select(now.alias("last_polled_at")))
+    store = commit.publish()
+    return Poll(verdicts, after, settlement_events(verdicts), store.read("processed"), settlement_summary(verdicts), polled)
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
     """All verdicts so far."""
-    return spark.read.schema(VERDICTS + ", batch long").option("basePath", path).parquet(path).drop("batch")
+    return spark.read.schema(VERDICTS).parquet(path)

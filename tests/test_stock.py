@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from partflow.operators import catalog, inventory, settlement, vendors
 from partflow.operators.numbering import numbered
 from partflow.sources import schemas, tables
-from partflow.streaming import settlement as streaming_settlement
-from partflow.sources.tables import insert_absent, read_table, write_table
+from partflow.sources.tables import insert_absent
 
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 PARTS = "id long, part_number string, part_number_raw string, brand string, description string, quantity int, listed_quantity int, ebay_listing_id string"
@@ -111,35 +110,16 @@ def test_validation_reasons(spark):
     assert sorted(r.reasons for r in rejected.collect()) == [["part_number"], ["quantity", "note"]]
 
 
-def test_tables_are_versioned(spark, tmp_path):
-    path = f"file://{tmp_path}/t"
-    write_table(spark.range(3), path)
-    write_table(spark.range(5), path)
-    assert read_table(spark, path).count() == 5
+def test_insert_absent(spark):
     both = insert_absent(spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "b"), (2, "c"), (2, "d")], "k int, v string"), ["k"])
     assert sorted(map(tuple, both.collect())) == [(1, "a"), (2, "c")]
 
 
-def test_versions_count_once_whole(spark, tmp_path):
-    """A writer that dies leaves no version, and a second writer of a version fails."""
-    path = f"file://{tmp_path}/t"
-    assert write_table(spark.range(2), path) == 1
-    spark.range(9).write.parquet(f"{path}/v-0000000002")
-    (tmp_path / "t/v-0000000002/_SUCCESS").unlink()
-    assert read_table(spark, path).count() == 2
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
-        write_table(spark.range(3), path)
-
-
 def test_stock_tables_are_loaded_with_their_schemas(spark, tmp_path):
     for name, schema in schemas.STOCK_TABLES.items():
         spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/{name}")
     found = tables.load(spark, f"file://{tmp_path}")
     assert set(found) == set(schemas.STOCK_TABLES) and all(f.count() == 0 for f in found.values())
-    events = spark.createDataFrame([(1, 7, "added", 3, None, None)], schemas.INVENTORY_EVENTS)
-    for _ in range(2):
-        tables.append_events(events, f"file://{tmp_path}/inventory_events")
-    assert tables.load(spark, f"file://{tmp_path}")["inventory_events"].agg(F.sum("quantity_change")).first()[0] == 6
 
 
 def test_positions_over_blocks(spark):
@@ -150,36 +130,6 @@ def test_positions_over_blocks(spark):
     assert numbered(spark.createDataFrame([], "seq long, name string"), "seq", "name").count() == 0
 
 
-def _poll_tables(spark, folder, polled):
-    write_table(spark.createDataFrame([(1, "P1", "p", None, None, 4, 3, "L1"), (2, "P2", "q", None, None, 9, 9, "L2")], PARTS), f"{folder}/parts")
-    write_table(spark.createDataFrame([], PROCESSED), f"{folder}/processed")
-    write_table(spark.createDataFrame([(polled,)], "last_polled_at timestamp_ntz"), f"{folder}/watermark")
-
-
-def test_poll_moves_the_watermark_last(spark, tmp_path, monkeypatch):
-    folder, start = f"file://{tmp_path}/poll", datetime(2024, 1, 1)
-    _poll_tables(spark, folder, start)
-    lines = spark.createDataFrame([sale(n, str(n), "1", listing, q) for n, (listing, q) in enumerate((("L1", 2), ("L2", 1), ("L9", 1), ("L1", 5)))], LINES)
-    lines = lines.withColumn("created", F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(-10) + 8 * F.col("order_id").cast("int")))  # the first is older than the overlap
-    now = F.lit(datetime(2024, 1, 2)).cast("timestamp_ntz")
-
-    def state():
-        return {name: sorted(map(str, read_table(spark, f"{folder}/{name}").collect())) for name in ("parts", "processed", "watermark")}
-
-    before = state()
-    with monkeypatch.context() as m:
-        m.setattr(streaming_settlement, "after_poll", lambda *_: 1 / 0)
-        with pytest.raises(ZeroDivisionError):
-            streaming_settlement.run_poll(spark, folder, lines, now)
-    assert state() == before
-    poll = streaming_settlement.run_poll(spark, folder, lines, now)
-    assert tuple(poll.summary.first()) == (1, 2, 0)
-    assert read_table(spark, f"{folder}/watermark").first()[0] == datetime(2024, 1, 2)
-    assert {r.id: r.quantity for r in read_table(spark, f"{folder}/parts").collect()} == {1: 4, 2: 8}
-    again = streaming_settlement.run_poll(spark, folder, lines, now)
-    assert tuple(again.summary.first()) == (0, 0, 0) and spark.read.parquet(f"{folder}/events").count() == 1
-
-
 def test_poll_needs_a_watermark(spark):
     lines = spark.createDataFrame([sale(1, "1", "1", "L1", 1)], LINES)
     with pytest.raises(Exception, match="not initialised"):
