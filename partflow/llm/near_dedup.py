@@ -34,13 +34,16 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from partflow.llm.components import connected_components
-from partflow.llm.shared import drop_stored, fresh, release, stored
+from partflow.llm.shared import drop_stored, fresh, release, stored, stored_by
 from partflow.llm.words import join_hashes, mix, row_index, run_rank, slices, word_hashes
 
 SHINGLE = 5
@@ -207,8 +210,18 @@ def similar(texts: list[np.ndarray], b: np.ndarray, threshold: float = THRESHOLD
     return np.array(found, bool)
 
 
+def _word_slices(batch: pa.RecordBatch, words: str) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of whole rows of about SLICE bytes of words, one row at least."""
+    at = np.cumsum(pc.binary_length(batch.column(words)).fill_null(0).to_numpy(zero_copy_only=False)) // SLICE
+    for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(at)) + 1) if batch.num_rows else ():
+        yield batch.slice(rows[0], len(rows))
+
+
 def _nodes(docs: DataFrame) -> DataFrame:
-    """(node, n, keys, words) of each distinct text with a word: the hash of the text, its number of words, sketches, 32-bit word hashes."""
+    """(node, n, keys, words) of each distinct text with a word: the hash of the text, its number of words, sketches, 32-bit word hashes.
+
+    Copies meet by their words alone; sketches are taken of what is left.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,8 +230,16 @@ def _nodes(docs: DataFrame) -> DataFrame:
                 live = np.flatnonzero(np.diff(rows))
                 if not len(live):
                     continue
-                rows = np.append(rows[live], rows[-1])
-                n = np.diff(rows)
+                at = np.append(rows[live], rows[-1]) * 4
+                words = pa.Array.from_buffers(pa.binary(), len(live), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer((h >> _U(32)).astype("<u4").tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(live)), words], ["node", "words"])
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _word_slices(batch, "words"):
+                texts = _words(part.column("words"))
+                n = np.array([len(w) for w in texts], np.int64)
+                h = mix(np.concatenate(texts).astype(np.uint64) + _U(1))
                 of, keys = [], []
                 for gram, size, count, below in KINDS:
                     mine = np.flatnonzero(n < below)
@@ -229,12 +250,10 @@ def _nodes(docs: DataFrame) -> DataFrame:
                 flat = np.concatenate(keys)[np.argsort(of, kind="stable")]
                 at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(n)))])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
-                data = (h >> _U(32)).astype("<u4").tobytes()
-                words = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((rows * 4).astype(np.int32).tobytes()), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(live)), pa.array(n.astype(np.int32)), lists, words], ["node", "n", "keys", "words"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(n.astype(np.int32)), lists, part.column("words")], ["node", "n", "keys", "words"])
 
-    rows = docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(run, "node long, n int, keys array<bigint>, words binary")
-    return rows.groupBy("node").agg(F.max("n").alias("n"), F.first(F.struct("keys", "words")).alias("s")).select("node", "n", "s.keys", "s.words")
+    rows = docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(run, "node long, words binary")
+    return rows.groupBy("node").agg(F.first("words").alias("words")).mapInArrow(sketched, "node long, n int, keys array<bigint>, words binary")
 
 
 def _words(column: pa.Array) -> list[np.ndarray]:
@@ -277,6 +296,17 @@ def _labelled_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return labelled_grams(mix(np.concatenate([np.zeros(0, np.uint32), *words]).astype(np.uint64) + _U(1)), rows, 1)
 
 
+_SIGNS = [f"s{i}" for i in range(8)]
+
+
+def _signatures(tokens: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Parity bits of each text's labelled words, 64 a column of ``_SIGNS``: two texts differ in no more bits than words that one of them lacks."""
+    bits = tokens >> _U(64 - 9)
+    odd = np.zeros((n, 64 * len(_SIGNS)), np.uint8)
+    np.bitwise_xor.at(odd, (row, bits), np.uint8(1))
+    return np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
+
+
 def _rare_pairs(left: DataFrame, nodes: DataFrame, threshold: float, listed: int = LISTED, made: list[DataFrame] | None = None) -> DataFrame:
     """The pairs of nodes (node, n, root) of different roots that share one of their rarest words.
 
@@ -284,13 +314,15 @@ def _rare_pairs(left: DataFrame, nodes: DataFrame, threshold: float, listed: int
     common, so one among the n - threshold * n + 1 that come first in any order. The order is by how many
     texts hold a word, as far as the ``listed`` most frequent of the words that two roots hold go (a table
     of fixed size), others before them. Where all of those are listed, other words join nothing, and a
-    text with fewer than threshold * n listed words has no partner.
+    text with fewer than threshold * n listed words has no partner. Of texts that share such a word only those are
+    paired whose lengths and word signatures leave room for threshold * n words in common, so a word that many texts
+    hold pairs few of them.
     """
     made = made if made is not None else []  # tables that the caller may drop
     texts = stored(left.join(nodes.select("node", "words"), "node").select("node", "n", "root", "words"), "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _word_slices(whole, "words")):
             tokens, ends = _labelled_words(batch.column(0))
             roots = batch.column(1).to_numpy()[row_index(ends)]
             order = np.lexsort((roots, tokens))
@@ -307,7 +339,7 @@ def _rare_pairs(left: DataFrame, nodes: DataFrame, threshold: float, listed: int
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, held = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _word_slices(whole, "words")):
             tokens, ends = _labelled_words(batch.column(3))
             n, row = np.diff(ends), row_index(ends)
             at = np.minimum(np.searchsorted(common, tokens), max(0, len(common) - 1))
@@ -320,14 +352,18 @@ def _rare_pairs(left: DataFrame, nodes: DataFrame, threshold: float, listed: int
                 take &= (texts_with[order] > 0) & able[row]
             take = order[take]
             back = pa.array(row[take])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[take].view(np.int64)), *(batch.column(c).take(back) for c in range(3))], ["word", "node", "n", "root"])
+            signs = [pa.array(x.view(np.int64)).take(back) for x in _signatures(tokens, row, len(n)).T.copy()]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[take].view(np.int64)), *(batch.column(c).take(back) for c in range(3)), *signs], ["word", "node", "n", "root", *_SIGNS])
 
-    rare = stored(texts.mapInArrow(first, "word long, node long, n int, root long"), "rare", BATCH_ROWS)
+    rare = stored(texts.mapInArrow(first, "word long, node long, n int, root long, " + ", ".join(f"{c} long" for c in _SIGNS)), "rare", BATCH_ROWS)
     made += [texts, rare]
-    x = rare.select("word", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    y = rare.select("word", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    near = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
-    return x.join(y, "word").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+    x = rare.select("word", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in _SIGNS))
+    y = rare.select("word", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in _SIGNS))
+    big = F.greatest("na", "nb")
+    near = F.least("na", "nb") >= threshold * big - 1e-9
+    apart = reduce(add, (F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _SIGNS))
+    alike = apart <= F.col("na") + F.col("nb") - 2 * F.ceil(threshold * big - 1e-9)
+    return x.join(y, "word").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & near & alike).select("a", "b").distinct()
 
 
 def _links(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -383,7 +419,7 @@ def _joined_roots(roots: DataFrame, found: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     """doc_id, node, class_id, class_size and whether the text is the one of its class that stays."""
-    nodes = stored(_nodes(docs), "nodes")
+    nodes = stored_by(_nodes(docs), "nodes", "node")
     roots = _links(nodes, threshold)
     drop_stored(nodes)
     release(docs.sparkSession)

@@ -55,12 +55,26 @@ def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame
     return table
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``stored``, in as many hash buckets of ``key`` as a shuffle has partitions: joins on it move the other side alone."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    entry = path.rpartition("/")[2].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", path).bucketBy(buckets, key).saveAsTable(entry)
+    table = spark.table(entry)
+    table.stored_path, table.stored_name = path, entry
+    return table
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Delete the files behind tables made by ``stored`` once nothing reads them any more."""
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_path)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        if name := getattr(table, "stored_name", None):
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
 
 
 def release(spark: SparkSession) -> None:
