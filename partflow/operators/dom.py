@@ -14,6 +14,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+Gone = frozenset[int]
+
 
 class Node:
     __slots__ = ("tag", "attrs", "children", "parent")
@@ -21,28 +23,25 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
-    def walk(self):
-        """Elements below this one in document order."""
+    def walk(self, gone: Gone = frozenset()):
+        """Elements below this one in document order, without those ``gone`` and what they hold."""
         stack = [c for c in reversed(self.children) if isinstance(c, Node)]
         while stack:
             node = stack.pop()
-            yield node
-            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+            if id(node) not in gone:
+                yield node
+                stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
-    def text(self) -> str:
+    def text(self, gone: Gone = frozenset()) -> str:
         parts, stack = [], list(reversed(self.children))
         while stack:
             x = stack.pop()
             if isinstance(x, str):
                 parts.append(x)
-            elif x.tag != "!":
+            elif x.tag != "!" and id(x) not in gone:
                 stack += reversed(x.children)
         return "".join(parts)
 
-    def drop(self) -> None:
-        if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
-
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
@@ -130,18 +129,18 @@ def _matches(node: Node, groups: tuple) -> bool:
     return False
 
 
-def select(root: Node, selector: str) -> list[Node]:
+def select(root: Node, selector: str, gone: Gone = frozenset()) -> list[Node]:
     groups = _compiled(selector)
-    return [n for n in root.walk() if _matches(n, groups)]
+    return [n for n in root.walk(gone) if _matches(n, groups)]
 
 
-def remove(root: Node, selector: str) -> None:
-    for node in select(root, selector):
-        node.drop()
+def marked(root: Node, *selectors: str) -> Gone:
+    """What the selectors find, to be left out by readers of the tree; the tree itself stays as it is."""
+    return frozenset(id(n) for s in selectors for n in select(root, s))
 
 
-def to_html(node: Node) -> str:
-    """Markup of what lies below a node."""
+def to_html(node: Node, gone: Gone = frozenset(), kept: tuple[str, ...] | None = None) -> str:
+    """Markup of what lies below a node, without elements ``gone`` and with the ``kept`` attributes (all, if null)."""
     parts: list[str] = []
     stack: list = list(reversed(node.children))
     while stack:
@@ -150,8 +149,8 @@ def to_html(node: Node) -> str:
             parts.append(x[0])
         elif isinstance(x, str):
             parts.append(escape(x, quote=False))
-        else:
-            attrs = "".join(f' {k}="{escape(v)}"' for k, v in x.attrs.items())
+        elif id(x) not in gone:
+            attrs = "".join(f' {k}="{escape(v)}"' for k, v in x.attrs.items() if kept is None or k in kept)
             parts.append(f"<{x.tag}{attrs}>")
             if x.tag not in VOID:
                 stack.append((f"</{x.tag}>",))

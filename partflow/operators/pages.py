@@ -9,14 +9,18 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from partflow.functions.text import find_brand, find_part_numbers, parse_price, parse_qty, redact_text
+from partflow.functions.text import find_brand, find_part_numbers, fuzzy_match, is_private_ip, parse_price, parse_qty, redact_text, url_admissible
 from partflow.operators import dom
-from partflow.operators.extraction import allocate_costs, validate_extraction
+from partflow.operators.extraction import allocate_costs, validate_extraction, verify_positional
+from partflow.operators.vendors import domain_status, match_domain, preset_counters, preset_eligible, upsert_presets
+from partflow.sources.scratch import stored
 
+# Selectors, kept attributes, order fields and the form of ids that change from page to page.
 MAIN = "main, [role='main'], #content, .content, article"
 VOLATILE = (
     "[class*='recommend'], [class*='suggestion'], [class*='also-bought']",
@@ -27,62 +31,69 @@ VOLATILE = (
 )
 KEPT_ATTRIBUTES = ("id", "class", "role", "data-testid", "type", "name", "for")
 ORDER_FIELDS = ("orderNumber", "orderDate", "technicianName", "trackingNumber", "deliveryCourier", "totalShipping", "totalTax")
+_PAGES = 200
 _UNSTABLE = re.compile(r"\d{4,}|[0-9a-f]{8}-|^[a-f0-9]{8,}$", re.IGNORECASE)
 
 
-def _by_page(pages: DataFrame, key: str, column: str, read) -> DataFrame:
-    """``read`` applied to the html of each page, as one more string column."""
-    source = pages.select(key, "html")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([read(h) for h in batch.column(1).to_pylist()], pa.string())], [key, column])
-
-    return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, {column} string")
+def visible_text(root: dom.Node) -> str:
+    return root.text(dom.marked(root, "script, style, noscript, iframe, svg, nav, footer, [role='navigation']"))
 
 
-def visible_text(html: str | None) -> str:
-    root = dom.parse(html)
-    dom.remove(root, "script, style, noscript, iframe, svg, nav, footer, [role='navigation']")
-    return root.text()
-
-
-def skeleton(html: str | None) -> str:
+def skeleton(root: dom.Node) -> str:
     """Markup without scripts and with structural attributes only; hidden inputs, meta and comments go."""
-    root = dom.parse(html)
-    dom.remove(root, "script, style, noscript, iframe, svg, input[type='hidden'], meta")
-    for node in root.walk():
-        node.attrs = {k: v for k, v in node.attrs.items() if k in KEPT_ATTRIBUTES}
-    return dom.to_html(root)
+    return dom.to_html(root, dom.marked(root, "script, style, noscript, iframe, svg, input[type='hidden'], meta"), KEPT_ATTRIBUTES)
 
 
-def structure(html: str | None) -> str:
+def structure(root: dom.Node) -> str:
     """Tags and stable ids of the children of the first main-like element."""
-    root = dom.parse(html)
-    for selector in VOLATILE:
-        dom.remove(root, selector)
-    main = dom.select(root, MAIN)[:1] or dom.select(root, "body")[:1] or [root]
+    gone = dom.marked(root, *VOLATILE)
+    main = dom.select(root, MAIN, gone)[:1] or dom.select(root, "body", gone)[:1] or [root]
     out = []
     for node in main[0].children:
-        if isinstance(node, dom.Node):
+        if isinstance(node, dom.Node) and id(node) not in gone:
             name = node.attrs.get("id", "")
             out.append(node.tag + (f"#{name}" if name and not _UNSTABLE.search(name) else ""))
     return "|".join(out)
 
 
+READERS = {"text": visible_text, "skeleton": skeleton, "structure": structure}
+
+
+def read_pages(pages: DataFrame, parts: tuple[str, ...] = tuple(READERS), key: str = "page_id") -> DataFrame:
+    """(key and a column for each of ``parts``): what ``READERS`` say of each page, whose tree is built once."""
+    source = pages.select(key, "html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _PAGES):
+                some = batch.slice(lo, _PAGES)
+                found = [[READERS[p](root) for p in parts] for root in map(dom.parse, some.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, pa.string()) for c in zip(*found))], [key, *parts])
+
+    return source.mapInArrow(run, ", ".join([f"{key} {source.schema[key].dataType.simpleString()}", *(f"{p} string" for p in parts)]))
+
+
+def _redacted(max_chars: int) -> Column:
+    return redact_text(F.col("text"), max_chars)
+
+
+def _fingerprint() -> Column:
+    return F.substring(F.sha2("structure", 256), 1, 12)
+
+
 def redact_html(pages: DataFrame, key: str = "page_id", max_chars: int = 8000) -> DataFrame:
     """(key, redacted): the visible text of each page with personal data masked."""
-    return _by_page(pages, key, "_text", visible_text).select(key, redact_text(F.col("_text"), max_chars).alias("redacted"))
+    return read_pages(pages, ("text",), key).select(key, _redacted(max_chars).alias("redacted"))
 
 
 def scrub_html(pages: DataFrame, key: str = "page_id", max_chars: int = 8000) -> DataFrame:
     """(key, skeleton) of each page, cut."""
-    return _by_page(pages, key, "_markup", skeleton).select(key, F.substring("_markup", 1, max_chars).alias("skeleton"))
+    return read_pages(pages, ("skeleton",), key).select(key, F.substring("skeleton", 1, max_chars).alias("skeleton"))
 
 
 def page_fingerprint(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, page_fingerprint): 12 hex digits of a page's structure."""
-    return _by_page(pages, key, "_structure", structure).select(key, F.substring(F.sha2("_structure", 256), 1, 12).alias("page_fingerprint"))
+    return read_pages(pages, ("structure",), key).select(key, _fingerprint().alias("page_fingerprint"))
 
 
 def classify_page(html: Column, url: Column) -> Column:
@@ -98,42 +109,134 @@ def classify_page(html: Column, url: Column) -> Column:
     return F.when(login, "login").when(has("captcha", "verify you are a human"), "captcha").when((n > 200) | (mount & (n > 100)), "contentful").otherwise("empty")
 
 
-def _cells(html: str | None, config: dict) -> str:
-    """Texts that the selectors of a preset find, as JSON."""
-    root = dom.parse(html)
+def _cells(root: dom.Node, config: dict) -> dict:
+    """Texts that the selectors of a preset find."""
     fields = config.get("orderFields") or {}
     order = {f: dom.select(root, fields[f])[0].text().strip() if fields.get(f) and dom.select(root, fields[f]) else None for f in ORDER_FIELDS}
     items = []
     for box in dom.select(root, config["itemContainer"]):
         text = lambda f: "".join(n.text() for n in dom.select(box, config["fields"][f])).strip() if config["fields"].get(f) else ""
         items.append({"partName": text("partName"), "quantity": text("quantity"), "unitPrice": text("unitPrice"), "partNumber": text("partNumber")})
-    return json.dumps({"order": order, "items": items})
+    return {"order": order, "items": items}
 
 
 CELLS = f"order struct<{','.join(f'{f}:string' for f in ORDER_FIELDS)}>, items array<struct<partName:string,quantity:string,unitPrice:string,partNumber:string>>"
 
 
-def extract_page_items(pages: DataFrame, presets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(orders, items) of pages (page_id, html, preset_id) by the selectors of their preset (id, selectors as JSON)."""
-    source = pages.join(presets.select(F.col("id").alias("preset_id"), "selectors"), "preset_id").select("page_id", "html", "selectors")
+def page_cells(pages: DataFrame) -> DataFrame:
+    """(page_id, role, c) of pages (page_id, html, selectors: array of JSON): what each entry of ``selectors`` finds, ``role`` being its
+    place. A page's tree is built once; a null entry gives no row."""
+    source = pages.select("page_id", "html", "selectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html, selectors = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_cells(h, json.loads(s)) for h, s in zip(html, selectors)], pa.string())], ["page_id", "cells"])
+            for lo in range(0, batch.num_rows, _PAGES):
+                some = batch.slice(lo, _PAGES)
+                found = []
+                for html, configs in zip(some.column(1).to_pylist(), some.column(2).to_pylist()):
+                    root = dom.parse(html) if any(configs or ()) else None
+                    found.append(json.dumps([_cells(root, json.loads(c)) if c else None for c in configs or ()]))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.string())], ["page_id", "cells"])
+
+    cells = source.mapInArrow(run, f"page_id {source.schema['page_id'].dataType.simpleString()}, cells string")
+    each = cells.select("page_id", F.posexplode(F.from_json("cells", f"array<struct<{CELLS.replace('order struct', 'order:struct').replace('items array', 'items:array')}>>")).alias("role", "c"))
+    return each.where("c IS NOT NULL")
 
-    cells = source.mapInArrow(run, f"page_id {source.schema['page_id'].dataType.simpleString()}, cells string").withColumn("c", F.from_json("cells", CELLS))
+
+def cell_orders(cells: DataFrame, *keys: str) -> DataFrame:
+    """One row of order fields and totals for each row of cells, with ``keys``."""
     text = lambda f: F.nullif(F.trim(f"c.order.{f}"), F.lit(""))
     number = lambda f: F.coalesce(parse_price(F.col(f"c.order.{f}")), F.lit(0.0))
     names = {"orderNumber": "order_number", "orderDate": "order_date", "technicianName": "technician", "trackingNumber": "tracking", "deliveryCourier": "courier"}
-    orders = cells.select(F.col("page_id").alias("doc_id"), *(text(f).alias(n) for f, n in names.items()), number("totalShipping").alias("total_shipping"), number("totalTax").alias("total_tax"))
-    each = cells.select(F.col("page_id").alias("doc_id"), F.posexplode("c.items").alias("item_pos", "i"))
+    return cells.select(*keys, *(text(f).alias(n) for f, n in names.items()), number("totalShipping").alias("total_shipping"), number("totalTax").alias("total_tax"))
+
+
+def cell_items(cells: DataFrame, *keys: str) -> DataFrame:
+    """One row an item of cells, with ``keys``."""
+    each = cells.select(*keys, F.posexplode("c.items").alias("item_pos", "i"))
     numbers = find_part_numbers(F.coalesce(F.nullif("i.partNumber", F.lit("")), F.col("i.partName")))
-    items = each.select(
-        "doc_id", "item_pos", F.coalesce(F.get(numbers, F.lit(0)), F.lit("")).alias("part_number"), F.substring("i.partName", 1, 200).alias("part_name"),
+    return each.select(
+        *keys, "item_pos", F.coalesce(F.get(numbers, F.lit(0)), F.lit("")).alias("part_number"), F.substring("i.partName", 1, 200).alias("part_name"),
         parse_qty(F.col("i.quantity")).cast("double").alias("quantity"), parse_price(F.col("i.unitPrice")).alias("unit_price"), find_brand(F.col("i.partName")).alias("brand"),
     )
-    return orders, allocate_costs(items, orders.select("doc_id", "total_shipping", "total_tax"))
+
+
+def extract_page_items(pages: DataFrame, presets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(orders, items) of pages (page_id, html, preset_id) by the selectors of their preset (id, selectors as JSON)."""
+    source = pages.join(presets.select(F.col("id").alias("preset_id"), F.array("selectors").alias("selectors")), "preset_id")
+    cells = page_cells(source).withColumnRenamed("page_id", "doc_id")
+    orders = cell_orders(cells, "doc_id")
+    return orders, allocate_costs(cell_items(cells, "doc_id"), orders.select("doc_id", "total_shipping", "total_tax"))
+
+
+_ITEM = ("part_number", "part_name", "quantity", "unit_price", "brand", "ship_cost", "tax_price")
+KEYS = ["vendor_key", "input_type", "page_fingerprint"]
+
+
+class PageImport(NamedTuple):
+    """What an import leaves: a row a page, the items found, and presets and domains after it."""
+
+    results: DataFrame
+    items: DataFrame
+    presets: DataFrame
+    domains: DataFrame
+
+
+def import_pages(pages: DataFrame, presets: DataFrame, domains: DataFrame, supplied: DataFrame, candidates: DataFrame, now: Column) -> PageImport:
+    """Fetched pages (page_id, url, address, html; html is null where the fetch failed) from gate to stored selectors.
+
+    Gates, in this order: an URL that may not be asked, a host without a configured domain, an address that may not be
+    asked or a page that did not come, a login page, a captcha. Domains take the outcome of their last page. A page that
+    passes is read by its vendor's preset for its structure, if there is one in use; that counts as the preset's success
+    or failure. Without a valid result the supplied items (doc_id, item_pos, part_number, part_name, quantity, unit_price)
+    stand in; where they are valid, the candidate selectors of the page (page_id, selectors), if they find valid items
+    that agree with the supplied ones, become the preset of its structure. Else the page ends empty, with its redacted
+    text. ``page_id`` is the order of arrival; presets and domains are small tables. Each page's tree is built twice at
+    most: once for what does not depend on selectors, which is written down, and once for all selectors.
+    """
+    host = F.lower(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    asked = pages.withColumns({"host": host, "may": url_admissible(F.col("url"))})
+    hosts = match_domain(asked.where("may").select("host"), domains)
+    known = asked.join(hosts, "host", "left").join(domains.select("domain", F.col("status").alias("_status")), "domain", "left")
+    open_ = F.coalesce(F.col("_status") != "unconfigured", F.lit(False))
+    kind = classify_page(F.col("html"), F.col("url"))
+    outcome = (
+        F.when(~F.col("may"), "validation").when(~open_, "no_cookies").when(F.col("html").isNull() | F.coalesce(is_private_ip(F.col("address")), F.lit(False)), "error")
+        .when(kind == "login", "login").when(kind == "captcha", "captcha").otherwise("ok")
+    )
+    gated = known.select("page_id", "html", F.when(F.col("may"), F.col("domain")).alias("vendor_key"), outcome.alias("outcome"))
+    passed = gated.where("outcome = 'ok'")
+    read = read_pages(passed).select("page_id", _redacted(8000).alias("raw_text"), F.substring("skeleton", 1, 8000).alias("skeleton"), _fingerprint().alias("page_fingerprint"))
+    gated = stored(gated.withColumn("input_type", F.lit("html")).join(read, "page_id", "left"), "pages")
+    passed = gated.where("outcome = 'ok'")
+
+    chosen = passed.join(preset_eligible(presets).select(*KEYS, F.col("id").alias("preset_id"), F.col("selectors").alias("_own")), KEYS, "left")
+    chosen = chosen.join(candidates.select("page_id", F.col("selectors").alias("_learnt")), "page_id", "left")
+    configs = chosen.select("page_id", "html", F.array("_own", "_learnt").alias("selectors")).where("_own IS NOT NULL OR _learnt IS NOT NULL")
+    cells = stored(page_cells(configs).withColumnRenamed("page_id", "doc_id"), "cells")
+    own, learnt = cells.where("role = 0"), cells.where("role = 1")
+    ids = chosen.select(F.col("page_id").alias("doc_id"))
+    verdict = lambda items, name: validate_extraction(ids, items).select(F.col("doc_id").alias("page_id"), F.col("valid").alias(f"{name}_ok"), F.col("item_count").alias(f"{name}_n"))
+    from_own, from_learnt = cell_items(own, "doc_id"), cell_items(learnt, "doc_id")
+    agrees = verify_positional(from_learnt, supplied, fuzzy_match).select(F.col("doc_id").alias("page_id"), "agrees")
+    judged = chosen.select("page_id", "preset_id", "_learnt").join(verdict(from_own, "own"), "page_id").join(verdict(supplied, "given"), "page_id").join(verdict(from_learnt, "learnt"), "page_id").join(agrees, "page_id", "left")
+    source = F.when(F.col("own_ok"), "preset").when(F.col("given_ok"), "llm").otherwise("empty")
+    learns = (source == "llm") & F.col("_learnt").isNotNull() & F.col("learnt_ok") & F.coalesce("agrees", F.lit(False))
+    count = F.when(F.col("own_ok"), F.col("own_n")).when(F.col("given_ok"), F.col("given_n")).otherwise(0)
+    judged = stored(judged.select("page_id", "preset_id", "own_ok", "_learnt", source.alias("source"), count.alias("item_count"), learns.alias("learns")), "judged")
+
+    tried = judged.where("preset_id IS NOT NULL").select("preset_id", F.col("page_id").alias("seq"), F.col("own_ok").alias("ok"))
+    new = judged.where("learns").join(passed, "page_id").select(F.col("page_id").alias("seq"), *KEYS, F.col("_learnt").alias("selectors"), F.col("skeleton").alias("sample_snippet"))
+    after = upsert_presets(preset_counters(presets, tried).select(*presets.columns), new, now)
+    seen = gated.where("outcome NOT IN ('validation', 'no_cookies')").select(F.col("vendor_key").alias("domain"), F.col("page_id").alias("seq"), "outcome")
+
+    orders = cell_orders(own, "doc_id").select("doc_id", "total_shipping", "total_tax")
+    nothing = supplied.select(*supplied.columns, *(F.lit(None).cast(k).alias(c) for c, k in (("brand", "string"), ("ship_cost", "double"), ("tax_price", "double")) if c not in supplied.columns))
+    ends = lambda name: judged.where(F.col("source") == name).select(F.col("page_id").alias("doc_id"))
+    items = allocate_costs(from_own.join(ends("preset"), "doc_id", "left_semi"), orders).select("doc_id", "item_pos", *_ITEM)
+    items = items.unionByName(nothing.join(ends("llm"), "doc_id", "left_semi").select("doc_id", "item_pos", *_ITEM))
+    results = gated.join(judged.select("page_id", "source", "item_count"), "page_id", "left").select("page_id", "outcome", "vendor_key", "page_fingerprint", "source", "item_count", "raw_text")
+    return PageImport(results, items, after, domain_status(domains, seen))
 
 
 def page_chain(pages: DataFrame, presets: DataFrame, supplied: DataFrame, vendor: Column) -> DataFrame:
@@ -141,9 +244,9 @@ def page_chain(pages: DataFrame, presets: DataFrame, supplied: DataFrame, vendor
 
     ``supplied`` are items (doc_id, item_pos, part_number, part_name, quantity, unit_price).
     """
-    marked = pages.withColumn("vendor_key", vendor).withColumn("input_type", F.lit("html")).join(page_fingerprint(pages), "page_id")
-    keys = ["vendor_key", "input_type", "page_fingerprint"]
-    chosen = marked.join(presets.where("fail_count < 3").select(*keys, F.col("id").alias("preset_id")), keys, "left")
+    read = stored(pages.select("page_id", "html").join(page_fingerprint(pages), "page_id"), "pages")
+    marked = read.withColumns({"vendor_key": vendor, "input_type": F.lit("html")})
+    chosen = marked.join(presets.where("fail_count < 3").select(*KEYS, F.col("id").alias("preset_id")), KEYS, "left")
     _, items = extract_page_items(chosen.where("preset_id IS NOT NULL").select("page_id", "html", "preset_id"), presets)
     ids = pages.select(F.col("page_id").alias("doc_id"))
     first = validate_extraction(ids, items).select("doc_id", F.col("valid").alias("v1"), F.col("item_count").alias("n1"))

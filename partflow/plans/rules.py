@@ -12,6 +12,7 @@ from partflow.plans import routing, texts
 from partflow.plans.registry import query
 from partflow.sources import domain, tables
 from partflow.sources.domain import with_views
+from partflow.sources.scratch import stored
 
 NOW = "2024-03-01 00:00:00"
 
@@ -445,6 +446,60 @@ def pipe5_selector_acceptance(spark: SparkSession, path: str) -> DataFrame:
     return extraction.verify_positional(items.join(valid, "doc_id", "left_semi"), supplied.join(valid, "doc_id", "left_semi"), t.fuzzy_match)
 
 
+# The whole import: pages with every fate, domains of which some are not configured, presets for some structures, supplied items
+# that agree with the candidate selectors or not.
+_IMPORT = f"""{_MENU}, {_DOMAINS}, f AS (SELECT page_id, url || CASE WHEN page_id % 13 = 0 THEN '/signin' ELSE '' END AS url, CASE WHEN page_id % 31 = 0 THEN '10.1.2.3' ELSE '8.8.8.8' END AS address, page_id % 29 = 0 AS lost, page_id % 17 = 0 AS robot FROM pages),
+best AS (SELECT host, max_by(domain, length(domain)) AS domain FROM h JOIN domains ON regexp_replace(host, '^www\\.', '') = domain OR ends_with(regexp_replace(host, '^www\\.', ''), '.' || domain) GROUP BY host),
+g AS (SELECT f.page_id, CASE WHEN f.url LIKE 'https://%' THEN domain END AS vendor_key, names, page_fingerprint, CASE WHEN f.url NOT LIKE 'https://%' THEN 'validation' WHEN length(domain) % 9 = 0 THEN 'no_cookies' WHEN lost OR address LIKE '10.%' THEN 'error' WHEN f.url LIKE '%/signin%' THEN 'login' WHEN robot THEN 'captcha' ELSE 'ok' END AS outcome
+  FROM f JOIN hosts USING (page_id) JOIN best USING (host) JOIN m USING (page_id)),
+presets AS (SELECT min(page_id) AS id, domain AS vendor_key, page_fingerprint, length(domain) % 4 AS fail_count FROM hosts JOIN best USING (host) JOIN m USING (page_id) WHERE length(domain) % 3 > 0 GROUP BY domain, page_fingerprint),
+v AS (SELECT *, len(names) > 0 AND 2 * len(list_filter(names, lambda x: length(x) > 2)) >= len(names) AND NOT (len(list_filter(names, lambda x: x <> '')) > 2 AND len(list_distinct(list_filter(names, lambda x: x <> ''))) = 1) AS good FROM g WHERE outcome = 'ok'),
+j AS (SELECT v.page_id, v.vendor_key, v.page_fingerprint, p.id AS preset_id, good, CASE WHEN p.id IS NOT NULL AND good THEN 'preset' WHEN v.page_id % 3 = 2 OR v.page_id % 3 = 1 AND good THEN 'llm' ELSE 'empty' END AS source, len(names) AS n FROM v LEFT JOIN presets p ON p.vendor_key = v.vendor_key AND p.page_fingerprint = v.page_fingerprint AND p.fail_count < 3)"""
+
+
+def _import(spark: SparkSession, path: str) -> pages.PageImport:
+    key = F.col("page_id")
+    found = domain.table(spark, path, "pages").select(
+        "page_id", F.concat("url", F.when(key % 13 == 0, "/signin").otherwise("")).alias("url"), F.when(key % 31 == 0, "10.1.2.3").otherwise("8.8.8.8").alias("address"),
+        F.when(key % 29 != 0, F.concat("html", F.when(key % 17 == 0, "<!-- captcha -->").otherwise(""))).alias("html"),
+    )
+    length = F.length("domain")
+    domains = _domains(spark, path).select(F.xxhash64("domain").alias("id"), "domain", F.when(length % 9 == 0, "unconfigured").otherwise("new").alias("status"))
+    plain = domain.table(spark, path, "pages")
+    hosts = _hosts(spark, path).join(vendors.match_domain(_hosts(spark, path), domains), "host").join(pages.page_fingerprint(plain), "page_id")
+    kinds = hosts.where("length(domain) % 3 > 0").groupBy(F.col("domain").alias("vendor_key"), "page_fingerprint").agg(F.min("page_id").alias("id"))
+    presets = kinds.select(
+        "id", "vendor_key", F.lit("html").alias("input_type"), "page_fingerprint", F.lit(SELECTORS).alias("selectors"), F.lit("old").alias("sample_snippet"),
+        F.lit(0).alias("success_count"), (F.length("vendor_key") % 4).alias("fail_count"), F.lit(None).cast("timestamp_ntz").alias("last_used_at"),
+    )
+    names = F.regexp_extract_all(F.regexp_extract("html", r"(?s)<nav.*?</nav>", 0), F.lit("<li><a[^>]*>([^<]*)</a>"), F.lit(1))
+    given = plain.where("page_id % 3 > 0").select(F.col("page_id").alias("doc_id"), F.posexplode(F.when(key % 3 == 1, names).otherwise(F.array(F.lit("#~#")))).alias("item_pos", "part_name"))
+    given = given.select("doc_id", "item_pos", F.lit("").alias("part_number"), "part_name", F.lit(1.0).alias("quantity"), F.when(F.col("doc_id") % 3 == 2, 9.5).alias("unit_price"))
+    return pages.import_pages(found, stored(presets, "presets"), domains, given, plain.select("page_id", F.lit(SELECTORS).alias("selectors")), _now())
+
+
+@query(f"WITH {_IMPORT} SELECT page_id, outcome, g.vendor_key, CASE WHEN outcome = 'ok' THEN g.page_fingerprint END AS page_fingerprint, source, CAST(CASE WHEN source = 'empty' THEN 0 WHEN source = 'llm' AND page_id % 3 = 2 THEN 1 ELSE n END AS BIGINT) AS item_count FROM g LEFT JOIN j USING (page_id)")
+def pipe2_import_pages(spark: SparkSession, path: str) -> DataFrame:
+    return _import(spark, path).results.drop("raw_text")
+
+
+@query(f"""WITH {_IMPORT}, t AS (SELECT preset_id, max(page_id) FILTER (good) AS last, count(*) FILTER (good) AS s FROM j WHERE preset_id IS NOT NULL GROUP BY preset_id),
+c AS (SELECT j.preset_id, last, s, count(*) FILTER (NOT good AND (last IS NULL OR page_id > last)) AS more FROM j JOIN t USING (preset_id) GROUP BY ALL),
+n AS (SELECT vendor_key, page_fingerprint, max(page_id) AS seq FROM j WHERE source = 'llm' AND good AND page_id % 3 = 1 GROUP BY ALL),
+i AS (SELECT n.*, (SELECT max(id) FROM presets) + row_number() OVER (ORDER BY seq) AS new_id FROM n ANTI JOIN presets p ON p.vendor_key = n.vendor_key AND p.page_fingerprint = n.page_fingerprint)
+SELECT CAST(coalesce(p.id, new_id) AS BIGINT) AS id, vendor_key, page_fingerprint, CAST(CASE WHEN n.seq IS NOT NULL THEN 1 ELSE coalesce(s, 0) END AS INTEGER) AS success_count,
+CAST(CASE WHEN n.seq IS NOT NULL THEN 0 ELSE CASE WHEN last IS NULL THEN fail_count ELSE 0 END + coalesce(more, 0) END AS INTEGER) AS fail_count
+FROM presets p FULL JOIN n USING (vendor_key, page_fingerprint) LEFT JOIN c ON preset_id = p.id LEFT JOIN i USING (vendor_key, page_fingerprint)""")
+def pipe5_presets_after(spark: SparkSession, path: str) -> DataFrame:
+    return _import(spark, path).presets.select("id", "vendor_key", "page_fingerprint", "success_count", "fail_count")
+
+
+@query(f"""WITH {_IMPORT}, l AS (SELECT vendor_key AS domain, max_by(CASE outcome WHEN 'ok' THEN 'active' WHEN 'login' THEN 'needs_reauth' ELSE 'error' END, page_id) AS status FROM g WHERE outcome IN ('ok', 'login', 'error') GROUP BY ALL)
+SELECT domain, coalesce(status, CASE WHEN length(domain) % 9 = 0 THEN 'unconfigured' ELSE 'new' END) AS status FROM domains LEFT JOIN l USING (domain)""")
+def pipe2_domains_after(spark: SparkSession, path: str) -> DataFrame:
+    return _import(spark, path).domains.select("domain", "status")
+
+
 # --- composites ---
 
 

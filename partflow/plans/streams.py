@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from partflow.plans.changes import _POLLED, _SETTLED, _seen, _sold, _watermark
@@ -12,19 +9,10 @@ from partflow.plans.registry import query
 from partflow.sources import domain
 from partflow.sources.commits import Store
 from partflow.sources.domain import with_views
+from partflow.sources.scratch import shared_dir
 from partflow.streaming.settlement import VERDICTS, dedupe_stream, open_store, read_verdicts, run_poll, settle_stream
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="partflow-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, path: str) -> DataFrame:
     """Lines of lineitem as a stream, with their order's date from the static side."""
     schema = domain.table(spark, path, "lineitem").schema
@@ -39,22 +27,22 @@ def _stream(spark: SparkSession, path: str) -> DataFrame:
 @query(f"{with_views('order_lines')} SELECT DISTINCT order_id, line_id FROM order_lines")
 def str2_dedupe_stream(spark: SparkSession, path: str) -> DataFrame:
     lines = _stream(spark, path).withColumn("created", F.col("created").cast("timestamp"))
-    out = _scratch(spark, "deduped")
+    out = shared_dir(spark, "deduped")
     rows = dedupe_stream(lines).select("order_id", "line_id")
-    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", _scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_dir(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("order_id string, line_id string").parquet(out)
 
 
 @query(_SETTLED.replace("CAST(order_id AS BIGINT) % 50 = 0 AS old", "false AS old") + " SELECT order_id, line_id, listing_id, quantity, status, part_id, quantity_depleted, quarantine_reason FROM settled")
 def str3_settle_stream(spark: SparkSession, path: str) -> DataFrame:
-    out = _scratch(spark, "settled")
-    settle_stream(_stream(spark, path), domain.parts(spark, path), out, _scratch(spark, "stream")).awaitTermination()
+    out = shared_dir(spark, "settled")
+    settle_stream(_stream(spark, path), domain.parts(spark, path), out, shared_dir(spark, "stream")).awaitTermination()
     return read_verdicts(spark, out).select(*(f.split()[0] for f in VERDICTS.split(", ") if not f.startswith("created")))
 
 
 def _polled(spark: SparkSession, path: str) -> Store:
     """The store after a poll and its repeat, which changes nothing."""
-    mark, folder = _watermark(spark, path), _scratch(spark, "poll")
+    mark, folder = _watermark(spark, path), shared_dir(spark, "poll")
     now = mark.select(F.col("last_polled_at") + F.expr("INTERVAL 300 DAYS")).scalar()
     open_store(domain.parts(spark, path), mark, folder, _seen(spark, path))
     for _ in range(2):

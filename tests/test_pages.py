@@ -49,3 +49,43 @@ def test_page_kinds(spark):
     rows = [("https://x.com/login", "<p>a</p>"), ("https://x.com", "Verify you are a human"), ("https://x.com", "<p>" + "word " * 60), ("https://x.com", '<div id="root"></div>' + "w" * 150), ("https://x.com", "<p>short</p>")]
     out = spark.createDataFrame(rows, "url string, html string").select(pages.classify_page(F.col("html"), F.col("url")).alias("k"))
     assert [r.k for r in out.collect()] == ["login", "captcha", "contentful", "contentful", "empty"]
+
+
+def test_one_tree_for_all_readers(spark):
+    rows = [(1, PAGE), (2, None), (3, "<body><nav>menu</nav><main><aside><p>x</p></aside><section id='s'><script>1</script>t</section></main></body>")]
+    frame = spark.createDataFrame(rows, "page_id long, html string")
+    got = {r.page_id: r for r in pages.read_pages(frame).collect()}
+    assert got[3].text.strip() == "xt" and got[3].structure == "section#s" and "aside" in got[3].skeleton and "script" not in got[3].skeleton
+    assert (got[2].text, got[2].skeleton, got[2].structure) == ("", "", "")
+    assert sum("MapInArrow" in line for line in pages.read_pages(frame)._jdf.queryExecution().executedPlan().toString().splitlines()) == 1
+
+
+def test_import_from_gate_to_preset(spark):
+    """Every fate of a page, counters of the preset, and selectors learnt only where they agree with valid supplied items."""
+    shop, bare = PAGE, PAGE.replace('class="title"', 'class="name"')
+    found = [
+        (1, "https://www.shop.com/o/1", "8.8.8.8", shop), (2, "http://www.shop.com/o/2", "8.8.8.8", shop), (3, "https://other.org/", "8.8.8.8", shop), (4, "https://off.shop.org/", "8.8.8.8", shop),
+        (5, "https://shop.com/o/5", "10.0.0.8", shop), (6, "https://shop.com/o/6", None, None), (7, "https://shop.com/signin?x", "8.8.8.8", shop), (8, "https://shop.com/o/8", "8.8.8.8", shop + "<!-- captcha -->"),
+        (9, "https://shop.com/o/9", "8.8.8.8", bare), (10, "https://new.net/a", "8.8.8.8", shop), (11, "https://new.net/b", "8.8.8.8", shop), (12, "https://new.net/c", "8.8.8.8", shop),
+    ]
+    frame = spark.createDataFrame(found, "page_id long, url string, address string, html string")
+    key = pages.page_fingerprint(frame.where("page_id = 1")).first().page_fingerprint
+    names = "id long, vendor_key string, input_type string, page_fingerprint string, selectors string, sample_snippet string, success_count int, fail_count int, last_used_at timestamp_ntz"
+    presets = spark.createDataFrame([(4, "shop.com", "html", key, json.dumps(CONFIG), "old", 3, 2, None), (9, "new.net", "html", key, json.dumps(CONFIG), "old", 0, 3, None)], names)
+    domains = spark.createDataFrame([(1, "shop.com", "new"), (2, "new.net", "new"), (3, "shop.org", "unconfigured")], "id long, domain string, status string")
+    good = [("WP8544771", "Whirlpool WP8544771 Dryer Heating Element", 1.0, 26.97), ("DC97-14486A", "Samsung DC97-14486A Door Boot Seal", 2.0, 21.97)]
+    supplied = [(p, i, *item) for p in (9, 10, 11) for i, item in enumerate(good)]
+    supplied = [(*r[:5], r[5] + 5 * (r[0] == 11)) for r in supplied] + [(12, 0, "", "", 0.0, -1.0)]
+    candidates = spark.createDataFrame([(9, json.dumps(CONFIG)), (10, json.dumps(CONFIG)), (11, json.dumps(CONFIG))], "page_id long, selectors string")
+    out = pages.import_pages(frame, presets, domains, spark.createDataFrame(supplied, "doc_id long, item_pos int, part_number string, part_name string, quantity double, unit_price double"), candidates, F.lit("2024-01-01").cast("timestamp_ntz"))
+    got = {r.page_id: (r.outcome, r.source, r.item_count) for r in out.results.collect()}
+    assert got == {
+        1: ("ok", "preset", 2), 2: ("validation", None, None), 3: ("no_cookies", None, None), 4: ("no_cookies", None, None), 5: ("error", None, None), 6: ("error", None, None), 7: ("login", None, None), 8: ("captcha", None, None),
+        9: ("ok", "llm", 2), 10: ("ok", "llm", 2), 11: ("ok", "llm", 2), 12: ("ok", "empty", 0),
+    }
+    after = {r.id: (r.vendor_key, r.success_count, r.fail_count, r.sample_snippet == "old") for r in out.presets.collect()}
+    assert after == {4: ("shop.com", 4, 1, True), 9: ("new.net", 1, 0, False)}  # the candidate of page 9 finds no names, that of page 11 other prices
+    assert {r.domain: r.status for r in out.domains.collect()} == {"shop.com": "active", "new.net": "active", "shop.org": "unconfigured"}
+    items = out.items.collect()
+    assert len(items) == 8 and {(r.doc_id, r.ship_cost) for r in items if r.doc_id == 1} == {(1, 1.14), (1, 0.93)}
+    assert "[EMAIL]" not in out.results.where("page_id = 12").first().raw_text and "Order # 114-9176254-5449856" in out.results.where("page_id = 12").first().raw_text
