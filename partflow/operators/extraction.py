@@ -235,7 +235,8 @@ def recover_totals(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Data
     """The ``keep`` columns, tax and shipping for documents (doc_id, text, tax, shipping; 0 is unknown), read from the text where one is missing.
 
     First by their labels; then from subtotal, total and stand-alone amounts: the first pair of amounts, in
-    the order they first appear, that fills the gap gives both, else the gap gives the one that is missing.
+    the order they first appear, that fills the gap gives both, else the gap gives the one that is missing. Pairs
+    are found by looking up what each amount leaves of the gap, so the work grows with the number of amounts.
     """
     b0, b1 = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
     labelled = lambda p: F.coalesce(F.regexp_replace(F.regexp_extract("text", p, 1), ",", "").try_cast("double"), F.lit(0.0))
@@ -260,9 +261,12 @@ def recover_totals(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Data
     rows = rows.withColumn("_total", F.coalesce("_total", F.when(F.size(near) == 1, F.get(near, F.lit(0)))))
     gap = round2(F.col("_total") - F.col("_sub"))
     rows = rows.withColumn("_gap", F.when(F.col("_total") > F.col("_sub"), gap))
-    rows = rows.withColumn("_fit", F.filter("_alone", lambda n: (n > 0) & (n <= F.col("_gap"))))
-    pairs = F.flatten(F.transform("_fit", lambda x, i: F.filter(F.transform("_fit", lambda y, j: F.when((j > i) & (F.abs(round2(x + y) - F.col("_gap")) < 0.01), F.struct(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi")))), lambda p: p.isNotNull())))
-    rows = rows.withColumn("_pair", F.get(pairs, F.lit(0)))
+    cents = lambda x: F.round(x * 100).cast("long")
+    rows = rows.withColumn("_fit", F.transform(F.filter("_alone", lambda n: (n > 0) & (n <= F.col("_gap"))), cents))
+    rest = F.transform("_fit", lambda x: cents(F.col("_gap")) - x)  # an amount whose rest stands among the amounts is one of a pair: a hash lookup each
+    one = F.get(F.filter(F.array_intersect("_fit", rest), lambda x: 2 * x != cents(F.col("_gap"))), F.lit(0))
+    other = cents(F.col("_gap")) - one
+    rows = rows.withColumn("_pair", F.when(one.isNotNull(), F.struct((F.least(one, other) / 100).alias("lo"), (F.greatest(one, other) / 100).alias("hi"))))
     g = F.col("_gap")
     tax = F.when(F.col("_pair").isNotNull(), F.col("_pair.lo")).when(g.isNotNull() & (F.col("tax") == 0) & (F.col("shipping") > 0), round2(g - F.col("shipping"))).otherwise(F.col("tax"))
     ship = F.when(F.col("_pair").isNotNull(), F.col("_pair.hi")).when(g.isNotNull() & (F.col("shipping") == 0) & (F.col("tax") > 0), round2(g - F.col("tax"))).otherwise(F.col("shipping"))

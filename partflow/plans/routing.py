@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from partflow.functions.text import BAD_BRANDS, BAD_COURIERS, label_fields, let, repair_tracking, valid_tracking, valid_word
 from partflow.operators import extraction, vendors
 from partflow.sources import tables
+from partflow.sources.scratch import stored
 
 
 def _routed(docs: DataFrame, templates: DataFrame, now: Column, mode: str) -> DataFrame:
@@ -111,6 +112,25 @@ def accept_rules(docs: DataFrame, templates: DataFrame, supplied: DataFrame) ->
     return by_rule.join(checked, "id").select("id", (F.col("acceptable") & (F.col("agrees") == 1)).alias("accepted"))
 
 
+def learn_rules(docs: DataFrame, candidates: DataFrame, supplied: DataFrame, templates: DataFrame, now: Column) -> DataFrame:
+    """The templates after candidate rules were tried on sample documents (doc_id, text, vendor_key) with supplied items.
+
+    A vendor's candidates (seq, vendor_key, vendor_name, vendor_domains, vendor_keywords, extraction_rules) are tried in the
+    order of ``seq``: a first answer, its repair, another model's. The first that is accepted replaces the vendor's template
+    or becomes a new one; a vendor without one gets a failure, on its template or on a stub.
+    """
+    tried = docs.join(candidates.select("seq", "vendor_key"), "vendor_key")
+    each = F.struct("doc_id", "seq").alias("doc_id")  # a document is read by each candidate of its vendor
+    given = supplied.join(tried.select("doc_id", "seq"), "doc_id").select(each, *(c for c in supplied.columns if c != "doc_id"))
+    fits = accept_rules(tried.select(each, "text", F.col("seq").alias("template_id")), candidates.withColumn("id", F.col("seq")), given)
+    judged = candidates.join(fits.where("accepted").select(F.col("id").alias("_fits")), F.col("seq") == F.col("_fits"), "left")
+    first = judged.groupBy("vendor_key").agg(F.min("_fits").alias("_taken"), F.min("seq").alias("_first"))
+    judged = stored(judged.drop("_fits").join(first, "vendor_key"), "candidates")
+    taken = judged.where("seq = _taken").drop("_taken", "_first")
+    failed = judged.where("_taken IS NULL AND seq = _first").drop("_taken", "_first")
+    return vendors.record_failed_attempts(vendors.upsert_templates(templates, taken, now), failed, now)
+
+
 def read_labels(docs: DataFrame, supplied: DataFrame) -> DataFrame:
     """Label fields of OCR texts (doc_id, text); what the text does not show comes from supplied responses."""
     found = docs.select("doc_id", label_fields(F.col("text")).alias("f")).select("doc_id", "f.*")

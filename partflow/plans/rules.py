@@ -568,11 +568,50 @@ def pipe6_spot_check_counters(spark: SparkSession, path: str) -> DataFrame:
 def pipe4_rule_acceptance(spark: SparkSession, path: str) -> DataFrame:
     """Supplied items have prices; those of template 7 differ, so its rule is not accepted."""
     docs = domain.invoice_texts(spark, path).withColumn("template_id", F.col("doc_id") % 25)
+    return routing.accept_rules(docs, templates(spark, path), _supplied_prices(spark, path)).select(F.col("id").cast("int").alias("id"), "accepted")
+
+
+def _supplied_prices(spark: SparkSession, path: str) -> DataFrame:
     items = domain.invoice_items(spark, path)
     first = items.groupBy("doc_id", "part_number").agg(F.when(F.count("*") == 1, F.max("cents")).alias("cents"))  # a number that stands twice is supplied without a price
     price = F.col("cents") / 100 + F.when(F.col("doc_id") % 25 == 7, 0.5).otherwise(0.0)
-    supplied = first.select("doc_id", "part_number", F.lit(0).alias("item_pos"), F.lit("").alias("part_name"), price.alias("unit_price"))
-    return routing.accept_rules(docs, templates(spark, path), supplied).select(F.col("id").cast("int").alias("id"), "accepted")
+    return first.select("doc_id", "part_number", F.lit(0).alias("item_pos"), F.lit("").alias("part_name"), price.alias("unit_price"))
+
+
+@query(f"""{with_views('inv')}, {_TEMPLATES}, k AS (SELECT id, id <> 7 AND (id % 3 > 0 OR id % 6 = 0) AND id IN (SELECT doc_id % 25 FROM inv) AS ok FROM templates)
+SELECT CAST(id AS BIGINT) AS id, 'v' || id AS vendor_key, ok OR has_row AS has_row, CAST(CASE WHEN ok THEN 0 ELSE wins END AS INTEGER) AS success_count, CAST(CASE WHEN ok THEN 0 ELSE fails + 1 END AS INTEGER) AS fail_count, TIMESTAMP '{NOW}' AS last_generation_attempt FROM templates JOIN k USING (id)""")
+def pipe4_templates_after(spark: SparkSession, path: str) -> DataFrame:
+    """Two candidates a vendor: the first is right for two thirds of them, the second for half of the others; prices of vendor 7 differ."""
+    known = templates(spark, path)
+    turn = F.explode(F.array(F.lit(0), F.lit(1))).alias("turn")
+    right = json.dumps({"vendorName": "V", "lineItems": {"start": "Part Number\tQty[^\n]*\n", "end": "Subtotal", "row": ROW}})
+    wrong = right.replace("[A-Z0-9]+", "[a-z]+")
+    good = F.when(F.col("turn") == 0, F.col("id") % 3 > 0).otherwise(F.col("id") % 6 == 0)
+    tried = known.select("id", "vendor_key", "vendor_name", "vendor_domains", "vendor_keywords", turn)
+    tried = tried.select((F.col("id") * 2 + F.col("turn")).alias("seq"), *tried.columns[1:5], F.when(good, right).otherwise(wrong).alias("extraction_rules"))
+    docs = domain.invoice_texts(spark, path).withColumn("vendor_key", F.concat(F.lit("v"), F.col("doc_id") % 25))
+    after = routing.learn_rules(docs, tried, _supplied_prices(spark, path), known, _now())
+    return after.select("id", "vendor_key", (F.get_json_object("extraction_rules", "$.lineItems.row") != "").alias("has_row"), "success_count", "fail_count", "last_generation_attempt")
+
+
+_AMOUNTS = "x AS (SELECT o_orderkey AS doc_id, o_orderkey % 4 AS kind, 2 * (o_orderkey % 450) + 100 AS ship, 2 * (o_orderkey % 350) + 37 AS tax FROM orders)"
+
+
+@query(f"WITH {_AMOUNTS} SELECT doc_id, CASE WHEN kind IN (0, 2) THEN tax ELSE least(tax, ship) END / 100 AS tax, CASE WHEN kind IN (0, 2) THEN ship ELSE greatest(tax, ship) END / 100 AS shipping FROM x")
+def s22_totals_by_sums(spark: SparkSession, path: str) -> DataFrame:
+    """Totals by label, by the pair of amounts that fills the gap, by the gap alone, and with a total that is only a stand-alone amount."""
+    key = F.col("o_orderkey")
+    sub, ship, tax = key % 50_000 + 10_000, 2 * (key % 450) + 100, 2 * (key % 350) + 37
+    lines = lambda *parts: F.concat_ws("\n", *parts)
+    head = F.concat(F.lit("Sub Total  "), domain.money(sub))
+    total = domain.money(sub + ship + tax)
+    text = (
+        F.when(key % 4 == 0, lines(F.concat(F.lit("Tax: $"), domain.money(tax)), F.concat(F.lit("Shipping & handling "), domain.money(ship)), head))
+        .when(key % 4 == 1, lines(F.lit("Invoice"), head, F.concat(F.lit("$"), domain.money(ship)), domain.money(tax), domain.money(sub + 1), F.concat(F.lit("Total Amount  "), total)))
+        .when(key % 4 == 2, lines(head, F.concat(F.lit("Order total "), total))).otherwise(lines(head, total, domain.money(tax), domain.money(ship)))
+    )
+    docs = domain.table(spark, path, "orders").select(key.alias("doc_id"), text.alias("text"), F.when(key % 4 == 2, tax / 100).otherwise(0.0).alias("tax"), F.lit(0.0).alias("shipping"))
+    return extraction.recover_totals(docs)
 
 
 @query(f"""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'MX' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') ELSE 'S' || o_orderkey END AS model_number, CASE WHEN o_orderkey % 2 = 0 THEN 'whirlpool' ELSE 'acme' END AS brand FROM orders""")
