@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import string
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partflow.functions.text import normalize_domain
@@ -9,7 +14,9 @@ from partflow.operators.numbering import numbered
 
 COOLDOWN_DAYS = 7
 FAIL_THRESHOLD = 3
-BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+KEYWORD_CHARS = 8 << 20
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+_WORD = frozenset(string.ascii_letters + string.digits + "_")
 DOMAIN_TOKEN = r"(?i)(?:https?://)?(?:www\.)?([a-z0-9-]+\.[a-z]{2,})"
 # Names of cookies that carry a session, for two domains and in general.
 AUTH_NAMES = {"amazon.com": r"^session-id$|^at-main$|^sess-at-|^x-main$|^ubid-main$", "ebay.com": r"^ebay$|^nonsession$|^ds1$|^s$"}
@@ -29,25 +36,56 @@ def match_domain(hosts: DataFrame, domains: DataFrame) -> DataFrame:
     return found.groupBy("host").agg(F.max_by("domain", F.struct(F.length("domain"), "domain")).alias("domain"))
 
 
-def detect_vendor(docs: DataFrame, templates: DataFrame) -> DataFrame:
+def detect_vendor(docs: DataFrame, templates: DataFrame, shard_chars: int = KEYWORD_CHARS) -> DataFrame:
     """(doc_id, template_id, confidence): by a domain in the text, else by a whole-word keyword of four or more characters.
 
-    Of several templates the smallest id wins. Both joins are equi-joins: domains by themselves, keywords by
-    their first word (a document's words are taken once); what joins is then matched as a whole.
+    Of several templates the smallest id wins. Domains are an equi-join of the few that a text names. Keywords of at most
+    ``shard_chars`` characters together are one automaton, sent to all tasks, which finds them in one pass over a text;
+    more are dealt to automata by hash, each with a pass of its own. No text is exploded or moved.
     """
     tokens = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(DOMAIN_TOKEN), F.lit(1)), F.lower))
     seen = docs.select("doc_id", F.explode(tokens).alias("domain"))
     known = templates.select(F.col("id").alias("template_id"), F.explode(F.transform("vendor_domains", F.lower)).alias("domain"))
-    by_domain = seen.join(known, "domain").groupBy("doc_id").agg(F.min("template_id").alias("template_id")).withColumn("confidence", F.lit("domain"))
-    rest = docs.join(by_domain.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text")
-    first = lambda c: F.regexp_extract(c, "[a-z0-9_]+", 0)  # noqa: E731  empty for a keyword without a word, which every document is held against
-    keys = templates.select(F.col("id").alias("template_id"), F.explode(F.transform(F.filter("vendor_keywords", lambda k: F.length(k) >= 4), F.lower)).alias("keyword"))
-    pattern = F.concat(F.lit(f"(?i){BOUNDARY}"), F.regexp_replace("keyword", r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(BOUNDARY))
-    keys = keys.select("template_id", first(F.col("keyword")).alias("word"), pattern.alias("pattern"))
-    words = F.array_union(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)), F.array(F.lit("")))
-    met = rest.select("doc_id", F.explode(words).alias("word")).join(keys, "word").select("doc_id", "template_id", "pattern").distinct()
-    by_word = met.join(rest, "doc_id").where(F.expr("text RLIKE pattern")).groupBy("doc_id").agg(F.min("template_id").alias("template_id")).withColumn("confidence", F.lit("keyword"))
-    return by_domain.unionByName(by_word)
+    found = seen.join(known, "domain").select("doc_id", F.lit(0).alias("rank"), "template_id")
+    keys = templates.select(F.col("id").cast("long").alias("template_id"), F.explode(F.transform(F.filter("vendor_keywords", lambda k: F.length(k) >= 4), F.lower)).alias("keyword"))
+    keys = keys.groupBy("keyword").agg(F.min("template_id").alias("template_id"))
+    shards = -(-(keys.agg(F.sum(F.length("keyword"))).first()[0] or 0) // shard_chars)
+    for shard in range(shards):
+        part = keys if shards == 1 else keys.where(F.pmod(F.xxhash64("keyword"), F.lit(shards)) == shard)
+        words = {r.keyword: r.template_id for r in part.toLocalIterator()}  # about shard_chars characters
+        if words:
+            found = found.unionByName(_by_keyword(docs, words).withColumn("rank", F.lit(1)))
+    best = found.groupBy("doc_id").agg(F.min(F.struct("rank", "template_id")).alias("b"))
+    return best.select("doc_id", "b.template_id", F.when(F.col("b.rank") == 0, "domain").otherwise("keyword").alias("confidence"))
+
+
+def _by_keyword(docs: DataFrame, keywords: dict[str, int]) -> DataFrame:
+    """(doc_id, template_id): the smallest id of the keywords that a text holds as whole words, in any ASCII case."""
+    sent = docs.sparkSession.sparkContext.broadcast(keywords)
+    source = docs.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for word, template in sent.value.items():
+            automaton.add_word(word, (len(word), template))
+        automaton.make_automaton()
+        for batch in batches:
+            best = []
+            for text in batch.column(1).to_pylist():
+                low, least = (text or "").translate(_LOWER), None
+                for end, (size, template) in automaton.iter(low):
+                    if (least is None or template < least) and _edge(low, end + 1 - size) and _edge(low, end + 1):
+                        least = template
+                best.append(least)
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int64())], ["doc_id", "template_id"])
+            yield out.filter(out.column(1).is_valid())
+
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, template_id long")
+
+
+def _edge(text: str, at: int) -> bool:
+    """Whether a word begins or ends at a place."""
+    return (at > 0 and text[at - 1] in _WORD) != (at < len(text) and text[at] in _WORD)
 
 
 def template_state(templates: DataFrame, now: Column) -> DataFrame:

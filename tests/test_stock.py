@@ -1,5 +1,6 @@
 """Folds against plain loops, ledger sums, replays and pages on hand-made rows."""
 
+import re
 from datetime import datetime
 
 import pytest
@@ -149,10 +150,26 @@ def test_hot_listing_is_one_running_stock(spark):
     assert {r.status: r["count"] for r in got} == {"processed": sold, "quarantined": 25_000 - sold}
 
 
-def test_keywords_join_by_their_first_word(spark):
-    known = [(3, [], ["Acme Tools", "abc"]), (1, [], ["a&b parts"]), (2, ["x.com"], ["&&&&"])]
-    made = spark.createDataFrame(known, "id long, vendor_domains array<string>, vendor_keywords array<string>")
-    texts = ["sold by ACME tools!", "acme  tools", "xacme tools", "from A&B Parts Ltd", "see https://www.X.com now, acme tools", "abc", None, "a&&&&b"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.template_id, r.confidence) for r in vendors.detect_vendor(docs, made).collect()}
-    assert got == {0: (3, "keyword"), 3: (1, "keyword"), 4: (2, "domain"), 7: (2, "keyword")}
+KNOWN = [(3, [], ["Acme Tools", "abc"]), (1, [], ["a&b parts"]), (2, ["x.com"], ["&&&&"]), (4, [], ["tools!", "Größe"])]
+TEXTS = ["sold by ACME tools!", "acme  tools", "xacme tools", "from A&B Parts Ltd", "see https://www.X.com now, acme tools", "abc", None, "a&&&&b", "größe", "", "die GRößE x", "acme tools and a&b parts"]
+
+
+@pytest.mark.parametrize("shard_chars", [1 << 20, 5])
+def test_keywords_are_whole_words(spark, shard_chars):
+    made = spark.createDataFrame(KNOWN, "id long, vendor_domains array<string>, vendor_keywords array<string>")
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = {r.doc_id: (r.template_id, r.confidence) for r in vendors.detect_vendor(docs, made, shard_chars).collect()}
+    want = {4: (2, "domain")}
+    for i, text in enumerate(TEXTS):
+        edge = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+        hits = [t for t, _, words in KNOWN for w in words if len(w) >= 4 and re.search(f"(?ai){edge}{re.escape(w.lower())}{edge}", text or "")]
+        if hits and i not in want:
+            want[i] = (min(hits), "keyword")
+    assert got == want and want[0] == (3, "keyword") and want[7] == (2, "keyword")
+
+
+def test_many_keywords_in_one_pass(spark):
+    words = [f"vendor {i} inc" for i in range(100_000)]
+    made = spark.range(100_000).selectExpr("id", "CAST(array() AS array<string>) AS vendor_domains", "array(concat('Vendor ', id, ' Inc')) AS vendor_keywords")
+    docs = spark.createDataFrame([(i, f"x {words[i * 37]}, {words[i * 11]} y") for i in range(2000)], "doc_id long, text string")
+    assert {r.doc_id: r.template_id for r in vendors.detect_vendor(docs, made).collect()} == {i: i * 11 for i in range(2000)}
