@@ -31,7 +31,7 @@ from sentencepiece import SentencePieceProcessor
 
 from partflow.llm.rank_bpe import RankBPE
 from partflow.llm.shared import fresh, stored
-from partflow.llm.spill_count import RUN_FIELDS, RunWriter, contributions, count_runs
+from partflow.llm.spill_count import BUFFER, RUN_FIELDS, RunWriter, contributions, count_runs
 from partflow.llm.tokens import BYTE_BPE, Encoder
 from partflow.llm.words import ranges, slices, text_bytes
 
@@ -177,11 +177,11 @@ def _spaced(docs: DataFrame, text: str) -> F.Column:
 
 def alignment_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", path_a: str = BYTE_BPE, path_b: str = PIECE_BPE) -> DataFrame:
     """The ``keep`` columns and ``groups`` of every row: ``a1,a2|b1;a3|b2,b3``, ids of A and B by group; '' without tokens."""
-    return _scan(docs, keep, text, path_a, path_b, False).select(*keep, "groups")
+    return _scan(docs, keep, text, path_a, path_b, 0).select(*keep, "groups")
 
 
-def _scan(docs: DataFrame, keep: tuple[str, ...], text: str, path_a: str, path_b: str, count: bool) -> DataFrame:
-    """One row per document; with ``count`` also the runs of links, whose ``radix`` is not null."""
+def _scan(docs: DataFrame, keep: tuple[str, ...], text: str, path_a: str, path_b: str, buffer: int) -> DataFrame:
+    """One row per document; with a ``buffer`` also the runs of links that fill it, whose ``radix`` is not null."""
     name = fresh("text", keep)
     source = docs.select(*(F.col(f"`{c}`") for c in keep), _spaced(docs, f"`{text}`").alias(name))
     own = ["row", "n_a", "n_b", "n_groups", "n_links", "groups", *(f.split()[0] for f in RUN_FIELDS.split(", "))]
@@ -191,7 +191,7 @@ def _scan(docs: DataFrame, keep: tuple[str, ...], text: str, path_a: str, path_b
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) * _ROWS
         at, kinds = base, None
-        runs = RunWriter(_side_a(path_a)[0].size, _side_b(path_b)[0].size, base) if count else None
+        runs = RunWriter(_side_a(path_a)[0].size, _side_b(path_b)[0].size, base, buffer) if buffer else None
 
         def spilled() -> Iterator[pa.RecordBatch]:
             for values in runs.spill() if runs.docs else ():
@@ -220,10 +220,10 @@ def _scan(docs: DataFrame, keep: tuple[str, ...], text: str, path_a: str, path_b
     return source.mapInArrow(run, f"{fields}row long, n_a long, n_b long, n_groups long, n_links long, groups string, {RUN_FIELDS}")
 
 
-def align_tokenizers(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", path_a: str = BYTE_BPE, path_b: str = PIECE_BPE) -> DataFrame:
+def align_tokenizers(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", path_a: str = BYTE_BPE, path_b: str = PIECE_BPE, buffer: int = BUFFER) -> DataFrame:
     """The ``keep`` columns of every row, its numbers of tokens, groups and links, the digest of its groups, and from the counts
     of the whole table n_best (links whose pair is the most frequent of its A token) and count_sum (over all links)."""
-    table = stored(_scan(docs, keep, text, path_a, path_b, True), "alignment")
+    table = stored(_scan(docs, keep, text, path_a, path_b, buffer), "alignment")
     runs = table.where("radix IS NOT NULL").select("radix", "base", "heads", "body")
     n_runs = runs.select("base").distinct().count()
     totals = count_runs(runs, n_runs, RunWriter(_side_a(path_a)[0].size, _side_b(path_b)[0].size, 0).bits_b)

@@ -55,6 +55,7 @@ KINDS = ((SHINGLE, L, SKETCHES, 1 << 62), (3, 2, 16, 100), (2, 1, 16, 40))
 ROUNDS = 3
 LISTED = 1 << 16
 GROUP = 256
+MANY = 16
 CELLS = 1 << 15
 SLICE = 3 << 20
 BATCH_ROWS = 2000
@@ -315,8 +316,8 @@ def _rare_pairs(left: DataFrame, nodes: DataFrame, threshold: float, listed: int
     texts hold a word, as far as the ``listed`` most frequent of the words that two roots hold go (a table
     of fixed size), others before them. Where all of those are listed, other words join nothing, and a
     text with fewer than threshold * n listed words has no partner. Of texts that share such a word only those are
-    paired whose lengths and word signatures leave room for threshold * n words in common, so a word that many texts
-    hold pairs few of them.
+    paired whose lengths and word signatures leave room for threshold * n words in common, and of the words that
+    ``MANY`` texts hold only the first that two have in common pairs them.
     """
     made = made if made is not None else []  # tables that the caller may drop
     texts = stored(left.join(nodes.select("node", "words"), "node").select("node", "n", "root", "words"), "left")
@@ -353,17 +354,21 @@ def _rare_pairs(left: DataFrame, nodes: DataFrame, threshold: float, listed: int
             take = order[take]
             back = pa.array(row[take])
             signs = [pa.array(x.view(np.int64)).take(back) for x in _signatures(tokens, row, len(n)).T.copy()]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[take].view(np.int64)), *(batch.column(c).take(back) for c in range(3)), *signs], ["word", "node", "n", "root", *_SIGNS])
+            held_by_many = texts_with[take] >= MANY
+            ends_hot = np.concatenate([[0], np.cumsum(np.bincount(row[take][held_by_many], minlength=len(n)))]).astype(np.int32)
+            hot = pa.ListArray.from_arrays(pa.array(ends_hot), pa.array(tokens[take][held_by_many].view(np.int64))).take(pa.array(row[take], mask=~held_by_many))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[take].view(np.int64)), *(batch.column(c).take(back) for c in range(3)), hot, *signs], ["word", "node", "n", "root", "hot", *_SIGNS])
 
-    rare = stored(texts.mapInArrow(first, "word long, node long, n int, root long, " + ", ".join(f"{c} long" for c in _SIGNS)), "rare", BATCH_ROWS)
+    rare = stored(texts.mapInArrow(first, "word long, node long, n int, root long, hot array<bigint>, " + ", ".join(f"{c} long" for c in _SIGNS)), "rare", BATCH_ROWS)
     made += [texts, rare]
-    x = rare.select("word", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in _SIGNS))
-    y = rare.select("word", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in _SIGNS))
+    x = rare.select("word", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("hot").alias("ha"), *(F.col(c).alias(f"a{c}") for c in _SIGNS))
+    y = rare.select("word", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("hot").alias("hb"), *(F.col(c).alias(f"b{c}") for c in _SIGNS))
     big = F.greatest("na", "nb")
     near = F.least("na", "nb") >= threshold * big - 1e-9
     apart = reduce(add, (F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _SIGNS))
     alike = apart <= F.col("na") + F.col("nb") - 2 * F.ceil(threshold * big - 1e-9)
-    return x.join(y, "word").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & near & alike).select("a", "b").distinct()
+    once = F.col("ha").isNull() | (F.get(F.array_intersect("ha", "hb"), F.lit(0)) == F.col("word"))
+    return x.join(y, "word").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & near & alike & once).select("a", "b").distinct()
 
 
 def _links(nodes: DataFrame, threshold: float) -> DataFrame:

@@ -64,13 +64,13 @@ def test_alignment_of_texts(texts):
         assert list(zip(found.a[mine].tolist(), found.b[mine].tolist())) == links
 
 
-@pytest.mark.parametrize("sizes", [{}, {"BUFFER": 300, "FAN_IN": 3, "BLOCK": 8}])
-def test_counts_of_the_whole_table(spark, monkeypatch, sizes):
-    for name, value in sizes.items():
-        monkeypatch.setattr(spill_count, name, value)
+@pytest.mark.parametrize("buffer, fan_in", [(spill_count.BUFFER, spill_count.FAN_IN), (100, 3)])
+def test_counts_of_the_whole_table(spark, monkeypatch, buffer, fan_in):
+    """Also with a run for each few documents, which takes several levels of merges."""
+    monkeypatch.setattr(spill_count, "FAN_IN", fan_in)
     texts = ["the cat sat on the mat", "the cat sat", "the dog's café ran", None, "", "has ▁ mark", "the cat sat", "x<|endoftext|>y", " two  spaces ", "日本語 the"] + [f"item {i} of the list, number {i * 7}" for i in range(60)]
     docs = spark.createDataFrame([(None if i == 2 else i, t, 1, "g") for i, t in enumerate(texts)], "doc_id long, text string, row int, groups string").repartition(3)
-    found = Counter(tuple(r) for r in alignment.align_tokenizers(docs).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect())
+    found = Counter(tuple(r) for r in alignment.align_tokenizers(docs, buffer=buffer).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect())
     count = Counter(pair for t in texts for pair in set(plain(t)[3]))
     best = defaultdict(int)
     for (a, _), n in count.items():

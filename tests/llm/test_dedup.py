@@ -135,8 +135,10 @@ def test_similarity_is_exact(a, data):
         assert (got[0] == distance(a, b) if distance(a, b) <= most[0] else got[0] > most[0]) and got[1] == 0
 
 
-def test_last_round_joins_all_rare_pairs(spark):
-    """The exact join behind the leaders finds every near pair of different roots by itself."""
+@pytest.mark.parametrize("many, listed", [(16, 30), (2, 30), (1, 1 << 16)])
+def test_last_round_joins_all_rare_pairs(spark, monkeypatch, many, listed):
+    """The exact join behind the leaders finds every near pair of different roots by itself, whichever words count as held by many."""
+    monkeypatch.setattr(near_dedup, "MANY", many)
     rng, rows = random.Random(5), []
     for group in range(9):
         base = [f"g{group}w{rng.randrange(40)}" for _ in range((2, 4, 5, 6, 8, 10, 13, 30, 31)[group])]
@@ -148,7 +150,7 @@ def test_last_round_joins_all_rare_pairs(spark):
             rows.append((len(rows), " ".join(w or base)))
     nodes = near_dedup._nodes(spark.createDataFrame(rows, "doc_id long, text string"))
     left = nodes.select("node", "n", F.col("node").alias("root"))
-    pairs = near_dedup._rare_pairs(left, nodes, 0.8, listed=30)
+    pairs = near_dedup._rare_pairs(left, nodes, 0.8, listed=listed)
     found = {frozenset(x) for x in near_dedup._verified(pairs, nodes, 0.8).collect()}
     node = {r.node: r.text.split() for r in spark.createDataFrame(rows, "doc_id long, text string").select(F.xxhash64("text").alias("node"), "text").collect()}
     assert found == {frozenset((a, b)) for a in node for b in node if a != b and near(node[a], node[b])}
