@@ -12,7 +12,12 @@ REQUIRED_GROUPS = ("partNumber", "quantity", "unitPrice")
 
 
 def text_quality(docs: DataFrame) -> DataFrame:
-    """(doc_id, quality_issue): orphan-numbers, fragment-soup, label-dump, duplicate-text or null, in this order.
+    """(doc_id, quality_issue) of documents."""
+    return with_quality(docs).select("doc_id", "quality_issue")
+
+
+def with_quality(docs: DataFrame) -> DataFrame:
+    """Documents with their quality_issue: orphan-numbers, fragment-soup, label-dump, duplicate-text or null, in this order.
 
     Lines are judged by folds over the array of a document's lines, so no line leaves its row.
     """
@@ -31,9 +36,9 @@ def text_quality(docs: DataFrame) -> DataFrame:
     half = F.floor(F.char_length(text) / 2).cast("int")
     sample = F.substring(text, F.lit(1), F.least(half, F.lit(100)))
     twice = (F.char_length(text) > 200) & F.contains(F.substring(text, half + 1, F.char_length(text)), sample)
-    rows = docs.select("doc_id", "text", lines.alias("_lines"))
+    rows = docs.withColumn("_lines", lines)
     issue = F.when(F.size("_lines") == 0, None).when(numeric, "orphan-numbers").when(soup, "fragment-soup").when(labels, "label-dump").when(twice, "duplicate-text")
-    return rows.select("doc_id", issue.alias("quality_issue"))
+    return rows.withColumn("quality_issue", issue).drop("_lines")
 
 
 def parse_rules(templates: DataFrame) -> DataFrame:
@@ -156,12 +161,40 @@ def item_score(items: Column) -> Column:
     return F.when(F.size(items) == 0, 0).otherwise(F.greatest(F.lit(0), 100 - lost))
 
 
+def item_failures(items: Column) -> Column:
+    """What is wrong with the items of an array, item by item in order."""
+
+    def plain(x: Column) -> Column:
+        return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+
+    def of(x: Column, i: Column) -> Column:
+        label = F.when(F.size(items) > 1, F.concat(F.lit("Item "), (i + 1).cast("string"))).otherwise("Item")
+        pn, price, qty = x["part_number"], x["unit_price"], x["quantity"]
+        said = lambda *text: F.concat(label, F.lit(": "), *(F.lit(t) if isinstance(t, str) else t for t in text))
+        number = (
+            F.when(pn.isNull() | (F.char_length(trim_all(pn)) < 2), said("missing or too-short part number"))
+            .when(~pn.rlike("(?i)[A-Z0-9]"), said('part number "', pn, '" has no alphanumeric chars'))
+            .when(pn.rlike(r"^\d{1,2}$"), said('part number "', pn, '" looks like a number, not a part'))
+        )
+        amount = F.when(qty <= 0, said("quantity is ", plain(qty))).when(qty != F.floor(qty), said("quantity ", plain(qty), " is not a whole number"))
+        swapped = F.when((price > 0) & (price == qty), said("unit price equals quantity (", plain(price), ") -- possible column swap"))
+        return F.array(number, F.when(price < 0, said("negative unit price ", plain(price))), F.when(price > 50000, said("unit price ", plain(price), " seems unreasonably high")), amount, swapped)
+
+    every = F.filter(F.flatten(F.transform(items, of)), lambda m: m.isNotNull())
+    return F.when(F.size(items) == 0, F.array(F.lit("No items extracted"))).otherwise(every)
+
+
 def sanity_score(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, score, pass): 100 less the penalties of a document's items, at least 0; 50 passes; no items score 0."""
-    penalty = _penalty(F.col("part_number"), F.col("unit_price"), F.col("quantity"))
-    scores = items.groupBy("doc_id").agg(F.greatest(F.lit(0), 100 - F.sum(penalty)).cast("int").alias("_score"))
-    score = F.coalesce("_score", F.lit(0))
-    return docs.select("doc_id").join(scores, "doc_id", "left").select("doc_id", score.alias("score"), (score >= 50).alias("pass"))
+    """(doc_id, score, pass, failures): 100 less the penalties of a document's items, at least 0; 50 passes; no items score 0.
+
+    A document's items stand in one array, in the order of item_pos (then of their other fields).
+    """
+    fields = ("item_pos", "part_number", "part_name", "quantity", "unit_price")
+    lists = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_items"))
+    none = F.array().cast(lists.schema["_items"].dataType)
+    rows = docs.select("doc_id").join(lists, "doc_id", "left").withColumn("_items", F.coalesce("_items", none))
+    rows = rows.select("doc_id", item_score(F.col("_items")).cast("int").alias("score"), item_failures(F.col("_items")).alias("failures"))
+    return rows.select("doc_id", "score", (F.col("score") >= 50).alias("pass"), "failures")
 
 
 def validate_extraction(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -224,6 +257,7 @@ def check_rules(rules: DataFrame, items: DataFrame | None = None) -> DataFrame:
     return out.select("id", "literal_fraction", "missing_groups", held.alias("holds_literal"), "nested_quantifier", "row_compiles", good.alias("acceptable"))
 
 
+# Fixed value: the form of amounts in invoices. Messages of checks and labels of totals in this module are fixed likewise.
 _AMOUNT = r"\d[\d,]*\.\d{2}"
 
 

@@ -91,35 +91,57 @@ def check_listing(df: DataFrame) -> DataFrame:
 
 
 PATCHED = ("brand", "description", "ebay_listing_id", "listed_quantity")
+_FLAGS = tuple(f"has_{c}" for c in PATCHED)
+
+
+def _patched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Patches that come sorted by part and order, each with its part's columns before any: the columns after it, and why it was refused."""
+    part, state, turn = object(), {}, 0
+    for batch in batches:
+        after, messages, turns = [], [], []
+        for row in batch.to_pylist():
+            if row["part_id"] != part:
+                part, state, turn = row["part_id"], {c: row[f"_{c}"] for c in PATCHED}, 0
+            turn += 1
+            turns.append(turn)
+            new = {c: row[c] if row[f"has_{c}"] else state[c] for c in PATCHED}
+            if new["listed_quantity"] is None:
+                new["listed_quantity"] = state["listed_quantity"]
+            listed, none, stock = new["listed_quantity"], not new["ebay_listing_id"], row["_quantity"]
+            message = None
+            if listed is not None and (listed < 0 or stock is not None and listed > stock):
+                message = None if stock is None else f"listed_quantity must be between 0 and {stock}"
+            elif listed is not None and listed > 0 and none:
+                message = "ebay_listing_id required when listed_quantity > 0"
+            elif listed == 0 and not none:
+                message = "ebay_listing_id must be null when listed_quantity is 0"
+            state = state if message else new
+            after.append(state)
+            messages.append(message)
+        columns = [pa.array([s[c] for s in after], pa.int32() if c == "listed_quantity" else pa.string()) for c in PATCHED]
+        yield pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("part_id"), pa.array(messages, pa.string()), pa.array(turns, pa.int64()), *columns], ["seq", "part_id", "message", "turn", *PATCHED])
 
 
 def update_parts(parts: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Patches (seq, part_id, and for each of ``PATCHED`` a value and a flag ``has_<column>``), in order for each part.
 
     A set flag with a null value clears, an unset flag keeps; a patch that breaks the listing rules
-    changes nothing. Returns (parts, rejects).
+    changes nothing. Returns (parts, rejects). A part's patches stand together in order, so a task carries one
+    running state through them, whatever their number.
     """
-    lists = patches.groupBy("part_id").agg(F.array_sort(F.collect_list(F.struct("seq", *PATCHED, *(f"has_{c}" for c in PATCHED)))).alias("asked"))
-    joined = parts.join(lists, parts["id"] == lists["part_id"], "left").withColumn("asked", F.coalesce("asked", F.array().cast(lists.schema["asked"].dataType)))
-    state = F.struct(*(F.col(c) for c in PATCHED), F.array().cast("array<struct<seq:bigint,message:string>>").alias("bad"))
-
-    def step(s: Column, p: Column) -> Column:
-        new = {c: F.when(p[f"has_{c}"], p[c]).otherwise(s[c]) for c in PATCHED}
-        listed, listing = F.coalesce(F.when(p["has_listed_quantity"], p["listed_quantity"]), s["listed_quantity"]), new["ebay_listing_id"]
-        none = F.coalesce(listing, F.lit("")) == ""
-        message = (
-            F.when((listed < 0) | (listed > F.col("quantity")), F.concat(F.lit("listed_quantity must be between 0 and "), F.col("quantity")))
-            .when((listed > 0) & none, "ebay_listing_id required when listed_quantity > 0").when((listed == 0) & ~none, "ebay_listing_id must be null when listed_quantity is 0")
-        )
-        new["listed_quantity"] = listed
-        bad = F.when(message.isNotNull(), F.concat(s["bad"], F.array(F.struct(p["seq"].cast("long").alias("seq"), message.alias("message"))))).otherwise(s["bad"])
-        return F.struct(*(F.when(message.isNull(), new[c]).otherwise(s[c]).alias(c) for c in PATCHED), bad.alias("bad"))
-
-    out = joined.withColumn("out", F.aggregate("asked", state, step))
-    rejects = out.select(F.col("id").alias("part_id"), F.explode("out.bad").alias("b")).select("b.seq", "part_id", "b.message")
-    unknown = patches.join(parts.select(F.col("id").alias("part_id")), "part_id", "left_anti").select(F.col("seq").cast("long").alias("seq"), "part_id", F.lit("Part not found").alias("message"))
-    columns = [F.col(f"out.{c}").alias(c) if c in PATCHED else F.col(c) for c in parts.columns]
-    return out.select(*columns), rejects.unionByName(unknown)
+    before = parts.select(F.col("id").alias("_id"), F.col("quantity").cast("int").alias("_quantity"), *(F.col(c).cast("int" if c == "listed_quantity" else "string").alias(f"_{c}") for c in PATCHED))
+    typed = [F.col(c).cast("int" if c == "listed_quantity" else "string").alias(c) for c in PATCHED]
+    asked = patches.select(F.col("seq").cast("long").alias("seq"), "part_id", *typed, *_FLAGS)
+    joined = asked.join(before, asked["part_id"] == before["_id"]).drop("_id")
+    dealt = joined.repartition("part_id").sortWithinPartitions("part_id", "seq", *PATCHED, *_FLAGS)
+    kept = ", ".join(f"{c} {'int' if c == 'listed_quantity' else 'string'}" for c in PATCHED)
+    rows = dealt.mapInArrow(_patched, f"seq long, part_id {dealt.schema['part_id'].dataType.simpleString()}, message string, turn long, {kept}")
+    last = rows.where("message IS NULL").groupBy(F.col("part_id").alias("_id")).agg(F.max_by(F.struct(*PATCHED), "turn").alias("_new"))
+    state = parts.join(last, parts["id"] == last["_id"], "left")
+    changed = F.col("_id").isNotNull()
+    columns = [F.when(changed, F.col(f"_new.{c}")).otherwise(F.col(c)).cast(parts.schema[c].dataType).alias(c) if c in PATCHED else F.col(c) for c in parts.columns]
+    unknown = asked.join(before.select(F.col("_id").alias("part_id")), "part_id", "left_anti").select("seq", "part_id", F.lit("Part not found").alias("message"))
+    return state.select(*columns), rows.where("message IS NOT NULL").select("seq", "part_id", "message").unionByName(unknown)
 
 
 def delete_parts(parts: DataFrame, events: DataFrame, xrefs: DataFrame, processed: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

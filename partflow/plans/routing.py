@@ -90,12 +90,12 @@ def parse_documents(docs: DataFrame, templates: DataFrame, now: Column, response
 
     Form feeds are cleaned and short texts rejected (rejected_reason; no route); texts of poor quality are
     supplemented by ``ocr`` (doc_id, content); the vendor is detected; then as ``extract_documents``. What
-    the counters of templates get stands in outcome, with template_id.
+    the counters of templates get stands in outcome, with template_id. The texts are written down once they are
+    supplemented; detection and extraction read them from there.
     """
     clean = tables.documents(docs.select("doc_id", "text"))
     good = clean.where("rejected_reason IS NULL").drop("rejected_reason")
-    judged = good.join(extraction.text_quality(good), "doc_id")
-    full = tables.supplement_text(judged, ocr)
+    full = stored(tables.supplement_text(extraction.with_quality(good), ocr), "texts")
     matched = full.join(vendors.detect_vendor(full, templates), "doc_id", "left")
     done = _extracted(matched, templates, now, responses, mode, ("doc_id", "template_id", "confidence", "quality_issue"))
     rejected = clean.where("rejected_reason IS NOT NULL").select("doc_id", "rejected_reason")

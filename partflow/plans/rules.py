@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from partflow.functions import text as t
 from partflow.operators import extraction, pages, vendors
-from partflow.plans import routing, texts
+from partflow.plans import changes, routing, texts
 from partflow.plans.registry import query
-from partflow.sources import domain, tables
+from partflow.sources import domain, schemas, tables
 from partflow.sources.domain import with_views
-from partflow.sources.scratch import stored
+from partflow.sources.scratch import shared_dir, stored
 
 NOW = "2024-03-01 00:00:00"
 
@@ -33,6 +35,26 @@ def _now():
     return F.lit(NOW).cast("timestamp_ntz")
 
 
+@query(_many(f"""{with_views('parts', 'appliances', 'xrefs', 'ev')}, seen AS (SELECT CAST(l_orderkey AS VARCHAR) AS k FROM lineitem WHERE l_orderkey % 50 = 0)
+SELECT name, n, CAST(total AS BIGINT) AS total FROM (SELECT 'parts' AS name, count(*) AS n, sum(quantity) AS total FROM parts UNION ALL SELECT 'appliances', count(*), count(brand) FROM appliances UNION ALL SELECT 'cross_references', count(*), sum(part_id) FROM xrefs
+UNION ALL SELECT 'inventory_events', count(*), sum(quantity_change) FROM ev UNION ALL SELECT 'processed_lines', count(*), count(*) FROM seen UNION ALL SELECT 'vendor_templates', count(*), sum(n_nationkey % 7) FROM nation
+UNION ALL SELECT 'vendor_presets', count(*), sum(n_nationkey % 5) FROM nation UNION ALL SELECT 'vendor_domains', count(*), count(*) FROM supplier)"""))
+def src1_load(spark: SparkSession, path: str) -> DataFrame:
+    """All stock and rule tables, written down and loaded with their declared schemas."""
+    domains = domain.table(spark, path, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.concat(F.lit("d"), "s_suppkey", F.lit(".com")).alias("domain"))
+    made = {
+        "parts": domain.parts(spark, path), "appliances": domain.appliances(spark, path), "cross_references": domain.cross_references(spark, path), "inventory_events": domain.inventory_events(spark, path), "processed_lines": changes._seen(spark, path),
+        "vendor_templates": templates(spark, path, True), "vendor_presets": _presets(spark, path), "vendor_domains": domains,
+    }
+    sums = {"parts": "sum(quantity)", "appliances": "count(brand)", "cross_references": "sum(part_id)", "inventory_events": "sum(quantity_change)", "processed_lines": "count(line_id)", "vendor_templates": "sum(fail_count)", "vendor_presets": "sum(fail_count)", "vendor_domains": "count(domain)"}
+    folder = shared_dir(spark, "tables")
+    for name, frame in made.items():
+        typed = {f.name: f.dataType for f in StructType.fromDDL(schemas.STOCK_TABLES[name]) if f.name in frame.columns}
+        frame.select(*(F.col(c).cast(kind).alias(c) for c, kind in typed.items())).write.parquet(f"{folder}/{name}")
+    loaded = [frame.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.expr(sums[name]).cast("long").alias("total")) for name, frame in tables.load(spark, folder).items()]
+    return reduce(DataFrame.unionByName, loaded)
+
+
 # --- domains and detection ---
 
 _HOSTS = r"hosts AS (SELECT page_id, lower(regexp_extract(url, '(?i)^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages), h AS (SELECT DISTINCT host, string_split(regexp_replace(host, '^www\.', ''), '.') AS l FROM hosts)"
@@ -272,15 +294,22 @@ def _odd_items(spark: SparkSession, path: str) -> DataFrame:
     return domain.table(spark, path, "lineitem").select(F.col("l_orderkey").alias("doc_id"), line.alias("item_pos"), pn.alias("part_number"), name.alias("part_name"), qty.alias("quantity"), price.alias("unit_price"))
 
 
-_ODD = """odd AS (SELECT l_orderkey AS doc_id, CASE l_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN '--' WHEN 2 THEN '12' ELSE 'P' || l_partkey END AS pn, CASE WHEN l_orderkey % 2 = 0 THEN 'same' ELSE 'n' || l_partkey % 100 END AS name,
+_ODD = """odd AS (SELECT l_orderkey AS doc_id, l_linenumber AS item_pos, CASE l_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN '--' WHEN 2 THEN '12' ELSE 'P' || l_partkey END AS pn, CASE WHEN l_orderkey % 2 = 0 THEN 'same' ELSE 'n' || l_partkey % 100 END AS name,
   CASE l_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1.5 ELSE l_quantity END AS qty, CASE l_partkey % 4 WHEN 0 THEN -1 WHEN 1 THEN 60000 WHEN 2 THEN CASE l_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1.5 ELSE l_quantity END END AS price FROM lineitem)"""
 
 
 @query(f"""WITH {_ODD}, p AS (SELECT doc_id, CASE WHEN length(pn) < 2 THEN 25 WHEN NOT regexp_matches(pn, '(?i)[A-Z0-9]') THEN 20 WHEN regexp_matches(pn, '^\\d{{1,2}}$') THEN 25 ELSE 0 END + CASE WHEN price < 0 THEN 20 ELSE 0 END + CASE WHEN price > 50000 THEN 10 ELSE 0 END
-+ CASE WHEN qty <= 0 THEN 20 WHEN qty <> floor(qty) THEN 10 ELSE 0 END + CASE WHEN price > 0 AND price = qty THEN 15 ELSE 0 END AS n FROM odd), s AS (SELECT doc_id, CAST(greatest(0, 100 - sum(n)) AS INTEGER) AS score FROM p GROUP BY doc_id)
-SELECT o_orderkey AS doc_id, coalesce(score, 0) AS score, coalesce(score, 0) >= 50 AS pass FROM orders LEFT JOIN s ON doc_id = o_orderkey""")
++ CASE WHEN qty <= 0 THEN 20 WHEN qty <> floor(qty) THEN 10 ELSE 0 END + CASE WHEN price > 0 AND price = qty THEN 15 ELSE 0 END AS n FROM odd), s AS (SELECT doc_id, CAST(greatest(0, 100 - sum(n)) AS INTEGER) AS score FROM p GROUP BY doc_id),
+m AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN 'Item ' || row_number() OVER (PARTITION BY doc_id ORDER BY item_pos, pn, name, qty, price NULLS FIRST) ELSE 'Item' END || ': ' AS label, row_number() OVER (PARTITION BY doc_id ORDER BY item_pos, pn, name, qty, price NULLS FIRST) AS i,
+  CASE WHEN price = floor(price) THEN CAST(CAST(price AS BIGINT) AS VARCHAR) ELSE CAST(price AS VARCHAR) END AS sp, CASE WHEN qty = floor(qty) THEN CAST(CAST(qty AS BIGINT) AS VARCHAR) ELSE CAST(qty AS VARCHAR) END AS sq FROM odd),
+f AS (SELECT doc_id, i, list_filter([CASE WHEN length(pn) < 2 THEN label || 'missing or too-short part number' WHEN pn = '--' THEN label || 'part number "--" has no alphanumeric chars' WHEN pn = '12' THEN label || 'part number "12" looks like a number, not a part' END,
+  CASE WHEN price < 0 THEN label || 'negative unit price ' || sp END, CASE WHEN price > 50000 THEN label || 'unit price ' || sp || ' seems unreasonably high' END, CASE WHEN qty <= 0 THEN label || 'quantity is ' || sq WHEN qty <> floor(qty) THEN label || 'quantity ' || sq || ' is not a whole number' END,
+  CASE WHEN price > 0 AND price = qty THEN label || 'unit price equals quantity (' || sp || ') -- possible column swap' END], lambda x: x IS NOT NULL) AS msgs FROM m),
+g AS (SELECT doc_id, array_to_string(flatten(list(msgs ORDER BY i)), '; ') AS failures FROM f GROUP BY doc_id)
+SELECT o_orderkey AS doc_id, coalesce(score, 0) AS score, coalesce(score, 0) >= 50 AS pass, coalesce(failures, 'No items extracted') AS failures FROM orders LEFT JOIN s ON s.doc_id = o_orderkey LEFT JOIN g ON g.doc_id = o_orderkey""")
 def a4_sanity_score(spark: SparkSession, path: str) -> DataFrame:
-    return extraction.sanity_score(domain.table(spark, path, "orders").select(F.col("o_orderkey").alias("doc_id")), _odd_items(spark, path))
+    out = extraction.sanity_score(domain.table(spark, path, "orders").select(F.col("o_orderkey").alias("doc_id")), _odd_items(spark, path))
+    return out.withColumn("failures", F.array_join("failures", "; "))
 
 
 @query(f"""WITH {_ODD}, s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (length(name) > 2 OR length(pn) > 2) AS known, count(*) FILTER (qty < 1 OR qty <> floor(qty)) AS bq, count(*) FILTER (price < 0.01 OR price > 50000) AS bp, count(DISTINCT name) AS d FROM odd GROUP BY doc_id),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from partflow.plans.changes import _POLLED, _SETTLED, _seen, _sold, _watermark
 from partflow.plans.registry import query
-from partflow.sources import domain
+from partflow.sources import domain, tables
 from partflow.sources.commits import Store
 from partflow.sources.domain import with_views
 from partflow.sources.scratch import shared_dir
@@ -59,3 +59,23 @@ def snk1_ledger(spark: SparkSession, path: str) -> DataFrame:
 SELECT id, CAST(quantity - coalesce(n, 0) AS INTEGER) AS quantity, CAST(listed_quantity - coalesce(n, 0) AS INTEGER) AS listed_quantity, CASE WHEN n IS NULL OR listed_quantity <> n THEN ebay_listing_id END AS ebay_listing_id FROM parts LEFT JOIN sold ON part_id = id""")
 def snk2_stored_parts(spark: SparkSession, path: str) -> DataFrame:
     return _polled(spark, path).read("parts").select("id", "quantity", "listed_quantity", "ebay_listing_id")
+
+
+_ORDERS = """lines_of AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 9 <> 3)
+SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(l_linenumber AS VARCHAR) AS line_id, 'L' || l_partkey AS listing_id, CAST(l_quantity AS INTEGER) AS quantity, 'line' AS kind FROM orders JOIN lines_of ON l_orderkey = o_orderkey WHERE o_orderkey % 11 <> 5
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), NULL, NULL, NULL, 'no_lines' FROM orders WHERE o_orderkey % 11 <> 5 AND o_orderkey NOT IN (SELECT l_orderkey FROM lines_of)
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'corrupt' FROM orders WHERE o_orderkey % 11 = 5"""
+
+
+@query(f"WITH {_ORDERS}")
+def src2_order_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Orders as files of JSON lines, some of them broken off and some orders without lines, read as a stream."""
+    line = F.struct(F.col("l_linenumber").cast("string").alias("lineItemId"), F.concat(F.lit("L"), "l_partkey").alias("legacyItemId"), F.col("l_quantity").cast("int").alias("quantity"))
+    lists = domain.table(spark, path, "lineitem").where("l_orderkey % 9 <> 3").groupBy("l_orderkey").agg(F.collect_list(line).alias("lineItems"))
+    orders = domain.table(spark, path, "orders").join(lists, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    text = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("orderId"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("creationDate"), "lineItems"))
+    source, out = shared_dir(spark, "orders"), shared_dir(spark, "lines")
+    orders.select(F.when(F.col("o_orderkey") % 11 == 5, F.substring(text, F.lit(1), F.length(text) - 3)).otherwise(text).alias("value")).write.text(source)
+    rows = tables.split_orders(tables.read_orders(spark, source, stream=True)).select("order_id", "line_id", "listing_id", "quantity", "kind")
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_dir(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)

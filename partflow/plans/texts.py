@@ -62,12 +62,6 @@ def s3_find_part_numbers(spark: SparkSession, path: str) -> DataFrame:
     return _labels(spark, path).union(_docs(spark, path)).select("id", t.find_part_numbers(F.col("text")).alias("numbers"))
 
 
-@query()
-def s3_find_all_part_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """As ``s3_find_part_numbers``, over every document: also those that hold part numbers, which its SQL leaves out."""
-    return _labels(spark, path).union(_docs(spark, path)).select("id", t.find_part_numbers(F.col("text")).alias("numbers"))
-
-
 _MENTIONS = r"list_filter(list_transform(regexp_extract_all(text, '(?i)\b(?:WP[A-Z]?\d{5,}|W\d{7,}|WB\d+X\d+|\d{7,10}|[A-Z]{2,3}\d{6,})\b'), lambda m: upper(regexp_replace(m, '[-.\s#]', '', 'g'))), lambda m: NOT regexp_matches(m, '^(AP|PS|EA)\d+$'))"
 
 

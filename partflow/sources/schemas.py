@@ -17,4 +17,4 @@ RULES = "vendorName string, vendorSignals struct<domains:array<string>,keywords:
 SEARCH_RESPONSE = "web struct<results:array<struct<title:string,description:string,url:string>>>"
 OCR_RESPONSE = "md_results string, content string, text string, layout_details array<array<struct<content:string,label:string>>>"
 
-STOCK_TABLES = {"parts": PARTS, "appliances": APPLIANCES, "cross_references": CROSS_REFERENCES, "inventory_events": INVENTORY_EVENTS, "processed_lines": PROCESSED_LINES}
+STOCK_TABLES = {"parts": PARTS, "appliances": APPLIANCES, "cross_references": CROSS_REFERENCES, "inventory_events": INVENTORY_EVENTS, "processed_lines": PROCESSED_LINES, "vendor_templates": VENDOR_TEMPLATES, "vendor_presets": VENDOR_PRESETS, "vendor_domains": VENDOR_DOMAINS}

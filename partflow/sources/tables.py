@@ -21,6 +21,35 @@ def order_lines(orders: DataFrame) -> DataFrame:
     )
 
 
+_CORRUPT = "_corrupt"
+
+
+def read_orders(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Sold orders from files of JSON lines, as a table or as a stream of the files as they come.
+
+    The schema is declared. A line that is no order of it keeps its text in ``corrupt`` and has no other value; a field
+    of another type makes its line corrupt.
+    """
+    reader = (spark.readStream if stream else spark.read).schema(f"{schemas.SOLD_ORDERS}, {_CORRUPT} string")
+    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT).json(path)
+    fields = [c for c in rows.columns if c != _CORRUPT]
+    bad = F.col(_CORRUPT).isNotNull()
+    return rows.select(*(F.when(~bad, F.col(c)).alias(c) for c in fields), F.col(_CORRUPT).alias("corrupt"))
+
+
+def split_orders(orders: DataFrame) -> DataFrame:
+    """One row a line of orders as ``read_orders`` gives them, with ``kind``: line, no_lines (an order without lines) or corrupt.
+
+    Works on tables and streams alike; settlement takes the rows of kind line.
+    """
+    rows = orders.select("orderId", "creationDate", "corrupt", F.posexplode_outer("lineItems").alias("pos", "line"))
+    kind = F.when(F.col("corrupt").isNotNull(), "corrupt").when(F.col("line").isNull(), "no_lines").otherwise("line")
+    return rows.select(
+        F.col("orderId").alias("order_id"), F.col("line.lineItemId").alias("line_id"), F.col("line.legacyItemId").alias("listing_id"), F.col("line.quantity").alias("quantity"),
+        F.col("creationDate").alias("created"), "pos", kind.alias("kind"), "corrupt",
+    )
+
+
 def documents(df: DataFrame, text: str = "text") -> DataFrame:
     """Form feeds become line ends and the text is trimmed; rejected_reason is set for texts under 20 characters."""
     clean = trim_all(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\f", "\n"))

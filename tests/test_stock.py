@@ -1,5 +1,6 @@
 """Folds against plain loops, ledger sums, replays and pages on hand-made rows."""
 
+import random
 import re
 from datetime import datetime
 
@@ -84,6 +85,41 @@ def test_intake_adds_up_and_ledger_agrees(spark):
     assert {r.part_id: r.n for r in events.groupBy("part_id").agg(F.sum("quantity_change").alias("n")).collect()} == {7: 3, 8: 5}
 
 
+def patched(rows, parts):
+    """The same by a plain loop: states after all patches, and rejects."""
+    states, bad = {p[0]: dict(brand=p[1], description=p[2], ebay_listing_id=p[3], listed_quantity=p[4]) for p in parts}, []
+    stock = {p[0]: p[5] for p in parts}
+    for seq, part, patch in rows:
+        new = {**states[part], **patch} if part in states else None
+        if new is not None and new["listed_quantity"] is None:
+            new["listed_quantity"] = states[part]["listed_quantity"]
+        if new is None:
+            bad.append((seq, part, "Part not found"))
+        elif not 0 <= new["listed_quantity"] <= stock[part]:
+            bad.append((seq, part, f"listed_quantity must be between 0 and {stock[part]}"))
+        elif new["listed_quantity"] > 0 and not new["ebay_listing_id"]:
+            bad.append((seq, part, "ebay_listing_id required when listed_quantity > 0"))
+        elif new["listed_quantity"] == 0 and new["ebay_listing_id"]:
+            bad.append((seq, part, "ebay_listing_id must be null when listed_quantity is 0"))
+        else:
+            states[part] = new
+    return states, sorted(bad)
+
+
+def test_patches_are_one_running_state(spark):
+    """A part with nearly all patches, over several batches, against a plain loop."""
+    rng = random.Random(8)
+    parts = [(1, "b", "d", "L1", 2, 5), (2, None, None, None, 0, 3)]
+    values = {"brand": ["x", "y", None], "description": ["long", None], "ebay_listing_id": ["L8", "L9", None], "listed_quantity": [0, 1, 4, 6, -1, None]}
+    rows = [(i, rng.choice([1] * 40 + [2, 3]), {c: rng.choice(v) for c, v in values.items() if rng.random() < 0.4}) for i in range(25_000)]
+    frame = spark.createDataFrame([(i, f"P{i}", *rest) for i, *rest in parts], "id long, part_number string, brand string, description string, ebay_listing_id string, listed_quantity int, quantity int")
+    asked = spark.createDataFrame([(i, p, *(x.get(c) for c in inventory.PATCHED), *(c in x for c in inventory.PATCHED)) for i, p, x in rows], "seq long, part_id long, brand string, description string, ebay_listing_id string, listed_quantity int, has_brand boolean, has_description boolean, has_ebay_listing_id boolean, has_listed_quantity boolean")
+    state, rejects = inventory.update_parts(frame, asked.repartition(5))
+    states, bad = patched(rows, parts)
+    assert {r.id: {c: r[c] for c in inventory.PATCHED} for r in state.collect()} == states
+    assert sorted(map(tuple, rejects.collect())) == bad
+
+
 def test_alternatives_rules(spark):
     parts = spark.createDataFrame([(1, "A", "a", None, None, 1, 0, None), (2, "B", "b", None, None, 0, 0, None), (3, "C", "c", None, None, 5, 1, None), (4, "D", "d", None, None, 2, 0, None)], PARTS)
     refs = spark.createDataFrame([(1, "b", "replaces", "u"), (1, "C", "replaces", "u"), (2, "A", "compatible", "u"), (4, "A", "replaced_by", "u")], "part_id long, cross_ref_part_number string, relationship string, source_url string")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partflow.operators import settlement
+from partflow.sources import tables
 from partflow.streaming.settlement import VERDICTS, read_verdicts, settle_stream
 
 LINES = "order_id string, line_id string, listing_id string, quantity int, created timestamp_ntz"
@@ -56,3 +57,20 @@ def test_replayed_stream_gives_the_same_rows(spark, parts, tmp_path):
         found.append(sorted(map(str, read_verdicts(spark, f"file://{tmp_path}/out{n}").collect())))
     assert found[0] == found[1] and len(found[0]) == 120
     assert read_verdicts(spark, f"file://{tmp_path}/out1").where(F.col("status") == "skipped").count() == 80
+
+
+def test_orders_as_json_lines(spark, tmp_path):
+    """Batch and stream give the same rows; broken lines and orders without lines are reported."""
+    rows = ['{"orderId":"1","creationDate":"2024-01-01T10:00:00Z","lineItems":[{"lineItemId":"a","legacyItemId":"L1","quantity":2},{"lineItemId":"b","legacyItemId":null,"quantity":1}]}', '{"orderId":"2","lineItems":[]}', '{"orderId":"3"}', '{"orderId":"4","lineItems":[{"lineIt', "no json", '{"orderId":"5","lineItems":[{"lineItemId":"a","quantity":"many"}]}', ""]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text("\n".join(rows[:3]))
+    (tmp_path / "in/b.json").write_text("\n".join(rows[3:]))
+    batch = tables.split_orders(tables.read_orders(spark, f"file://{tmp_path}/in"))
+    stream = tables.split_orders(tables.read_orders(spark, f"file://{tmp_path}/in", stream=True))
+    out = f"file://{tmp_path}/out"
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    found = sorted(map(str, batch.collect()))
+    assert found == sorted(map(str, spark.read.schema(stream.schema).parquet(out).collect()))
+    got = sorted((r.kind, r.order_id or "", r.line_id or "", r.pos if r.pos is not None else -1, r.quantity or 0) for r in batch.collect())
+    assert got == [("corrupt", "", "", -1, 0)] * 3 + [("line", "1", "a", 0, 2), ("line", "1", "b", 1, 1), ("no_lines", "2", "", -1, 0), ("no_lines", "3", "", -1, 0)]
+    assert {r.corrupt for r in batch.where("kind = 'corrupt'").collect()} == {rows[3], rows[4], rows[5]}

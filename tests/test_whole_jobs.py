@@ -28,7 +28,7 @@ def test_part_numbers_of_all_documents(spark, data, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     parts = spark.read.parquet(f"{data}/part.parquet").where("p_partkey >= 100")
     parts.write.parquet(f"{tmp_path}/part.parquet")
-    rows = entry.queries()["s3_find_all_part_numbers"](spark, str(tmp_path)).collect()
+    rows = entry.queries()["s3_find_part_numbers"](spark, str(tmp_path)).collect()
     assert len(rows) == len(texts) + parts.count()
     got = {r.id: r.numbers for r in rows if r.id < len(texts)}
     assert got == {i: None if x is None else _numbers(x) for i, x in enumerate(texts)}
