@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partflow.functions.text import normalize_part_number
 
+THRESHOLD = 0.3
+
 
 def iso_time(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -53,44 +55,58 @@ def _padded_free(c: Column, size: int) -> Column:
     return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(c, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
 
-def search_fuzzy(requests: DataFrame, parts: DataFrame, threshold: float = 0.3) -> DataFrame:
+def gram_order(parts: DataFrame) -> DataFrame:
+    """(gram, df): how many parts hold each trigram. Any such table orders the grams of a search; the truer, the faster."""
+    return parts.select(F.explode(trigrams(F.col("part_number"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+
+
+def _rarest(rows: DataFrame, order: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, gram) of rows (key, gram, n): of each set of n grams the rarest, as many as two sets above the threshold cannot both lack."""
+    ranked = rows.join(order, "gram", "left").withColumn("_turn", F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "gram")))
+    return ranked.where(F.col("_turn") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(key, "gram")
+
+
+def part_postings(parts: DataFrame, order: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(gram, kind, id) of parts (id, part_number): the rarest trigrams (kind 0), and all substrings of one to three characters (kind 1)."""
+    grams = trigrams(F.col("part_number"))
+    near = _rarest(parts.select("id", F.explode(grams).alias("gram"), F.size(grams).alias("n")), order, "id", threshold)
+    number = F.lower("part_number")
+    inner = parts.select("id", F.explode(F.concat(*(_padded_free(number, n) for n in (1, 2, 3)))).alias("gram"))
+    return near.select("gram", F.lit(0).alias("kind"), "id").unionByName(inner.select("gram", F.lit(1).alias("kind"), "id"))
+
+
+def search_postings(requests: DataFrame, postings: DataFrame, order: DataFrame, parts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(request, id, similarity): parts whose trigram similarity exceeds the threshold, or that contain the term.
 
-    Two sets above the threshold share one of their rarest trigrams, so only those enter the index (the
+    Two sets above the threshold share one of their rarest trigrams, so only those are looked up (the
     prefix of each set when ordered by frequency); a trigram that most parts have joins nothing. Of a
     term's own substrings the rarest finds the parts that contain it. Terms of one or two characters go
     by substrings of that length. The wildcards _ and % work as in LIKE beside at least three plain
-    characters.
+    characters. ``postings`` must have been made with the same ``order`` and threshold.
     """
     asked = requests.select("request", normalize_part_number(F.col("request")).alias("term")).where("term != ''").distinct()
     asked = asked.select("request", F.lower("term").alias("term"), trigrams(F.col("term")).alias("grams"))
-    stock = parts.select("id", F.lower("part_number").alias("number"), trigrams(F.col("part_number")).alias("grams"))
-    index = stock.select("id", F.explode("grams").alias("gram"), F.size("grams").alias("n"))
-    frequency = index.groupBy("gram").agg(F.count("*").alias("df"))
-
-    def prefix(rows: DataFrame, key: str) -> DataFrame:
-        rare = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "gram"))
-        ranked = rows.join(frequency, "gram", "left").withColumn("turn", rare)
-        return ranked.where(F.col("turn") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(key, "gram")
-
-    left = prefix(asked.select("request", F.explode("grams").alias("gram"), F.size("grams").alias("n")), "request")
-    near = left.join(prefix(index, "id"), "gram").select("request", "id")
+    near = _rarest(asked.select("request", F.explode("grams").alias("gram"), F.size("grams").alias("n")), order, "request", threshold).withColumn("kind", F.lit(0))
     plain = asked.select("request", F.explode(F.filter(_padded_free(F.col("term"), 3), lambda g: ~g.rlike("[%_]"))).alias("gram"))
-    inner = stock.select("id", F.explode(_padded_free(F.col("number"), 3)).alias("gram"))
-    often = inner.groupBy("gram").agg(F.count("*").alias("df"))
-    rarest = plain.join(often, "gram").groupBy("request").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
-    inside = rarest.join(inner, "gram").select("request", "id")
+    rarest = plain.join(order, "gram", "left").groupBy("request").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
     short = asked.where(F.char_length("term") < 3).select("request", F.col("term").alias("gram"))
-    tiny = stock.select("id", F.explode(F.concat(_padded_free(F.col("number"), 1), _padded_free(F.col("number"), 2))).alias("gram"))
-    pairs = near.union(inside).union(short.join(tiny, "gram").select("request", "id")).distinct()
+    inside = rarest.unionByName(short).withColumn("kind", F.lit(1))
+    pairs = near.unionByName(inside.select(*near.columns)).join(postings, ["gram", "kind"]).select("request", "id").distinct()
 
-    full = pairs.join(asked.select("request", "term", F.col("grams").alias("a")), "request").join(stock.select("id", "number", F.col("grams").alias("b")), "id")
+    stock = parts.select("id", F.lower("part_number").alias("number"), trigrams(F.col("part_number")).alias("b"))
+    full = pairs.join(asked.select("request", "term", F.col("grams").alias("a")), "request").join(stock, "id")
     k = F.size(F.array_intersect("a", "b"))
     similarity = k / (F.size("a") + F.size("b") - k)
     holds = F.like(F.col("number"), F.concat(F.lit("%"), F.col("term"), F.lit("%")))
     return full.select("request", "id", similarity.alias("similarity"), holds.alias("holds")).where((F.col("similarity") > threshold) | F.col("holds")).drop("holds")
 
 
+def search_fuzzy(requests: DataFrame, parts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(request, id, similarity) as ``search_postings``, with postings made for this search alone."""
+    order = gram_order(parts)
+    return search_postings(requests, part_postings(parts, order, threshold), order, parts, threshold)
+
+
 def stock_status(parts: DataFrame) -> DataFrame:
     """Parts with the badges of the catalog as one text."""
     free = F.col("quantity") - F.col("listed_quantity")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partflow.operators import catalog, crossref
+from partflow.operators import catalog, crossref, search_index
 from partflow.plans.registry import query
 from partflow.sources import domain, tables
 from partflow.sources.domain import with_views
+from partflow.sources.scratch import shared_dir
 
 _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%gZ')"
 
@@ -41,7 +42,7 @@ def p5_search_substring(spark: SparkSession, path: str) -> DataFrame:
     return catalog.search_substring(domain.parts(spark, path), " p-000_12 ").select("id", "part_number")
 
 
-@query(f"""{with_views('parts')}, asked AS (SELECT p_name || ' ' || p_partkey AS request, 'wp' || substr('0000' || CAST(p_partkey * 7 AS VARCHAR), 1, 6) || '5' AS raw FROM part WHERE p_partkey % 50 = 0),
+_FUZZY = f"""{with_views('parts')}, asked AS (SELECT p_name || ' ' || p_partkey AS request, 'wp' || substr('0000' || CAST(p_partkey * 7 AS VARCHAR), 1, 6) || '5' AS raw FROM part WHERE p_partkey % 50 = 0),
 a AS (SELECT raw AS request, lower(regexp_replace(raw, '[-.\\s#]', '', 'g')) AS term FROM (SELECT DISTINCT raw FROM asked)),
 ag AS (SELECT DISTINCT request, substr('  ' || term || ' ', i, 3) AS g FROM a, unnest(range(1, length(term) + 2)) AS t(i)),
 pg AS (SELECT DISTINCT id, substr('  ' || lower(part_number) || ' ', i, 3) AS g FROM parts, unnest(range(1, length(part_number) + 2)) AS t(i)),
@@ -49,11 +50,28 @@ k AS (SELECT request, id, count(*) AS k FROM ag JOIN pg ON ag.g = pg.g GROUP BY
 s AS (SELECT k.request, k.id, k / (n + m - k) AS similarity, p.part_number ILIKE '%' || a.term || '%' AS holds FROM k
   JOIN (SELECT request, count(*) AS n FROM ag GROUP BY request) n ON n.request = k.request JOIN (SELECT id, count(*) AS m FROM pg GROUP BY id) m ON m.id = k.id
   JOIN parts p ON p.id = k.id JOIN a ON a.request = k.request)
-SELECT request, id, similarity FROM s WHERE similarity > 0.3 OR holds""")
-def p6_search_fuzzy(spark: SparkSession, path: str) -> DataFrame:
+SELECT request, id, similarity FROM s WHERE similarity > 0.3 OR holds"""
+
+
+def _asked_numbers(spark: SparkSession, path: str) -> DataFrame:
     number = F.substring(F.concat(F.lit("0000"), (F.col("p_partkey") * 7).cast("string")), 1, 6)
-    asked = domain.table(spark, path, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("wp"), number, F.lit("5")).alias("request"))
-    return catalog.search_fuzzy(asked, domain.parts(spark, path))
+    return domain.table(spark, path, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("wp"), number, F.lit("5")).alias("request"))
+
+
+@query(_FUZZY)
+def p6_search_fuzzy(spark: SparkSession, path: str) -> DataFrame:
+    return catalog.search_fuzzy(_asked_numbers(spark, path), domain.parts(spark, path))
+
+
+@query(_FUZZY)
+def p6_search_index(spark: SparkSession, path: str) -> DataFrame:
+    """A stored index that began with other numbers for a tenth of the parts, without another tenth, and with parts that are gone now."""
+    folder, parts = shared_dir(spark, "index"), domain.parts(spark, path).select("id", "part_number")
+    before = parts.where("id % 10 != 3").withColumn("part_number", F.when(F.col("id") % 10 == 4, F.concat(F.lit("OLD"), "part_number")).otherwise(F.col("part_number")))
+    gone = parts.where("id % 10 = 5").select((-1 - F.col("id")).alias("id"), "part_number")
+    search_index.build_index(before.unionByName(gone), folder)
+    search_index.update_index(parts.where("id % 10 IN (3, 4)").unionByName(gone.withColumn("part_number", F.lit(None).cast("string"))), folder)
+    return search_index.search_index(_asked_numbers(spark, path), spark, folder)
 
 
 @query(f"""{with_views('parts')} SELECT id, CASE WHEN quantity = 0 THEN 'Out of stock' WHEN listed_quantity > 0 THEN (quantity - listed_quantity) || ' avail, ' || listed_quantity || ' listed'

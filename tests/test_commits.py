@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from partflow.operators import catalog, search_index
 from partflow.sources import commits
 from partflow.sources.commits import Commit, Store, vacuum
 from partflow.streaming.settlement import open_store, run_poll
@@ -141,3 +142,21 @@ def test_appended_folders_are_merged_by_levels(spark, tmp_path, monkeypatch):
     assert sorted(r.id for r in store.read("t").collect()) == list(range(10))
     assert [r.id for r in Store(spark, folder, 1).read("t").collect()] == [0]
     assert len(vacuum(spark, folder, keep=1, older_than_ms=-1)) == 9 + 12 and Store(spark, folder).read("t").count() == 10
+
+
+def test_updated_search_index_equals_a_new_one(spark, tmp_path):
+    """Numbers that change, come and go: the same finds as an index of the parts as they are, and as a search without one."""
+    before = [(i, f"WP{i * 37 % 1000:05d}X") for i in range(120)] + [(200, "A1"), (201, "ABC"), (202, "Z")]
+    changed = [(3, "NEW77"), (4, None), (200, None), (201, "AB"), (300, "WP00999Y"), (301, "NEW78")]
+    after = [*(r for r in before if r[0] not in {c[0] for c in changed}), *(c for c in changed if c[1])]
+    schema = "id long, part_number string"
+    asked = spark.createDataFrame([(r,) for r in ("new-77", "wp00999", "WP00037X", "ab", "z", "a1", "9%9", "", "0_9y")], "request string")
+    old, new = f"file://{tmp_path}/old", f"file://{tmp_path}/new"
+    search_index.build_index(spark.createDataFrame(before, schema), old, 8)
+    first = Store(spark, old)
+    store = search_index.update_index(spark.createDataFrame(changed, schema), old)
+    search_index.build_index(spark.createDataFrame(after, schema), new, 8)
+    found = [sorted(map(str, search_index.search_index(asked, spark, f).collect())) for f in (old, new)]
+    assert found[0] == found[1] == sorted(map(str, catalog.search_fuzzy(asked, spark.createDataFrame(after, schema)).collect())) and len(found[0]) > 20
+    assert sorted(map(tuple, store.read("numbers").collect())) == sorted(after)
+    assert set(first.paths("order")) == set(store.paths("order"))
