@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from partflow.functions.text import clean_raw_number, normalize_part_number
+from partflow.operators.folds import HOT_ROWS, block_starts
 from partflow.operators.numbering import numbered
 
 
@@ -43,7 +44,7 @@ def add_parts(parts: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFrame]:
     return state, events
 
 
-def deplete_parts(parts: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def deplete_parts(parts: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Withdrawals (seq, part_id, quantity, reason, note), in order for each part.
 
     A request for more than is available is rejected and takes nothing, so a later smaller one may still
@@ -51,16 +52,18 @@ def deplete_parts(parts: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
     """
     stock = parts.select(F.col("id").alias("_id"), F.col("quantity").cast("int").alias("_stock"), F.col("listed_quantity").cast("int").alias("_listed"))
     asked = requests.select("seq", "part_id", F.col("quantity").cast("int").alias("take"), "reason", "note").join(stock, F.col("part_id") == F.col("_id"), "left")
-    # One part's requests stand together in order, so a task carries one running stock, whatever their number.
-    dealt = asked.repartition("part_id").sortWithinPartitions("part_id", "seq", "take", "reason", "note")
+    # One part's requests stand together in order, so a task carries one running stock; of very many, each block from its own start.
+    order = ("seq", "take", "reason", "note")
+    started = block_starts(asked.withColumn("_room", F.col("_stock") - F.col("_listed")), "part_id", order, "take", "_room", hot_rows)
+    dealt = started.select(*asked.columns, "_block", F.col("_used").cast("int").alias("_used")).repartition("part_id", "_block").sortWithinPartitions("part_id", "_block", *order)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, left = object(), None
         for batch in batches:
             ok, free, after = [], [], []
-            for key, take, stock, listed in zip(*(batch.column(c).to_pylist() for c in ("part_id", "take", "_stock", "_listed"))):
-                if key != part:
-                    part, left = key, stock
+            for key, take, stock, listed, block, used in zip(*(batch.column(c).to_pylist() for c in ("part_id", "take", "_stock", "_listed", "_block", "_used"))):
+                if (key, block) != part:
+                    part, left = (key, block), None if stock is None else stock - used
                 room = None if left is None or listed is None else left - listed
                 good = room is not None and take is not None and take <= room
                 left = left - take if good else left

@@ -8,6 +8,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from partflow.operators.folds import HOT_ROWS, block_starts
+
 OVERLAP_MINUTES = 5
 
 
@@ -36,14 +38,15 @@ def unprocessed(lines: DataFrame, processed: DataFrame) -> DataFrame:
 ORDER = ("created", "order_id", "line_id", "listing_id", "quantity")
 
 
-def settle(parts: DataFrame, lines: DataFrame, processed: DataFrame) -> DataFrame:
+def settle(parts: DataFrame, lines: DataFrame, processed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """A verdict for every line: status processed, quarantined or skipped, its part, reason and what is left.
 
     Lines come in the order of ``ORDER``. A line seen before (or earlier in this batch) is skipped; one
     without a listing, or that would take more than is listed or in stock, is quarantined and takes
     nothing. When the listed stock reaches 0 the listing ends, so later lines of it find none. Lines of a
     listing that no part has are settled one by one; those of a real listing stand together in order, and a
-    task carries one running stock through them, whatever their number.
+    task carries one running stock through them; of a listing with very many lines each block of them is
+    carried from its own start (``folds``).
     """
     turn = F.row_number().over(Window.partitionBy("order_id", "line_id").orderBy(*ORDER))
     old = processed.select("order_id", "line_id").distinct().withColumn("_old", F.lit(True))
@@ -58,7 +61,8 @@ def settle(parts: DataFrame, lines: DataFrame, processed: DataFrame) -> DataFram
     lost = found.where("_part IS NULL").select(*columns, F.lit("quarantined").alias("status"), *nothing, lost_text.alias("quarantine_reason"))
 
     live = found.where("_part IS NOT NULL").select(*columns, "_part", F.col("_stock").cast("int").alias("_stock"), F.col("_listed").cast("int").alias("_listed"))
-    dealt = live.repartition("listing_id").sortWithinPartitions("listing_id", *ORDER)
+    started = block_starts(live.withColumn("_room", F.least("_stock", "_listed")), "listing_id", ORDER, "quantity", "_room", hot_rows)
+    dealt = started.select(*live.columns, "_block", F.col("_used").cast("int").alias("_used")).repartition("listing_id", "_block").sortWithinPartitions("listing_id", "_block", *ORDER)
     rows = dealt.mapInArrow(_fold, T.StructType([*dealt.schema.fields, T.StructField("status", T.StringType()), T.StructField("reason", T.StringType())]))
     gone = F.col("reason").startswith("No matching")
     done = rows.select(
@@ -82,12 +86,12 @@ def judge(listing: str | None, n: int | None, running: Running) -> tuple[str, st
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Status and reason of lines that come sorted by listing and order."""
-    listing, running = object(), (0, 0, True)
+    block, running = None, (0, 0, True)
     for batch in batches:
         statuses, reasons = [], []
-        for key, n, stock, listed in zip(*(batch.column(c).to_pylist() for c in ("listing_id", "quantity", "_stock", "_listed"))):
-            if key != listing:
-                listing, running = key, (stock, listed, True)
+        for key, n, stock, listed, part, used in zip(*(batch.column(c).to_pylist() for c in ("listing_id", "quantity", "_stock", "_listed", "_block", "_used"))):
+            if (key, part) != block:
+                block, running = (key, part), (stock - used, listed - used, not used or listed != used)
             status, reason, running = judge(key, n, running)
             statuses.append(status)
             reasons.append(reason)

@@ -173,6 +173,38 @@ def test_poll_needs_a_watermark(spark):
         settlement.poll_window(lines, spark.createDataFrame([], "last_polled_at timestamp_ntz"), F.lit(datetime(2024, 1, 2)).cast("timestamp_ntz")).count()
 
 
+@pytest.mark.parametrize("room, sizes", [(8000, lambda i: (i * 7) % 5 + 1), (300, lambda i: 1 + (i * i) % 97), (50, lambda i: 60 if i < 4000 else 3 - i % 2), (10**6, lambda i: 5), (0, lambda i: 1), (500, lambda i: -1 if i == 900 else 2), (700, lambda i: None if i % 3 else i % 11)])
+def test_hot_keys_are_folded_in_blocks(spark, room, sizes):
+    """A listing, or a part, with most of all rows: its blocks are folded side by side, with the rows of a plain loop."""
+    asked = [sizes(i) for i in range(9000)]
+    rng = random.Random(3)
+    order = list(range(9000))
+    rng.shuffle(order)
+    parts = spark.createDataFrame([(1, "P1", "p", None, None, room + 3, room, "L1"), (2, "P2", "q", None, None, 40, 30, "L2")], PARTS)
+    lines = spark.createDataFrame([sale(0, f"{i:06d}", "1", "L1", asked[i]) for i in order] + [sale(1, f"x{i}", "1", "L2", 2) for i in range(30)], LINES).repartition(5)
+    running, want = (room + 3, room, True), []
+    for n in asked:
+        status, reason, running = settlement.judge("L1", n, running)
+        want.append((status, reason))
+    got = settlement.settle(parts, lines, spark.createDataFrame([], PROCESSED), hot_rows=1000)
+    assert [(r.status, r.quarantine_reason) for r in got.where("listing_id = 'L1'").orderBy("order_id").collect()] == want
+    assert got.where("listing_id = 'L2' AND status = 'processed'").count() == 15
+
+    if any(n is not None and n < 0 for n in asked):
+        return  # no withdrawal asks for less than nothing
+    left, ok, free = room, [], []
+    for i, n in enumerate(asked):
+        free.append(left)
+        if n is not None and n <= left:
+            left -= n
+            ok.append(i)
+    requests = spark.createDataFrame([(i, 1, asked[i], "used", None) for i in order], "seq long, part_id long, quantity int, reason string, note string").repartition(5)
+    plain = spark.createDataFrame([(1, "P1", "p", None, None, room + 3, 3, None)], PARTS)
+    state, events, rejects = inventory.deplete_parts(plain, requests, hot_rows=1000)
+    assert sorted(r.seq for r in events.collect()) == ok and state.first().quantity == left + 3
+    assert all(r.message is None or f"only {free[r.seq]} available" in r.message for r in rejects.collect())
+
+
 def test_hot_listing_is_one_running_stock(spark):
     """Many lines of one listing over several batches against a plain loop."""
     parts = spark.createDataFrame([(1, "P1", "p", None, None, 9000, 8000, "L1")], PARTS)
