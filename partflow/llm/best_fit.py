@@ -34,6 +34,7 @@ from partflow.llm.words import slices
 
 CAPACITY = 2048
 CLASS_ROWS = 1 << 16
+PART_ROWS = 1 << 14
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -96,7 +97,7 @@ def _sweep(counts: pd.DataFrame, capacity: int) -> tuple[pd.DataFrame | None, in
 
 
 def _round(spark: SparkSession, state: DataFrame, capacity: int, class_rows: int) -> DataFrame | None:
-    """One round over gaps (kind 0) and waiting pieces (kind 1); null when nothing waits."""
+    """One round over gaps (kind 0) and waiting pieces (kind 1), in as many parts as its rows are worth; null when nothing waits."""
     counts = state.groupBy("size", "kind").agg(F.count("*").alias("n")).toPandas()  # at most 2 * capacity rows
     if (counts["n"] > class_rows).any():
         salts = counts.assign(salts=-(-counts["n"] // class_rows)).query("salts > 1")[["size", "kind", "salts"]]
@@ -118,11 +119,12 @@ def _round(spark: SparkSession, state: DataFrame, capacity: int, class_rows: int
     ranked = ranked.withColumn("before", before).withColumn("after", after)
     matched = F.col("level").isNotNull() & (F.col("before.kind") == 0) & (F.col("kind") == 1)
     taken = F.when(F.col("level").isNotNull() & (F.col("kind") == 0) & (F.col("after.kind") == 1), F.col("after.size")).otherwise(0)
-    return ranked.select(
+    after = ranked.select(
         "id", "doc", F.when(F.col("kind") == 0, 0).when(F.col("level").isNull(), 2).when(matched, 3).otherwise(1).alias("kind"),
         (F.col("size") - taken).alias("size"), (F.col("used") + taken).alias("used"),
         F.when(matched, F.col("before.id")).otherwise(F.col("id")).alias("seq"), F.when(matched, F.col("before.used")).otherwise(0).alias("offset"),
     )
+    return after.coalesce(max(1, int(counts["n"].sum()) // PART_ROWS))
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE, text: str = "text", id_col: str = "doc_id", class_rows: int = CLASS_ROWS) -> DataFrame:
