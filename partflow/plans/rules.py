@@ -532,9 +532,12 @@ def pipe2_domains_after(spark: SparkSession, path: str) -> DataFrame:
 # --- composites ---
 
 
-@query(f"""WITH RECURSIVE {_TEMPLATES}, {with_views('inv').removeprefix('WITH ')}, o AS (SELECT DISTINCT doc_id, doc_id % 25 AS template_id FROM inv)
+_ROUTES = f"""WITH RECURSIVE {_TEMPLATES}, {with_views('inv').removeprefix('WITH ')}, o AS (SELECT DISTINCT doc_id, doc_id % 25 AS template_id FROM inv)
 SELECT doc_id, template_id, CASE WHEN NOT has_row AND coalesce(attempt > TIMESTAMP '{NOW}' - INTERVAL 7 DAYS, false) THEN 'direct-cooldown' WHEN NOT has_row THEN 'fallback-retry' WHEN fails > 3 AND wins < fails THEN 'fallback-unreliable' ELSE 'template' END AS route
-FROM o JOIN templates ON id = template_id""")
+FROM o JOIN templates ON id = template_id"""
+
+
+@query(_ROUTES)
 def pipe1_routes(spark: SparkSession, path: str) -> DataFrame:
     docs = domain.invoice_texts(spark, path).withColumn("template_id", F.col("doc_id") % 25).withColumn("confidence", F.lit("domain"))
     return routing.route_documents(docs, templates(spark, path), _now())[0].select("doc_id", "template_id", "route")
@@ -558,7 +561,12 @@ def _invoice_responses(spark: SparkSession, path: str) -> DataFrame:
     return tables.parse_responses(lists.select("doc_id", body.alias("content")))
 
 
-@query()
+@query(f"""{_ROUTES.replace("SELECT doc_id, template_id, CASE WHEN NOT has_row", ", r AS (SELECT doc_id, template_id, CASE WHEN NOT has_row", 1)}), {_MONEY},
+y AS (SELECT i.*, d.ship, d.tax, route, sum(quantity * (cents / 100)) OVER (PARTITION BY i.doc_id) AS subtotal, quantity * (cents / 100) AS line,
+  row_number() OVER (PARTITION BY i.doc_id ORDER BY part_number, CASE WHEN route = 'template' THEN CAST(quantity AS VARCHAR) ELSE lpad(CAST(quantity AS VARCHAR), 9, '0') END || chr(9) || CASE WHEN route = 'template' THEN (cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') ELSE lpad(CAST(cents AS VARCHAR), 12, '0') END) - 1 AS item_pos
+  FROM inv i JOIN d ON d.doc_id = i.doc_id JOIN r ON r.doc_id = i.doc_id)
+SELECT doc_id, route, CAST(item_pos AS INTEGER) AS item_pos, part_number, CAST(quantity AS DOUBLE) AS quantity, cents / 100 AS unit_price, round(floor(floor(ship / 100 * (line / subtotal) * 100 + 0.5) / 100 / quantity * 100 + 0.5) / 100, 2) AS ship_cost,
+round(floor(floor(tax / 100 * (line / subtotal) * 100 + 0.5) / 100 / quantity * 100 + 0.5) / 100, 2) AS tax_price, CASE WHEN route <> 'template' AND doc_id % 2 = 1 THEN 'acme' END AS brand, 'N' || doc_id AS order_number, lpad(CAST(doc_id AS VARCHAR), 12, '4') AS tracking_number, CASE WHEN doc_id % 3 > 0 THEN 'ups' END AS delivery_courier FROM y""")
 def pipe1_all_items(spark: SparkSession, path: str) -> DataFrame:
     """Items of the documents of every route with their metadata; ``pipe1_items`` and its SQL hold the template route alone."""
     docs = domain.invoice_texts(spark, path).withColumn("template_id", F.col("doc_id") % 25).withColumn("confidence", F.lit("domain"))
@@ -579,7 +587,8 @@ def pipe1_documents(spark: SparkSession, path: str) -> DataFrame:
     return done.select("doc_id", "template_id", "confidence", "quality_issue", "rejected_reason", "route", "outcome", "wants_rule", *routing.METADATA, F.size("items").alias("n_items"), sums("unit_price"), sums("ship_cost"), sums("tax_price"))
 
 
-@query()
+@query(f"""{_ROUTES.replace("SELECT doc_id, template_id, CASE WHEN NOT has_row", ", r AS (SELECT doc_id, template_id, CASE WHEN NOT has_row", 1)}), t AS (SELECT doc_id, template_id, row_number() OVER (PARTITION BY template_id ORDER BY doc_id) AS turn FROM r WHERE route = 'template')
+SELECT CAST(id AS BIGINT) AS id, CAST(wins + count(doc_id) AS INTEGER) AS success_count, CAST(fails + count(*) FILTER ((wins + turn) % 10 = 0 AND doc_id % 7 = 0) AS INTEGER) AS fail_count FROM templates LEFT JOIN t ON template_id = id GROUP BY id, wins, fails""")
 def pipe6_spot_check_counters(spark: SparkSession, path: str) -> DataFrame:
     """Counters of templates after invoices: successes, and failures of the spot checks that ``pipe6_spot_checks`` picks; supplied items of some invoices differ."""
     docs = domain.invoice_texts(spark, path).withColumn("template_id", F.col("doc_id") % 25).withColumn("confidence", F.lit("domain"))
