@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-BLOCKS = 256
+from partflow.sources.scratch import stored
 
+_AT = (1 << 33) - 1  # the part of monotonically_increasing_id that counts the rows of a partition
 
-def numbered(df: DataFrame, order: str, tie: str, blocks: int = BLOCKS) -> DataFrame:
-    """``df`` with ``position`` 1, 2, ... by a numeric column ``order``, then ``tie``.
 
-    Rows are cut into ``blocks`` ranges at approximate quantiles of ``order`` and numbered inside each; a
-    window without a partition sees one count a block only.
+def numbered(df: DataFrame, order: str, tie: str, blocks: int | None = None) -> DataFrame:
+    """``df`` with ``position`` 1, 2, ... by ``order``, then ``tie``.
+
+    Rows are dealt by ranges of both and written down sorted, with their place inside their range; what is left to know
+    is how many rows stand in the ranges before, one count a range (``blocks``; null: as many as a shuffle has
+    partitions). Readers of the result read what was written.
     """
-    at = [(i + 1) / blocks for i in range(blocks - 1)] or [1.0]
-    bounds = df.agg(F.percentile_approx(order, at, 10 * blocks)).scalar()
-    ranged = df.withColumn("_bounds", bounds).withColumn("_block", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
-    counts = ranged.groupBy("_block").agg(F.count("*").alias("_n"))
+    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(blocks, order, tie).sortWithinPartitions(order, tie)
+    table = stored(dealt.select("*", F.spark_partition_id().alias("_block"), F.monotonically_increasing_id().bitwiseAND(F.lit(_AT)).alias("_at")), "numbered")
+    counts = table.groupBy("_block").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_block", before.alias("_before"))  # at most ``blocks`` rows
-    turn = F.row_number().over(Window.partitionBy("_block").orderBy(order, tie))
-    return ranged.withColumn("_turn", turn).join(offsets, "_block").withColumn("position", F.col("_turn") + F.col("_before")).drop("_block", "_turn", "_before")
+    return table.join(F.broadcast(offsets), "_block").withColumn("position", F.col("_at") + 1 + F.col("_before")).drop("_block", "_at", "_before")
