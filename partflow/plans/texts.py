@@ -62,7 +62,7 @@ def s3_find_part_numbers(spark: SparkSession, path: str) -> DataFrame:
     return _labels(spark, path).union(_docs(spark, path)).select("id", t.find_part_numbers(F.col("text")).alias("numbers"))
 
 
-_MENTIONS = r"list_filter(list_transform(regexp_extract_all(text, '(?i)\b(?:WP[A-Z]?\d{5,}|W\d{7,}|WB\d+X\d+|\d{7,10}|[A-Z]{2,3}\d{6,})\b'), lambda m: upper(regexp_replace(m, '[-.\s#]', '', 'g'))), lambda m: NOT regexp_matches(m, '^(AP|PS|EA)\d+$'))"
+_MENTIONS = r"list_filter(list_transform(regexp_extract_all(text, '(?i)\b(?:MENTIONS)\b'), lambda m: upper(regexp_replace(m, '[-.\s#]', '', 'g'))), lambda m: NOT regexp_matches(m, '^(AP|PS|EA)\d+$'))".replace("MENTIONS", t.MENTION_FORMATS)
 
 
 @query(f"WITH {_LABELS} SELECT id, {_MENTIONS} AS mentions FROM labels_of UNION ALL SELECT doc_id, {_MENTIONS} FROM documents")
@@ -175,8 +175,8 @@ def s20_repair_tracking(spark: SparkSession, path: str) -> DataFrame:
 @query(r"""WITH x AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '1Z' || lpad(CAST(o_orderkey AS VARCHAR), 16, 'A') WHEN 1 THEN lpad(CAST(o_orderkey AS VARCHAR), 12, '4') WHEN 2 THEN 'shipped' ELSE '1234 5678 9012 3456 7' END AS tracking,
 CASE WHEN o_orderkey % 8 = 1 THEN lpad(CAST(o_orderkey AS VARCHAR), 12, '4') ELSE 'N1' END AS order_number, lower(split_part(o_orderpriority, '-', 2)) AS courier, CASE WHEN o_orderkey % 3 = 0 THEN ' Kit ' ELSE o_orderstatus || 'x' END AS brand FROM orders)
 SELECT id, CASE WHEN (regexp_matches(tracking, '^\d{10,}$') OR regexp_matches(tracking, '^1Z[A-Z0-9]{16}$') OR regexp_matches(tracking, '^\d{4}\s?\d{4}\s?\d{4}\s?\d{4}')) AND tracking <> order_number THEN tracking END AS tracking,
-CASE WHEN courier NOT IN ('shipped', 'pending', 'processing', 'completed', 'paid', 'n/a', 'none', 'visa', 'cash') AND length(courier) >= 2 THEN courier END AS courier,
-CASE WHEN lower(trim(brand)) NOT IN ('svce', 'service', 'assy', 'assembly', 'kit', 'oem', 'new', 'used', 'repl') AND length(trim(brand)) >= 2 THEN brand END AS brand FROM x""")
+CASE WHEN courier NOT IN COURIERS AND length(courier) >= 2 THEN courier END AS courier,
+CASE WHEN lower(trim(brand)) NOT IN BRANDS AND length(trim(brand)) >= 2 THEN brand END AS brand FROM x""".replace("COURIERS", str(t.BAD_COURIERS)).replace("BRANDS", str(t.BAD_BRANDS)))
 def s21_sanitize(spark: SparkSession, path: str) -> DataFrame:
     key = F.col("o_orderkey")
     digits = F.lpad(key.cast("string"), 12, "4")
