@@ -183,8 +183,8 @@ def fuzzy_match(a: Column, b: Column) -> Column:
 
 
 def round2(c: Column) -> Column:
-    """Cents, halves upwards."""
-    return F.floor(c * 100 + 0.5) / 100
+    """Cents, halves upwards; numbers from 2^53 hundredths on, which have no fraction, do not pass through a whole number of 64 bits."""
+    return let(c * 100 + 0.5, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x)).otherwise(x) / 100)
 
 
 def parse_qty(c: Column) -> Column:
