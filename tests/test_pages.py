@@ -2,9 +2,14 @@
 
 import json
 
+import duckdb
+import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
+from test_oracle import rows
 
 from partflow.operators import dom, pages
+from partflow.plans import registry
 
 PAGE = """<html><head><style>.a{}</style></head><body><div class="order"><span class="no">Order # 114-9176254-5449856</span><span>Order placed April 5, 2026</span></div>
 <div class="shipment box"><div class="shipment-inner"><a class="title">Whirlpool WP8544771 Dryer Heating Element</a><span class="price">$26.97</span><b class="qty">1</b></div></div>
@@ -89,3 +94,15 @@ def test_import_from_gate_to_preset(spark):
     items = out.items.collect()
     assert len(items) == 8 and {(r.doc_id, r.ship_cost) for r in items if r.doc_id == 1} == {(1, 1.14), (1, 0.93)}
     assert "[EMAIL]" not in out.results.where("page_id = 12").first().raw_text and "Order # 114-9176254-5449856" in out.results.where("page_id = 12").first().raw_text
+
+
+@pytest.mark.parametrize("name", ["s11_redact_html", "s12_scrub_html", "ud2_extract_page_items"])
+def test_cut_references_and_long_numbers_match_sql(spark, tmp_path, name):
+    """Titles cut inside a character reference, and prices of more digits than a 64-bit number has."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW given AS SELECT *, list_extract(['&amp', '&am', '&', '&lt', '&gt', '&quot', '&quo', ''], CAST(page_id % 8 + 1 AS INTEGER)) AS tail FROM '{DATA}/pages.parquet'")
+    con.execute("CREATE TABLE pages AS SELECT * EXCLUDE (tail) REPLACE (replace(replace(regexp_replace(html, '<p>', '<p>$' || repeat('9', CAST(page_id % 40 AS INTEGER)) || ' '), '</title>', tail || '</title>'), '</h1>', tail || '</h1>') AS html) FROM given")
+    con.execute(f"COPY pages TO '{tmp_path}/pages.parquet'")
+    frame, found = registry.QUERIES[name](spark, str(tmp_path)), con.execute(registry.ORACLE_SQL[name])
+    names = [d[0] for d in found.description]
+    assert rows(frame.columns, frame.collect()) == rows(names, found.fetchall())
