@@ -44,12 +44,12 @@ PART_SHAPES = (r"WP[A-Z]?\d{6,12}", r"AP\d{7,10}", r"PS\d{7,11}")
 SECTION_MARKERS = (r"items ordered", r"order\s*#", r"shipping\s*&\s*handling", r"invoice", r"order number", r"subtotal", r"grand total", r"tracking", r"ship to", r"sold by")
 STREET_WORDS = "St|Ave|Rd|Blvd|Dr|Ln|Ct|Way|Pl|Cir|Street|Avenue|Road|Drive|Lane|Boulevard"
 
-_EDGES = r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$"
+_EDGES = " \t\n\x0b\f\r\u00a0\ufeff"
 
 
 def trim_all(c: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(_EDGES))  # from both ends; a pattern would test every character of a long text
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

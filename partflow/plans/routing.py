@@ -80,8 +80,9 @@ def extract_documents(docs: DataFrame, templates: DataFrame, now: Column, respon
     ``responses`` (doc_id, response), one a document, come from ``tables.parse_responses``. They give the items of all
     routes but template, and metadata and totals of all. Totals that are 0 or absent are read from the text;
     tracking is repaired, then tracking, courier and brands are sanitised. Documents without a response keep null metadata.
+    What is found is written down once, without the texts, so that the three results read it and extract nothing again.
     """
-    done = _extracted(docs, templates, now, responses, mode, ("doc_id", "template_id"))
+    done = stored(_extracted(docs, templates, now, responses, mode, ("doc_id", "template_id")), "extracted")
     return done.select("doc_id", "template_id", "route", "outcome", "wants_rule"), done.select("doc_id", *METADATA), extraction.exploded(done)
 
 

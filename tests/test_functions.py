@@ -73,3 +73,9 @@ def test_literal_fraction(spark):
 def test_nulls_stay_null(spark):
     for f in (t.normalize_part_number, t.clean_raw_number, t.find_brand, t.layout_type, t.clean_markup, t.redact_text, t.normalize_domain, t.round2, t.parse_price):
         one(spark, f(F.col("x")), x=None)
+
+
+@pytest.mark.parametrize("text, want", [(" ﻿\t a b \r\n\x0b\f", "a b"), ("", ""), (" \n", ""), ("a \u0085", "a \u0085"), ("é ", "é")])
+def test_trim_takes_no_space_before_another_mark(spark, text, want):
+    """As the SQL trims: what stands at the very end decides, also behind a line end that the pattern of before passed over."""
+    assert one(spark, t.trim_all(F.col("x")), x=text) == want

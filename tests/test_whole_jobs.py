@@ -101,3 +101,10 @@ def test_whole_documents(spark, data):
     assert {"template", "fallback-new"} <= {r.route for r in made.select("route").distinct().collect()}
     flagged = made.where("doc_id < 0 AND quality_issue IS NOT NULL")  # their OCR text names a domain
     assert flagged.count() > 0 and flagged.where("confidence IS NULL OR confidence != 'domain' OR template_id != abs(doc_id) % 9").count() == 0
+
+
+def test_documents_are_extracted_once_for_all_results(spark, data, capsys):
+    """Items, metadata and routes are read from what one extraction has written; none of them reads a text again."""
+    entry.queries()["pipe1_all_items"](spark, data).explain()
+    plan = capsys.readouterr().out
+    assert "regexp_extract" not in plan and "from_json" not in plan and "lineitem" not in plan
