@@ -32,7 +32,7 @@ from partflow.llm.words import join_hashes, mix, row_index, slices, text_bytes,
 
 WINDOW = 20
 K = 5
-SLICE = 24 << 20
+SLICE = 4 << 20
 
 
 def _anchors(h: np.ndarray, rows: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
