@@ -40,4 +40,4 @@ def update_index(changed: DataFrame, folder: str) -> Store:
 def search_index(requests: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """(request, id, similarity) of requests, as ``catalog.search_fuzzy`` gives them for the parts of the index."""
     store = Store(spark, folder)
-    return search_postings(requests, store.read("postings"), store.read("order"), store.read("numbers"))
+    return search_postings(requests, store.read("postings"), store.read("order"))

@@ -126,7 +126,7 @@ class Commit:
 
     def _put(self, name: str, df: DataFrame, touched: list[int]) -> None:
         table = self.after.tables[name]
-        placed = df.withColumn("_bucket", _bucket(table["key"], table["buckets"])).repartition("_bucket")
+        placed = df.withColumn("_bucket", _bucket(table["key"], table["buckets"])).hint("rebalance", F.col("_bucket"))
         path = self._write(name, placed, "_bucket")
         found = {n.partition("=")[2] for n, _ in _names(self.spark, f"{self.folder}/{path}") if n.startswith("_bucket=")}
         if not found <= {str(b) for b in touched}:

@@ -1,6 +1,7 @@
 """Polls and tables that change in one commit: failures at every write, changed buckets, levels of folders."""
 
 import os
+import re
 from datetime import datetime
 
 import pytest
@@ -160,3 +161,23 @@ def test_updated_search_index_equals_a_new_one(spark, tmp_path):
     assert found[0] == found[1] == sorted(map(str, catalog.search_fuzzy(asked, spark.createDataFrame(after, schema)).collect())) and len(found[0]) > 20
     assert sorted(map(tuple, store.read("numbers").collect())) == sorted(after)
     assert set(first.paths("order")) == set(store.paths("order"))
+
+
+def test_search_in_slices_finds_each_pair_once(spark, monkeypatch):
+    """Many slices a gram, terms with wildcards and without three plain characters: the pairs of brute force, each once."""
+    monkeypatch.setattr(catalog, "PAIRS", 3)
+    numbers = {i: f"WP{i * 37 % 1000:05d}" for i in range(60)} | {100: "A7", 101: "QB9", 102: "Q5B77", 103: "WPWPWP"}
+    asked = ["wp00037", "wp0000", "q_b", "q%7", "a%", "a7", "wp", "qb9"]
+
+    def grams(x):
+        return {f"  {x} "[i : i + 3] for i in range(len(x) + 1)}
+
+    def like(x, term):
+        return re.search(term.replace("%", ".*").replace("_", "."), x) is not None
+
+    words = {r: set().union(*(grams(w) for w in re.split(r"[^a-z0-9]+", r) if w)) for r in asked}
+    near = {(r, i): len(words[r] & (b := grams(n.lower()))) / len(words[r] | b) for r in asked for i, n in numbers.items()}
+    want = sorted((r, i, s) for (r, i), s in near.items() if s > 0.3 or like(numbers[i].lower(), r))
+    parts = spark.createDataFrame(list(numbers.items()), "id long, part_number string")
+    got = catalog.search_fuzzy(spark.createDataFrame([(r,) for r in asked], "request string"), parts)
+    assert sorted(map(tuple, got.collect())) == want and ("q_b", 102, near["q_b", 102]) in want
