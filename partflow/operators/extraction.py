@@ -221,12 +221,17 @@ def compare_extractions(a: DataFrame, b: DataFrame) -> DataFrame:
 
     Of items of ``a`` with one part number the first stands for it.
     """
-    counts = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    first = a.groupBy("doc_id", "part_number").agg(F.min_by("unit_price", "item_pos").alias("_price"))
-    each = b.join(first.withColumn("_has", F.lit(True)), ["doc_id", "part_number"], "left")
-    missing = F.min(F.when((F.col("part_number") != "") & F.col("_has").isNull(), F.col("part_number")))
-    far = F.min(F.when(F.abs(F.col("_price") - F.col("unit_price")) > 0.01, F.col("part_number")))
-    verdict = counts(b, "_nb").join(counts(a, "_na"), "doc_id", "left").join(each.groupBy("doc_id").agg(missing.alias("_missing"), far.alias("_far")), "doc_id")
+    none = F.lit(None).cast("double")
+    ours = a.select("doc_id", "part_number", "item_pos", F.col("unit_price").alias("_ours"), none.alias("_theirs"), F.lit(1).alias("_a"), F.lit(0).alias("_b"))
+    theirs = b.select("doc_id", "part_number", F.lit(None).cast("int").alias("item_pos"), none.alias("_ours"), F.col("unit_price").alias("_theirs"), F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    # Both sides in one pass, so that an extraction is made once.
+    numbers = ours.unionByName(theirs).groupBy("doc_id", "part_number").agg(
+        F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.min_by("_ours", "item_pos").alias("_price"), F.min("_theirs").alias("_low"), F.max("_theirs").alias("_high")
+    )
+    missing = F.min(F.when((F.col("_b") > 0) & (F.col("_a") == 0) & (F.col("part_number") != ""), F.col("part_number")))
+    off = lambda c: F.coalesce(F.abs(F.col("_price") - F.col(c)) > 0.01, F.lit(False))
+    far = F.min(F.when(off("_low") | off("_high"), F.col("part_number")))
+    verdict = numbers.groupBy("doc_id").agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"), missing.alias("_missing"), far.alias("_far")).where("_nb > 0 AND doc_id IS NOT NULL")
     na = F.coalesce("_na", F.lit(0))
     reason = (
         F.when(na < F.col("_nb"), F.concat(F.lit("Template extracted "), na, F.lit(" items, supplied "), "_nb")).when(F.col("_missing").isNotNull(), F.concat(F.lit("Template missing part number: "), "_missing"))
@@ -332,7 +337,12 @@ def spot_check_outcomes(successes: DataFrame, templates: DataFrame, items: DataF
 
     As in the reference, prices are not compared here: fewer items or a missing part number are a mismatch.
     """
-    picked = spot_checks(successes, templates, every).select("doc_id", "template_id")
+    return spot_check_failures(spot_checks(successes, templates, every), items, supplied)
+
+
+def spot_check_failures(picked: DataFrame, items: DataFrame, supplied: DataFrame) -> DataFrame:
+    """As ``spot_check_outcomes``, for documents that ``spot_checks`` has picked."""
+    picked = picked.select("doc_id", "template_id")
     ours = items.join(picked, "doc_id", "left_semi")
     theirs = supplied.join(picked, "doc_id", "left_semi").withColumn("unit_price", F.lit(None).cast("double"))
     return compare_extractions(ours, theirs).where("NOT agrees").join(picked, "doc_id").select("template_id", "doc_id", F.lit(False).alias("ok"))

@@ -103,6 +103,17 @@ def parse_documents(docs: DataFrame, templates: DataFrame, now: Column, response
     return done.withColumn("rejected_reason", F.lit(None).cast("string")).unionByName(rejected, allowMissingColumns=True)
 
 
+def spot_checked(docs: DataFrame, templates: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(outcomes, picked, items) of documents (as for ``route_documents``, with their order seq) for spot checks.
+
+    ``outcomes`` (template_id, ok) are what routes give to the counters of templates; ``picked`` (doc_id, template_id) are the
+    successes to be checked, and ``items`` theirs, as their rule reads them. Documents are read once, and no costs are worked out.
+    """
+    routed = stored(_routed(docs, templates, now, "template").select("doc_id", "template_id", "seq", F.col("outcome").alias("ok"), "items"), "routed")
+    picked = stored(extraction.spot_checks(routed.where("ok").drop("items"), templates).select("doc_id", "template_id"), "picked")
+    return routed.where("ok IS NOT NULL").select("template_id", "ok"), picked, extraction.exploded(routed.where("ok").join(picked, "doc_id", "left_semi"))
+
+
 def accept_rules(docs: DataFrame, templates: DataFrame, supplied: DataFrame) -> DataFrame:
     """(id, accepted) of candidate templates: static checks pass and every sample document (doc_id, text, template_id) is reproduced."""
     rules = extraction.parse_rules(templates)

@@ -552,11 +552,13 @@ def pipe1_items(spark: SparkSession, path: str) -> DataFrame:
     return items.select("doc_id", "part_number", "quantity", F.round("ship_cost", 2).alias("ship_cost"))
 
 
-def _invoice_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Supplied responses for all invoices; some lack totals, some have a courier or brand that is none."""
+def _invoice_responses(spark: SparkSession, path: str, asked: DataFrame | None = None) -> DataFrame:
+    """Supplied responses for all invoices, or for those asked for (doc_id); some lack totals, some have a courier or brand that is none."""
     key = F.col("doc_id")
     item = F.struct(F.col("part_number").alias("partNumber"), F.lit("").alias("partName"), F.col("quantity").cast("double").alias("quantity"), (F.col("cents") / 100).alias("unitPrice"), F.when(key % 2 == 0, "kit").otherwise("acme").alias("brand"))
-    lists = domain.invoice_items(spark, path).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    lines = domain.invoice_items(spark, path)
+    lines = lines if asked is None else lines.join(asked, "doc_id", "left_semi")
+    lists = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     number, courier = F.lpad(key.cast("string"), 12, "4").alias("trackingNumber"), F.when(key % 3 == 0, "paid").otherwise("ups").alias("deliveryCourier")
     body = F.to_json(F.struct(F.concat(F.lit("N"), key).alias("orderNumber"), number, courier, F.when(key % 4 == 0, (key % 900 + 100) / 100).alias("totalShipping"), "items"))
     return tables.parse_responses(lists.select("doc_id", body.alias("content")))
@@ -594,12 +596,11 @@ def pipe6_spot_check_counters(spark: SparkSession, path: str) -> DataFrame:
     """Counters of templates after invoices: successes, and failures of the spot checks that ``pipe6_spot_checks`` picks; supplied items of some invoices differ."""
     docs = domain.invoice_texts(spark, path).withColumn("template_id", F.col("doc_id") % 25).withColumn("confidence", F.lit("domain"))
     known = templates(spark, path)
-    routes, items = routing.route_documents(docs, known, _now())
-    done = routes.where("outcome").select("doc_id", "template_id", F.col("doc_id").alias("seq"), F.lit(True).alias("ok"))
-    supplied = tables.response_items(_invoice_responses(spark, path))
+    outcomes, picked, items = routing.spot_checked(docs.withColumn("seq", F.col("doc_id")), known, _now())
+    supplied = tables.response_items(_invoice_responses(spark, path, picked))
     other = F.when((F.col("doc_id") % 7 == 0) & (F.col("item_pos") == 0), "WP0").otherwise(F.col("part_number"))
-    failed = extraction.spot_check_outcomes(done, known, items, supplied.withColumn("part_number", other))
-    outcomes = routes.where("outcome IS NOT NULL").select("template_id", F.col("outcome").alias("ok")).unionByName(failed.select("template_id", "ok"))
+    failed = extraction.spot_check_failures(picked, items, supplied.withColumn("part_number", other))
+    outcomes = outcomes.unionByName(failed.select("template_id", "ok"))
     return vendors.template_counters(known, outcomes).select("id", "success_count", "fail_count")
 
 

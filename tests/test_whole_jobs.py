@@ -108,3 +108,17 @@ def test_documents_are_extracted_once_for_all_results(spark, data, capsys):
     entry.queries()["pipe1_all_items"](spark, data).explain()
     plan = capsys.readouterr().out
     assert "regexp_extract" not in plan and "from_json" not in plan and "lineitem" not in plan
+
+
+def test_spot_checks_and_comparisons_read_once(spark, data, capsys):
+    """Counters come from documents whose items are written down once, and a comparison runs either side once."""
+    entry.queries()["pipe6_spot_check_counters"](spark, data).explain()
+    assert "regexp_extract" not in capsys.readouterr().out
+    item = lambda n, price: spark.range(n).selectExpr("id % 2 AS doc_id", "cast(id AS int) AS item_pos", "concat('P', id div 4) AS part_number", f"{price} AS unit_price")
+    ours, theirs = item(6, "id / 2"), item(9, "if(id < 4, 0.5D, NULL)")
+    made = extraction.compare_extractions(ours, theirs)
+    made.explain()
+    assert capsys.readouterr().out.count("Range (") == 2
+    assert {r.doc_id: r.reason for r in made.collect()} == {0: "Template extracted 3 items, supplied 5", 1: "Template extracted 3 items, supplied 4"}
+    assert {r.doc_id: r.reason for r in extraction.compare_extractions(item(9, "id / 2"), theirs).collect()} == {0: "Price mismatch for P0", 1: None}
+    assert {r.doc_id: r.reason for r in extraction.compare_extractions(item(8, "0.5D"), theirs.where("item_pos > 0 AND item_pos < 8").withColumn("part_number", F.expr("if(item_pos = 6, 'X', part_number)"))).collect()} == {0: "Template missing part number: X", 1: None}
