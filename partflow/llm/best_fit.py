@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from partflow.llm.shared import release, stored
+from partflow.llm.shared import release, stored, tidy
 from partflow.llm.tokens import BYTE_BPE, encoder
 from partflow.llm.words import slices
 
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE,
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(tidy(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def _sweep(counts: pd.DataFrame, capacity: int) -> tuple[pd.DataFrame | None, int]:

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from partflow.llm.components import connected_components
-from partflow.llm.shared import drop_stored, fresh, release, stored, stored_by
+from partflow.llm.shared import drop_stored, fresh, release, stored, stored_by, tidy
 from partflow.llm.words import join_hashes, mix, row_index, run_rank, slices, word_hashes
 
 SHINGLE = 5
@@ -253,8 +253,8 @@ def _nodes(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(n.astype(np.int32)), lists, part.column("words")], ["node", "n", "keys", "words"])
 
-    rows = docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(run, "node long, words binary")
-    return rows.groupBy("node").agg(F.first("words").alias("words")).mapInArrow(sketched, "node long, n int, keys array<bigint>, words binary")
+    rows = docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(tidy(run), "node long, words binary")
+    return rows.groupBy("node").agg(F.first("words").alias("words")).mapInArrow(tidy(sketched), "node long, n int, keys array<bigint>, words binary")
 
 
 def _words(column: pa.Array) -> list[np.ndarray]:
@@ -288,7 +288,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     mine = mine.join(words.withColumnRenamed("node", "a"), "a").select("a", "b", "group", "words")
     lead = groups.join(words.withColumnRenamed("node", "b"), "b").select(F.lit(None).cast("long").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "words")
     dealt = mine.unionByName(lead).repartition("b", "group").sortWithinPartitions("b", "group", F.col("a").asc_nulls_first())
-    return dealt.select("a", "b", "words").mapInArrow(run, "a long, b long")
+    return dealt.select("a", "b", "words").mapInArrow(tidy(run), "a long, b long")
 
 
 def _labelled_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -331,7 +331,7 @@ def _rare_pairs(left: DataFrame, nodes: DataFrame, threshold: float, listed: int
             low, high = roots[order][at], roots[order][at + n - 1]
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n), pa.array(low), pa.array(high)], ["word", "texts", "low", "high"])
 
-    counts = texts.select("words", "root").mapInArrow(count, "word long, texts long, low long, high long")
+    counts = texts.select("words", "root").mapInArrow(tidy(count), "word long, texts long, low long, high long")
     counts = counts.groupBy("word").agg(F.sum("texts").alias("texts"), F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("word", "texts")
     known = np.array(counts.orderBy(F.desc("texts"), "word").limit(listed).collect(), np.int64).reshape(-1, 2)  # at most ``listed`` rows
     known = known[np.argsort(known[:, 0].view(np.uint64))]
@@ -359,7 +359,7 @@ def _rare_pairs(left: DataFrame, nodes: DataFrame, threshold: float, listed: int
             hot = pa.ListArray.from_arrays(pa.array(ends_hot), pa.array(tokens[take][held_by_many].view(np.int64))).take(pa.array(row[take], mask=~held_by_many))
             yield pa.RecordBatch.from_arrays([pa.array(tokens[take].view(np.int64)), *(batch.column(c).take(back) for c in range(3)), hot, *signs], ["word", "node", "n", "root", "hot", *_SIGNS])
 
-    rare = stored(texts.mapInArrow(first, "word long, node long, n int, root long, hot array<bigint>, " + ", ".join(f"{c} long" for c in _SIGNS)), "rare", BATCH_ROWS)
+    rare = stored(texts.mapInArrow(tidy(first), "word long, node long, n int, root long, hot array<bigint>, " + ", ".join(f"{c} long" for c in _SIGNS)), "rare", BATCH_ROWS)
     made += [texts, rare]
     x = rare.select("word", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("hot").alias("ha"), *(F.col(c).alias(f"a{c}") for c in _SIGNS))
     y = rare.select("word", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("hot").alias("hb"), *(F.col(c).alias(f"b{c}") for c in _SIGNS))

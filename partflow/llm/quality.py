@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from partflow.llm.shared import fresh
+from partflow.llm.shared import fresh, tidy
 from partflow.llm.words import join_hashes, ranges, row_index, run_rank, slices, span_hashes, text_bytes, word_bounds
 
 SYMBOLS = b"#*$%&|<>"
@@ -224,7 +224,7 @@ def rule_order(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
                     seconds.append(np.full(len(texts), (time.perf_counter() - began) / max(1, len(texts))))
                 yield pa.RecordBatch.from_arrays([pa.array(mask), *map(pa.array, seconds)], schema.names)
 
-    found = docs.select(F.col(text).alias("t")).mapInArrow(timed, schema).take(sample)  # at most ``sample`` short rows
+    found = docs.select(F.col(text).alias("t")).mapInArrow(tidy(timed), schema).take(sample)  # at most ``sample`` short rows
     masks = np.array([r.mask for r in found], np.int64)
     cost = {rule.name: max(1e-9, float(np.mean([r[rule.name] for r in found] or [1.0]))) for rule in rules}
     order, left = [], {rule.name: k for k, rule in enumerate(rules)}
@@ -277,7 +277,7 @@ def cascade(docs: DataFrame, order: list[str], text: str = "text", base: bool =
                 out = pa.StructArray.from_arrays([names, pa.array(run), *values], [f.name for f in fields])
                 yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*kept, result])
 
-    return docs.select(*kept).mapInArrow(judge, schema)
+    return docs.select(*kept).mapInArrow(tidy(judge), schema)
 
 
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:

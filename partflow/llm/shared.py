@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from partflow.sources.scratch import shared_dir
@@ -20,6 +22,22 @@ def fresh(name: str, columns: Iterable[str]) -> str:
     return name
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; when a task's batches are done, memory that it has freed goes back to the system.
+
+    Spark keeps a worker for the tasks of later stages, and an allocator keeps what is freed: else each worker holds
+    its largest stage's memory to the end.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return whole
+
+
 def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a shared table and read it back, so that nothing before it is computed twice.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from partflow.llm.shared import fresh
+from partflow.llm.shared import fresh, tidy
 from partflow.llm.words import join_hashes, mix, row_index, slices, text_bytes, span_hashes, word_bounds, word_hashes
 
 WINDOW = 20
@@ -95,7 +95,7 @@ def find_anchors(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), ids.take(at), pos.take(at), pa.array(np.full(len(at), flag))], ["gram", "doc_id", "pos", "known"])
 
     source = docs.select("doc_id", "text")
-    return source.mapInArrow(run, f"gram long, doc_id {source.schema['doc_id'].dataType.simpleString()}, pos int, known boolean")
+    return source.mapInArrow(tidy(run), f"gram long, doc_id {source.schema['doc_id'].dataType.simpleString()}, pos int, known boolean")
 
 
 def _in_order(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -140,7 +140,7 @@ def _seed_reaches(texts: DataFrame, id_type: str, window: int, k: int) -> DataFr
                 back = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(back), part.column(1).take(back), pa.array((first - rows[row]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(known)], ["key", "doc_id", "copy", "start", "n", "known"])
 
-    return texts.mapInArrow(run, f"key long, doc_id {id_type}, copy int, start int, n int, known boolean")
+    return texts.mapInArrow(tidy(run), f"key long, doc_id {id_type}, copy int, start int, n int, known boolean")
 
 
 def _single_windows(texts: DataFrame, id_type: str, window: int) -> DataFrame:
@@ -172,7 +172,7 @@ def _single_windows(texts: DataFrame, id_type: str, window: int) -> DataFrame:
                 back = pa.array(row[at])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(back), part.column(1).take(back), pa.array((at - rows[row[at]]).astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "doc_id", "copy", "start", "n"])
 
-    return texts.mapInArrow(run, f"key long, doc_id {id_type}, copy int, start int, n int")
+    return texts.mapInArrow(tidy(run), f"key long, doc_id {id_type}, copy int, start int, n int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFrame, DataFrame]:
@@ -235,7 +235,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataF
                 kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), "kept_text": pa.string(), "kept_sha256": pa.string()}
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(out[c], kinds[c]) for c in kinds)], ["doc_id", "copy", *kinds])
 
-    return joined.mapInArrow(run, f"doc_id {id_type}, copy int, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string, kept_sha256 string")
+    return joined.mapInArrow(tidy(run), f"doc_id {id_type}, copy int, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string, kept_sha256 string")
 
 
 def filter_substrings(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 import re
+import resource
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
+from partflow.llm.shared import tidy
 from partflow.llm.tokens import BYTE_BPE, Encoder
 from partflow.llm.words import join_hashes, word_hashes
 
@@ -32,3 +35,23 @@ def test_memo_gives_the_tokenizers_ids(texts):
     assert [ids[a:b].astype("<u4").tobytes() for a, b in zip(rows, rows[1:])] == want
     ids, rows = encoder.encode(pa.array(texts, pa.string()))
     assert [ids[a:b].astype("<u4").tobytes() for a, b in zip(rows, rows[1:])] == want
+
+
+def test_finished_tasks_give_memory_back():
+    """What a task has freed does not stay with its worker, though a block allocated last holds the heap's end."""
+
+    def resident() -> int:
+        return int(Path("/proc/self/statm").read_text().split()[1]) * resource.getpagesize() >> 20
+
+    kept, seen = [], []
+
+    def run(batches):
+        for batch in batches:
+            blocks = [bytes(60_000) for _ in range(4000)]
+            kept.append(bytes(60_000))
+            del blocks
+            yield batch
+        seen.append(resident())
+
+    assert list(tidy(run)(iter([1]))) == [1]
+    assert kept and resident() < seen[0] - 100
