@@ -434,9 +434,14 @@ def s13_page_fingerprint(spark: SparkSession, path: str) -> DataFrame:
 SELECTORS = json.dumps({"itemContainer": "nav li", "fields": {"partName": "a", "quantity": ".none", "unitPrice": ".none"}, "orderFields": {"orderNumber": "h1", "totalTax": "article p"}})
 
 
-def _page_presets(spark: SparkSession, path: str) -> DataFrame:
-    """A preset for each structure that pages of this table have."""
-    seen = pages.page_fingerprint(domain.table(spark, path, "pages")).select("page_fingerprint").distinct()
+def _fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, page_fingerprint) of all pages, worked out once."""
+    return stored(pages.page_fingerprint(domain.table(spark, path, "pages")), "fingerprints")
+
+
+def _page_presets(fingerprints: DataFrame) -> DataFrame:
+    """A preset for each structure that pages have."""
+    seen = fingerprints.select("page_fingerprint").distinct()
     return seen.select(F.xxhash64("page_fingerprint").alias("id"), F.lit("v").alias("vendor_key"), F.lit("html").alias("input_type"), "page_fingerprint", F.lit(SELECTORS).alias("selectors"), ((F.instr(F.lit("0123456789abcdef"), F.substring("page_fingerprint", 1, 1)) - 1) % 5).alias("fail_count"))
 
 
@@ -448,9 +453,9 @@ t AS (SELECT page_id, names, coalesce(TRY_CAST(regexp_extract(regexp_replace(fir
 SELECT page_id AS doc_id, CAST(item_pos AS INTEGER) AS item_pos, '' AS part_number, part_name, CAST(1 AS DOUBLE) AS quantity, CAST(NULL AS DOUBLE) AS unit_price, lower(nullif(regexp_extract(part_name, '(?i)\\b({'|'.join(t.BRANDS)})\\b', 1), '')) AS brand,
 CAST(0 AS DOUBLE) AS ship_cost, floor(tax * (1.0 / n) * 100 + 0.5) / 100 AS tax_price FROM i""")
 def ud2_extract_page_items(spark: SparkSession, path: str) -> DataFrame:
-    found = domain.table(spark, path, "pages")
-    marked = found.join(pages.page_fingerprint(found), "page_id").select("page_id", "html", F.xxhash64("page_fingerprint").alias("preset_id"))
-    return pages.extract_page_items(marked, _page_presets(spark, path))[1]
+    found, kinds = domain.table(spark, path, "pages"), _fingerprints(spark, path)
+    marked = found.join(kinds, "page_id").select("page_id", "html", F.xxhash64("page_fingerprint").alias("preset_id"))
+    return pages.extract_page_items(marked, _page_presets(kinds))[1]
 
 
 _VALID = f"{_MENU}, v AS (SELECT page_id, names, len(names) AS n, fails < 3 AND len(names) > 0 AND 2 * len(list_filter(names, lambda x: length(x) > 2)) >= len(names) AND NOT (len(list_filter(names, lambda x: x <> '')) > 2 AND len(list_distinct(list_filter(names, lambda x: x <> ''))) = 1) AS good FROM m)"
@@ -460,15 +465,14 @@ _VALID = f"{_MENU}, v AS (SELECT page_id, names, len(names) AS n, fails < 3 AND
 def pipe2_page_chain(spark: SparkSession, path: str) -> DataFrame:
     found = domain.table(spark, path, "pages")
     supplied = found.where("page_id % 3 = 0").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("item_pos"), F.lit("WP12345678").alias("part_number"), F.lit("Belt").alias("part_name"), F.lit(1.0).alias("quantity"), F.lit(9.5).alias("unit_price"))
-    return pages.page_chain(found, _page_presets(spark, path), supplied, F.lit("v"))
+    return pages.page_chain(found, _page_presets(_fingerprints(spark, path)), supplied, F.lit("v"))
 
 
 @query(f"WITH {_VALID.replace('fails < 3 AND ', '')} SELECT page_id AS doc_id, page_id % 3 = 2 AS agrees FROM v WHERE good")
 def pipe5_selector_acceptance(spark: SparkSession, path: str) -> DataFrame:
-    found = domain.table(spark, path, "pages")
-    presets = _page_presets(spark, path)
-    marked = found.join(pages.page_fingerprint(found), "page_id").select("page_id", "html", F.xxhash64("page_fingerprint").alias("preset_id"))
-    _, items = pages.extract_page_items(marked, presets)
+    found, kinds = domain.table(spark, path, "pages"), _fingerprints(spark, path)
+    marked = found.join(kinds, "page_id").select("page_id", "html", F.xxhash64("page_fingerprint").alias("preset_id"))
+    _, items = pages.extract_page_items(marked, _page_presets(kinds))
     valid = extraction.validate_extraction(found.select(F.col("page_id").alias("doc_id")), items).where("valid").select("doc_id")
     names = F.regexp_extract_all(F.regexp_extract("html", r"(?s)<nav.*?</nav>", 0), F.lit("<li><a[^>]*>([^<]*)</a>"), F.lit(1))
     supplied = found.select(F.col("page_id").alias("doc_id"), F.posexplode(names).alias("item_pos", "name"))  # a third has other names, a third prices that pages lack

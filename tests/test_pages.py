@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_oracle import rows
 
 from partflow.operators import dom, pages
-from partflow.plans import registry
+from partflow.plans import registry, rules
 
 PAGE = """<html><head><style>.a{}</style></head><body><div class="order"><span class="no">Order # 114-9176254-5449856</span><span>Order placed April 5, 2026</span></div>
 <div class="shipment box"><div class="shipment-inner"><a class="title">Whirlpool WP8544771 Dryer Heating Element</a><span class="price">$26.97</span><b class="qty">1</b></div></div>
@@ -106,3 +106,33 @@ def test_cut_references_and_long_numbers_match_sql(spark, tmp_path, name):
     frame, found = registry.QUERIES[name](spark, str(tmp_path)), con.execute(registry.ORACLE_SQL[name])
     names = [d[0] for d in found.description]
     assert rows(frame.columns, frame.collect()) == rows(names, found.fetchall())
+
+
+def _dealt(spark, monkeypatch, run):
+    """Into how many tasks the pages of ``run`` come where their selectors are applied, without help from adaptive plans or broadcasts."""
+    counts, cells = [], pages.page_cells
+    monkeypatch.setattr(pages, "page_cells", lambda source: counts.append(source.select(F.spark_partition_id().alias("p")).distinct().count()) or cells(source))
+    for key, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(key, value)
+    try:
+        run()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return counts
+
+
+@pytest.mark.parametrize("name", ["ud2_extract_page_items", "page_chain", "pipe5_selector_acceptance"])
+def test_pages_of_one_preset_are_read_by_many_tasks(spark, data, monkeypatch, name):
+    """All pages of the table have one structure, and so one preset."""
+    import __spark_entry__ as entry
+
+    def chain(spark, path):
+        found = spark.read.parquet(f"{path}/pages.parquet")
+        presets = pages.page_fingerprint(found).select("page_fingerprint").distinct().selectExpr("1L AS id", "'v' AS vendor_key", "'html' AS input_type", "page_fingerprint", f"'{rules.SELECTORS}' AS selectors", "0 AS fail_count")
+        none = spark.createDataFrame([], "doc_id long, item_pos int, part_number string, part_name string, quantity double, unit_price double")
+        return pages.page_chain(found, presets, none, F.lit("v"))
+
+    run = chain if name == "page_chain" else entry.queries()[name]
+    counts = _dealt(spark, monkeypatch, lambda: run(spark, data))
+    assert counts and min(counts) > 1
