@@ -21,6 +21,7 @@ _LABELS = """labels_of AS (SELECT p_partkey AS id, 'Whirlpool ' || p_name || CAS
 
 
 def _labels(spark: SparkSession, path: str) -> DataFrame:
+    """Label texts of all parts. A file of parts is small and few tasks read it, so its rows are dealt to as many as a shuffle has before the texts are searched."""
     key = F.col("p_partkey")
 
     def pick(n: int, *words: str) -> F.Column:
@@ -34,7 +35,8 @@ def _labels(spark: SparkSession, path: str) -> DataFrame:
         F.lit("Whirlpool "), "p_name", pick(4, " Model No: ", " M/N ", " mod. ", " made "), F.lit("MX"), pad(key, 6, "0"), pick(3, " Serial Number: ", " S/N ", " batch "), F.lit("SN"), pad(key * 7, 7, "0"),
         pick(5, " washing machine", " Fridge", " Heat Pump", " box"), F.lit(" wp"), pad(key, 8, "0"), F.lit(" DD81-"), pad(key, 8, "1"), F.lit("A and AP"), pad(key, 8, "2"),
     )
-    return domain.table(spark, path, "part").select(key.alias("id"), text.alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return domain.table(spark, path, "part").select("p_partkey", "p_name").repartition(parts, "p_partkey").select(key.alias("id"), text.alias("text"))
 
 
 @query(f"{with_views('parts')} SELECT id, upper(regexp_replace(' ' || part_number_raw || '.' || brand || ' #', '[-.\\s#]', '', 'g')) AS normalized FROM parts")

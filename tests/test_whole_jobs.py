@@ -122,3 +122,12 @@ def test_spot_checks_and_comparisons_read_once(spark, data, capsys):
     assert {r.doc_id: r.reason for r in made.collect()} == {0: "Template extracted 3 items, supplied 5", 1: "Template extracted 3 items, supplied 4"}
     assert {r.doc_id: r.reason for r in extraction.compare_extractions(item(9, "id / 2"), theirs).collect()} == {0: "Price mismatch for P0", 1: None}
     assert {r.doc_id: r.reason for r in extraction.compare_extractions(item(8, "0.5D"), theirs.where("item_pos > 0 AND item_pos < 8").withColumn("part_number", F.expr("if(item_pos = 6, 'X', part_number)"))).collect()} == {0: "Template missing part number: X", 1: None}
+
+
+def test_labels_are_dealt_to_many_tasks(spark, data):
+    """All parts come in one small file, which one task would read and search."""
+    from partflow.plans import texts
+
+    made = texts._labels(spark, data)
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert made.count() == made.select("id").distinct().count() == spark.read.parquet(f"{data}/part.parquet").count()
