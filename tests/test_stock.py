@@ -8,7 +8,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from partflow.operators import catalog, inventory, settlement, vendors
+from partflow.operators import catalog, crossref, inventory, settlement, vendors
 from partflow.operators.numbering import numbered
 from partflow.sources import schemas, tables
 from partflow.sources.tables import insert_absent
@@ -241,3 +241,21 @@ def test_many_keywords_in_one_pass(spark):
     made = spark.range(100_000).selectExpr("id", "CAST(array() AS array<string>) AS vendor_domains", "array(concat('Vendor ', id, ' Inc')) AS vendor_keywords")
     docs = spark.createDataFrame([(i, f"x {words[i * 37]}, {words[i * 11]} y") for i in range(2000)], "doc_id long, text string")
     assert {r.doc_id: r.template_id for r in vendors.detect_vendor(docs, made).collect()} == {i: i * 11 for i in range(2000)}
+
+
+def _plan(made, spark, capsys):
+    """The plan of a query whose tables are all too large to be broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made().explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return capsys.readouterr().out
+
+
+def test_hits_are_sorted_once(spark, capsys):
+    """Search hits are dealt by part once, and sorted only to be counted."""
+    hits = spark.range(5).selectExpr("id AS part_id", "1L AS query_no", "id AS rank", "'t' AS title", "'fits WP12345678' AS description", "'u' AS url")
+    parts = spark.range(5).selectExpr("id", "'WP1' AS part_number", "'wp1' AS part_number_raw")
+    plan = _plan(lambda: crossref.mine_cross_refs(hits, parts), spark, capsys)
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 2 and plan.count("Sort [") == 1
