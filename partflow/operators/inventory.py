@@ -27,7 +27,8 @@ def add_parts(parts: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids after the largest, in the order of their first request. Returns (parts, events).
     """
     asked = adds.withColumn("number", normalize_part_number(F.col("part_number")))
-    rolled = asked.groupBy("number").agg(
+    # Texts among the results make this a sorted aggregate: requests are dealt by number first, so that they are sorted in one task with nothing else.
+    rolled = asked.repartition("number").groupBy("number").agg(
         F.sum("quantity").cast("int").alias("more"), _last("brand").alias("new_brand"), _last("description").alias("new_description"),
         F.min_by(clean_raw_number(F.col("part_number")), "seq").alias("raw"), F.min("seq").alias("first_seq"),
     )

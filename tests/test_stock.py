@@ -267,3 +267,12 @@ def test_references_meet_parts_without_sorting(spark, capsys):
     refs = spark.range(5).selectExpr("id AS part_id", "'p1' AS cross_ref_part_number", "'replaces' AS relationship")
     plan = _plan(lambda: catalog.alternatives(parts.select("part_number"), parts, refs), spark, capsys)
     assert plan.count("ShuffledHashJoin") >= 2 and plan.count("SortMergeJoin") <= 2
+
+
+def test_requests_are_sorted_apart(spark, capsys):
+    """Requests are dealt by number before they are sorted to be rolled up, not sorted beside what makes them."""
+    parts = spark.createDataFrame([], "id long, part_number string, part_number_raw string, brand string, description string, quantity int, listed_quantity int, ebay_listing_id string")
+    adds = spark.range(5).selectExpr("id AS seq", "concat('p', id % 2) AS part_number", "'b' AS brand", "'d' AS description", "1 AS quantity", "'n' AS note").groupBy("seq", "part_number", "brand", "description", "note").agg(F.sum("quantity").alias("quantity"))
+    plan = _plan(lambda: inventory.add_parts(parts, adds)[0], spark, capsys)
+    below = [x.split("Aggregate(")[0] for x in plan.split("partial_min_by")[1:]]
+    assert below and all("Sort [number" in x and "Exchange hashpartitioning(number" in x for x in below)
