@@ -278,11 +278,13 @@ def recover_totals(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Data
     are found by looking up what each amount leaves of the gap, so the work grows with the number of amounts.
     """
     b0, b1 = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+    word = lambda w: rf"{w}(?<![A-Za-z0-9_]{w})"  # noqa: E731  what stands before a word is looked at where the word stands, not at every place
     labelled = lambda p: F.coalesce(F.regexp_replace(F.regexp_extract("text", p, 1), ",", "").try_cast("double"), F.lit(0.0))
-    tax_at = labelled(rf"(?i){b0}tax(?:\s+amount)?\s*[:=]?\s*\$?([\d,]+\.?\d*)")
-    ship_at = labelled(rf"(?i){b0}ship(?:ping)?(?:\s*(?:&|and)\s*handling)?\s*(?:charge)?\s*[:=]?\s*\$?([\d,]+\.?\d*)")
+    tax_at = labelled(rf"(?i){word('tax')}(?:\s+amount)?\s*[:=]?\s*\$?([\d,]+\.?\d*)")
+    ship_at = labelled(rf"(?i){word('ship')}(?:ping)?(?:\s*(?:&|and)\s*handling)?\s*(?:charge)?\s*[:=]?\s*\$?([\d,]+\.?\d*)")
+    read = lambda name, at: F.when(~known & (F.col(name) == 0), let(at, lambda v: F.when(v > 0, v).otherwise(F.col(name)))).otherwise(F.col(name)).alias(name)
     known = (F.col("tax") > 0) & (F.col("shipping") > 0)
-    rows = docs.select(*(c for c in keep if c != "text"), "text", known.alias("_known"), F.when(~known & (F.col("tax") == 0) & (tax_at > 0), tax_at).otherwise(F.col("tax")).alias("tax"), F.when(~known & (F.col("shipping") == 0) & (ship_at > 0), ship_at).otherwise(F.col("shipping")).alias("shipping"))
+    rows = docs.select(*(c for c in keep if c != "text"), "text", known.alias("_known"), read("tax", tax_at), read("shipping", ship_at))
     lines = F.transform(F.split("text", "\n"), trim_all)
     rows = rows.withColumn("_lines", F.when((F.col("tax") > 0) & (F.col("shipping") > 0), F.array().cast("array<string>")).otherwise(lines))
     amounts = lambda x: F.transform(F.regexp_extract_all(x, F.lit(_AMOUNT), F.lit(0)), _number)

@@ -38,3 +38,14 @@ def test_ten_thousand_amounts_in_one_document(spark):
     text = "\n".join(["Sub Total 900000.00", *lines, "Total Amount 900082.00"])
     row = recover_totals(spark.createDataFrame([(1, text, 0.0, 0.0)], "doc_id long, text string, tax double, shipping double")).first()
     assert (row.tax, row.shipping) == (5.0, 77.0)
+
+
+def test_labels_of_totals_are_looked_up_once(spark, capsys):
+    """A text is searched once for each label, whatever the plan does with the results; a label inside a word is none."""
+    texts = ["Surtax: 9.00\nTax: 2.50\nairship 7\nShipping & handling charge: $1,004.00", "tax amount 3\nship: 4", "xtax 1\n_ship 2", "é tax=1.5 éship 2.5", None]
+    docs = spark.createDataFrame([(i, x, 0.0, 0.0) for i, x in enumerate(texts)], "doc_id long, text string, tax double, shipping double")
+    made = recover_totals(docs)
+    made.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("ship(?") == 1 and plan.count("tax(?") == 1
+    assert {r.doc_id: (r.tax, r.shipping) for r in made.collect()} == {0: (2.5, 1004.0), 1: (3.0, 4.0), 2: (0.0, 0.0), 3: (1.5, 2.5), 4: (0.0, 0.0)}
