@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from partflow.operators.folds import HOT_ROWS, block_starts
+from partflow.sources.scratch import stored
 
 OVERLAP_MINUTES = 5
 
@@ -46,13 +47,15 @@ def settle(parts: DataFrame, lines: DataFrame, processed: DataFrame, hot_rows: i
     nothing. When the listed stock reaches 0 the listing ends, so later lines of it find none. Lines of a
     listing that no part has are settled one by one; those of a real listing stand together in order, and a
     task carries one running stock through them; of a listing with very many lines each block of them is
-    carried from its own start (``folds``).
+    carried from its own start (``folds``). Lines are written once with their mark, since their counts and each
+    kind of verdict would compute them anew.
     """
     turn = F.row_number().over(Window.partitionBy("order_id", "line_id").orderBy(*ORDER))
     old = processed.select("order_id", "line_id").distinct().withColumn("_old", F.lit(True))
-    marked = lines.withColumn("_turn", turn).join(old, ["order_id", "line_id"], "left")
-    skip = F.col("_old").isNotNull() | (F.col("_turn") > 1)
     columns = ["order_id", "line_id", "listing_id", "quantity", "created"]
+    skip = F.col("_skip")
+    marks = lines.withColumn("_turn", turn).join(old, ["order_id", "line_id"], "left")
+    marked = stored(marks.select(*columns, (F.col("_old").isNotNull() | (F.col("_turn") > 1)).alias("_skip")), "lines")
     nothing = [F.lit(None).cast("long").alias("part_id"), F.lit(0).alias("quantity_depleted")]
     skipped = marked.where(skip).select(*columns, F.lit("skipped").alias("status"), *nothing, F.lit(None).cast("string").alias("quarantine_reason"))
     listed = parts.where("ebay_listing_id IS NOT NULL").select(F.col("ebay_listing_id").alias("listing_id"), F.col("id").alias("_part"), F.col("quantity").alias("_stock"), F.col("listed_quantity").alias("_listed"))

@@ -76,6 +76,22 @@ def test_settle_known_case(spark):
     assert out[3].quarantine_reason == "No matching listing for eBay item L1"
 
 
+def test_settle_computes_its_lines_once(spark):
+    """Counts of listings and all kinds of verdicts come from lines that are written down once with their mark."""
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    parts = spark.createDataFrame([(1, "P1", "p", None, None, 4, 3, "L1")], PARTS)
+    lines = spark.createDataFrame([sale(n, str(n % 9), "1", f"L{n % 3}", 1) for n in range(12)], LINES).mapInArrow(counted, LINES)
+    out = settlement.settle(parts, lines, spark.createDataFrame([("8", "1", None, 0, None)], PROCESSED)).collect()
+    assert sorted(r.status for r in out) == ["processed"] * 3 + ["quarantined"] * 5 + ["skipped"] * 4
+    assert met.value == 12
+
+
 def test_intake_adds_up_and_ledger_agrees(spark):
     parts = spark.createDataFrame([(7, "A1", "a-1", "old", "d", 2, 0, None)], PARTS)
     adds = spark.createDataFrame([(1, "#a.1", None, None, 3, None), (2, "B 2", "x", None, 1, None), (3, "b2", None, "new", 4, None)], "seq long, part_number string, brand string, description string, quantity int, note string")

@@ -3,12 +3,13 @@
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from partflow.functions import text as t
 from partflow.operators import extraction
-from partflow.plans import routing, rules
+from partflow.plans import routing, rules, streams
 from partflow.sources import tables
 
 
@@ -131,3 +132,22 @@ def test_labels_are_dealt_to_many_tasks(spark, data):
     made = texts._labels(spark, data)
     assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert made.count() == made.select("id").distinct().count() == spark.read.parquet(f"{data}/part.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["snk1_ledger"])
+def test_polls_fetch_lines_once(spark, data, monkeypatch, name):
+    """Sold lines meet their orders once for a poll and its repeat."""
+    met, sold = spark.sparkContext.accumulator(0), streams._sold
+
+    def counted(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    def once(spark, path):
+        lines = sold(spark, path)
+        return lines.mapInArrow(counted, lines.schema)
+
+    monkeypatch.setattr(streams, "_sold", once)
+    assert entry.queries()[name](spark, data).count() > 0
+    assert met.value == sold(spark, data).count()
