@@ -134,7 +134,7 @@ def test_labels_are_dealt_to_many_tasks(spark, data):
     assert made.count() == made.select("id").distinct().count() == spark.read.parquet(f"{data}/part.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["snk1_ledger"])
+@pytest.mark.parametrize("name", ["snk1_ledger", "snk2_stored_parts"])
 def test_polls_fetch_lines_once(spark, data, monkeypatch, name):
     """Sold lines meet their orders once for a poll and its repeat."""
     met, sold = spark.sparkContext.accumulator(0), streams._sold
