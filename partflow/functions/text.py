@@ -205,10 +205,14 @@ def line_total(unit: Column, ship: Column, tax: Column) -> Column:
 
 def repair_tracking(tracking: Column, text: Column) -> Column:
     """A tracking number of 8 or more digits, with the 1-3 digits of the line after its first line appended."""
-    lines = F.split(text, "\n")
-    at = F.array_position(F.transform(lines, lambda x: F.contains(x, tracking)), F.lit(True))
-    tail = trim_all(F.get(lines, at.cast("int")))
-    return F.when(tracking.rlike(r"^\d{8,}$") & (at > 0) & tail.rlike(r"^\d{1,3}$"), F.concat(tracking, tail)).otherwise(tracking)
+
+    def repaired(lines: Column) -> Column:
+        at = F.array_position(F.transform(lines, lambda x: F.contains(x, tracking)), F.lit(True))
+        tail = let(at, lambda n: F.when(n > 0, trim_all(F.get(lines, n.cast("int")))))
+        return let(tail, lambda x: F.when(x.rlike(r"^\d{1,3}$"), F.concat(tracking, x)).otherwise(tracking))
+
+    # Lines are made only where the text holds the number at all.
+    return F.when(tracking.rlike(r"^\d{8,}$") & F.contains(text, tracking), let(F.split(text, "\n"), repaired)).otherwise(tracking)
 
 
 TRACKING_FORMATS = (r"^\d{10,}$", r"^[A-Z]{2}\d{9}[A-Z]{2}$", r"^1Z[A-Z0-9]{16}$", r"^\d{4}\s?\d{4}\s?\d{4}\s?\d{4}")
@@ -218,12 +222,14 @@ BAD_BRANDS = ("svce", "service", "assy", "assembly", "kit", "oem", "new", "used"
 
 def valid_tracking(tracking: Column, order_number: Column, part_numbers: Column) -> Column:
     """The tracking number if it has a known format and is no order or part number, else null."""
-    t = trim_all(tracking)
-    known = F.lit(False)
-    for f in TRACKING_FORMATS:
-        known |= t.rlike(f)
-    same = F.coalesce(t == order_number, F.lit(False)) | F.coalesce(F.array_contains(part_numbers, t), F.lit(False))
-    return F.when(known & ~same, tracking)
+
+    def valid(t: Column) -> Column:
+        known = F.lit(False)
+        for f in TRACKING_FORMATS:
+            known |= t.rlike(f)
+        return known & ~(F.coalesce(t == order_number, F.lit(False)) | F.coalesce(F.array_contains(part_numbers, t), F.lit(False)))
+
+    return let(tracking, lambda x: F.when(let(trim_all(x), valid), x))
 
 
 def valid_word(c: Column, bad: tuple[str, ...]) -> Column:

@@ -24,15 +24,16 @@ def with_quality(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     lines = F.filter(F.transform(F.split(text, "\n"), trim_all), lambda x: x != "")
 
-    def longest(test) -> Column:
+    def run(test, n: int) -> Column:
+        """Whether n lines in a row pass the test; a line is tested once, and the fold is made only where n lines pass at all."""
         start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
-        step = lambda s, x: F.struct(F.when(test(x), s["run"] + 1).otherwise(0).alias("run"), F.greatest(s["best"], F.when(test(x), s["run"] + 1).otherwise(0)).alias("best"))
-        return F.aggregate("_lines", start, step)["best"]
+        step = lambda s, x: F.struct(F.when(x, s["run"] + 1).otherwise(0).alias("run"), F.greatest(s["best"], F.when(x, s["run"] + 1).otherwise(0)).alias("best"))
+        return let(F.transform("_lines", test), lambda hits: (F.size(F.filter(hits, lambda x: x)) >= n) & (F.aggregate(hits, start, step)["best"] >= n))
 
-    numeric = longest(lambda x: x.rlike(r"^\$?\d[\d,.]*$")) >= 3
+    numeric = run(lambda x: x.rlike(r"^\$?\d[\d,.]*$"), 3)
     short = F.size(F.filter("_lines", lambda x: F.char_length(x) <= 3))
     soup = (F.size("_lines") >= 10) & (short / F.greatest(F.size("_lines"), F.lit(1)) > 0.4)
-    labels = longest(lambda x: x.rlike(r"^[A-Za-z][A-Za-z &/\-#.]+:?\s*$") & (F.char_length(x) < 40)) >= 5
+    labels = run(lambda x: (F.char_length(x) < 40) & x.rlike(r"^[A-Za-z][A-Za-z &/\-#.]+:?\s*$"), 5)
     half = F.floor(F.char_length(text) / 2).cast("int")
     sample = F.substring(text, F.lit(1), F.least(half, F.lit(100)))
     twice = (F.char_length(text) > 200) & F.contains(F.substring(text, half + 1, F.char_length(text)), sample)
@@ -286,7 +287,8 @@ def recover_totals(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Data
     known = (F.col("tax") > 0) & (F.col("shipping") > 0)
     rows = docs.select(*(c for c in keep if c != "text"), "text", known.alias("_known"), read("tax", tax_at), read("shipping", ship_at))
     lines = F.transform(F.split("text", "\n"), trim_all)
-    rows = rows.withColumn("_lines", F.when((F.col("tax") > 0) & (F.col("shipping") > 0), F.array().cast("array<string>")).otherwise(lines))
+    some = ~((F.col("tax") > 0) & (F.col("shipping") > 0)) & F.col("text").rlike(r"(?i)sub\s*total")  # without a subtotal there is no gap, and no line needs to be read
+    rows = rows.withColumn("_lines", F.when(some, lines).otherwise(F.array().cast("array<string>")))
     amounts = lambda x: F.transform(F.regexp_extract_all(x, F.lit(_AMOUNT), F.lit(0)), _number)
     is_sub = lambda x: x.rlike(rf"(?i){b0}sub\s*total{b1}")
     is_total = lambda x: ~is_sub(x) & x.rlike(rf"(?i){b0}total\s*(amount)?{b1}") & ~x.rlike("(?i)sub")

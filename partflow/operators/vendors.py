@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partflow.functions.text import normalize_domain
@@ -15,9 +16,9 @@ from partflow.operators.numbering import numbered
 COOLDOWN_DAYS = 7
 FAIL_THRESHOLD = 3
 KEYWORD_CHARS = 8 << 20
-_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _WORD = frozenset(string.ascii_letters + string.digits + "_")
-DOMAIN_TOKEN = r"(?i)(?:https?://)?(?:www\.)?([a-z0-9-]+\.[a-z]{2,})"
+# A name is tried where it begins or where the last one ended, not at each of its letters, and is read once.
+DOMAIN_TOKEN = r"(?i)(?:(?<![a-z0-9-])|\G)(?:https?://)?(?:www\.)?([a-z0-9-]++\.[a-z]{2,})"
 # Names of cookies that carry a session, for two domains and in general.
 AUTH_NAMES = {"amazon.com": r"^session-id$|^at-main$|^sess-at-|^x-main$|^ubid-main$", "ebay.com": r"^ebay$|^nonsession$|^ds1$|^s$"}
 AUTH_WORDS = r"session|auth|token|sid|login"
@@ -71,8 +72,8 @@ def _by_keyword(docs: DataFrame, keywords: dict[str, int]) -> DataFrame:
         automaton.make_automaton()
         for batch in batches:
             best = []
-            for text in batch.column(1).to_pylist():
-                low, least = (text or "").translate(_LOWER), None
+            for text in pc.ascii_lower(batch.column(1)).to_pylist():
+                low, least = text or "", None
                 for end, (size, template) in automaton.iter(low):
                     if (least is None or template < least) and _edge(low, end + 1 - size) and _edge(low, end + 1):
                         least = template

@@ -91,12 +91,15 @@ def parse_documents(docs: DataFrame, templates: DataFrame, now: Column, response
 
     Form feeds are cleaned and short texts rejected (rejected_reason; no route); texts of poor quality are
     supplemented by ``ocr`` (doc_id, content); the vendor is detected; then as ``extract_documents``. What
-    the counters of templates get stands in outcome, with template_id. The texts are written down once they are
-    supplemented; detection and extraction read them from there.
+    the counters of templates get stands in outcome, with template_id. ``docs`` are read once: cleaned texts and their
+    verdicts are written down, and so are the texts of poor quality once they are supplemented, which alone move to meet
+    ``ocr``; all else reads them from there.
     """
-    clean = tables.documents(docs.select("doc_id", "text"))
+    clean = extraction.with_quality(tables.documents(docs.select("doc_id", "text")))
+    clean = stored(clean.withColumn("quality_issue", F.when(F.col("rejected_reason").isNull(), F.col("quality_issue"))), "texts")
     good = clean.where("rejected_reason IS NULL").drop("rejected_reason")
-    full = stored(tables.supplement_text(extraction.with_quality(good), ocr), "texts")
+    poor = stored(tables.supplement_text(good.where("quality_issue IS NOT NULL"), ocr), "supplemented")
+    full = good.where("quality_issue IS NULL").unionByName(poor)
     matched = full.join(vendors.detect_vendor(full, templates), "doc_id", "left")
     done = _extracted(matched, templates, now, responses, mode, ("doc_id", "template_id", "confidence", "quality_issue"))
     rejected = clean.where("rejected_reason IS NOT NULL").select("doc_id", "rejected_reason")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from partflow.functions.text import clean_markup, trim_all
+from partflow.functions.text import clean_markup, let, trim_all
 from partflow.sources import schemas
 
 
@@ -64,11 +64,12 @@ def pages(df: DataFrame) -> DataFrame:
 
 def parse_responses(df: DataFrame, content: str = "content", key: str = "doc_id") -> DataFrame:
     """Supplied JSON responses as a struct ``response``; code fences are stripped, unparsable rows keep ``corrupt``."""
-    bare = trim_all(F.regexp_replace(F.regexp_replace(trim_all(F.col(content)), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    unfenced = lambda c: F.when(F.contains(c, F.lit("```")), trim_all(F.regexp_replace(F.regexp_replace(c, r"^```(?:json)?\s*", ""), r"\s*```$", ""))).otherwise(c)
+    bare = let(trim_all(F.col(content)), unfenced)
     parsed = F.from_json(bare, schemas.RESPONSE + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = df.select(key, parsed.alias("r"), bare.alias("bare"))
-    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
-    return rows.select(key, F.when(~bad, F.col("r").dropFields("_corrupt")).alias("response"), F.when(bad, F.col("bare")).alias("corrupt"))
+    good = let(parsed, lambda r: F.when(r["_corrupt"].isNull(), r.dropFields("_corrupt")))  # parsed once, not for each field
+    rows = df.select(key, good.alias("response"), bare.alias("bare"))
+    return rows.select(key, "response", F.when(F.col("response").isNull(), F.col("bare")).alias("corrupt"))
 
 
 def response_items(responses: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -97,10 +98,9 @@ def ocr_text(content: Column) -> Column:
 
 def supplement_text(docs: DataFrame, ocr_responses: DataFrame, quality: str = "quality_issue") -> DataFrame:
     """Documents (doc_id, text, quality issue) with their OCR text appended where the text is flagged."""
-    extra = ocr_responses.select("doc_id", ocr_text(F.col("content")).alias("_ocr"))
-    more = F.col(quality).isNotNull() & F.col("_ocr").isNotNull()
-    joined = docs.join(extra, "doc_id", "left")
-    return joined.withColumn("text", F.when(more, F.concat("text", F.lit("\n\n--- OCR-enhanced text ---\n"), "_ocr")).otherwise(F.col("text"))).drop("_ocr")
+    joined = docs.join(ocr_responses.select("doc_id", F.col("content").alias("_ocr")), "doc_id", "left")
+    joined = joined.withColumn("_ocr", F.when(F.col(quality).isNotNull(), ocr_text(F.col("_ocr"))))
+    return joined.withColumn("text", F.when(F.col("_ocr").isNotNull(), F.concat("text", F.lit("\n\n--- OCR-enhanced text ---\n"), "_ocr")).otherwise(F.col("text"))).drop("_ocr")
 
 
 def insert_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

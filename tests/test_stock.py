@@ -270,6 +270,14 @@ def test_many_keywords_in_one_pass(spark):
     assert {r.doc_id: r.template_id for r in vendors.detect_vendor(docs, made).collect()} == {i: i * 11 for i in range(2000)}
 
 
+def test_domains_in_texts(spark):
+    """Domains are read from where a name begins or the last one ended; a word of any length is read once."""
+    made = spark.createDataFrame([(i, [d], []) for i, d in enumerate(["foo.com", "1bar.org", "www.com", "xwww.foo", "a-b.net"])], "id long, vendor_domains array<string>, vendor_keywords array<string>")
+    texts = ["see HTTPS://www.Foo.com", "foo.com1bar.org", "xfoo.co 1bar.org", "www.com", "xwww.foo.com", "xhttp://a-b.net/", "foo. com .org", "w" * 300_000 + " at foo.com"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.template_id for r in vendors.detect_vendor(docs, made).collect()} == {0: 0, 1: 0, 2: 1, 3: 2, 4: 3, 5: 4, 7: 0}
+
+
 def _plan(made, spark, capsys):
     """The plan of a query whose tables are all too large to be broadcast."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -104,6 +104,29 @@ def test_whole_documents(spark, data):
     assert flagged.count() > 0 and flagged.where("confidence IS NULL OR confidence != 'domain' OR template_id != abs(doc_id) % 9").count() == 0
 
 
+def test_whole_documents_read_texts_once(spark):
+    """Raw texts are read once for good and rejected documents, and only texts of poor quality meet their OCR text."""
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    soup = "\n".join(["ab", "a longer line"] * 6)
+    raw = spark.createDataFrame([(1, "short"), (2, "an invoice of twenty characters, sold by Vendor1"), (3, soup)], "doc_id long, text string")
+    ocr = spark.createDataFrame([(i, json.dumps({"md_results": "read again by https://www.parts2.com"})) for i in (1, 2, 3)], "doc_id long, content string")
+    known = spark.createDataFrame(
+        [(i, f"v{i}", f"V{i}", [f"PARTS{i}.com"], [f"Vendor{i}"], "{}", 0, 0, None) for i in (1, 2)],
+        "id long, vendor_key string, vendor_name string, vendor_domains array<string>, vendor_keywords array<string>, extraction_rules string, success_count int, fail_count int, last_generation_attempt timestamp_ntz",
+    )
+    replies = tables.parse_responses(spark.createDataFrame([(2, '{"orderNumber": "N2"}'), (3, "no json")], "doc_id long, content string"))
+    made = routing.parse_documents(raw.mapInArrow(counted, raw.schema), known, F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"), replies, ocr)
+    got = {r.doc_id: (r.template_id, r.confidence, r.quality_issue, r.rejected_reason is None, r.order_number) for r in made.collect()}
+    assert got == {1: (None, None, None, False, None), 2: (1, "keyword", None, True, "N2"), 3: (2, "domain", "fragment-soup", True, None)}
+    assert met.value == 3
+
+
 def test_documents_are_extracted_once_for_all_results(spark, data, capsys):
     """Items, metadata and routes are read from what one extraction has written; none of them reads a text again."""
     entry.queries()["pipe1_all_items"](spark, data).explain()
